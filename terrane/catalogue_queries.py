@@ -1,0 +1,4 @@
+"""Queries over the catalogue of data dictionaries."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
