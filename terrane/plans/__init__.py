@@ -1 +1,9 @@
-"""Part of terrane."""
+"""Queries over the given tables, and their SQL."""
+
+from __future__ import annotations
+
+from terrane.plans import catalogue
+
+_MODULES = (catalogue,)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
