@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from terrane.plans import catalogue
+from terrane.plans import catalogue, cohort
 
-_MODULES = (catalogue,)
+_MODULES = (catalogue, cohort)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
