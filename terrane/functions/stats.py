@@ -64,7 +64,7 @@ def bh_adjusted(df: DataFrame, p: str, by: list[str] | None = None) -> DataFrame
     ranked = df.withColumn("_p", F.when(live, F.col(p)))
     ranked = ranked.withColumn("_k", F.row_number().over(_family(by).orderBy(F.asc_nulls_last("_p")))).withColumn("_m", F.count("_p").over(_family(by)))
     up = _family(by).orderBy(F.desc_nulls_last("_p")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranked.withColumn("p_adjusted", F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_k")).over(up))).drop("_p", "_k", "_m")
+    return ranked.withColumn("p_adjusted", F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), F.min(F.col("_p") * F.col("_m") / F.col("_k")).over(up)))).drop("_p", "_k", "_m")
 
 
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:

@@ -20,16 +20,16 @@ def class_moments(long: DataFrame) -> DataFrame:
     One aggregate of (feature, class, value) rows; the rest of a class is the whole less it.
     """
     own = long.groupBy("feature", "class").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(F.col("value").isin(0.0, 1.0)).alias("flags"))
-    all_ = own.groupBy("feature").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("ss").alias("SS"), ((F.sum("flags") == F.sum("n")) & (F.min("lo") < F.max("hi"))).alias("is_binary"))
+    all_ = own.groupBy("feature").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("ss").alias("all_ss"), ((F.sum("flags") == F.sum("n")) & (F.min("lo") < F.max("hi"))).alias("is_binary"))
     j = own.join(all_, "feature")
 
     def var(n: Column, s: Column, ss: Column) -> Column:
         return F.when(n > 1, F.greatest(F.lit(0.0), (ss - s * s / n) / (n - 1)))
 
     n, s, ss = (F.col(c) for c in ("n", "s", "ss"))
-    rn, rs, rss = (F.col(c.upper()) - F.col(c) for c in ("n", "s", "ss"))
+    rn, rs, rss = (F.col(f"all_{c}") - F.col(c) for c in ("n", "s", "ss"))
     return j.select(
-        "feature", "class", "is_binary", "n", F.col("N").alias("n_all"), (s / n).alias("mean"), var(n, s, ss).alias("var"), F.when(rn > 0, rn).alias("n_rest"), F.when(rn > 0, rs / rn).alias("mean_rest"), var(rn, rs, rss).alias("var_rest"), (F.col("S") / F.col("N")).alias("mean_all"), var(F.col("N"), F.col("S"), F.col("SS")).alias("var_all"), s.alias("total")
+        "feature", "class", "is_binary", "n", F.col("all_n").alias("n_all"), (s / n).alias("mean"), var(n, s, ss).alias("var"), F.when(rn > 0, rn).alias("n_rest"), F.when(rn > 0, rs / rn).alias("mean_rest"), var(rn, rs, rss).alias("var_rest"), (F.col("all_s") / F.col("all_n")).alias("mean_all"), var(F.col("all_n"), F.col("all_s"), F.col("all_ss")).alias("var_all"), s.alias("total")
     )
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from terrane.plans import catalogue, cohort
+from terrane.plans import catalogue, cohort, drift, strata
 
-_MODULES = (catalogue, cohort)
+_MODULES = (catalogue, cohort, strata, drift)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
