@@ -57,12 +57,14 @@ def _pair(c: np.ndarray, gap: int, most: int) -> tuple[int, int] | None:
     return (int(a[good[0]]), gap - int(a[good[0]])) if len(good) else None
 
 
-def _complement(c: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
-    """One, two or three lengths (none over most) that sum to gap, within the counters."""
-    if gap <= most and c[gap] > 0:
+def _complement(c: np.ndarray, gap: int, most: int, parts: int) -> tuple[int, ...] | None:
+    """`parts` lengths or fewer (none over most) that sum to gap, within the counters."""
+    if parts and gap <= most and c[gap] > 0:
         return (gap,)
-    if found := _pair(c, gap, most):
+    if parts > 1 and (found := _pair(c, gap, most)):
         return found
+    if parts < 3:
+        return None
     for a in np.flatnonzero(c[: min(gap - 1, most) + 1])[::-1].tolist():
         if a * 3 < gap:
             break
@@ -75,7 +77,15 @@ def _complement(c: np.ndarray, gap: int, most: int) -> tuple[int, ...] | None:
 
 
 def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in one sequence) and how many sequences have each; every piece is in one."""
+    """Patterns (lengths in one sequence) and how many sequences have each; every piece is in one.
+
+    Exact complements of up to three, two, one or no lengths are tried (triples use up short
+    pieces that other gaps may need more); the plan with fewest sequences is returned.
+    """
+    return min((_plan(counts, size, parts) for parts in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: dict[int, int], size: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
     c = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         c[length] += n
@@ -85,7 +95,7 @@ def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int,
     for length in range(size - 1, 0, -1):
         while c[length]:
             c[length] -= 1
-            found = _complement(c, size - length, length)
+            found = _complement(c, size - length, length, parts)
             c[length] += 1
             if not found:
                 left[length] = int(c[length])
