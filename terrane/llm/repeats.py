@@ -33,7 +33,7 @@ GRAM = 32
 CHUNK = 4 << 20
 FREQUENT = 2000
 STRIDE = 8
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 19
 SEPARATOR = 0xFF  # no byte of UTF-8
 U64 = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
@@ -106,7 +106,7 @@ def runs(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _squeeze(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x)
+    return zstandard.ZstdCompressor(level=6).compress(x)
 
 
 def _print(bits: int):
@@ -266,7 +266,7 @@ def _segment(bits: int):
                 flat = data[np.arange(total[-1]) + np.repeat(s[new] - total + size, size)]
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                    yield (int(bucket[a]), SEGMENTS, name, segs[a:b].tobytes(), flat[total[a] - size[a] : total[b - 1]].tobytes(), b"", b"", None)
+                    yield (int(bucket[a]), SEGMENTS, name, segs[a:b].tobytes(), _squeeze(flat[total[a] - size[a] : total[b - 1]].tobytes()), b"", b"", None)
         rest = np.flatnonzero(touched)
         whole = np.flatnonzero(~touched)
         if len(rest):
@@ -348,7 +348,7 @@ def _compare(bits: int):
                 yield b.take(pa.array(passing))
             for i in np.flatnonzero(kind == SEGMENTS).tolist():
                 parts.append(np.frombuffer(b.column("p")[i].as_buffer(), SEGMENT))
-                texts.append(np.frombuffer(b.column("q")[i].as_buffer(), np.uint8))
+                texts.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(b.column("q")[i].as_buffer()), np.uint8))
                 owners.append(b.column("chunk")[i].as_py())
         if not parts:
             return
