@@ -58,6 +58,8 @@ def parse_age_months(value: str | None) -> float | None:
     text = re.sub(r"(\d+)\s+(\d)/(\d)(?!\d)", lambda m: f"{int(m[1]) + int(m[2]) / int(m[3]):g}", text)
     if re.search(r"\d/\d", text) or re.search(r"\b(lost|over|under)\b", text):
         return None
+    text = re.sub(rf"^(?:by )?age ({NUMBER})$", r"\1 years", text)  # an age without a unit is in years
+    text = re.sub(r"(\d)\+", r"\1", text)
     text = re.sub(r"^(?:approximately|approx\.?|about|around|before|by age|by|at|age|~|<|>|=)+\s*", "", text).strip()
     ends = re.split(r"\s*(?:-|–|\bto\b|\bor\b)\s*", text)
     found = None
