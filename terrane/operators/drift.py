@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,41 @@ def pairings(strata: DataFrame, order: str, adjacent: bool = True) -> DataFrame:
     a, b = strata.alias("a"), strata.alias("b")
     cond = F.col(f"a.{order}") == F.col(f"b.{order}") + 1 if adjacent else F.col(f"a.{order}") > F.col(f"b.{order}")
     return a.join(b, cond).select(F.col("a.stratum").alias("query"), F.col("b.stratum").alias("reference"))
+
+
+def single_break(points: DataFrame, by: list[str], x: str, y: str, least: int = 3) -> DataFrame:
+    """The break that two least-squares lines fit best, `least` points at least on either side.
+
+    Sums over all points before and after each place come from two windows, so every place is tried
+    in one pass over a group's points (one for each place on a grid).
+    """
+    w = Window.partitionBy(*by).orderBy(x)
+    a, b = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(1, Window.unboundedFollowing)
+
+    def sse(over) -> Column:
+        n, sx, sy = F.count(y).over(over), F.sum(x).over(over), F.sum(y).over(over)
+        sxx, sxy, syy = (F.sum(F.col(p) * F.col(q)).over(over) for p, q in ((x, x), (x, y), (y, y)))
+        cxx, cxy, cyy = sxx - sx * sx / n, sxy - sx * sy / n, syy - sy * sy / n
+        return F.when(cxx > 0, cyy - cxy * cxy / cxx).otherwise(cyy)
+
+    tried = points.select(*by, x, y, F.count(y).over(a).alias("_na"), F.count(y).over(b).alias("_nb"), (sse(a) + sse(b)).alias("_sse"), F.lead(x).over(w).alias("_next"))
+    good = tried.where((F.col("_na") >= least) & (F.col("_nb") >= least))
+    return good.groupBy(*by).agg(F.min(F.struct("_sse", x, "_next")).alias("b")).select(*by, ((F.col(f"b.{x}") + F.col("b._next")) / 2).alias("break"), F.col("b._sse").alias("sse"))
+
+
+def net_direction(z: DataFrame, by: list[str]) -> DataFrame:
+    """Unit vectors of mean displacements over positions; one that is nearly none is 0."""
+    mean = z.groupBy(*by, "feature").agg(F.avg("z").alias("m"))
+    norm = mean.groupBy(*by).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("_norm"))
+    return mean.join(norm, by).select(*by, "feature", F.when(F.col("_norm") > 1e-9, F.col("m") / F.col("_norm")).otherwise(0.0).alias("u"))
+
+
+def project(z: DataFrame, directions: DataFrame, by: list[str], position: str) -> DataFrame:
+    """Each position's displacement along its group's direction."""
+    return z.join(directions, [*by, "feature"]).groupBy(*by, position).agg(F.sum(F.col("z") * F.col("u")).alias("along"))
+
+
+def shrinkage(raw: DataFrame, conditioned: DataFrame, by: list[str]) -> DataFrame:
+    """1 - conditioned / raw magnitude of each group."""
+    j = raw.select(*by, F.col("full").alias("raw")).join(conditioned.select(*by, F.col("full").alias("conditioned")), by)
+    return j.withColumn("shrinkage", F.when(F.col("raw") > 0, 1 - F.col("conditioned") / F.col("raw")))

@@ -115,3 +115,41 @@ def invariance(long: DataFrame, axis: str, bins: DataFrame, n_sim: int = 500, se
 
     kinds = dict(long.dtypes)
     return scores.groupBy("class", "feature").applyInPandas(test, f"class {kinds['class']}, feature {kinds['feature']}, statistic double, p_value double, at long")
+
+
+def bch_confusion(posterior: DataFrame, responsibilities: str) -> DataFrame:
+    """P(assigned s | true c) of modal assignment: true, assigned and probability."""
+    r = posterior.select(F.posexplode(responsibilities).alias("true", "r"), (F.array_position(F.col(responsibilities), F.array_max(responsibilities)) - 1).cast("int").alias("assigned"))
+    g = r.groupBy("true", "assigned").agg(F.sum("r").alias("s"))
+    whole = g.groupBy("true").agg(F.sum("s").alias("n"))
+    return g.join(whole, "true").select("true", "assigned", (F.col("s") / F.col("n")).alias("probability"))
+
+
+def corrected_multinomial(df: DataFrame, design: list[str], responsibilities: str, classes: int, rounds: int = 10) -> np.ndarray:
+    """A multinomial logit of true classes when only modal assignments with known error are seen.
+
+    EM: the expected true class of a row, given its assignment and the current model, is the soft
+    target of the next fit. The confusion (classes by classes) stays fixed.
+    """
+    d = np.zeros((classes, classes))
+    for r in bch_confusion(df, responsibilities).collect():  # classes by classes
+        d[r["true"], r["assigned"]] = r["probability"]
+    seen = (F.array_position(F.col(responsibilities), F.array_max(responsibilities)) - 1).cast("int")
+    rows = df.select(*design, seen.alias("_s"))
+    coef = np.zeros((classes - 1, len(design) + 1))
+    emission = F.array(*(F.array(*(F.lit(float(x)) for x in row)) for row in d.T))  # by what is seen
+    for _ in range(rounds):
+        eta = [F.lit(0.0), *(F.lit(float(c[0])) + sum((F.lit(float(b)) * F.col(x) for b, x in zip(c[1:], design, strict=True)), F.lit(0.0)) for c in coef)]
+        joint = F.array(*(F.exp(e) * F.element_at(F.element_at(emission, F.col("_s") + 1), k + 1) for k, e in enumerate(eta)))
+        total = F.aggregate(joint, F.lit(0.0), lambda a, x: a + x)
+        new = multinomial(rows.select(*design, F.transform(joint, lambda x: x / total).alias("_t")), design, "_t", classes)
+        if np.abs(new - coef).max() < 1e-6:
+            return new
+        coef = new
+    return coef
+
+
+def two_sided(draws: DataFrame, by: list[str], draw: str) -> DataFrame:
+    """A bootstrap p-value for 0: twice the smaller tail with one added, 1 at most."""
+    g = draws.groupBy(*by).agg(F.count_if(F.col(draw) <= 0).alias("lo"), F.count_if(F.col(draw) >= 0).alias("hi"), F.count(draw).alias("n"))
+    return g.select(*by, F.least(F.lit(1.0), 2 * (1 + F.least("lo", "hi")) / (1 + F.col("n"))).alias("p_value"))

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.stats import running_total
+
 
 def bin_of(x: Column, edges: list[float]) -> Column:
     """Which of len(edges) + 1 bins x is in: left closed, open ends; a missing x has none."""
@@ -126,3 +128,25 @@ def smd(df: DataFrame, group: Column, low: int, high: int, values: list[str]) ->
 
 def min_rows_for(share: float, least: int) -> int:
     return math.ceil(least / share)
+
+
+def permute_axis(df: DataFrame, key: str, column: str, seed: int) -> DataFrame:
+    """The axis's values dealt anew among the rows: key and the value of another row.
+
+    Rows are numbered twice, by key and by a seeded hash of it, and joined on the number; the
+    numbers are running totals over ranges, so no task orders all rows.
+    """
+    one = df.select(F.col(key).alias("_k"), F.col(column).alias("_v"), F.lit(1).alias("_one")).withColumn("_h", F.xxhash64("_k", F.lit(seed)))
+    by_key = running_total(one, "_k", "_one", "_r").select("_k", "_r")
+    by_hash = running_total(one, "_h", "_one", "_r").select("_v", "_r")
+    return by_key.join(by_hash, "_r").select(F.col("_k").alias(key), F.col("_v").alias(column))
+
+
+def null_partition(df: DataFrame, key: str, sizes: list[int], seed: int) -> DataFrame:
+    """Strata of the given sizes cut from the rows in a seeded random order: key and stratum."""
+    ranked = running_total(df.select(key, F.lit(1).alias("_one")).withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), "_h", "_one", "_r")
+    ends = np.cumsum(sizes).tolist()
+    stratum = F.lit(None).cast("int")
+    for i in range(len(ends) - 1, -1, -1):
+        stratum = F.when(F.col("_r") <= ends[i], i).otherwise(stratum)
+    return ranked.select(key, stratum.alias("stratum")).where("stratum is not null")

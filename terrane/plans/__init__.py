@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from terrane.plans import catalogue, cohort, drift, models, strata
+from terrane.plans import catalogue, cohort, drift, geometry, models, strata
 
-_MODULES = (catalogue, cohort, strata, drift, models)
+_MODULES = (catalogue, cohort, strata, drift, models, geometry)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
