@@ -74,7 +74,7 @@ class Filters:
         return out
 
 
-def fit(labelled: DataFrame, sample: int = 1500, share: float = 0.02) -> Filters:
+def fit(labelled: DataFrame, sample: int = 1000, share: float = 0.02) -> Filters:
     """Filters from a table with doc_id, text and lang (rows without lang or text are left out).
 
     At most `sample` documents of a language are used, those whose id's hash is smallest. The
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.25) -> DataFrame:
+def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.2) -> DataFrame:
     """The rows of docs, with all their columns, whose text is in a known language: not `und`,
     and with a score of `least` or more. Nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
@@ -167,7 +167,7 @@ def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.25) -> D
     return docs.mapInArrow(keep, docs.schema)
 
 
-def language_id(docs: DataFrame, sample: int = 1500, share: float = 0.02) -> DataFrame:
+def language_id(docs: DataFrame, sample: int = 1000, share: float = 0.02) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the documents that are not held out.
 
     Extra columns are left out, repeated rows each give a row, an empty table gives none.
