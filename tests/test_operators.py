@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import ages, stats, text
 from terrane.functions.versions import version_key
-from terrane.operators import catalogue, cohort, drift, enrichment, inference, mixture, strata
+from terrane.operators import catalogue, cohort, drift, enrichment, geometry, inference, mixture, order, strata
 from terrane.sources import files, sinks
 from terrane.streaming import ingest
 
@@ -237,3 +237,50 @@ def test_streaming_ingest(spark, tmp_path):
         spark.range(n).write.mode("append").parquet(source)
         ingest.keep_ingesting(ingest.stream_table(spark, source, "id long"), target, str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(target).count() == 8
+
+
+def test_knee_and_isotonic():
+    assert order.knee([1, 2, 3, 4, 5], [0.0, 0.8, 0.9, 0.95, 1.0]) == 2
+    assert order.isotonic(np.array([1.0, 3.0, 2.0, 4.0])).tolist() == [1.0, 2.5, 2.5, 4.0]
+    sizes, scores = np.array([100.0, 300.0, 1000.0, 3000.0]), np.array([0.2, 0.5, 0.9, 0.95])
+    assert 500 < order.smallest_size(sizes, scores, 0.8) < 1000 and order.smallest_size(sizes, scores, 0.99) is None
+
+
+def test_simulated_tables_and_ratio(spark):
+    df = planted(spark, 200)
+    columns = mixture.Columns(["c1", "c2"])
+    observed, null = order.likelihood_ratio(df, "id", columns, 1, n_init=2, most=15)
+    assert observed > 20
+    made = order.simulate(spark, null, 200, 2, 1)
+    assert made.groupBy("draw").count().orderBy("draw").collect() == [(0, 200), (1, 200)]
+    assert order.bootstrap_likelihood_ratio(df, "id", columns, 1, draws=2, n_init=1, most=8)["p_value"] == pytest.approx(1 / 3)
+
+
+def test_geometry(spark):
+    df = planted(spark).withColumnRenamed("c", "label")
+    names, n, s, ss = geometry.scatter(df, "label", ["c1", "c2"])
+    rows = df.toPandas()
+    assert names == ["0", "1", "2", "3"] and n.tolist() == [100.0] * 4
+    assert np.allclose(s[1], rows[rows.label == 1][["c1", "c2"]].sum())
+    cov = sum(np.cov(g[["c1", "c2"]].T) * (len(g) - 1) for _, g in rows.groupby("label")) / (len(rows) - 4)
+    assert np.allclose(geometry.within(n, s, ss), cov)
+    axes = geometry.discriminant_axes(n, s, ss)
+    assert axes.shape == (2, 2) and (axes[np.abs(axes).argmax(0), [0, 1]] > 0).all()
+    d, parts = geometry.mahalanobis(np.array([1.0, np.nan]), np.eye(2) * 4)
+    assert d == pytest.approx(0.5) and parts.sum() == pytest.approx(0.25)
+    jsd = spark.range(1).select(geometry.gaussian_jsd(F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(1.0)).alias("a"), geometry.gaussian_jsd(F.lit(0.0), F.lit(0.1), F.lit(9.0), F.lit(0.1)).alias("b")).first()
+    assert jsd["a"] == pytest.approx(0.0) and jsd["b"] == pytest.approx(1.0, abs=0.05)
+
+
+def test_permutations(spark):
+    df = spark.createDataFrame([(i, float(i * i)) for i in range(200)], "k int, v double")
+    got = {r["k"]: r["v"] for r in strata.permute_axis(df, "k", "v", 5).collect()}
+    assert sorted(got.values()) == [float(i * i) for i in range(200)] and set(got) == set(range(200)) and any(got[i] != i * i for i in range(200))
+    parts = {r["stratum"]: r["n"] for r in strata.null_partition(df, "k", [50, 30], 1).groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert parts == {0: 50, 1: 30}
+
+
+def test_single_break(spark):
+    df = spark.createDataFrame([("a", float(i), float(i if i < 10 else 30 - 2 * i)) for i in range(20)], "g string, x double, y double")
+    got = drift.single_break(df, ["g"], "x", "y").first()
+    assert 8.5 <= got["break"] <= 10.5 and got["sse"] < 1e-6
