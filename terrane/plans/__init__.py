@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from terrane.plans import catalogue, cohort, drift, geometry, models, order, strata
+from terrane.plans import catalogue, cohort, drift, geometry, models, order, strata, typing
 
-_MODULES = (catalogue, cohort, strata, drift, models, geometry, order)
+_MODULES = (catalogue, cohort, strata, drift, models, geometry, order, typing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

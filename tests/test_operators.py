@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from terrane.functions import ages, stats, text
 from terrane.functions.versions import version_key
-from terrane.operators import catalogue, cohort, drift, enrichment, geometry, inference, mixture, order, strata
-from terrane.sources import files, sinks
+from terrane.operators import catalogue, cohort, drift, enrichment, geometry, inference, mixture, order, schemes, strata
+from terrane.sources import files, sinks, store
 from terrane.streaming import ingest
 
 WEEK = 7 / 30.4375
@@ -284,3 +284,36 @@ def test_single_break(spark):
     df = spark.createDataFrame([("a", float(i), float(i if i < 10 else 30 - 2 * i)) for i in range(20)], "g string, x double, y double")
     got = drift.single_break(df, ["g"], "x", "y").first()
     assert 8.5 <= got["break"] <= 10.5 and got["sse"] < 1e-6
+
+
+def test_store_and_dictionaries(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("w", "S1", 1, ["Variable", "Label", "Keep"]), ("w", "S1", 2, ["a ", "first", "yes"]), ("w", "S1", 3, ["A", "again", "no"]), ("w", "S1", 4, ["", "blank", ""]), ("w", "S2", 1, ["x"]), ("w", "S2", 2, ["b"])],
+        "path string, sheet string, row_no long, cells array<string>",
+    )
+    layout = store.load_layouts({"d": '{"dataset": "d", "roles": ["Keep"]}'})["d"]
+    got = {(r["table_name"], r["name"], r["definition"], r["roles"]) for r in store.parse_sheets(rows, layout, "1").collect()}
+    assert got == {("S1", "a", "first", "Keep"), ("S2", "b", "", "")}
+    s = store.Store(spark, str(tmp_path))
+    tables = spark.createDataFrame([("d", "1", "S1", "proband", "p", 3, 2, "t")], store.SCHEMAS["tbl"])
+    assert store.ingest(s, layout, "1", rows, tables) == {"feature": 2, "tbl": 1, "document": 0}
+    other = store.load_layouts({}, {"e": '{"dataset": "e"}'})["e"]
+    store.ingest(s, other, "9", rows, tables.withColumn("dataset", F.lit("e")))
+    store.ingest(s, layout, "2", rows, tables.withColumn("version", F.lit("2")))
+    assert sorted((r["dataset"], r["version"]) for r in s.table("version").collect()) == [("d", "1"), ("d", "2"), ("e", "9")]
+    s.register()
+    assert spark.sql("select count(*) from feature where dataset = 'e'").first()[0] == 2
+    roles = spark.createDataFrame([("/a/Proband_Data/x.csv",), ("/a/b.csv",)], "p string").select(store.role_of(F.col("p"), {"proband": ["proband_data"]}).alias("r")).collect()
+    assert [r["r"] for r in roles] == ["proband", None]
+
+
+def test_schemes(spark):
+    assert schemes.parse_scheme("kernel:2.5:9") == schemes.Scheme("kernel", 9, 2.5)
+    with pytest.raises(ValueError, match="scheme"):
+        schemes.parse_scheme("bins:3")
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 2, float(i % 100), "f", float(rng.normal() + (2 if i % 2 == 0 and i % 100 >= 80 else 0))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, class int, x double, feature string, value double")
+    got = {(r["place"], r["class"]): r["reject"] for r in schemes.sweep(df, "x", "id", schemes.parse_scheme("hardbins:quantile:5"), 200).collect()}
+    assert got[4, 0] and not got[4, 1]
+    assert schemes.localise(df, "x", schemes.parse_scheme("kernel:5:3")).select("place").distinct().count() == 3
