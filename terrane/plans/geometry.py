@@ -126,7 +126,7 @@ ORACLES = {
         with l as (select class, month, 'price' as feature, price as value from {_MONTHS} union all select class, month, 'balance', balance from {_MONTHS}),
         z as (select class, month, l.feature, (value - m) / sd as z from l join (select feature, avg(value) as m, stddev_samp(value) as sd from l group by 1) w on w.feature = l.feature),
         d as (select class, feature, avg(z) as m from z group by 1, 2), u as (select class, feature, m / sqrt(sum(m * m) over (partition by class)) as u from d)
-        select z.class, z.month, round(sum(z * u), 5) as along from z join u on u.class = z.class and u.feature = z.feature group by 1, 2""",
+        select z.class, z.month::int as month, round(sum(z * u), 5) as along from z join u on u.class = z.class and u.feature = z.feature group by 1, 2""",
     "conditioning_shrinkage": """
         with f as (select regr_slope(c_acctbal, c_nationkey) as b, regr_intercept(c_acctbal, c_nationkey) as a from customer), c as (select *, c_acctbal - a - b * c_nationkey as net from customer, f),
         g as (select c_mktsegment, abs(avg(c_acctbal) filter (c_custkey % 2 = 1) - avg(c_acctbal)) as raw, abs(avg(net) filter (c_custkey % 2 = 1) - avg(net)) as conditioned from c group by 1)
