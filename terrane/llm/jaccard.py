@@ -8,10 +8,10 @@
    others are indexed by those first shingles: lists of sets, by size class.
 3. Each set is compared with the hub of its lists, a set highly similar to it as a rule. That gives
    families and, by their links, first components.
-4. Lists that still hold several components are searched block by block: blocks are runs of equal
-   size class and position, and a pair of blocks is skipped if no pair in it can reach the
-   threshold. Pairs' overlaps are derived from the computed overlap of their hubs, up to the few
-   shingles in which they differ from these; only undecided pairs are counted out.
+4. Lists that still hold several components are searched block by block: a block is a family's
+   part of a list, with the extremes of its positions and sizes, and a pair of blocks is skipped if
+   these can't reach the threshold. Members' answers are derived from the computed answers of their
+   hubs, up to the few shingles in which they differ from these; only undecided pairs are counted.
 
 Shingles are kept to 32 bits and those of their bucket (42 at least) from step 1 on.
 """
@@ -26,11 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import binary_column, byte_chunks, cut, doc_texts, mix64, partitions
+from terrane.llm.common import binary_column, byte_chunks, cut, doc_texts, freeing, mix64, partitions, small_batches
 from terrane.llm.components import components
 
 WORDS = 5
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 U64 = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _POWERS: dict[str, np.ndarray] = {}
@@ -187,7 +187,7 @@ def _count(batches):
             yield _arrow([(0, TOKENS, name, b"", token[shared[own]].tobytes(), mark[shared[own]].tobytes(), np.minimum(df[own], 2**32 - 1).astype(np.uint32).tobytes(), b"")])
 
 
-SET_ROW = "doc_id long, n long, one long, two long, tokens binary"
+SET_ROW = "docs array<long>, least long, n long, one long, two long, tokens binary"
 
 
 def _prefix(n: np.ndarray) -> np.ndarray:
@@ -195,8 +195,8 @@ def _prefix(n: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches):
-    """Each chunk's documents: a row with the set's key for each, and, once for each set that can
-    have links, the tokens that other sets have too, rarest first."""
+    """Each chunk's sets: their documents and key and, for those that can have links, the tokens that
+    other sets have too, rarest first."""
     state: dict[int, dict[int, list]] = {}
     for b in batches:
         for row in b.to_pylist():
@@ -229,20 +229,21 @@ def _sets(batches):
         start = np.cumsum(shared) - shared
         alive = (shared > 0) & (size - shared < _prefix(size))
         blobs = [token[start[k] : start[k] + shared[k]].tobytes() if alive[k] else None for k in range(len(size))]
-        first = np.full(len(size), -1)
-        first[own[::-1]] = np.arange(len(own))[::-1]
-        col = [blobs[k] if first[k] == i else None for i, k in enumerate(own.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size[own]), pa.array(keys[own, 0]), pa.array(keys[own, 1]), pa.array(col, pa.binary())], ["doc_id", "n", "one", "two", "tokens"])
+        by = np.lexsort((ids, own))
+        edges = np.searchsorted(own[by], np.arange(len(size) + 1)).astype(np.int32)
+        docs = pa.ListArray.from_arrays(pa.array(edges), pa.array(ids[by]))
+        yield pa.RecordBatch.from_arrays([docs, pa.array(ids[by][edges[:-1]]), pa.array(size), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(blobs, pa.binary())], ["docs", "least", "n", "one", "two", "tokens"])
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, one and two (key of the set), tokens (for one document of each chunk and set)."""
+    """The sets of each chunk of documents: docs, least (doc_id), n, one and two (key), tokens."""
     spark = docs.sparkSession
+    small_batches(spark)
     many = partitions(spark)
     bits = max(10, (4 * many - 1).bit_length())
-    sent = docs.mapInArrow(_send(bits), ROW)
-    counted = sent.repartition(many, "bucket").mapInArrow(_count, ROW)
-    return counted.repartition(many, "chunk").mapInArrow(_sets, SET_ROW)
+    sent = docs.mapInArrow(freeing(_send(bits)), ROW)
+    counted = sent.repartition(many, "bucket").mapInArrow(freeing(_count), ROW)
+    return counted.repartition(many, "chunk").mapInArrow(freeing(_sets), SET_ROW)
 
 
 def _index(batches):
@@ -282,7 +283,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame, group: int = 128) -> DataFrame:
     partners = salted.join(mine.withColumnRenamed("set_id", "b"), "b").select("a", "salt", "b", "tokens")
     firsts = sizes.join(mine.withColumnRenamed("set_id", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "tokens")
     rows = firsts.unionByName(partners).repartition(partitions(spark), "a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return rows.mapInArrow(_overlap, "a long, b long, overlap long")
+    return rows.mapInArrow(freeing(_overlap), "a long, b long, overlap long")
 
 
 def links_from(overlap: Column, na: Column, nb: Column) -> Column:
@@ -301,27 +302,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = doc_texts(docs)
     nameless = texts.where("doc_id is null").mapInArrow(_sizes, "doc_id long, n_shingles long")
     found = cut(document_sets(texts.where("doc_id is not null")))
-    members = found.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc_id").alias("set_id"))
+    members = found.where("n > 0").groupBy("one", "two", "n").agg(F.min("least").alias("least")).withColumn("set_id", F.col("one"))
     blobs = found.where("tokens is not null").groupBy("one", "two", "n").agg(F.first("tokens").alias("tokens"))
     sets = cut(blobs.join(members, ["one", "two", "n"]).select("set_id", "n", "tokens"))
-    index = sets.mapInArrow(_index, "token long, set_id long, n long, shared long, place long")
+    index = sets.mapInArrow(freeing(_index), "token long, set_id long, n long, shared long, place long")
     often = index.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("token")
     index = cut(index.join(often, "token").withColumn("class", F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9)))
 
-    # Families: each set and the hub that most of its lists have, of its size class or the next.
-    spread = index.select("token", "set_id", "n", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
-    hubs = spread.groupBy("token", "class").agg(F.min(F.struct("set_id", "n")).alias("hub"))
-    tries = spread.join(hubs, ["token", "class"]).where("hub.set_id <> set_id and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
-    votes = tries.groupBy("set_id", F.col("hub.set_id").alias("hub"), "n", F.col("hub.n").alias("hub_n")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("set_id", "n").agg(F.max(F.struct("votes", -F.col("hub"), "hub_n")).alias("b")).select("set_id", "n", (-F.col("b.col2")).alias("hub"), "b.hub_n")
-    compared = overlaps(best.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), sets).select(F.col("a").alias("hub"), F.col("b").alias("set_id"), "overlap")
-    family = cut(best.join(compared, ["hub", "set_id"]).where(links_from(F.col("overlap"), F.col("n"), F.col("hub_n"))).select("set_id", "hub", "n", "hub_n", "overlap"))
+    # Families: each set and the hub of its lists, of its size class or the next, if they link.
+    spread = index.select("token", "set_id", "n", (F.col("n") - F.col("shared")).alias("own"), F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
+    family = cut(attach(spread, sets))
     early = components(family.select(F.col("hub").alias("a"), F.col("set_id").alias("b")))
 
-    edges = family.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).unionByName(cross_links(index, sets, family, early))
-    final = components(edges)
-    named = found.join(members, ["one", "two", "n"], "left").withColumn("set_id", F.coalesce("set_id", "doc_id"))
-    own = named.join(final.withColumnRenamed("id", "set_id"), "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "set_id").alias("component_id"))
+    # Rows that repeat a doc_id with another text join their sets.
+    owners = found.where("n > 0").select(F.explode("docs").alias("doc_id"), F.col("one").alias("b"))
+    several = owners.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a <> z").select("doc_id", "a")
+    same_doc = owners.join(several, "doc_id").where("a <> b").select("a", "b").distinct()
+
+    edges = family.select(F.col("hub").alias("a"), F.col("set_id").alias("b")).unionByName(cross_links(index, sets, family, early)).unionByName(same_doc)
+    final = members.join(components(edges).withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    smallest = final.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = final.join(smallest, "component").select("one", "two", "n", "component_id")
+    rows = found.select("docs", "n", "one", "two").join(named, ["one", "two", "n"], "left")
+    own = rows.select(F.explode("docs").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return own.unionByName(nameless.withColumn("component_id", F.lit(None).cast("long")))
 
 
@@ -339,46 +342,58 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
+def attach(spread: DataFrame, sets: DataFrame) -> DataFrame:
+    """For each set the hub that most of its lists have, if they link.
+
+    A list's hub is the set with the fewest shingles that no other set has: of copies with changes of
+    their own it is the nearest to all of them.
+    """
+    hubs = spread.groupBy("token", "class").agg(F.min(F.struct("own", "set_id", "n")).alias("hub"))
+    tries = spread.join(hubs, ["token", "class"]).where("hub.set_id <> set_id and 5 * least(n, hub.n) >= 4 * greatest(n, hub.n)")
+    votes = tries.groupBy("set_id", F.col("hub.set_id").alias("hub"), "n", F.col("hub.n").alias("hub_n")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("set_id", "n").agg(F.max(F.struct("votes", "hub", "hub_n")).alias("b")).select("set_id", "n", "b.hub", "b.hub_n")
+    compared = overlaps(best.select(F.col("hub").alias("a"), F.col("set_id").alias("b")), sets).select(F.col("a").alias("hub"), F.col("b").alias("set_id"), "overlap")
+    return best.join(compared, ["hub", "set_id"]).where(links_from(F.col("overlap"), F.col("n"), F.col("hub_n"))).select("set_id", "hub", "n", "hub_n", "overlap")
+
+
 def cross_links(index: DataFrame, sets: DataFrame, family: DataFrame, early: DataFrame) -> DataFrame:
-    """Links (a, b) between sets of different early components that share a list."""
-    # A class's floor is the smallest size; places are taken by blocks of 8.
-    rows = index.join(early.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    rows = cut(rows.join(mixed, "token").withColumn("block", F.floor(F.col("place") / 8)))
-    blocks = rows.groupBy("token", "class", "block").agg(
-        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("place").alias("before"), F.max(F.col("shared") - F.col("place")).alias("rest"), F.min("component").alias("c_lo"), F.max("component").alias("c_hi")
-    )
+    """Links (a, b) between sets of different early components that share a list.
+
+    A set has at most |set - hub| more shingles in common with any other than its hub has, and at
+    most |hub - set| fewer, counting those that some other set has. So families are compared by their hubs, and only members that these bounds leave open
+    are compared with each other.
+    """
+    sizes = sets.select("set_id", "n", (F.octet_length("tokens") / 8).cast("long").alias("shared"))  # tokens of one set alone are in no overlap
+    hub_of = family.select("set_id", "hub", "overlap").join(sizes.select(F.col("set_id").alias("hub"), F.col("shared").alias("hub_shared")), "hub")
+    hub_of = sizes.join(hub_of, "set_id", "left").withColumns({"plus": F.col("shared") - F.col("overlap"), "minus": F.col("hub_shared") - F.col("overlap")})
+    members = hub_of.join(early.withColumnRenamed("id", "set_id"), "set_id", "left")
+    members = cut(members.select("set_id", "n", F.coalesce("hub", "set_id").alias("hub"), F.coalesce("plus", F.lit(0)).alias("plus"), F.coalesce("minus", F.lit(0)).alias("minus"), F.coalesce("component", "set_id").alias("component")))
+
+    # Lists that hold several components, in blocks of a family and size class with their extremes.
+    rows = index.join(members.select("set_id", "hub", "component"), "set_id")
+    blocks = rows.groupBy("token", "hub", "class", "component").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("place").alias("before"), F.max(F.col("shared") - F.col("place")).alias("rest"))
+    mixed = blocks.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    blocks = cut(blocks.join(mixed, "token"))
     x, y = blocks.alias("x"), blocks.alias("y")
-    order = F.struct("x.class", "x.block") <= F.struct("y.class", "y.block")
     reach = F.least("x.before", "y.before") + F.least("x.rest", "y.rest")
-    sizes = (F.col("x.n_hi") * 5 >= F.col("y.n_lo") * 4) & (F.col("y.n_hi") * 5 >= F.col("x.n_lo") * 4)
-    apart = ~((F.col("x.c_lo") == F.col("x.c_hi")) & (F.col("y.c_lo") == F.col("y.c_hi")) & (F.col("x.c_lo") == F.col("y.c_lo")))
-    kept = x.join(y, (F.col("x.token") == F.col("y.token")) & order & sizes & apart & links_from(reach, F.col("x.n_lo"), F.col("y.n_lo")))
-    kept = kept.select("x.token", F.col("x.class").alias("ca"), F.col("x.block").alias("ba"), F.col("y.class").alias("cb"), F.col("y.block").alias("bb"))
-    cols = ("set_id", "n", "shared", "place", "component")
-    a = rows.select("token", F.col("class").alias("ca"), F.col("block").alias("ba"), *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = rows.select("token", F.col("class").alias("cb"), F.col("block").alias("bb"), *(F.col(c).alias(f"b_{c}") for c in cols))
-    bound = F.least("a_place", "b_place") + F.least(F.col("a_shared") - F.col("a_place"), F.col("b_shared") - F.col("b_place"))
-    pairs = kept.join(a, ["token", "ca", "ba"]).join(b, ["token", "cb", "bb"]).where((F.col("a_component") != F.col("b_component")) & links_from(bound, F.col("a_n"), F.col("b_n")) & (F.least("a_n", "b_n") * 5 >= F.greatest("a_n", "b_n") * 4))
-    flip = F.col("a_set_id") > F.col("b_set_id")
-    pairs = pairs.select(*(F.when(flip, F.col(f"b_{c}")).otherwise(F.col(f"a_{c}")).alias(t) for c, t in (("set_id", "a"), ("n", "na"))), *(F.when(flip, F.col(f"a_{c}")).otherwise(F.col(f"b_{c}")).alias(t) for c, t in (("set_id", "b"), ("n", "nb"))))
-    pairs = cut(pairs.distinct())
-
-    # Answers derived from the hubs': |A & B| differs from |hub A & hub B| by their differences at most.
-    def hub_of(side: str) -> DataFrame:
-        return family.select(F.col("set_id").alias(side), F.col("hub").alias(f"h{side}"), (F.col("n") - F.col("overlap")).alias(f"plus_{side}"), (F.col("hub_n") - F.col("overlap")).alias(f"minus_{side}"))
-
-    zero = {c: 0 for c in ("plus_a", "minus_a", "plus_b", "minus_b")}
-    derived = pairs.join(hub_of("a"), "a", "left").join(hub_of("b"), "b", "left").fillna(zero).withColumn("ha", F.coalesce("ha", "a")).withColumn("hb", F.coalesce("hb", "b"))
-    hubs = derived.select(F.least("ha", "hb").alias("x"), F.greatest("ha", "hb").alias("y"))
-    known = overlaps(hubs.distinct().select(F.col("x").alias("a"), F.col("y").alias("b")), sets).select(F.col("a").alias("x"), F.col("b").alias("y"), "overlap")
-    answers = cut(derived.withColumn("x", F.least("ha", "hb")).withColumn("y", F.greatest("ha", "hb")).join(known, ["x", "y"]))
-    low = F.col("overlap") - F.col("minus_a") - F.col("minus_b")
+    near = (F.col("x.n_hi") * 5 >= F.col("y.n_lo") * 4) & (F.col("y.n_hi") * 5 >= F.col("x.n_lo") * 4)
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.hub") < F.col("y.hub")) & (F.col("x.component") != F.col("y.component"))
+    hubs = x.join(y, apart & near & links_from(reach, F.col("x.n_lo"), F.col("y.n_lo"))).select(F.col("x.hub").alias("a"), F.col("y.hub").alias("b")).distinct()
+    known = overlaps(cut(hubs), sets)
+
+    most = members.groupBy("hub").agg(F.max("plus").alias("most"), F.min("n").alias("n_lo"))
+    ends = known.join(most.select(F.col("hub").alias("a"), F.col("most").alias("most_a"), F.col("n_lo").alias("lo_a")), "a").join(most.select(F.col("hub").alias("b"), F.col("most").alias("most_b"), F.col("n_lo").alias("lo_b")), "b")
+    ends = ends.where(links_from(F.col("overlap") + F.col("most_a") + F.col("most_b"), F.col("lo_a"), F.col("lo_b")))
+    one = members.select(F.col("hub").alias("a"), F.col("set_id").alias("sa"), F.col("n").alias("na"), F.col("plus").alias("plus_a"), F.col("minus").alias("minus_a"))
+    two = members.select(F.col("hub").alias("b"), F.col("set_id").alias("sb"), F.col("n").alias("nb"), F.col("plus").alias("plus_b"), F.col("minus").alias("minus_b"))
+    half = one.join(ends, "a").where(links_from(F.col("overlap") + F.col("plus_a") + F.col("most_b"), F.col("na"), F.col("lo_b")))
     high = F.col("overlap") + F.col("plus_a") + F.col("plus_b")
-    sure = answers.where(links_from(low, F.col("na"), F.col("nb"))).select("a", "b")
-    open_ = answers.where(~links_from(low, F.col("na"), F.col("nb")) & links_from(high, F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
+    low = F.col("overlap") - F.col("minus_a") - F.col("minus_b")
+    both = half.join(two, "b").where(links_from(high, F.col("na"), F.col("nb")) & (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")))
+    answers = cut(both.select("sa", "sb", "na", "nb", links_from(low, F.col("na"), F.col("nb")).alias("sure")))
+    open_ = answers.where("not sure").select(F.col("sa").alias("a"), F.col("sb").alias("b"), "na", "nb")
     counted = overlaps(open_.select("a", "b"), sets).join(open_, ["a", "b"]).where(links_from(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
-    return sure.unionByName(counted)
+    return answers.where("sure").select(F.col("sa").alias("a"), F.col("sb").alias("b")).unionByName(counted)
 
 
 def _sizes(batches):
