@@ -644,26 +644,33 @@ def _write_image(items: Items, phase: int, pixels: list[np.ndarray], cache_bits:
     items.add(own, phase + 6, place[t], value, size)
 
 
-def _residual(px: np.ndarray, width: int, mode: int) -> np.ndarray:
-    """Pixels less the prediction of mode 1 (left) or 2 (top), the same in every block."""
+def _residuals(px: np.ndarray, count: np.ndarray, width: int, mode: int) -> np.ndarray:
+    """Pixels of images, one after the other, less the prediction of mode 1 (left) or 2 (top), the
+    same in every block. The first row is predicted from the left, the first column from above."""
     b = px.view(np.uint8).reshape(-1, 4)
-    out = b.copy()
-    out[:1, 3] -= np.uint8(255)  # the first pixel's prediction is opaque black
-    out[1:width] = b[1:width] - b[: min(width, len(b)) - 1]
-    out[width:] = b[width:] - (b[:-width] if mode == 2 else b[width - 1 : -1])
-    out[width::width] = b[width::width] - b[: max(0, len(b) - width) : width]
-    return out.view(U32).ravel()
+    before = np.zeros_like(b)
+    left, top = np.concatenate([before[:1], b[:-1]]), np.concatenate([before[:width], b[:-width]])[: len(b)]
+    begin = np.cumsum(count) - count
+    place = np.arange(len(b)) - np.repeat(begin, count)
+    above = (place >= width) & ((place % width == 0) if mode == 1 else True)
+    before = np.where(above[:, None], top, left)
+    before[begin] = (0, 0, 0, 255)  # the first pixel's prediction is opaque black
+    return (b - before).view(U32).ravel()
+
 
+def _residual(px: np.ndarray, width: int, mode: int) -> np.ndarray:
+    return _residuals(px, np.array([len(px)]), width, mode)
 
-def _entropy_of(pixels: list[np.ndarray]) -> np.ndarray:
+
+def _entropy_of(px: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Bits that the four channels' symbols need in each image, each channel by its own counts."""
-    n = np.array([len(p) for p in pixels])
-    b = np.concatenate(pixels).view(np.uint8).reshape(-1, 4).astype(np.int64)
-    which = np.repeat(np.arange(len(n)), n) * 256
+    b = px.view(np.uint8).reshape(-1, 4)
+    which = np.repeat(np.arange(len(n)) * 256, n)
     out = np.zeros(len(n))
+    logs = np.log2(np.maximum(np.arange(int(n.max()) + 1), 1)) * np.arange(int(n.max()) + 1)
     for c in range(4):
         counts = np.bincount(which + b[:, c], minlength=len(n) * 256).reshape(-1, 256)
-        out += n * np.log2(np.maximum(n, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(1)
+        out += logs[n] - logs[counts].sum(1)
     return out
 
 
@@ -679,14 +686,11 @@ class Plan:
 
 def plan(images: list[np.ndarray], width: int) -> list[Plan]:
     """For each image the transform that leaves least entropy, and a cache by its size."""
-    ways = {
-        (): lambda p: p,
-        (GREEN,): lambda p: _green(p, -1),
-        (CROSS,): lambda p: _cross(p, np.full(len(p), U32(0x101008)), -1),
-        (PREDICT, 1): lambda p: _residual(p, width, 1),
-        (PREDICT, 2): lambda p: _residual(p, width, 2),
-    }
-    bits = np.array([_entropy_of([f(p) for p in images]) for f in ways.values()])
+    px = np.concatenate(images)
+    count = np.array([len(p) for p in images])
+    residual = [_residuals(px, count, width, mode) for mode in (1, 2)]
+    ways = {(): px, (GREEN,): _green(px, -1), (CROSS,): _cross(px, np.full(len(px), U32(0x101008)), -1), (PREDICT, 1): residual[0], (PREDICT, 2): residual[1]}
+    bits = np.array([_entropy_of(p, count) for p in ways.values()])
     bits[1:] += 64
     colours = np.array([len(np.unique(p)) if len(p) < 4096 else 9999 for p in images])
     out = []
