@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark hand rows to Python in Arrow batches of 8 MB at most (its default is 64 MB, held
+    once on either side of each task). Results don't depend on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def freeing(run):
+    """run (Arrow batches to batches), with its memory given back when a task's batches are done:
+    Python's workers live on for later tasks, and keep what their allocators hold otherwise."""
+
+    def freed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only with the GNU C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return freed
+
+
 def doc_texts(docs: DataFrame) -> DataFrame:
     """doc_id (long) and text (null: empty) of a documents table; other columns are left out."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

@@ -104,6 +104,7 @@ def _send(bits: int):
                 ids = c.column("doc_id").to_numpy()
                 for lo in range(0, len(ids), 60_000):
                     yield from chunk(c.slice(lo, 60_000), ids[lo : lo + 60_000], serial)
+        _POWERS.clear()
 
     def chunk(c, ids, serial):
         h, text = shingles(*binary_column(c.column("text")))

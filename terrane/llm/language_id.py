@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import byte_chunks
+from terrane.llm.common import byte_chunks, cut, doc_texts, freeing, small_batches
 
 SLOT_BITS = 20
+BROADCAST_ROWS = 100_000
 FACTORS = (0x9E3779B1, 0x85EBCA77)
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -80,14 +81,17 @@ def fit(labelled: DataFrame, sample: int = 1000, share: float = 0.02) -> Filters
     At most `sample` documents of a language are used, those whose id's hash is smallest. The
     result has 2^20 slots whatever the input's size; no labelled row gives no language.
     """
+    small_batches(labelled.sparkSession)
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null and doc_id is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = known.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).drop("_r").distinct()
-    rows = known.join(chosen, ["doc_id", "lang"])  # ids alone are ranked; texts then follow the few
+    chosen = cut(chosen)  # ids alone are ranked, and then say which texts are read
+    sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    rows = known.join(F.broadcast(chosen) if sum(sizes.values()) <= BROADCAST_ROWS else chosen, ["doc_id", "lang"])
 
     def collect(batches):
         for b in batches:
-            for c in byte_chunks(b, "text", 8 << 20):
+            for c in byte_chunks(b, "text", 1 << 20):
                 codes, edges = grams(c.column("text").to_pylist())
                 lang = c.column("lang").to_pylist()
                 for name in dict.fromkeys(lang):
@@ -95,7 +99,6 @@ def fit(labelled: DataFrame, sample: int = 1000, share: float = 0.02) -> Filters
                     code, n = np.unique(np.concatenate(own), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(code)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
-    sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     languages = sorted(sizes)
     words = max(1, -(-len(languages) // 64))
     enough = {x: max(2, share * n) if n > 3 else 1 for x, n in sizes.items()}
@@ -111,7 +114,7 @@ def fit(labelled: DataFrame, sample: int = 1000, share: float = 0.02) -> Filters
 
     masks = [np.zeros(1 << SLOT_BITS, np.uint64) for _ in range(words)]
     if languages:
-        counted = rows.mapInArrow(collect, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+        counted = rows.mapInArrow(freeing(collect), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
         table = counted.mapInArrow(set_bits, "word long, slot long, bits long").groupBy("word", "slot").agg(F.bit_or("bits").alias("bits")).toArrow()
         for w in range(words):
             own = table.filter(pa.compute.equal(table["word"], w))
@@ -137,7 +140,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     def predict(batches):
         f = shared.value
         for b in batches:
-            for c in byte_chunks(b, "text", 8 << 20):
+            for c in byte_chunks(b, "text", 1 << 20):
                 texts = [t or "" for t in c.column("text").to_pylist()]
                 rates = f.rates(texts)
                 some = np.array([bool(LETTER.search(t)) for t in texts]) & bool(f.languages)
@@ -146,8 +149,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
                 score = np.where(some, rates[np.arange(len(texts)), best], 0.0) if f.languages else np.zeros(len(texts))
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(lang), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return doc_texts(docs).mapInArrow(freeing(predict), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.2) -> DataFrame:
@@ -158,13 +160,13 @@ def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.2) -> Da
     def keep(batches):
         f = shared.value
         for b in batches:
-            for c in byte_chunks(b, "text", 8 << 20):
+            for c in byte_chunks(b, "text", 1 << 20):
                 texts = [t or "" for t in c.column("text").to_pylist()]
                 best = f.rates(texts).max(1, initial=0.0)
                 good = [bool(f.languages) and s >= least and bool(LETTER.search(t)) for s, t in zip(best, texts, strict=True)]
                 yield c.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(freeing(keep), docs.schema)
 
 
 def language_id(docs: DataFrame, sample: int = 1000, share: float = 0.02) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.llm.common import cut, doc_texts, partitions
+from terrane.llm.common import cut, doc_texts, freeing, partitions
 from terrane.llm.token_counts import default_tokenizer, encoder
 
 SEQUENCE = 2048
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return doc_texts(docs).mapInArrow(encode_all, schema)
+    return doc_texts(docs).mapInArrow(freeing(encode_all), schema)
 
 
 def _pair(c: np.ndarray, gap: int, most: int) -> tuple[int, int] | None:

@@ -26,14 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from terrane.llm.common import binary_column, byte_chunks, mix64, partitions
+from terrane.llm.common import binary_column, byte_chunks, freeing, mix64, partitions, small_batches
 
 LENGTH = 100
 GRAM = 32
-CHUNK = 4 << 20
-FREQUENT = 2000
+CHUNK = 1 << 20
+FREQUENT = 300
 STRIDE = 8
-INDEX_BYTES = 1 << 19
+INDEX_BYTES = 1 << 18
 SEPARATOR = 0xFF  # no byte of UTF-8
 U64 = np.uint64
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
@@ -139,6 +139,7 @@ def _print(bits: int):
                     both = np.stack([one, two, ids.view(U64)[long], long.astype(U64)], 1)[by]
                     rows += [(int(bucket[s]), COPIES, name, np.ascontiguousarray(both[s:e]).tobytes(), b"", b"", b"", None) for s, e in zip(cut[:-1], cut[1:], strict=True)]
                 yield _arrow(rows)
+        _POWERS.clear()
 
     def self_counts(data, edges, distinct):
         h = runs(data, edges)[3]
@@ -220,6 +221,7 @@ def _segment(bits: int):
         while state:
             name, rows = state.popitem()
             yield _arrow(list(chunk(name, rows)))
+        _POWERS.clear()
 
     def chunk(name, rows):
         home = name & ((1 << bits) - 1)
@@ -378,6 +380,7 @@ def _compare(bits: int):
             start.append(a)
             end.append(e)
             lo = hi
+        _POWERS.clear()
         seg, start, end = np.concatenate(seg), np.concatenate(start), np.concatenate(end)
         by = np.argsort(chunk[seg], kind="stable")
         seg, start, end = seg[by], start[by], end[by]
@@ -391,7 +394,7 @@ def _compare(bits: int):
     return run
 
 
-def _hashed(data, begin, size, odd, block: int = 4 << 20):
+def _hashed(data, begin, size, odd, block: int = 1 << 19):
     """Hashes of parts that lie one after the other, a block of text at a time."""
     lo = 0
     while lo < len(begin):
@@ -431,8 +434,18 @@ def _indexed(segs, chunk, data, begin, which):
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, carry string"
 
 
-def _finish(batches):
-    """Marked bytes removed, document by document."""
+def _finish(as_text: bool):
+    """Marked bytes removed, document by document; as_text: what is left as text, else as bytes."""
+
+    def run(batches):
+        for row, named, spans in _spans(batches):
+            yield from _written(row, named, spans, as_text)
+
+    return run
+
+
+def _spans(batches):
+    """Documents of a chunk with their maximal marked runs."""
     state: dict[int, dict[int, list]] = {}
     for b in batches:
         kind = b.column("kind").to_numpy()
@@ -440,7 +453,7 @@ def _finish(batches):
             row = b.slice(i, 1).to_pylist()[0]
             n = len(row["r"]) // 8
             copy = np.frombuffer(row["s"][n:], bool)
-            yield from _written(row, row["s"][:n], [[(0, int(z))] if c else [] for c, z in zip(copy, np.diff(np.frombuffer(row["q"], np.int64)), strict=True)])
+            yield row, row["s"][:n], [[(0, int(z))] if c else [] for c, z in zip(copy, np.diff(np.frombuffer(row["q"], np.int64)), strict=True)]
         for row in b.take(pa.array(np.flatnonzero(kind != DONE))).to_pylist():
             state.setdefault(row["chunk"], {}).setdefault(row["kind"], []).append(row)
     while state:
@@ -460,10 +473,10 @@ def _finish(batches):
             last = np.append(first[1:], len(m)) - 1
             for r, a, z in zip(np.searchsorted(row_of, row[first]).tolist(), lo[first].tolist(), (top[last] - base[last]).tolist(), strict=True):
                 spans[r].append((a, z))
-        yield from _written(t, t["s"][:n], spans)
+        yield t, t["s"][:n], spans
 
 
-def _written(row, named, spans, size: int = 8 << 20):
+def _written(row, named, spans, as_text: bool):
     data = zstandard.ZstdDecompressor().decompress(row["p"])
     edges, ids = np.frombuffer(row["q"], np.int64).tolist(), np.frombuffer(row["r"], np.int64).tolist()
     out: list[tuple] = []
@@ -473,28 +486,30 @@ def _written(row, named, spans, size: int = 8 << 20):
             kept.append(data[at : s + a])
             at = s + z
         whole = b"".join([*kept, data[at:e]])
-        out.append((ids[i] if named[i] else None, e - s, e - s - len(whole), len(spans[i]), hashlib.sha256(whole).hexdigest(), whole, row["carry"][i]))
-    kinds = (*[pa.int64()] * 4, pa.string(), pa.binary(), pa.string())
+        out.append((ids[i] if named[i] else None, e - s, e - s - len(whole), len(spans[i]), hashlib.sha256(whole).hexdigest(), whole.decode("utf-8", "ignore") if as_text else whole, row["carry"][i]))
+    kinds = (*[pa.int64()] * 4, pa.string(), pa.string() if as_text else pa.binary(), pa.string())
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in OUT.split(", ")])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
     """Each document without the bytes of strings of 100 bytes that also start earlier.
 
     Columns: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the
-    remaining bytes) and carry (the other columns, as JSON). Earlier is a smaller doc_id, or an
+    remaining bytes; as_text: the text they are, without characters of which only some are left) and
+    carry (the other columns, as JSON). Earlier is a smaller doc_id, or an
     earlier start in the same document; null ids come first, and of rows with the same id one comes
     first. A null text is empty; an empty table gives no rows.
     """
-    many = partitions(docs.sparkSession)
-    bits = max(10, (4 * many - 1).bit_length())
+    small_batches(docs.sparkSession)
+    many = 2 * partitions(docs.sparkSession)  # a task holds all that its bucket or chunk has
+    bits = max(8, (2 * many - 1).bit_length())
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.to_json(F.struct(*others)) if others else F.lit("{}")).alias("carry"))
-    out = rows.mapInArrow(_print(bits), ROW)
-    out = out.repartition(many, "bucket").mapInArrow(_match_prints, ROW)
-    out = out.repartition(many, "chunk").mapInArrow(_segment(bits), ROW)
-    out = out.repartition(many, "bucket").mapInArrow(_compare(bits), ROW)
-    return out.repartition(many, "chunk").mapInArrow(_finish, OUT)
+    out = rows.mapInArrow(freeing(_print(bits)), ROW)
+    out = out.repartition(many, "bucket").mapInArrow(freeing(_match_prints), ROW)
+    out = out.repartition(many, "chunk").mapInArrow(freeing(_segment(bits)), ROW)
+    out = out.repartition(many, "bucket").mapInArrow(freeing(_compare(bits)), ROW)
+    return out.repartition(many, "chunk").mapInArrow(freeing(_finish(as_text)), OUT.replace("binary", "string") if as_text else OUT)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -503,13 +518,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A character of which only some bytes are removed goes; n_chars, if there, is set anew.
     """
 
-    def decode(batches):
-        for b in batches:
-            texts = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("carry")], ["doc_id", "text", "carry"])
-
     others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
-    rows = remove_repeats(docs).mapInArrow(decode, "doc_id long, text string, carry string")
+    rows = remove_repeats(docs, as_text=True).select("doc_id", F.col("kept").alias("text"), "carry")
     rows = rows.withColumn("carry", F.from_json("carry", T.StructType(others))) if others else rows
     cols = {f.name: F.col("carry").getField(f.name) for f in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
     if "n_chars" in cols:

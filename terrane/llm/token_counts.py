@@ -40,8 +40,12 @@ def encoder(path: str):
     from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
 
-    exact = Tokenizer.from_file(path)
-    exact.encode_special_tokens = True
+    @functools.cache
+    def exact() -> Tokenizer:
+        t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        return t
+
     with open(path) as f:
         spec = json.load(f)
     special = {x["content"] for x in spec.get("added_tokens", [])}
@@ -49,12 +53,13 @@ def encoder(path: str):
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
     ranks = {bytes(byte_of[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
+    del spec
     fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if PLAIN.fullmatch(text):
             return fast.encode_to_numpy(text, disallowed_special=())
-        return np.array(exact.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(exact().encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
 

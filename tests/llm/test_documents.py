@@ -127,7 +127,7 @@ def test_repeats_edges(docs):
     assert spans_of(docs) == brute_repeats(ROWS)
 
 
-@pytest.mark.parametrize("frequent", [3, 2000])
+@pytest.mark.parametrize("frequent", [3, 300])
 def test_repeats_random(spark, monkeypatch, frequent):
     rng = random.Random(frequent)
     passages = ["".join(rng.choice("abcd é") for _ in range(rng.randint(90, 400))) for _ in range(6)]
