@@ -57,9 +57,9 @@ def _names(attributes: str) -> tuple[str, bool, bool]:
     return label, strong, weak and not content
 
 
-def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], bool, int]]:
-    """Text, path, path of the section, whether it can be content, linked characters: each block."""
-    out, stack = [], []  # stack: (tag, step of the path, no content, in an article)
+def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], bool, int]]:
+    """Text, path, section (places of the elements around it), whether it can be content, linked characters: each block."""
+    out, stack = [], []  # stack: (tag, step of the path, no content, in an article, place)
     text: list[str] = []
     linked = at = 0
 
@@ -71,7 +71,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], bool,
                 steps = [s for s in stack if s[0] in BLOCKS]
                 path = tuple(s[1] for s in steps)
                 end = max((i for i, s in enumerate(steps) if s[0] in SECTIONS), default=-1)
-                out.append((whole, path, path[: end + 1], not (stack and stack[-1][2]), linked))
+                out.append((whole, path, tuple(s[4] for s in steps[: end + 1]), not (stack and stack[-1][2]), linked))
             text.clear()
         linked = 0
 
@@ -109,13 +109,13 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[str, ...], bool,
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        _, _, off, article = stack[-1] if stack else ("", "", False, False)
+        _, _, off, article, _ = stack[-1] if stack else ("", "", False, False, 0)
         label, strong, weak = _names(m[4]) if m[4] else ("", False, False)
         article |= tag in ("article", "main")
         if tag in ("html", "body"):
             strong = weak = False
         off |= tag in NEVER or strong or not article and (weak or tag == "header")
-        stack.append((tag, f"{tag}.{label}" if label else tag, off, article))
+        stack.append((tag, f"{tag}.{label}" if label else tag, off, article, m.start()))
     if at < len(page):
         text.append(page[at:])
     flush()
@@ -144,9 +144,8 @@ def main_text(page: str) -> str:
     best = max(fused.values(), default=0.0)
     if best <= 0:
         return ""
-    section = {path: own for _, path, own, good, _ in found if good}
-    chosen = {section[p] for p, v in fused.items() if v >= THRESHOLD * best}
-    inside = {own for own in section.values() if any(own[: len(c)] == c for c in chosen if len(c) > 2 or own == c)}
+    chosen = {own for _, path, own, good, _ in found if good and fused[path] >= THRESHOLD * best}
+    inside = {own for _, _, own, _, _ in found if own in chosen or any(own[:k] in chosen for k in range(3, len(own)))}
     keep = [good and own in inside for _, _, own, good, _ in found]
     for i in range(len(found) - 1):  # the page's title just above its content
         if not keep[i] and keep[i + 1] and found[i][3] and found[i][1] and found[i][1][-1].startswith("h1"):
