@@ -3,14 +3,16 @@
 A page is cut into blocks, each with its root-to-leaf tag path (block-level tags with their class
 names). Text length, linked text and punctuation are aggregated per path; the ratio per path is
 smoothed over the page's order of blocks, fused with the path's own ratio, and thresholded. The
-sections that hold the remaining paths are the content, and their blocks are returned whole.
+innermost element that holds the sections of all remaining paths, or the article or main around it,
+is the content, and its blocks are returned whole; out of an article, linked lists are not.
 Subtrees that by their tag, class, id or role are menus, headers, footers, sidebars, notices,
-adverts, forms or comments have ratio 0.
+adverts, forms or comments have ratio 0, but for a form or a name around most of the page's text.
 """
 
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections import defaultdict
 
@@ -28,8 +30,9 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SECTIONS = frozenset("article main section div td body html blockquote".split())
+ARTICLES = frozenset("article main".split())
 BREAKS = frozenset("br hr img wbr".split())
-NEVER = frozenset("nav footer aside form button head dialog menu fieldset input label".split())
+NEVER = frozenset("nav footer aside button head dialog menu fieldset input label".split())
 STRONG = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond reply replies disqus pagination pager popup modal copyright skip notice notices complementary contentinfo".split())
 WEAK = frozenset("header masthead topbar top banner widget widgets search alert legal toolbar tools meta tags form disclaimer message".split())
 CONTENT = frozenset("article content main post entry story body text".split())
@@ -41,25 +44,37 @@ THRESHOLD = 0.35
 ARTICLE_WEIGHT = 4.0
 
 
-def _names(attributes: str) -> tuple[str, bool, bool]:
-    """The first class name; whether the element is surely, and whether it is perhaps, no content."""
-    label, strong, weak, content = "", False, False, False
+def _names(attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """The first class name; whether the element is hidden, surely and perhaps no content, and content."""
+    label, hidden, strong, weak, content = "", False, False, False, False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            strong = True
+            hidden = True
         elif name in ("class", "id", "role"):
             words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
             label = label or (value.split() or [""])[0]
             strong |= not STRONG.isdisjoint(words)
             weak |= not WEAK.isdisjoint(words)
             content |= not CONTENT.isdisjoint(words)
-    return label, strong, weak and not content
+    return label, hidden, strong, weak and not content, content and not strong
+
+
+def _lifted(found: list) -> set[int]:
+    """Places of elements that their name, or being a form, doesn't exclude: they hold most of the
+    page's text, and no title, article or element named as content is left out of them."""
+    out: set[int] = set()
+    rest = [(len(text) - min(linked, len(text)), named, bool(path) and path[-1].split(".")[0] == "h1", soft) for text, path, _, hard, soft, named, linked in found if not hard]
+    whole = sum(r[0] for r in rest)
+    for place in sorted({p for r in rest for p in r[3]}):
+        if 2 * sum(n for n, _, _, soft in rest if place in soft) > whole and not any((named or title) and place not in soft and out.issuperset(soft) for _, named, title, soft in rest):
+            out.add(place)
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], bool, int]]:
     """Text, path, section (places of the elements around it), whether it can be content, linked characters: each block."""
-    out, stack = [], []  # stack: (tag, step of the path, no content, in an article, place)
+    out, stack = [], []  # stack: (tag, step of the path, no content, places of what excludes it by name, in an article, named as content, place)
     text: list[str] = []
     linked = at = 0
 
@@ -71,7 +86,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], bool,
                 steps = [s for s in stack if s[0] in BLOCKS]
                 path = tuple(s[1] for s in steps)
                 end = max((i for i, s in enumerate(steps) if s[0] in SECTIONS), default=-1)
-                out.append((whole, path, tuple(s[4] for s in steps[: end + 1]), not (stack and stack[-1][2]), linked))
+                out.append((whole, path, tuple(s[6] for s in steps[: end + 1]), bool(stack) and stack[-1][2], stack[-1][3] if stack else (), bool(stack) and stack[-1][5], linked))
             text.clear()
         linked = 0
 
@@ -109,17 +124,30 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], bool,
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        _, _, off, article, _ = stack[-1] if stack else ("", "", False, False, 0)
-        label, strong, weak = _names(m[4]) if m[4] else ("", False, False)
-        article |= tag in ("article", "main")
+        _, _, off, soft, article, named, _ = stack[-1] if stack else ("", "", False, (), False, False, 0)
+        label, hidden, strong, weak, content = _names(m[4]) if m[4] else ("", False, False, False, False)
+        article |= tag in ARTICLES
+        named |= article or content and tag not in ("html", "body")
         if tag in ("html", "body"):
-            strong = weak = False
-        off |= tag in NEVER or strong or not article and (weak or tag == "header")
-        stack.append((tag, f"{tag}.{label}" if label else tag, off, article, m.start()))
+            hidden = strong = weak = False
+        off |= tag in NEVER or hidden or not article and tag == "header"
+        if strong or tag == "form" or not article and weak:
+            soft = (*soft, m.start())
+        stack.append((tag, f"{tag}.{label}" if label else tag, off, soft, article, named, m.start()))
     if at < len(page):
         text.append(page[at:])
     flush()
-    return out
+    lifted = _lifted(out)
+    return [(text, path, own, not hard and lifted.issuperset(soft), linked) for text, path, own, hard, soft, _, linked in out]
+
+
+def _regions(chosen: dict[tuple[int, ...], tuple[str, ...]]) -> set[tuple[int, ...]]:
+    """The elements whose blocks are content: the outermost article or main around a chosen section;
+    without any, the innermost element around all of them (chosen: places, and their tags)."""
+    whole = {own: next((own[: i + 1] for i, tag in enumerate(tags) if tag in ARTICLES), None) for own, tags in chosen.items()}
+    if any(whole.values()):
+        return {article or own for own, article in whole.items()}
+    return {tuple(os.path.commonprefix(list(chosen)))}
 
 
 def main_text(page: str) -> str:
@@ -134,7 +162,7 @@ def main_text(page: str) -> str:
             marks[path] += len(PUNCTUATION.findall(text))
             links[path] += min(linked, len(text))
             many[path] += 1
-    ratio = {p: length[p] / many[p] * (1 + marks[p] / many[p]) * (1 - links[p] / length[p]) * (ARTICLE_WEIGHT if any(s.split(".")[0] in ("article", "main") for s in p) else 1) for p in many}
+    ratio = {p: length[p] / many[p] * (1 + marks[p] / many[p]) * (1 - links[p] / length[p]) * (ARTICLE_WEIGHT if any(s.split(".")[0] in ARTICLES for s in p) else 1) for p in many}
     smooth = np.convolve([ratio.get(path, 0.0) if good else 0.0 for _, path, _, good, _ in found], KERNEL)[2:-2]
     near: dict[tuple, list] = defaultdict(list)
     for s, (_, path, _, good, _) in zip(smooth, found, strict=True):
@@ -144,9 +172,10 @@ def main_text(page: str) -> str:
     best = max(fused.values(), default=0.0)
     if best <= 0:
         return ""
-    chosen = {own for _, path, own, good, _ in found if good and fused[path] >= THRESHOLD * best}
-    inside = {own for _, _, own, _, _ in found if own in chosen or any(own[:k] in chosen for k in range(3, len(own)))}
-    keep = [good and own in inside for _, _, own, good, _ in found]
+    regions = _regions({own: tuple(s.split(".")[0] for s in path[: len(own)]) for _, path, own, good, _ in found if good and fused[path] >= THRESHOLD * best})
+    inside = {own for _, _, own, _, _ in found if any(own[:k] in regions for k in range(len(own) + 1))}
+    prose = {p for p in ratio if any(s.split(".")[0] in ARTICLES for s in p) or 2 * links[p] <= length[p] or fused[p] >= THRESHOLD * best}
+    keep = [good and own in inside and path in prose for _, path, own, good, _ in found]
     for i in range(len(found) - 1):  # the page's title just above its content
         if not keep[i] and keep[i + 1] and found[i][3] and found[i][1] and found[i][1][-1].startswith("h1"):
             keep[i] = True

@@ -20,6 +20,20 @@ def test_main_text_of_pages():
     assert html_text.main_text(plain) == "A long paragraph, with commas, and more.\n\nAnother one, as long as that."
 
 
+def test_main_text_of_split_articles():
+    text = "".join(f"<p>{'Words of it, and more. ' * 17}</p>" for _ in range(3))
+    parts = ["Words of it, and more. " * 16 + "Words of it, and more."] * 3
+    lead = f"<article><h1>T</h1><div class=lead><p>Short lead here.</p></div><div class=text>{text}</div></article>"
+    assert html_text.main_text(lead).split("\n\n") == ["T", "Short lead here.", *parts]
+    bare = f"{text}<blockquote>Quoted.</blockquote><table><tr><td>Cell</td></tr></table>"
+    nav = "<div><a href=/a>Home</a> <a href=/b>About us</a></div>"
+    for page in (bare, nav + bare, f"<html><body>{nav}{bare}</body></html>"):
+        assert html_text.main_text(page).split("\n\n") == [*parts, "Quoted.", "Cell"]
+    for around in ("<form id=page>", "<div class=with-sidebar>"):
+        page = f"<body>{around}<nav>Menu</nav><article><h1>T</h1>{text}</article><div class=comments>{text * 2}</div></{around[1:5].strip()}></body>"
+        assert html_text.main_text(page).split("\n\n") == ["T", *parts]
+
+
 def test_extract_edges(spark):
     rows = [(1, "u", None, 3), (None, None, "<p>x, y.", None), (2, "u", "", 1), (2, "u", "<script>never closed", 1)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
