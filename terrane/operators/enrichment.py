@@ -5,8 +5,6 @@ Statistics are taken on the long form: (id, feature, value) rows with each id's
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,11 +98,37 @@ def jaccard_overlap(table: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def assign(cost: np.ndarray) -> list[int]:
-    """The column of each row so that the total cost is least (a few classes at most)."""
+    """The column of each row so that the total cost is least.
+
+    Kuhn's and Munkres's method: each row in turn is added along the cheapest chain of changes, by
+    prices of rows and columns; rows squared by columns. Of more rows than columns, those left over
+    get numbers past the last column.
+    """
     k, m = cost.shape
     if k > m:
         cost = np.pad(cost, ((0, 0), (0, k - m)), constant_values=cost.max(initial=0) + 1)
-    return list(min(permutations(range(cost.shape[1]), k), key=lambda p: cost[np.arange(k), list(p)].sum()))
+        m = k
+    price, of_row = np.zeros(m + 1), np.zeros(k)
+    owner = np.full(m + 1, -1)  # the last column is where a new row starts
+    for i in range(k):
+        owner[m], j = i, m
+        least, before, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        while owner[j] >= 0:
+            done[j], r = True, owner[j]
+            slack = cost[r] - of_row[r] - price[:m]
+            better = ~done[:m] & (slack < least)
+            least[better], before[better] = slack[better], j
+            j = int(np.where(done[:m], np.inf, least).argmin())
+            step = least[j]
+            of_row[owner[done]] += step
+            price[done] -= step
+            least[~done[:m]] -= step
+        while j != m:
+            owner[j] = owner[before[j]]
+            j = int(before[j])
+    column = np.empty(k, int)
+    column[owner[:m][owner[:m] >= 0]] = np.flatnonzero(owner[:m] >= 0)
+    return column.tolist()
 
 
 def greedy_overlap(table: dict[tuple[int, int], float], sources: list[int], targets: list[int]) -> dict[int, int]:

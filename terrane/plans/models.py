@@ -42,15 +42,14 @@ def class_alignment(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("class"), F.posexplode("embedding").alias("feature", "value"))
     a, b = (D.centroids(x, ["class"]).select("class", "feature", "mean") for x in (e.where("vec_id % 2 = 1"), e))
     pairs = a.alias("a").join(b.alias("b"), F.col("a.feature") == F.col("b.feature")).groupBy(F.col("a.class").alias("source"), F.col("b.class").alias("target")).agg(F.sqrt(F.sum(F.pow(F.col("a.mean") - F.col("b.mean"), 2))).alias("distance"))
-    some = pairs.where("source < 6 and target < 6")
-    rows = some.collect()  # classes by classes
-    names = sorted({r["source"] for r in rows})
-    cost = np.full((len(names), 6), 1e9)
+    named = pairs.where("source is not null and target is not null")
+    rows = named.collect()  # classes by classes
+    sources, targets = (sorted({r[c] for r in rows}) for c in ("source", "target"))
+    cost = np.full((len(sources), len(targets)), 1e9)
     for r in rows:
-        cost[names.index(r["source"]), r["target"]] = r["distance"]
-    chosen = dict(zip(names, E.assign(cost), strict=True))
-    whole = F.create_map(*(F.lit(int(x)) for kv in chosen.items() for x in kv))
-    return some.where(F.col("target") == whole[F.col("source")])
+        cost[sources.index(r["source"]), targets.index(r["target"])] = r["distance"]
+    chosen = [x for s, t in zip(sources, E.assign(cost), strict=True) if t < len(targets) for x in (s, targets[t])]
+    return named.where(F.col("target") == F.create_map(*(F.lit(int(x)) for x in chosen))[F.col("source")]) if chosen else named.limit(0)
 
 
 def family_bootstrap(spark, sf):

@@ -1,5 +1,6 @@
 """Operators on small planted tables."""
 
+import itertools
 import math
 import os
 import zipfile
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from terrane.functions import ages, stats, text
 from terrane.functions.versions import version_key
 from terrane.operators import catalogue, cohort, drift, enrichment, geometry, inference, mixture, order, schemes, strata
+from terrane.plans import models
 from terrane.sources import files, sinks, store
 from terrane.streaming import ingest
 
@@ -140,6 +142,23 @@ def test_alignment():
     assert enrichment.greedy_overlap({(0, 1): 5, (1, 1): 9, (0, 0): 1}, [0, 1], [0, 1]) == {1: 1, 0: 0}
 
 
+def test_alignment_of_many_classes(spark, sf):
+    rng = np.random.default_rng(3)
+    for k, m in ((1, 1), (3, 5), (5, 5), (4, 6), (6, 4)):
+        for _ in range(20):
+            cost = rng.integers(0, 9, (k, m)).astype(float)
+            wide = np.pad(cost, ((0, 0), (0, max(0, k - m))), constant_values=cost.max() + 1)
+            got = enrichment.assign(cost)
+            assert len(set(got)) == k and wide[range(k), got].sum() == min(wide[range(k), p].sum() for p in itertools.permutations(range(wide.shape[1]), k))
+    hidden = rng.permutation(60)
+    cost = rng.random((60, 60)) + 1
+    cost[range(60), hidden] = 0
+    assert enrichment.assign(cost) == hidden.tolist() and enrichment.assign(np.zeros((0, 0))) == []
+    labels = {r["label"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").where("vec_id % 2 = 1").select("label").collect()}
+    got = models.class_alignment(spark, sf).collect()
+    assert max(labels) > 5 and sorted(r["source"] for r in got) == sorted(labels) and len({r["target"] for r in got}) == len(got)
+
+
 def test_adjusted_rand(spark):
     rows = [(i % 4, (i % 4 + 1) % 4) for i in range(100)]
     t = enrichment.contingency(spark.createDataFrame(rows, "a int, b int"), "a", "b")
