@@ -5,6 +5,8 @@ Each function's name is its query's; ORACLES has DuckDB SQL where SQL can say th
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -15,30 +17,31 @@ from terrane.operators import mixture as M
 from terrane.operators import strata as S
 from terrane.plans.common import table
 
-DIMS = 16
-
 
 def _wide(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(DIMS)))
+    """vec_id, label and all components, x0 to the longest embedding's last; and their names."""
+    e = table(spark, sf, "embeddings")
+    names = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]  # one row
+    return e.select("vec_id", "label", *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names))), names
 
 
 def discriminant_positions(spark, sf):
     """Classes' mean positions and spreads on the axes that part them best."""
-    rows = _wide(spark, sf)
-    _, n, s, ss = G.scatter(rows, "label", [f"x{i}" for i in range(DIMS)])
+    rows, names = _wide(spark, sf)
+    _, n, s, ss = G.scatter(rows, "label", names)
     axes = G.discriminant_axes(n, s, ss, 3)
-    at = rows.select("label", *(sum((F.col(f"x{i}") * float(axes[i, k]) for i in range(DIMS)), F.lit(0.0)).alias(f"ld{k + 1}") for k in range(axes.shape[1])))
+    at = rows.select("label", *(sum((F.col(c) * float(axes[i, k]) for i, c in enumerate(names)), F.lit(0.0)).alias(f"ld{k + 1}") for k in range(axes.shape[1])))
     return at.groupBy("label").agg(*(F.avg(f"ld{k}").alias(f"ld{k}") for k in (1, 2, 3)), F.var_samp("ld1").alias("cov11"), F.covar_samp("ld1", "ld2").alias("cov12"), F.var_samp("ld2").alias("cov22"))
 
 
 def mahalanobis_contributions(spark, sf):
     """Features' parts of the squared distance of odd rows' class means from those of all rows."""
-    rows, names = _wide(spark, sf), [f"x{i}" for i in range(DIMS)]
+    rows, names = _wide(spark, sf)
     _, n, s, ss = G.scatter(rows, "label", names)
     inverse = np.linalg.inv(G.shrunk(G.within(n, s, ss)))
     odd = F.col("vec_id") % 2 == 1
     d = rows.groupBy("label").agg(F.array(*(F.avg(F.when(odd, F.col(c))) - F.avg(c) for c in names)).alias("d"))
-    whole = F.array(*(F.array(*(F.lit(float(v)) for v in row)) for row in inverse))
+    whole = F.from_json(F.lit(json.dumps(inverse.tolist())), "array<array<double>>")
     dot = lambda row: F.aggregate(F.zip_with(row, F.col("d"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     parts = F.zip_with(F.col("d"), F.transform(whole, dot), lambda a, b: a * b)
     return d.select("label", F.posexplode(parts).alias("feature", "contribution"))

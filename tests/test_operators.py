@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from terrane.functions import ages, stats, text
 from terrane.functions.versions import version_key
 from terrane.operators import catalogue, cohort, drift, enrichment, geometry, inference, mixture, order, schemes, strata
+from terrane.plans import geometry as plans_geometry
 from terrane.plans import models
 from terrane.sources import files, sinks, store
 from terrane.streaming import ingest
@@ -291,6 +292,24 @@ def test_geometry(spark):
     assert jsd["a"] == pytest.approx(0.0) and jsd["b"] == pytest.approx(1.0, abs=0.05)
 
 
+def test_geometry_reads_all_components(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 40))
+    label = np.arange(400) // 2 % 4
+    x[np.arange(400), 36 + label] += 8.0  # classes differ in the last components only
+    rows = [(i, int(c), [float(v) for v in row]) for i, (c, row) in enumerate(zip(label, x))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    at = {r["label"]: np.array([r["ld1"], r["ld2"], r["ld3"]]) for r in plans_geometry.discriminant_positions(spark, str(tmp_path)).collect()}
+    assert min(np.linalg.norm(at[a] - at[b]) for a, b in itertools.combinations(at, 2)) > 6
+    got = plans_geometry.mahalanobis_contributions(spark, str(tmp_path)).toPandas()
+    assert sorted(got["feature"].unique()) == list(range(40)) and len(got) == 160
+    centred = x - np.stack([x[label == c].mean(0) for c in range(4)])[label]
+    d = x[(label == 1) & (np.arange(400) % 2 == 1)].mean(0) - x[label == 1].mean(0)
+    cov = centred.T @ centred / 396
+    want = d * np.linalg.solve(0.9 * cov + 0.1 * np.trace(cov) / 40 * np.eye(40), d)
+    assert np.allclose(got[got["label"] == 1].sort_values("feature")["contribution"], want, atol=1e-4)
+
+
 def test_permutations(spark):
     df = spark.createDataFrame([(i, float(i * i)) for i in range(200)], "k int, v double")
     got = {r["k"]: r["v"] for r in strata.permute_axis(df, "k", "v", 5).collect()}
