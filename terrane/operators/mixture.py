@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TINY = 1e-9
+# Passes at most and least gain in log-likelihood per row of a pass, as in the survey.
+MOST, TOL = 500, 1e-6
 
 
 @dataclass
@@ -44,6 +46,7 @@ class Mixture:
     variances: np.ndarray  # K x continuous
     log_likelihood: float = -np.inf
     hold: int = -1  # a fold of rows that the fit leaves out
+    converged: bool = False
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
         """log(weight * density) of each row and class."""
@@ -89,8 +92,8 @@ def _pass(df: DataFrame, models: list[Mixture]) -> list[tuple[np.ndarray, np.nda
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
 
-    rows = df.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # models x classes x columns
-    v = np.array([r["v"] for r in rows])
+    rows = df.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # models x classes x columns
+    v = np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])])
     out, at = [], 0
     for m in models:
         k, f, c = len(m.weights), m.means.shape[1], len(columns.continuous)
@@ -107,11 +110,12 @@ def folds(key: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(FOLDS)).cast("int")
 
 
-def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, int, int]], seed: int = 0, weight: str | None = None, most: int = 60, tol: float = 1e-5) -> list[Mixture]:
+def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, int, int]], seed: int = 0, weight: str | None = None, most: int = MOST, tol: float = TOL) -> list[Mixture]:
     """An EM run for each (classes, fold left out or -1, start), all in the same passes over the rows.
 
     Starts are rows chosen by a seeded hash of their key, so a fit is the same on every run.
-    Incomplete rows are left out.
+    A run ends when a pass adds tol or less to the log-likelihood of a row (converged), or after
+    most passes. Incomplete rows are left out.
     """
     rows = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns.names), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")).dropna().withColumn("_fold", folds(key, seed)).cache()
     try:
@@ -132,7 +136,8 @@ def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, i
                 m, safe = models[i], np.maximum(n, TINY)[:, None]
                 means = s / safe
                 models[i] = Mixture(columns, n / max(n.sum(), TINY), means, np.maximum(ss / safe - means[:, : ss.shape[1]] ** 2, 1e-4 * var), ll, m.hold)
-                if abs(ll - m.log_likelihood) <= tol * max(1.0, abs(ll)):
+                if abs(ll - m.log_likelihood) <= tol * whole["_n"]:
+                    models[i].converged = True
                     open_.remove(i)
             if not open_:
                 break
@@ -141,7 +146,7 @@ def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, i
         rows.unpersist()
 
 
-def fit(df: DataFrame, key: str, columns: Columns, k: int, n_init: int = 4, seed: int = 0, weight: str | None = None, most: int = 60, tol: float = 1e-5) -> Mixture:
+def fit(df: DataFrame, key: str, columns: Columns, k: int, n_init: int = 4, seed: int = 0, weight: str | None = None, most: int = MOST, tol: float = TOL) -> Mixture:
     """The best of n_init EM runs with k classes."""
     return max(fit_many(df, key, columns, [(k, -1, i) for i in range(n_init)], seed, weight, most, tol), key=lambda m: m.log_likelihood)
 
@@ -168,12 +173,12 @@ def criteria(assigned: DataFrame, model: Mixture) -> DataFrame:
     sums = assigned.agg(F.sum("log_likelihood").alias("ll"), F.count(F.lit(1)).cast("double").alias("n"), F.sum(ent).alias("entropy"), F.avg(F.array_max("responsibilities")).alias("mean_max_posterior"))
     ll, n = F.col("ll"), F.col("n")
     return sums.select(
-        F.lit(k).alias("n_components"), (ll / n).alias("avg_log_likelihood"), (-2 * ll + 2 * p).alias("aic"), (-2 * ll + p * F.log(n)).alias("bic"), (-2 * ll + p * F.log((n + 2) / 24)).alias("sabic"), (-2 * ll + p * (F.log(n) + 1)).alias("caic"), (-2 * ll + p * (F.log(n) + 1.5)).alias("awe"),
+        F.lit(k).alias("n_components"), F.lit(model.converged).alias("converged"), (ll / n).alias("avg_log_likelihood"), (-2 * ll + 2 * p).alias("aic"), (-2 * ll + p * F.log(n)).alias("bic"), (-2 * ll + p * F.log((n + 2) / 24)).alias("sabic"), (-2 * ll + p * (F.log(n) + 1)).alias("caic"), (-2 * ll + p * (F.log(n) + 1.5)).alias("awe"),
         (F.lit(1.0) if k == 1 else 1 - F.col("entropy") / (n * F.log(F.lit(float(k))))).alias("relative_entropy"), "mean_max_posterior",
     )
 
 
-def select(df: DataFrame, key: str, columns: Columns, ks: list[int], n_init: int = 3, seed: int = 0, most: int = 60) -> DataFrame:
+def select(df: DataFrame, key: str, columns: Columns, ks: list[int], n_init: int = 3, seed: int = 0, most: int = MOST) -> DataFrame:
     """criteria of the best fit with each number of classes, and the log-likelihood held out: each
     fold is scored by a model fitted on the others. All fits share their passes."""
     specs = [(k, hold, i) for k in ks for hold, i in [*((-1, i) for i in range(n_init)), *((f, 0) for f in range(FOLDS))]]
@@ -185,6 +190,6 @@ def select(df: DataFrame, key: str, columns: Columns, ks: list[int], n_init: int
         for f in range(FOLDS):
             part = assign(df.where(folds(key, seed) == f), key, models[k, f, 0]).select("log_likelihood")
             held = part if held is None else held.unionByName(part)
-        row = criteria(assign(df, key, m), m).crossJoin(held.agg(F.avg("log_likelihood").alias("val_log_likelihood")))  # one row each
+        row = criteria(assign(df, key, m), m).crossJoin(held.agg(F.avg("log_likelihood").alias("val_log_likelihood"), F.lit(all(models[k, f, 0].converged for f in range(FOLDS))).alias("val_converged")))  # one row each
         out = row if out is None else out.unionByName(row)
     return out

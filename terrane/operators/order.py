@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import stats
 from terrane.operators import enrichment
-from terrane.operators.mixture import Columns, Mixture, assign, fit_many
+from terrane.operators.mixture import MOST, Columns, Mixture, assign, fit_many
 
 
 def knee(ks: list[int], scores: list[float]) -> int:
@@ -45,14 +45,14 @@ def simulate(spark: SparkSession, model: Mixture, n: int, draws: int, seed: int)
     return spark.range(n * draws).mapInPandas(make, schema)
 
 
-def likelihood_ratio(df: DataFrame, key: str, columns: Columns, k: int, n_init: int = 3, seed: int = 0, most: int = 40) -> tuple[float, Mixture]:
+def likelihood_ratio(df: DataFrame, key: str, columns: Columns, k: int, n_init: int = 3, seed: int = 0, most: int = MOST) -> tuple[float, Mixture]:
     """Twice the gain in log-likelihood from k to k + 1 classes, and the fit with k."""
     fits = fit_many(df, key, columns, [*((k, -1, i) for i in range(n_init)), *((k + 1, -1, i) for i in range(n_init))], seed, most=most)
     best = max(fits[:n_init], key=lambda m: m.log_likelihood)
     return 2 * (max(m.log_likelihood for m in fits[n_init:]) - best.log_likelihood), best
 
 
-def bootstrap_likelihood_ratio(df: DataFrame, key: str, columns: Columns, k: int, draws: int = 19, n_init: int = 3, seed: int = 0, most: int = 40) -> dict[str, float]:
+def bootstrap_likelihood_ratio(df: DataFrame, key: str, columns: Columns, k: int, draws: int = 19, n_init: int = 3, seed: int = 0, most: int = MOST) -> dict[str, float]:
     """The observed ratio for k against k + 1 classes and its add-one p under the fit with k."""
     observed, null = likelihood_ratio(df, key, columns, k, n_init, seed, most)
     n = df.dropna(subset=columns.names).count()
@@ -67,10 +67,10 @@ def adjusted_lr(spark: SparkSession, null: Mixture, alt: Mixture, n: int) -> Dat
     df = p1 - p0
     lr = 2 * (alt.log_likelihood - null.log_likelihood)
     adjusted = max(0.0, lr) / (1 + 1 / (max(df, 1) * np.log(max(n, 2))))
-    return spark.range(1).select(F.lit(lr).alias("lr"), F.lit(float(adjusted)).alias("adjusted_lr"), F.lit(df).alias("df"), stats.chi2_upper(F.lit(float(adjusted)), F.lit(float(df))).alias("p_value"))
+    return spark.range(1).select(F.lit(lr).alias("lr"), F.lit(float(adjusted)).alias("adjusted_lr"), F.lit(df).alias("df"), F.lit(null.converged and alt.converged).alias("converged"), stats.chi2_upper(F.lit(float(adjusted)), F.lit(float(df))).alias("p_value"))
 
 
-def stability(df: DataFrame, key: str, columns: Columns, reference: DataFrame, k: int, n_fits: int = 6, top: int = 4, seed: int = 0, most: int = 30) -> DataFrame:
+def stability(df: DataFrame, key: str, columns: Columns, reference: DataFrame, k: int, n_fits: int = 6, top: int = 4, seed: int = 0, most: int = MOST) -> DataFrame:
     """How far fits from other starts agree with reference labels (key, reference).
 
     All fits share their passes; the `top` likeliest are compared: the adjusted Rand index and the
@@ -83,21 +83,21 @@ def stability(df: DataFrame, key: str, columns: Columns, reference: DataFrame, k
         labels = assign(df, key, fits[i]).select(key, "label").join(reference, key)
         ari = enrichment.adjusted_rand(enrichment.contingency(labels, "label", "reference"), "label", "reference")
         sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg((F.min("n") / F.sum("n")).alias("smallest_class_proportion"), F.count(F.lit(1)).alias("n_classes"))
-        row = ari.crossJoin(sizes).select(F.lit(i).alias("start"), F.lit(rank).alias("rank"), F.lit(float(fits[i].log_likelihood)).alias("log_likelihood"), F.col("ari").alias("adjusted_rand_index"), "smallest_class_proportion", (F.col("n_classes") < k).alias("degenerate"))  # one row each
+        row = ari.crossJoin(sizes).select(F.lit(i).alias("start"), F.lit(rank).alias("rank"), F.lit(float(fits[i].log_likelihood)).alias("log_likelihood"), F.col("ari").alias("adjusted_rand_index"), "smallest_class_proportion", (F.col("n_classes") < k).alias("degenerate"), F.lit(fits[i].converged).alias("converged"))  # one row each
         out = row if out is None else out.unionByName(row)
     return out
 
 
-def subsample_stability(df: DataFrame, key: str, columns: Columns, reference: DataFrame, k: int, sizes: list[float], seed: int = 0, most: int = 30) -> DataFrame:
+def subsample_stability(df: DataFrame, key: str, columns: Columns, reference: DataFrame, k: int, sizes: list[float], n_init: int = 2, seed: int = 0, most: int = MOST) -> DataFrame:
     """Agreement of fits on shares of the rows, chosen by a hash of the key, with reference labels."""
     out = None
     for s, share in enumerate(sizes):
         part = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed + s + 1)), F.lit(10_000)) < int(share * 10_000))
-        m = max(fit_many(part, key, columns, [(k, -1, i) for i in range(2)], seed, most=most), key=lambda f: f.log_likelihood)
+        m = max(fit_many(part, key, columns, [(k, -1, i) for i in range(n_init)], seed, most=most), key=lambda f: f.log_likelihood)
         labels = assign(part, key, m).select(key, "label").join(reference, key)
         ari = enrichment.adjusted_rand(enrichment.contingency(labels, "label", "reference"), "label", "reference")
         n = labels.agg(F.count(F.lit(1)).alias("n"))
-        row = n.crossJoin(ari).select(F.lit(share).alias("share"), "n", F.col("ari").alias("adjusted_rand_index"))  # one row each
+        row = n.crossJoin(ari).select(F.lit(share).alias("share"), "n", F.col("ari").alias("adjusted_rand_index"), F.lit(m.converged).alias("converged"))  # one row each
         out = row if out is None else out.unionByName(row)
     return out
 

@@ -101,10 +101,10 @@ def corrected_prevalence(spark, sf):
     """Class shares by true class, assignment errors taken into account, along order years."""
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg((F.min(F.year("o_orderdate")) - 1995).alias("x"), (F.avg("o_totalprice") / 1000).alias("price"))
     rows = table(spark, sf, "customer").join(o, "c_custkey")
-    m = M.fit(rows, "c_custkey", M.Columns(["c_acctbal", "price"]), 2, n_init=2, most=12)
+    m = M.fit(rows, "c_custkey", M.Columns(["c_acctbal", "price"]), 2, n_init=20)
     soft = rows.select("c_custkey", "x").join(M.assign(rows, "c_custkey", m), "c_custkey")
-    coef = I.corrected_multinomial(soft, ["x"], "responsibilities", 2, rounds=4)
-    return I.bch_confusion(soft, "responsibilities").withColumn("slope", F.lit(float(coef[0][1])))
+    coef = I.corrected_multinomial(soft, ["x"], "responsibilities", 2, rounds=200)
+    return I.bch_confusion(soft, "responsibilities").withColumns({"slope": F.lit(float(coef[0][1])), "converged": F.lit(m.converged)})
 
 
 QUERIES = {f.__name__: f for f in (discriminant_positions, mahalanobis_contributions, jensen_shannon, single_break, projected_trajectory, conditioning_shrinkage, permuted_axis, null_partition, corrected_prevalence)}

@@ -266,6 +266,14 @@ def test_knee_and_isotonic():
     assert 500 < order.smallest_size(sizes, scores, 0.8) < 1000 and order.smallest_size(sizes, scores, 0.99) is None
 
 
+def test_fits_run_to_tolerance(spark):
+    df = planted(spark)
+    columns = mixture.Columns(["c1", "c2"])
+    cut, whole = (mixture.fit(df, "id", columns, 2, n_init=1, **most) for most in ({"most": 2}, {}))
+    assert not cut.converged and whole.converged and whole.log_likelihood > cut.log_likelihood
+    assert order.adjusted_lr(spark, cut, whole, 400).first()["converged"] is False
+
+
 def test_simulated_tables_and_ratio(spark):
     df = planted(spark, 200)
     columns = mixture.Columns(["c1", "c2"])
