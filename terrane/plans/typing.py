@@ -41,7 +41,7 @@ def sweep_decision(spark, sf):
     """Segments' prices and balances in five equal bins of time, against places dealt anew."""
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     long = o.select(F.col("o_orderkey").alias("id"), F.col("c_mktsegment").alias("class"), F.unix_date(F.to_date("o_orderdate")).alias("day"), F.inline(F.array(F.struct(F.lit("price").alias("feature"), F.col("o_totalprice").alias("value")), F.struct(F.lit("balance").alias("feature"), F.col("c_acctbal").alias("value")))))
-    return H.sweep(long, "day", "id", H.parse_scheme("hardbins:quantile:5"), n_perm=20)
+    return H.sweep(long, "day", "id", H.parse_scheme("hardbins:quantile:5"), n_perm=999)
 
 
 QUERIES = {f.__name__: f for f in (observed_cardinality, feature_types, sweep_decision)}

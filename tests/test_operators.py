@@ -14,6 +14,7 @@ from terrane.functions.versions import version_key
 from terrane.operators import catalogue, cohort, drift, enrichment, geometry, inference, mixture, order, schemes, strata
 from terrane.plans import geometry as plans_geometry
 from terrane.plans import models
+from terrane.plans import typing as plans_typing
 from terrane.sources import files, sinks, store
 from terrane.streaming import ingest
 
@@ -353,6 +354,19 @@ def test_store_and_dictionaries(spark, tmp_path):
     assert [r["r"] for r in roles] == ["proband", None]
 
 
+def test_sweep_rejects_one_place_of_many(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    day = np.arange(3000) % 100
+    segment = np.arange(3000) // 100 % 5
+    price = rng.normal(size=3000) + 6 * ((segment == 0) & (day >= 80))
+    spark.createDataFrame([(i, f"s{s}", float(i % 7)) for i, s in enumerate(segment)], "c_custkey long, c_mktsegment string, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    orders = spark.createDataFrame([(i, i, int(d), float(p)) for i, (d, p) in enumerate(zip(day, price))], "o_orderkey long, o_custkey long, d int, o_totalprice double")
+    orders.withColumn("o_orderdate", F.expr("date_add(date'2000-01-01', d)")).drop("d").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r["place"], r["class"]): r for r in plans_typing.sweep_decision(spark, str(tmp_path)).collect()}
+    assert got[4, "s0"]["reject"] and got[4, "s0"]["n_null"] == 999 and got[4, "s0"]["p_value"] == pytest.approx(0.001)
+    assert not any(r["reject"] for k, r in got.items() if k[1] != "s0")
+
+
 def test_schemes(spark):
     assert schemes.parse_scheme("kernel:2.5:9") == schemes.Scheme("kernel", 9, 2.5)
     with pytest.raises(ValueError, match="scheme"):
