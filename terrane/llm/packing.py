@@ -1,15 +1,16 @@
 """Best-fit packing of documents into token sequences, by exact-complement hashing.
 
 Encoding runs on Spark; the plan needs only how many pieces there are of each length, at most
-2048 counters. It is made on the driver: for each length, largest first, combinations of one, two
-or three other lengths that exactly fill the gap are looked up and consumed as often as the
-counters allow; what is left is packed by best fit, decreasing. Pieces are then ranked within
-their length, again on Spark, and a rank says which planned sequence a piece goes to.
+2048 counters. It is made on the driver: combinations of one, two or three lengths that exactly
+fill a sequence's gap are looked up and consumed as often as the counters allow; where there is
+none, the piece that fits best goes in, and the rest of the gap is looked up. Pieces are then ranked
+within their length, again on Spark, and a rank says which planned sequence a piece goes to.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -57,74 +58,81 @@ def _pair(c: np.ndarray, gap: int, most: int) -> tuple[int, int] | None:
     return (int(a[good[0]]), gap - int(a[good[0]])) if len(good) else None
 
 
-def _complement(c: np.ndarray, gap: int, most: int, parts: int) -> tuple[int, ...] | None:
-    """`parts` lengths or fewer (none over most) that sum to gap, within the counters."""
-    if parts and gap <= most and c[gap] > 0:
+def _pair_sums(c: np.ndarray) -> np.ndarray:
+    """Whether each total is the sum of two lengths with counters: a bit set, shifted by each length."""
+    bits, out = int.from_bytes(np.packbits(c > 0, bitorder="little").tobytes(), "little"), 0
+    for a in np.flatnonzero(c).tolist():
+        out |= bits << a
+    out &= (1 << len(c)) - 1
+    return np.unpackbits(np.frombuffer(out.to_bytes(len(c) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(c)] > 0
+
+
+def _complement(c: np.ndarray, gap: int, most: int) -> tuple[int, ...]:
+    """One, two or three lengths (none over most) that sum to gap, within the counters; as few and
+    as long ones as may be, so that short ones are left for gaps that need them."""
+    if gap <= most and c[gap] > 0:
         return (gap,)
-    if parts > 1 and (found := _pair(c, gap, most)):
+    if gap <= 2 * most and (found := _pair(c, gap, most)):
         return found
-    if parts < 3:
-        return None
-    for a in np.flatnonzero(c[: min(gap - 1, most) + 1])[::-1].tolist():
-        if a * 3 < gap:
-            break
+    if not 3 <= gap <= 3 * most:
+        return ()
+    firsts = np.arange(min(gap - 2, most), (gap + 2) // 3 - 1, -1)
+    for a in firsts[(c[firsts] > 0) & _pair_sums(c)[gap - firsts]].tolist():
         c[a] -= 1
-        found = _pair(c, gap - a, min(a, most))
+        found = _pair(c, gap - a, a)
         c[a] += 1
         if found:
             return (a, *found)
-    return None
+    return ()
 
 
-def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in one sequence) and how many sequences have each; every piece is in one.
+def planned(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int, str]]:
+    """Patterns (lengths in one sequence), how many sequences have each, and what filled them:
+    `whole`, `single`, `pair` or `triple`, or `best fit` if a gap is left. Every piece is in one.
 
-    Exact complements of up to three, two, one or no lengths are tried (triples use up short
-    pieces that other gaps may need more); the plan with fewest sequences is returned.
+    A sequence begins with the longest piece left. Its gap is filled exactly by one, two or three
+    lengths if the counters have any, else the longest piece that fits goes in, and the smaller gap
+    is looked up in turn. A pattern is used as often as the counters allow.
     """
-    return min((_plan(counts, size, parts) for parts in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
-
-
-def _plan(counts: dict[int, int], size: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
     c = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         c[length] += n
-    out = [((size,), int(c[size]))] if c[size] else []
-    c[size] = 0
-    left: dict[int, int] = {}
-    for length in range(size - 1, 0, -1):
-        while c[length]:
-            c[length] -= 1
-            found = _complement(c, size - length, length, parts)
-            c[length] += 1
+    out, most = [], size
+    while (most := int(np.flatnonzero(c[: most + 1])[-1]) if c[: most + 1].any() else 0) > 0:
+        left, pattern, kind = c.copy(), [most], "whole"
+        left[most] -= 1
+        gap = size - most
+        while gap:
+            found = _complement(left, gap, most)
+            kind = ("best fit", "single", "pair", "triple")[len(found)]
             if not found:
-                left[length] = int(c[length])
-                c[length] = 0
-                break
-            use = {x: (length, *found).count(x) for x in (length, *found)}
-            times = min(int(c[x]) // n for x, n in use.items())
-            for x, n in use.items():
-                c[x] -= n * times
-            out.append(((length, *found), times))
-    bins: dict[int, list[list]] = {}  # by gap: [pattern, sequences]
-    for length, n in sorted(left.items(), reverse=True):
-        while n:
-            gap = min((g for g in bins if g >= length and bins[g]), default=None)
-            if gap is None:
-                each = min(size // length, n)
-                bins.setdefault(size - each * length, []).append([(length,) * each, n // each])
-                n %= each
-                continue
-            pattern, many = bins[gap][-1]
-            each = min(gap // length, n)
-            times = min(many, n // each)
-            if times == many:
-                bins[gap].pop()
-            else:
-                bins[gap][-1][1] -= times
-            bins.setdefault(gap - each * length, []).append([pattern + (length,) * each, times])
-            n -= each * times
-    return out + [(tuple(p), n) for group in bins.values() for p, n in group]
+                fits = np.flatnonzero(left[: min(gap, most) + 1])
+                if not len(fits):
+                    break
+                found = (int(fits[-1]),)
+            for x in found:
+                left[x] -= 1
+            pattern += found
+            gap -= sum(found)
+        use = Counter(pattern)
+        times = min(int(c[x]) // n for x, n in use.items())
+        for x, n in use.items():
+            c[x] -= n * times
+        out.append((tuple(pattern), times, kind))
+    return out
+
+
+def plan(counts: dict[int, int], size: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
+    """The patterns of planned(), and how many sequences have each."""
+    return [(pattern, times) for pattern, times, _ in planned(counts, size)]
+
+
+def filled(counts: dict[int, int], size: int = SEQUENCE) -> dict[str, int]:
+    """How many sequences of the plan each way of filling accounts for."""
+    out: Counter = Counter()
+    for _, times, kind in planned(counts, size):
+        out[kind] += times
+    return dict(out)
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
