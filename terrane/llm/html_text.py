@@ -237,8 +237,7 @@ def ratios(page: Page) -> tuple[dict[int, float], dict[int, float]]:
 
 def _regions(page: Page, chosen: set[int]) -> dict[int, int]:
     """The elements whose blocks are content, with their slights: the outermost article or main
-    around chosen sections; without any, the innermost element around all of them. An element that
-    HTML itself sets apart, such as a page's only nav, is none."""
+    around chosen sections; without any, the innermost element around all of them."""
     if any(page.article[e] >= 0 for e in chosen):
         found = {page.article[e] if page.article[e] >= 0 else e for e in chosen}
     else:
@@ -248,19 +247,21 @@ def _regions(page: Page, chosen: set[int]) -> dict[int, int]:
         for e in range(len(inside) - 1, 0, -1):
             inside[page.parent[e]] += inside[e]
         found = {max(e for e, n in enumerate(inside) if n == len(chosen))}
-    return {e: page.slights[e] for e in found if not page.aside[e]}
+    return {e: page.slights[e] for e in found}
 
 
 def main_text(html_text: str, threshold: float = THRESHOLD) -> str:
-    """The blocks of the elements whose paths' fused ratio reaches the threshold times the best, joined."""
+    """The blocks of the elements whose paths' fused ratio reaches the threshold times the best,
+    joined. A page with nothing but elements that HTML itself sets apart, such as nav, has none."""
     page = scan(html_text)
     page.blocks = [b for b in page.blocks if not page.hidden[b[1]]]
     if not page.blocks:
         return ""
     fused, linked = ratios(page)
-    bar = threshold * max(fused.values())
-    if max(fused.values()) <= 0:
+    best = max((fused[page.path[e]] for _, e, _ in page.blocks if not page.aside[e]), default=0.0)
+    if best <= 0:
         return ""
+    bar = threshold * best
     regions = _regions(page, {page.section[e] for _, e, _ in page.blocks if fused[page.path[e]] >= bar})
     slights = [-1] * len(page.parent)  # of the region around an element
     for e in range(len(slights)):
