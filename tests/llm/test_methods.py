@@ -1,6 +1,7 @@
 """The operators' methods against plain versions of them, on odd and very long inputs."""
 
 import html
+import math
 import random
 import re
 import time
@@ -9,7 +10,7 @@ from html.parser import HTMLParser
 
 import pytest
 
-from terrane.llm import html_text, packing
+from terrane.llm import html_text, licenses, packing
 
 
 def test_every_way_of_filling_takes_part():
@@ -161,3 +162,69 @@ def test_html_rows_with_clashing_columns(spark):
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")).collect()
     assert sorted([(r["page_id"], r["text"][:9], r["n_chars"]) for r in got], key=str) == sorted([(1, "One, two.", 9), (1, "One, two.", 9), (None, "", 0), (3, "", 0), (4, "long, lon", 1199999)], key=str)
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+LICENCES = {
+    'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.': "unknown",
+    "Distributed under the Boost Software License, Version 1.0.": "unknown",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.": "unknown",
+    "Licensed under the EUPL, Version 1.2 or later": "unknown",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0": "unknown",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "mit",
+    'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0': "apache",
+    "The man went home.\n\nRedistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the following\nconditions are met.\n\nHe slept.": "bsd",
+    "The committee granted permission to publish the book free of charge.": None,
+    "Copyright law is a matter of dispute.": None,
+    "": None,
+    None: None,
+}
+
+
+@pytest.fixture(scope="module")
+def classifier(spark):
+    return licenses.train(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_licences_unseen_and_wrapped(spark, classifier):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(LICENCES)], "doc_id long, text string, family string")
+    got = [(r["doc_id"], r["family"], r["confirmed"]) for r in licenses.scan(df, classifier).orderBy("doc_id", "paragraph").collect()]
+    assert got == [(i, f, f != "unknown") for i, f in enumerate(LICENCES.values()) if f]
+
+
+def plain_scan(docs, c):
+    """The scan by its definition, row by row."""
+    out = []
+    for d, text in docs:
+        run, first = [], 0
+        for i, line in enumerate([*(text or "").split("\n"), ""]):
+            w = [x for x in re.split(r"[^\w]|_", line.lower()) if x]
+            if set(w) & set(c.cues):
+                first = first if run else i
+                run += w
+                continue
+            grams = {" ".join(run[j : j + n]) for n in (1, 2, 3) for j in range(len(run) - n + 1)}
+            hits = [c.vocabulary.index(g) for g in grams if g in c.vocabulary]
+            run = []
+            if not hits:
+                continue
+            z = [b + sum(row[j] for j in hits) for row, b in zip(c.weights, c.intercepts)]
+            if math.exp(z[-1]) >= sum(map(math.exp, z[:-1])):
+                continue
+            best = max(range(len(z) - 1), key=lambda k: z[k])
+            margin = z[best] - max(x for k, x in enumerate(z[:-1]) if k != best)
+            pairs = [(f, {" ".join(p) for p in zip(w, w[1:])}) for f, t in c.templates for w in [licenses._plain(t)]]
+            alike = max((len(p & grams) / len(p) for f, p in pairs if f == c.families[best]), default=0.0)
+            known = c.families[best] != "unknown" and c.known[0] + c.known[1] * margin + c.known[2] * alike >= 0
+            out.append((d, first, c.families[best] if known else "unknown", round(alike, 9), known and alike >= 0.6))
+    return sorted(out)
+
+
+def test_licence_scan_against_plain_scan(spark, classifier):
+    rng = random.Random(2)
+    notices = [n for own in licenses.NOTICES.values() for n in own] + licenses.OTHERS + licenses.LIKE
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()][:300]
+    docs += [(10**6 + i, "\n".join(" ".join(x for x in rng.choice(notices).split() if rng.random() < 0.9) if rng.random() < 0.6 else "Er ging nach Hause." for _ in range(rng.randint(1, 6)))) for i in range(300)]
+    docs.append((10**7, "\n".join(["Plain words here."] * 50000 + ["Released under the MIT License."])))
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), classifier).collect()
+    assert sorted((r["doc_id"], r["paragraph"], r["family"], round(r["similarity"], 9), r["confirmed"]) for r in got) == plain_scan(docs, classifier)
+    assert all(0 <= r["probability"] <= 1 for r in got)
