@@ -11,7 +11,6 @@ blanks) that are in at least `share` of a sample of its documents, `sample` at m
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +24,14 @@ SLOT_BITS = 20
 BROADCAST_ROWS = 100_000
 FACTORS = (0x9E3779B1, 0x85EBCA77)
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 _SEEN = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (general category L: no superior or Roman numeral, no fraction)."""
+    return any(map(str.isalpha, text))
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The 4-grams of all texts as 32-bit codes, and where each text's begin (and the last end)."""
     raw = [b" %b   " % t.lower().encode("utf-8", "replace") for t in texts]
@@ -75,17 +78,29 @@ class Filters:
         return out
 
 
+def _chosen(known: DataFrame, sample: int) -> DataFrame:
+    """lang and doc_id of at most `sample` documents of each language, those whose id's hash is least.
+
+    Rows are counted by language and the hash's first 12 bits; the bins that hold the least hashes
+    are known from that, and only their ids, `sample` and one bin's at most, are ranked.
+    """
+    ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_bin", F.shiftright("_h", 52))
+    bins = ids.groupBy("lang", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("lang").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = bins.withColumn("_before", before).where(F.col("_before") < sample).groupBy("lang").agg(F.max("_bin").alias("_top"))
+    few = ids.join(F.broadcast(tops), "lang").where("_bin <= _top").select("lang", "doc_id", "_h").distinct()  # tops: a row per language
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    return few.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).select("lang", "doc_id")
+
+
 def fit(labelled: DataFrame, sample: int = 1000, share: float = 0.02) -> Filters:
     """Filters from a table with doc_id, text and lang (rows without lang or text are left out).
 
-    At most `sample` documents of a language are used, those whose id's hash is smallest. The
-    result has 2^20 slots whatever the input's size; no labelled row gives no language.
+    At most `sample` documents of a language are used (ids, if rows repeat one). The result has 2^20 slots whatever the input's size; no labelled row gives no language.
     """
     small_batches(labelled.sparkSession)
     known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample).drop("_r").distinct()
-    chosen = cut(chosen)  # ids alone are ranked, and then say which texts are read
+    chosen = cut(_chosen(known, sample))  # ids alone are ranked, and then say which texts are read
     sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
     rows = known.join(F.broadcast(chosen) if sum(sizes.values()) <= BROADCAST_ROWS else chosen, ["doc_id", "lang"])
 
@@ -143,7 +158,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
             for c in byte_chunks(b, "text", 1 << 20):
                 texts = [t or "" for t in c.column("text").to_pylist()]
                 rates = f.rates(texts)
-                some = np.array([bool(LETTER.search(t)) for t in texts]) & bool(f.languages)
+                some = np.array([has_letter(t) for t in texts]) & bool(f.languages)
                 best = rates.argmax(1) if f.languages else np.zeros(len(texts), int)
                 lang = [f.languages[i] if ok else UNDETERMINED for i, ok in zip(best, some, strict=True)]
                 score = np.where(some, rates[np.arange(len(texts)), best], 0.0) if f.languages else np.zeros(len(texts))
@@ -163,7 +178,7 @@ def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.2) -> Da
             for c in byte_chunks(b, "text", 1 << 20):
                 texts = [t or "" for t in c.column("text").to_pylist()]
                 best = f.rates(texts).max(1, initial=0.0)
-                good = [bool(f.languages) and s >= least and bool(LETTER.search(t)) for s, t in zip(best, texts, strict=True)]
+                good = [bool(f.languages) and s >= least and has_letter(t) for s, t in zip(best, texts, strict=True)]
                 yield c.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(freeing(keep), docs.schema)
@@ -172,7 +187,8 @@ def keep_identified(docs: DataFrame, filters: Filters, least: float = 0.2) -> Da
 def language_id(docs: DataFrame, sample: int = 1000, share: float = 0.02) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the documents that are not held out.
 
-    Extra columns are left out, repeated rows each give a row, an empty table gives none.
+    Extra columns are left out, repeated rows each give a row, an empty table gives none. Texts of
+    any length are read whole; null and empty ones are `und`.
     """
     filters = fit(docs.where(~is_held_out()), sample, share)
     return identify(docs, filters).withColumn("held_out", is_held_out()).select("doc_id", "held_out", "lang_pred", "score")
