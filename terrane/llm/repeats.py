@@ -31,6 +31,7 @@ from terrane.llm.common import binary_column, byte_chunks, freeing, mix64, parti
 LENGTH = 100
 GRAM = 32
 CHUNK = 1 << 20
+BLOCK = 1 << 27
 FREQUENT = 300
 STRIDE = 8
 INDEX_BYTES = 1 << 18
@@ -40,7 +41,7 @@ _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
 _CODE = mix64(np.arange(1, 257, dtype=U64))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-ROW = "bucket long, kind int, chunk long, p binary, q binary, r binary, s binary, carry array<string>"
+ROW = "bucket long, kind int, chunk long, p binary, q binary, r binary, s binary, carry binary"
 NAMES = [x.split()[0] for x in ROW.split(", ")]
 PRINTS, COPIES, TEXTS, SEGMENTS, MARKS, DONE = range(6)
 SEGMENT = np.dtype([("key", "u8"), ("doc", "i8"), ("row", "i4"), ("start", "i4"), ("size", "i4"), ("windows", "i4")])
@@ -48,10 +49,23 @@ MARK = np.dtype([("row", "i4"), ("start", "i4"), ("end", "i4")])
 
 
 def _arrow(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.string()))
+    kinds = (pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], NAMES)
 
 
+def _packed(column: pa.Array) -> bytes:
+    """An Arrow array of any kind as bytes, without loss."""
+    batch = pa.RecordBatch.from_arrays([column], ["carry"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return _squeeze(out.getvalue().to_pybytes())
+
+
+def _unpacked(raw: bytes) -> pa.Array:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_next_batch().column(0)
+
+
 class Hashes:
     """Hashes of any parts of a text, from sums over its prefixes."""
 
@@ -82,7 +96,20 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start of each run of strings with the same minimiser, its place and hash."""
+    """First and last start of each run of strings with the same minimiser, its place and hash.
+
+    Starts are taken BLOCK by BLOCK, as places have 28 bits; a block's end ends a run."""
+    parts = []
+    for lo in range(0, max(1, len(data) - LENGTH + 1), BLOCK):
+        hi = min(len(data), lo + BLOCK + LENGTH - 1)
+        a, b = int(np.searchsorted(edges, lo, "right")) - 1, int(np.searchsorted(edges, hi, "left"))
+        s, e, place, h = _runs(data[lo:hi], np.clip(edges[a : b + 1] - lo, 0, hi - lo))
+        parts.append((s + lo, e + lo, place + lo, h))
+    s, e, place, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return s, e, place, h
+
+
+def _runs(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, np.zeros(0, U64)
@@ -121,7 +148,7 @@ def _print(bits: int):
                 data, edges = binary_column(c.column("text"))
                 ids = c.column("doc_id").fill_null(-(1 << 63)).to_numpy().astype(np.int64)
                 named = np.asarray(c.column("doc_id").is_valid())
-                rows = [(home, TEXTS, name, _squeeze(data.tobytes()), edges.tobytes(), ids.tobytes(), named.tobytes(), c.column("carry").to_pylist())]
+                rows = [(home, TEXTS, name, _squeeze(data.tobytes()), edges.tobytes(), ids.tobytes(), named.tobytes(), _packed(c.column("carry")))]
                 h = np.unique(runs(data, edges)[3])
                 if len(h):
                     bucket = (h >> U64(64 - bits)).astype(np.int64)
@@ -269,6 +296,7 @@ def _segment(bits: int):
                 cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
                 for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                     yield (int(bucket[a]), SEGMENTS, name, segs[a:b].tobytes(), _squeeze(flat[total[a] - size[a] : total[b - 1]].tobytes()), b"", b"", None)
+        carry = _unpacked(t["carry"])
         rest = np.flatnonzero(touched)
         whole = np.flatnonzero(~touched)
         if len(rest):
@@ -276,13 +304,13 @@ def _segment(bits: int):
             sizes = np.diff(edges)[rest]
             row_of = np.zeros(len(ids), np.int32)
             row_of[rest] = np.arange(len(rest))
-            yield (home, TEXTS, name, _squeeze(data[at].tobytes()), np.concatenate([[0], np.cumsum(sizes)]).tobytes(), ids[rest].tobytes(), named[rest].tobytes() + rest.astype(np.int32).tobytes(), [t["carry"][i] for i in rest])
+            yield (home, TEXTS, name, _squeeze(data[at].tobytes()), np.concatenate([[0], np.cumsum(sizes)]).tobytes(), ids[rest].tobytes(), named[rest].tobytes() + rest.astype(np.int32).tobytes(), _packed(carry.take(pa.array(rest))))
             if len(marks):
                 yield (home, MARKS, name, marks.tobytes(), b"", b"", b"", None)
         if len(whole):
             at = np.repeat(~touched, np.diff(edges))
             sizes = np.diff(edges)[whole]
-            yield (home, DONE, name, _squeeze(data[at].tobytes()), np.concatenate([[0], np.cumsum(sizes)]).tobytes(), ids[whole].tobytes(), named[whole].tobytes() + copy[whole].tobytes(), [t["carry"][i] for i in whole])
+            yield (home, DONE, name, _squeeze(data[at].tobytes()), np.concatenate([[0], np.cumsum(sizes)]).tobytes(), ids[whole].tobytes(), named[whole].tobytes() + copy[whole].tobytes(), _packed(carry.take(pa.array(whole))))
 
     return run
 
@@ -431,7 +459,7 @@ def _indexed(segs, chunk, data, begin, which):
     return which[owner[s]], s - at[owner[s]], e - at[owner[s]]
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, carry string"
+OUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "carry"]
 
 
 def _finish(as_text: bool):
@@ -486,42 +514,43 @@ def _written(row, named, spans, as_text: bool):
             kept.append(data[at : s + a])
             at = s + z
         whole = b"".join([*kept, data[at:e]])
-        out.append((ids[i] if named[i] else None, e - s, e - s - len(whole), len(spans[i]), hashlib.sha256(whole).hexdigest(), whole.decode("utf-8", "ignore") if as_text else whole, row["carry"][i]))
-    kinds = (*[pa.int64()] * 4, pa.string(), pa.string() if as_text else pa.binary(), pa.string())
-    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in OUT.split(", ")])
+        out.append((ids[i] if named[i] else None, e - s, e - s - len(whole), len(spans[i]), hashlib.sha256(whole).hexdigest(), whole.decode("utf-8", "ignore") if as_text else whole))
+    kinds = (*[pa.int64()] * 4, pa.string(), pa.string() if as_text else pa.binary())
+    yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)), _unpacked(row["carry"])], OUT)
 
 
-def remove_repeats(docs: DataFrame, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, as_text: bool = False, carry: bool = False) -> DataFrame:
     """Each document without the bytes of strings of 100 bytes that also start earlier.
 
     Columns: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the
     remaining bytes; as_text: the text they are, without characters of which only some are left) and
-    carry (the other columns, as JSON). Earlier is a smaller doc_id, or an
-    earlier start in the same document; null ids come first, and of rows with the same id one comes
-    first. A null text is empty; an empty table gives no rows.
+    carry (a struct of the other columns as they are, if asked for, else null). Earlier is a smaller
+    doc_id, or an earlier start in the same document; null ids come first, and of rows with the same
+    id one comes first. A null text is empty; an empty table gives no rows; a text of any length is
+    compared whole, by one task.
     """
     small_batches(docs.sparkSession)
     many = 2 * partitions(docs.sparkSession)  # a task holds all that its bucket or chunk has
     bits = max(8, (2 * many - 1).bit_length())
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.to_json(F.struct(*others)) if others else F.lit("{}")).alias("carry"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.struct(*others) if others else F.lit(None).cast("string")).alias("carry"))
+    kinds = (*[T.LongType()] * 4, T.StringType(), T.StringType() if as_text else T.BinaryType(), rows.schema["carry"].dataType)
+    schema = T.StructType([T.StructField(c, k) for c, k in zip(OUT, kinds, strict=True)])
     out = rows.mapInArrow(freeing(_print(bits)), ROW)
     out = out.repartition(many, "bucket").mapInArrow(freeing(_match_prints), ROW)
     out = out.repartition(many, "chunk").mapInArrow(freeing(_segment(bits)), ROW)
     out = out.repartition(many, "bucket").mapInArrow(freeing(_compare(bits)), ROW)
-    return out.repartition(many, "chunk").mapInArrow(freeing(_finish(as_text)), OUT.replace("binary", "string") if as_text else OUT)
+    return out.repartition(many, "chunk").mapInArrow(freeing(_finish(as_text)), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with the same columns, their texts without repeats (see remove_repeats).
 
-    A character of which only some bytes are removed goes; n_chars, if there, is set anew.
+    Other columns are carried as they are. A character of which only some bytes are removed goes; a
+    null text becomes empty; n_chars, if there, is set anew.
     """
-
-    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
-    rows = remove_repeats(docs, as_text=True).select("doc_id", F.col("kept").alias("text"), "carry")
-    rows = rows.withColumn("carry", F.from_json("carry", T.StructType(others))) if others else rows
-    cols = {f.name: F.col("carry").getField(f.name) for f in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    rows = remove_repeats(docs, as_text=True, carry=True)
+    cols = {c: F.col("carry").getField(c) for c in docs.columns} | {"doc_id": F.col("doc_id"), "text": F.col("kept")}
     if "n_chars" in cols:
-        cols["n_chars"] = F.length("text").cast("long")
+        cols["n_chars"] = F.length("kept").cast("long")
     return rows.select(*(cols[c].alias(c) for c in docs.columns))
