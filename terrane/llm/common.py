@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -20,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Lets Spark hand rows to Python in Arrow batches of 8 MB at most (its default is 64 MB, held
-    once on either side of each task). Results don't depend on it."""
+    once on either side of each task). It is set for the session and stays set, as Spark reads it
+    when a result is asked for; results don't depend on it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
@@ -52,12 +54,15 @@ def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet to the checkpoint folder that all executors share, and read again.
 
     So its lineage is cut and it is worked out once (a reliable checkpoint() would run it twice).
-    The session's spark.checkpoint.dir is used; only where it is unset (as in tests on one
-    machine) a temporary folder is taken.
+    The session's spark.checkpoint.dir is used. Where it is unset, a session on one machine (master
+    local) takes a temporary folder, as in tests; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

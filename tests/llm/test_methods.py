@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 
 import pytest
 
-from terrane.llm import html_text, licenses, packing
+from terrane.llm import common, html_text, language_id, licenses, packing, repeats
 
 
 def test_every_way_of_filling_takes_part():
@@ -228,3 +228,62 @@ def test_licence_scan_against_plain_scan(spark, classifier):
     got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), classifier).collect()
     assert sorted((r["doc_id"], r["paragraph"], r["family"], round(r["similarity"], 9), r["confirmed"]) for r in got) == plain_scan(docs, classifier)
     assert all(0 <= r["probability"] <= 1 for r in got)
+
+
+def test_letters_are_letters_alone(spark):
+    assert not any(map(language_id.has_letter, ["", "½ ² Ⅷ 12_3 ?!", "一"[:0]])) and all(map(language_id.has_letter, ["12a", "²é", "日"]))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(-1, "² ½ Ⅷ 42")], "doc_id long, text string")
+    got = language_id.identify(odd, language_id.fit(docs)).first()
+    assert got["lang_pred"] == "und" and got["score"] == 0
+
+
+def test_sample_of_labelled_rows(spark):
+    rows = [(i % 50 if i < 300 else i, "aa" if i < 2000 else "bb") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string")
+    got = language_id._chosen(df, 100).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in got}["bb"] == 100 and all(r["count"] <= 100 for r in got)
+    assert language_id._chosen(df, 10**6).count() == df.distinct().count()
+
+
+def test_without_repeats_carries_columns_as_they_are(spark):
+    import datetime
+
+    stamp = datetime.datetime(2024, 5, 6, 7, 8, 9, 123456)
+    rows = [(i, "x" * 150, stamp, {1: "a"}, {"kept": i, "carry": None}, b"\x00\xff", None, 2**60 + i) for i in range(4)] + [(None, None, None, None, None, None, None, None)]
+    schema = "doc_id long, text string, at timestamp, m map<int,string>, s struct<kept:int,carry:string>, raw binary, kept string, n_bytes long"
+    df = spark.createDataFrame(rows, schema).repartition(2)
+    got = repeats.without_repeats(df)
+    assert got.schema.simpleString() == df.schema.simpleString()
+    key = lambda r: str(r["doc_id"])
+    for a, b in zip(sorted(got.collect(), key=key), sorted(df.collect(), key=key)):
+        assert [a[c] for c in df.columns if c != "text"] == [b[c] for c in df.columns if c != "text"]
+    assert sorted(len(r["text"]) for r in got.collect()) == [0, 0, 0, 0, 1]
+
+
+def test_runs_in_blocks(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 100, 5000).astype(np.uint8)
+    edges = np.array([0, 0, 300, 301, 1700, 2500, 4990, 5000])
+
+    def windows():
+        s, e, place, h = repeats.runs(data, edges)
+        return {i: (int(p), int(x)) for a, b, p, x in zip(s, e, place, h) for i in range(a, b + 1)}
+
+    whole = windows()
+    monkeypatch.setattr(repeats, "BLOCK", 700)
+    assert windows() == whole
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    from unittest import mock
+
+    df = mock.Mock()
+    df.sparkSession.sparkContext.getCheckpointDir.return_value = None
+    df.sparkSession.conf.get.return_value = None
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        df.sparkSession.sparkContext.master = master
+        with pytest.raises(ValueError):
+            common.cut(df)
