@@ -28,6 +28,8 @@ BLANK = "▁"
 FAR = np.iinfo(np.int64).max
 BASE = np.uint64(0x100000001B3)
 CACHED_WORDS = 600_000
+LONG = 8192  # characters of a word from which on it is composed in blocks
+BLOCK, OVERLAP = 2048, 256
 
 
 def default_model() -> str:
@@ -143,15 +145,13 @@ class Transducer:
             x, y, go = (x + step)[on], (y + ~step)[on], go[on]
         return out
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words, one after the other, and how many each has."""
-        if not words:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    def compose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Composition of all words in step, longest first: where each begins (there is one place more
+        than characters), its size, and for each place the last piece up to there (-1: fallback), its
+        length, and the character before."""
         size = np.array([len(w) for w in words])
-        order = np.argsort(-size, kind="stable")
-        size = size[order]
-        codes = np.frombuffer("".join([words[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        start = np.concatenate([[0], np.cumsum(size + 1)])[:-1]  # one place more than characters
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        start = np.concatenate([[0], np.cumsum(size + 1)])[:-1]
         total = int(size.sum() + len(size))
         at = np.arange(len(codes)) + np.repeat(np.arange(len(size)), size)
         char = np.zeros(total, np.uint64)
@@ -177,6 +177,20 @@ class Transducer:
                 cost = weight[here - n] + np.where(piece < 0, 1000, 1).astype(np.int32)
                 ok &= cost < weight[here]
                 weight[here[ok]], last[here[ok]], back[here[ok]] = cost[ok], piece[ok], n
+        return start, size, last, back, char
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if any(len(w) > LONG for w in words):
+            short = [i for i, w in enumerate(words) if len(w) <= LONG]
+            ids, many = self.encode_words([words[i] for i in short])
+            parts = dict(zip(short, np.split(ids, np.cumsum(many)[:-1]) if short else [], strict=True))
+            parts |= {i: self._encode_long(w) for i, w in enumerate(words) if len(w) > LONG}
+            return np.concatenate([parts[i] for i in range(len(words))]), np.array([len(parts[i]) for i in range(len(words))])
+        order = np.argsort([-len(w) for w in words], kind="stable")
+        start, size, last, back, char = self.compose([words[i] for i in order])
         # Backwards along the paths, all words in step.
         place, steps, row = start + size, [], np.arange(len(size))
         while len(row):
@@ -188,21 +202,65 @@ class Transducer:
         depth = np.concatenate([np.full(len(s[0]), k) for k, s in enumerate(steps)])
         made, ends = np.concatenate([s[1] for s in steps]), np.concatenate([s[2] for s in steps])
         by = np.lexsort((-depth, order[rows]))
-        rows, made, ends = order[rows[by]], made[by], ends[by]
-        if (made < 0).any():
-            parts, many = [], np.ones(len(made), np.int64)
-            for k in np.flatnonzero(made < 0).tolist():
-                raw = chr(int(char[ends[k] - 1])).encode("utf-8", "replace")
-                parts.append((k, self.byte_ids[list(raw)]))
-                many[k] = len(raw)
-            begin = np.concatenate([[0], np.cumsum(many)])
-            ids = np.repeat(made, many).astype(np.uint32)
-            for k, raw in parts:
-                ids[begin[k] : begin[k + 1]] = raw
-            rows = np.repeat(rows, many)
-        else:
-            ids = made.astype(np.uint32)
-        return ids, np.bincount(rows, minlength=len(words))
+        ids, many = self._spelled(made[by], char[ends[by] - 1])
+        return ids, np.bincount(np.repeat(order[rows[by]], many), minlength=len(words))
+
+    def _spelled(self, made: np.ndarray, char: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, those of its bytes for a character by fallback, and how many each has."""
+        many = np.ones(len(made), np.int64)
+        parts = {k: self.byte_ids[list(chr(int(char[k])).encode("utf-8", "replace"))] for k in np.flatnonzero(made < 0).tolist()}
+        for k, raw in parts.items():
+            many[k] = len(raw)
+        begin = np.cumsum(many) - many
+        ids = np.repeat(made, many).astype(np.uint32)
+        for k, raw in parts.items():
+            ids[begin[k] : begin[k] + len(raw)] = raw
+        return ids, many
+
+    def _encode_long(self, word: str) -> np.ndarray:
+        """Ids of one long word, composed in blocks in step.
+
+        The last piece up to a place depends on those up to the `longest` places before. So a block
+        may begin OVERLAP characters early, anywhere: once it agrees with the block before on that
+        many places, all that follows is right. Blocks that don't agree are begun at every place of
+        `longest`, as runs of one character need; then with more overlap, at last at the beginning.
+        """
+        n, deep = len(word), self.longest
+        last, back = np.full(n + 1, -2, np.int32), np.zeros(n + 1, np.int32)
+        done, overlap, phases = 0, OVERLAP, 1
+        while done < n:
+            many = max(1, (1 << 20) // (BLOCK * phases))
+            ends = [min(n, done + (k + 1) * BLOCK) for k in range(many) if done + k * BLOCK < n]
+            if overlap > OVERLAP and n <= 8 * LONG:
+                ends, overlap = [n], n
+            lanes = sorted({(max(0, e - BLOCK - overlap - r), e) for e in ends for r in range(phases)}, key=lambda x: x[0] - x[1])
+            start, _, found, length, _ = self.compose([word[a:e] for a, e in lanes])
+            where: dict[int, list[tuple[int, int]]] = {}
+            for (a, e), s in zip(lanes, start.tolist(), strict=True):
+                where.setdefault(e, []).append((a, s))
+            before = done
+            for e in ends:
+                for a, s in where[e]:
+                    lo = done - deep + 1
+                    same = a == 0 or lo > a + deep and np.array_equal(found[s + lo - a : s + done - a + 1], last[lo : done + 1])
+                    if same:
+                        last[done + 1 : e + 1], back[done + 1 : e + 1] = found[s + done - a + 1 : s + e - a + 1], length[s + done - a + 1 : s + e - a + 1]
+                        done = e
+                        break
+                if done != e:
+                    break
+            if done == before and phases == 1:
+                phases = deep
+            elif done == before:
+                overlap *= 8
+        made, ends, place = [], [], n
+        backs = back.tolist()
+        while place:
+            ends.append(place)
+            place -= backs[place]
+        ends = np.array(ends[::-1])
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return self._spelled(last[ends], codes[ends - 1])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: the blank that the normaliser put first is taken off."""
@@ -210,12 +268,61 @@ class Transducer:
         return text[1:] if text.startswith(" ") else text
 
 
+def _fields(raw: bytes) -> dict[int, int | bytes]:
+    """The fields of a protocol buffer's message by number (of repeated ones, the last)."""
+    out: dict[int, int | bytes] = {}
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        x = shift = 0
+        while True:
+            x |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return x
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            out[key >> 3] = number()
+        else:
+            size = {1: 8, 5: 4}.get(key & 7) or number()
+            out[key >> 3] = raw[at : at + size]
+            at += size
+    return out
+
+
+def check_model(proto: bytes) -> None:
+    """Raises ValueError unless a serialised model is one that compile() can make a transducer of: of
+    the BPE kind, with byte fallback, whose normaliser changes no character, keeps all blanks, escapes
+    them and puts one before the text."""
+    model = _fields(proto)
+    trainer, normaliser = _fields(model.get(2, b"")), _fields(model.get(3, b""))
+    wrong = [
+        name
+        for name, good in {
+            "model_type": trainer.get(3, 1) == 2,
+            "byte_fallback": trainer.get(35, 0) == 1,
+            "treat_whitespace_as_suffix": trainer.get(24, 0) == 0,
+            "precompiled_charsmap": not normaliser.get(2),
+            "add_dummy_prefix": normaliser.get(3, 1) == 1,
+            "remove_extra_whitespaces": normaliser.get(4, 1) == 0,
+            "escape_whitespaces": normaliser.get(5, 1) == 1,
+        }.items()
+        if not good
+    ]
+    if wrong:
+        raise ValueError(f"no transducer for a model with this {', '.join(wrong)}")
+
+
 @functools.lru_cache(maxsize=2)
 def compile(path: str) -> Transducer:
-    """The transducer of a SentencePiece model of the BPE kind with the identity normaliser."""
+    """The transducer of a SentencePiece model that check_model() lets pass."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    check_model(sp.serialized_model_proto())
     n = sp.get_piece_size()
     kinds = ["byte" if sp.is_byte(i) else "control" if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else "piece" for i in range(n)]
     return Transducer([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], kinds)
@@ -260,7 +367,11 @@ def encoder(path: str) -> Encoder:
 
 
 def encode(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """doc_id and ids (array of int) of every whole text. A null or empty text has no id."""
+    """doc_id and ids (array of int) of every whole text. A null or empty text has no id.
+
+    Repeated rows each give a row, other columns are left out, an empty table gives no rows. A text
+    takes time in proportion to its length, a word of any length included.
+    """
     path = model or default_model()
 
     def run(batches):
@@ -291,7 +402,8 @@ def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
     """Each text encoded and decoded again: doc_id, n_pieces, ids_crc32 (unsigned 32-bit ids,
     little-endian), decoded_sha256 and lossless (whether it is the text; U+2581 becomes a blank).
 
-    Null and empty texts have no piece; repeated rows each give a row; other columns are left out.
+    Null and empty texts have no piece; repeated rows each give a row; other columns are left out; an
+    empty table gives no rows; long texts and words are encoded whole.
     """
     path = model or default_model()
 
