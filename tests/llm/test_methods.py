@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 
 import pytest
 
-from terrane.llm import common, html_text, language_id, licenses, packing, repeats
+from terrane.llm import common, html_text, language_id, licenses, packing, repeats, sentencepieces
 
 
 def test_every_way_of_filling_takes_part():
@@ -287,3 +287,38 @@ def test_a_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
         df.sparkSession.sparkContext.master = master
         with pytest.raises(ValueError):
             common.cut(df)
+
+
+def test_sentencepiece_long_words(spark):
+    import base64
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    e = sentencepieces.Encoder(sentencepieces.compile(sentencepieces.default_model()))
+    rng = random.Random(1)
+    words = [base64.b64encode(rng.randbytes(90000)).decode(), "a" * 9000, "ab" * 8000, " " * 10000, "x" * 9000 + "日" * 500 + "yz" * 3000, "internationalization" * 800]
+    words.append("".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20000)))
+    texts = [*words, "short one", words[0][:20000] + " between " + words[6][:9000]]
+    for t, ids in zip(texts, e.encode(texts), strict=True):
+        assert ids.tolist() == sp.encode(t)
+
+
+def test_sentencepiece_megabyte_word():
+    import sentencepiece
+
+    t = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=1 << 20))
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    began = time.time()
+    ids = sentencepieces.Encoder(sentencepieces.compile(sentencepieces.default_model())).encode([t])[0]
+    assert time.time() - began < 120 and ids.tolist() == sp.encode(t)
+
+
+def test_sentencepiece_models_that_it_cannot_take():
+    import sentencepiece
+
+    proto = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model()).serialized_model_proto()
+    sentencepieces.check_model(proto)
+    for extra in (b"\x12\x02\x18\x01", b"\x1a\x03\x12\x01x", b"\x1a\x02\x20\x01", b""):  # unigram, a character map, blanks removed, nothing
+        with pytest.raises(ValueError):
+            sentencepieces.check_model(proto + extra if extra else b"")
