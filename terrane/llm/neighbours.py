@@ -1,10 +1,12 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
-Vectors are dealt to shards by a hash of their id. Each shard keeps a graph: for every vector, a
+Vectors are dealt to shards by their norm, within a factor of 2, and a hash of their id; each shard
+is a task of its own. It keeps a graph: for every vector, a
 greedy search over the graph so far proposes neighbours, and pruning with a relaxed distance
 keeps edges in diverse directions (Subramanya et al. 2019). A query walks every shard's graph with
 a beam, and the shards' best are merged. Nearness is the inner product; in the graphs it is a
-distance, by one more coordinate that gives all vectors the same norm.
+distance, by one more coordinate that gives all vectors of the shard the same norm: as their norms
+are alike, no vector swamps the others' distances, and all are scaled to the shard's largest.
 
 A shard's rows arrive before the queries, which then stream past in batches, so a task holds one
 shard's graph and one batch of queries. Equal vectors are one node of a graph.
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEGREE = 32
@@ -37,9 +39,10 @@ class Graph:
         starts = np.flatnonzero(new)
         self.vectors = vectors[starts]
         self.members = [ids[s : min(e, s + most)] for s, e in zip(starts, [*starts[1:], len(ids)], strict=True)]
-        norms = (self.vectors.astype(np.float64) ** 2).sum(1)
+        scaled = self.vectors / np.abs(self.vectors).max(initial=1e-300)
+        norms = (scaled**2).sum(1)
         extra = np.sqrt(np.maximum(0, norms.max(initial=0) - norms))
-        self.x = np.concatenate([self.vectors, extra[:, None]], 1).astype(np.float32)
+        self.x = np.concatenate([scaled, extra[:, None]], 1).astype(np.float32)
         self.norm = (self.x**2).sum(1)
         self.edges = np.full((len(self.x), DEGREE), -1, np.int32)
         if len(self.x):
@@ -137,8 +140,9 @@ class Graph:
         step = max(16, min(1024, (64 << 20) // len(self.x)))
         for lo in range(0, len(own), step):
             q = queries[lo : lo + step]
-            nodes, _ = self.walk(np.concatenate([q, np.zeros((len(q), 1))], 1).astype(np.float32), max(beam, k + 1))
-            exact = (self.vectors[nodes].astype(np.float64) * q[:, None, :].astype(np.float64)).sum(2)
+            scaled = q / np.abs(q).max(1, keepdims=True)
+            nodes, _ = self.walk(np.concatenate([scaled, np.zeros((len(q), 1))], 1).astype(np.float32), max(beam, k + 1))
+            exact = (self.vectors[nodes] * q[:, None, :]).sum(2)
             for o, near, score in zip(own[lo : lo + step].tolist(), nodes, exact, strict=True):
                 good = near >= 0
                 near, score, got = near[good], score[good], []
@@ -158,18 +162,41 @@ def usable(embeddings: DataFrame) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite & F.exists("embedding", lambda x: x != 0))
 
 
+def _octave() -> Column:
+    """The power of 2 nearest to a vector's norm; no square overflows on the way."""
+    most = F.array_max(F.transform("embedding", F.abs))
+    return F.floor(F.log2(most) + 0.5 * F.log2(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) + 0.5)
+
+
+def shards_of(data: DataFrame, shard_rows: int) -> DataFrame:
+    """width, octave, first, many: the shards of the vectors of a length and a norm, numbered through by
+    width. A row per length and power of 2 (2,098 for doubles at most)."""
+    groups = [(r["width"], r["octave"], r["n"]) for r in data.groupBy(F.size("embedding").alias("width"), _octave().alias("octave")).agg(F.count(F.lit(1)).alias("n")).orderBy("width", "octave").collect()]
+    whole, first, rows = sum(n for *_, n in groups), 0, []
+    for width, octave, n in groups:
+        many = max(-(-n // shard_rows), -(-LEAST_SHARDS * n // whole))
+        rows.append(f"({width}, {octave}L, {first}, {many})")
+        first += many
+    return data.sparkSession.sql("select * from values " + (", ".join(rows) or "(0, 0L, 0, 0)") + " as t(width, octave, first, many)")
+
+
 def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k of embeddings found nearest to each of queries.
 
     Both have vec_id and embedding; a query's own id is no candidate. Vectors of another length
-    than a query's take no part in its search. Ties go to the smaller vec_id; rows that repeat an
-    id are candidates each. Empty tables give no rows.
+    than a query's take no part in its search; nulls, zero vectors and those with non-finite components
+    in none. Ties go to the smaller vec_id; rows that repeat an id are candidates each. Empty tables
+    give no rows; other columns are left out; long vectors are compared whole. Each query goes to
+    every shard of its length, so the work grows with queries times rows over shard_rows.
     """
     data = usable(embeddings)
-    shards = max(LEAST_SHARDS, -(-data.count() // shard_rows))
-    shard = F.size("embedding") * F.lit(shards).cast("long")
-    rows = data.select((shard + F.pmod(F.xxhash64("vec_id"), F.lit(shards))).alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding")
-    asked = usable(queries).select(F.explode(F.sequence(shard, shard + (shards - 1))).alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding")
+    groups = shards_of(data, shard_rows).cache()
+    shards = max(1, groups.agg(F.max(F.col("first") + F.col("many"))).first()[0])
+    ranges = groups.groupBy("width").agg(F.min("first").alias("lo"), F.max(F.col("first") + F.col("many")).alias("hi"))
+    own = data.withColumn("width", F.size("embedding")).withColumn("octave", _octave()).join(F.broadcast(groups), ["width", "octave"])
+    rows = own.select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding")
+    sent = usable(queries).withColumn("width", F.size("embedding")).join(F.broadcast(ranges), "width").where("lo < hi")
+    asked = sent.select(F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int") - 1)).alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding")
 
     def search(batches):
         shard, ids, vectors, graph = None, [], [], None
@@ -193,6 +220,6 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int =
                     q, v, score = zip(*got, strict=True) if got else ((), (), ())
                     yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = rows.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id").mapInArrow(search, "query_id long, vec_id long, score double")
+    found = rows.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "vec_id").mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
