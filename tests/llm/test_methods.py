@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 
 import pytest
 
-from terrane.llm import common, html_text, language_id, licenses, packing, repeats, sentencepieces
+from terrane.llm import common, html_text, language_id, licenses, neighbours, packing, repeats, sentencepieces
 
 
 def test_every_way_of_filling_takes_part():
@@ -322,3 +322,28 @@ def test_sentencepiece_models_that_it_cannot_take():
     for extra in (b"\x12\x02\x18\x01", b"\x1a\x03\x12\x01x", b"\x1a\x02\x20\x01", b""):  # unigram, a character map, blanks removed, nothing
         with pytest.raises(ValueError):
             sentencepieces.check_model(proto + extra if extra else b"")
+
+
+def test_neighbours_of_extreme_norms(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8))
+    x[:200] *= 1e25
+    x[200:210] *= 1e-30
+    x[210] *= 1e5
+    x[211] *= 1e150
+    rows = [(i, v.tolist(), "x", 1) for i, v in enumerate(x)] + [(600, [1e-320] + [0.0] * 7, None, 1), (601, [0.0] * 8, None, 1), (602, [float("nan")] * 8, None, 1), (603, None, None, 1), (604, [1.0, None], None, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, rank int")
+    got = neighbours.nearest(df, df.where("vec_id % 20 = 0"))
+    assert got.groupBy("query_id").count().where("count <> 20").count() == 0 and got.select("query_id").distinct().count() == 31
+    x = np.concatenate([x, [[1e-320] + [0.0] * 7]])
+    found = {}
+    for r in got.collect():
+        assert r["score"] == float((x[r["query_id"]] * x[r["vec_id"]]).sum())
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for q, own in found.items():
+        best = [v for v in np.lexsort((np.arange(601), -(x * x[q]).sum(1))).tolist() if v != q][:20]
+        hits.append(len(own & set(best)))
+    assert sum(hits) >= 0.95 * 20 * len(hits)
