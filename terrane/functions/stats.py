@@ -78,26 +78,60 @@ def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     return df.join(ranks, df[column] == F.col("_v"), "left").drop("_v")
 
 
+def range_of(x: Column, edges: list) -> Column:
+    """How many of the sorted edges are below x, by binary search: a literal array, however many."""
+    if not edges:
+        return F.lit(0)
+    table = F.lit(edges)
+    steps = [1 << i for i in range(len(edges).bit_length() - 1, -1, -1)]
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, k: at + F.when(F.try_element_at(table, at + k) < x, k).otherwise(0))
+
+
 def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """df (distinct in order) with the running total of value, without one task seeing all rows.
 
     Rows are put in ranges by the value of `order`; totals of the ranges are added up first.
     """
-    spark = df.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / parts for i in range(1, parts)]
-    edges = df.select(F.percentile_approx(order, probs, 10000)).first()[0] if probs else []
-    edges = sorted(set(edges or []))
-    part = F.lit(0)
-    for i, e in enumerate(edges):
-        part = F.when(F.col(order) > F.lit(e), i + 1).otherwise(part)
-    dealt = df.withColumn("_part", part)
+    edges = df.select(F.percentile_approx(order, F.lit(probs), 10000)).first()[0] if probs else []
+    dealt = df.withColumn("_part", range_of(F.col(order), sorted(set(edges or []))))
     inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = dealt.groupBy("_part").agg(F.sum(value).alias("_s"))  # a row for each range
     base = sums.select("_part", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return dealt.withColumn("_in", F.sum(value).over(inside)).join(base, "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
 
 
+def at_ranks(df: DataFrame, column: str, ranks: list[int]) -> dict[int, tuple[float, int, int]]:
+    """For ranks from 0 in the order of a column: the value, and how many rows are below it and up to
+    it. Distinct values are counted and their totals run over ranges of value; only the rows of the
+    given ranks reach the driver."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    totals = running_total(counts, "_v", "_n", "_to").withColumn("_from", F.col("_to") - F.col("_n"))
+    wanted = sorted(set(ranks))
+    if not wanted:
+        return {}
+    first = range_of(F.col("_from"), wanted)  # how many wanted ranks are below these rows'
+    many = range_of(F.col("_to"), wanted) - first
+    hit = totals.where(many > 0).select("_v", "_from", "_to", first.alias("_first"), many.alias("_many")).collect()
+    return {wanted[i]: (r["_v"], r["_from"], r["_to"]) for r in hit for i in range(r["_first"], r["_first"] + r["_many"])}
+
+
+def quantiles(df: DataFrame, column: str, probs: list[float]) -> list[tuple[float, int]]:
+    """Exact quantiles (interpolated between neighbours), and how many rows are below each."""
+    n = df.where(F.col(column).isNotNull()).count()
+    if not n:
+        return []
+    places = [p * (n - 1) for p in probs]
+    found = at_ranks(df, column, [r for x in places for r in (int(x), min(n - 1, int(x) + 1))])
+    out = []
+    for x in places:
+        (low, below, through), (high, *_) = found[int(x)], found[min(n - 1, int(x) + 1)]
+        value = low + (x - int(x)) * (high - low)
+        out.append((value, below if value <= low else through))
+    return out
+
+
 def long_form(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
     """ids, feature and value (double): a row for each cell."""
     return df.select(*ids, *(F.col(f).cast("double").alias(f) for f in features)).unpivot(ids, features, "feature", "value")

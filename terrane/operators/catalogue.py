@@ -6,12 +6,13 @@ table_name, role, path, n_rows, n_cols, title) and document (dataset, version, t
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrane.functions.text import collapsed, key_of, tokens
+from terrane.functions.text import collapsed, key_of
 from terrane.functions.versions import version_key
 
 
@@ -71,6 +72,53 @@ def find_feature(feature: DataFrame, key: str, pairs: DataFrame | None = None) -
     return rows.where((F.col("name") == key) | (F.col("qualified_id") == key) | (F.concat_ws(".", "table_name", "name") == key))
 
 
+def find_features(feature: DataFrame, keys: DataFrame) -> DataFrame:
+    """key and the features that find_feature() gives for it, for many keys (column key) at once: one
+    equality join for each way to name a feature."""
+    ways = (F.col("name"), F.col("qualified_id"), F.concat_ws(".", "table_name", "name"))
+    named = feature.withColumn("key", F.explode(F.array_distinct(F.array(*ways))))
+    return named.join(keys.select("key").distinct(), "key")
+
+
+def list_documents(document: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The documents of a scope, in order."""
+    return in_scope(document, pairs).orderBy("dataset", "version", "title", "path")
+
+
+def table_names(feature: DataFrame, dataset: str, version: str) -> DataFrame:
+    """The tables that a version's features name."""
+    return feature.where((F.col("dataset") == dataset) & (F.col("version") == version)).select("table_name").distinct()
+
+
+def type_of(field_type: Column, measurement_scale: Column) -> Column:
+    """A feature's type as shown: its field type, else its measurement scale."""
+    return F.coalesce(*(F.when(F.trim(c) != "", F.trim(c)) for c in (field_type, measurement_scale)), F.lit(""))
+
+
+def resolve_tables(files: DataFrame, features: DataFrame, folders: dict[str, list[str]], version: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of a version's files (path, n_rows, n_cols), each with its stem, role and the dictionary's
+    table; and the features, under the stem of the table that their sheet is bound to."""
+    stem = strip_version(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1), version)
+    tables = files.withColumn("stem", stem).withColumn("role", role_of(F.col("path"), folders))
+    bound = bind_stems(tables.select("stem").distinct(), features.select(F.col("table_name").alias("sheet")).distinct())
+    out = tables.join(bound, "stem", "left").withColumn("table_name", F.col("stem"))
+    renamed = bound.where("sheet is not null").groupBy(F.col("sheet").alias("table_name")).agg(F.min("stem").alias("_stem"))
+    keyed = features.join(renamed, "table_name", "left").withColumn("table_name", F.coalesce("_stem", "table_name")).drop("_stem")
+    return out, keyed
+
+
+def role_of(path: Column, folders: dict[str, list[str]]) -> Column:
+    """The role whose folder is the first part of a path to match."""
+    lookup = {f.lower(): role for role, names in folders.items() for f in names}
+    parts = F.transform(F.split(path, "/"), lambda p: F.lower(p))
+    whole = F.create_map(*(F.lit(x) for kv in lookup.items() for x in kv)) if lookup else F.create_map().cast("map<string,string>")
+    return F.get(F.filter(F.transform(parts, lambda p: whole[p]), lambda r: r.isNotNull()), F.lit(0))
+
+
+def strip_version(stem: Column, version: str) -> Column:
+    return F.regexp_replace(stem, f"[-_]?{re.escape(version)}$", "")
+
+
 def feature_sources(tbl: DataFrame, by: list[str], most: int = 4) -> DataFrame:
     """The first roles and paths of each table, at most `most`, in order of role and path."""
     w = Window.partitionBy(*by).orderBy("role", "path")
@@ -128,39 +176,57 @@ def bind_stems(stems: DataFrame, sheets: DataFrame, prefix: int = 31) -> DataFra
 
 
 def query_terms(query: str, synonyms: dict[str, list[str]] | None = None) -> list[tuple[int, str]]:
-    """(group, term): each word of a query and its synonyms; groups must all be found."""
+    """(group, term): each word of a query and its synonyms; groups must all be found. A term of
+    several words is a phrase."""
     words = re.findall(r"[a-z0-9_]+", query.lower())
     if not words:
         raise ValueError("an empty query")
-    return [(i, t) for i, w in enumerate(words) for t in [w, *(synonyms or {}).get(w, [])]]
+    return [(i, t.lower()) for i, w in enumerate(words) for t in [w, *(synonyms or {}).get(w, [])]]
+
+
+def _pattern(term: str, prefix: bool) -> str:
+    """Matches of a term among a lower-case text's words; a phrase is never a prefix."""
+    words = re.findall(r"[a-z0-9_]+", term)
+    end = "" if prefix and len(words) == 1 else "(?![a-z0-9_])"
+    return "(?<![a-z0-9_])" + "[^a-z0-9_]+".join(words) + end
 
 
 def search(documents: DataFrame, key: str, text: Column, terms: list[tuple[int, str]], limit: int, k1: float = 1.2, b: float = 0.75, prefix: bool = False) -> DataFrame:
     """Documents in which every group has a term, by BM25 (negated: the least is best).
 
-    Only the words asked for are exploded, and statistics are aggregates; with prefix, a term is
-    found as the beginning of a word too.
+    terms: (group, term), as query_terms() makes them or as the caller likes. With prefix, a word is
+    found as the beginning of a longer one too; a term of several words is a phrase. Each scan of
+    the documents counts terms and words once; the first gives the statistics, one row.
     """
-    words = documents.select(key, tokens(text).alias("w"))
-    sized = words.select(key, F.size("w").alias("length"), "w")
-    total = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    counts = [F.size(F.filter("w", _matcher(t, prefix))).alias(f"f{i}") for i, (_, t) in enumerate(terms)]
-    hits = sized.select(key, "length", *counts)
-    df = hits.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms))))
-    rows = hits.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(df))  # one row each
+    low = documents.select(key, F.inline(F.array(F.struct(F.lower(text).alias("t")))))  # so that it is worked out once
+
+    def count(term: str) -> Column:  # most documents don't hold a term's first word at all
+        return F.when(F.col("t").contains(re.findall(r"[a-z0-9_]+", term)[0]), F.regexp_count("t", F.lit(_pattern(term, prefix)))).otherwise(0)
+
+    hits = low.select(key, "t", F.inline(F.array(F.struct(*(count(t).alias(f"f{i}") for i, (_, t) in enumerate(terms))))))
+    length = F.regexp_count("t", F.lit("[a-z0-9_]+"))
+    total = hits.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
+    n, mean = total["n"], total["mean"] or 1.0
     score: Column = F.lit(0.0)
     for i in range(len(terms)):
-        f, d = F.col(f"f{i}").cast("double"), F.col(f"d{i}")
-        idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - d + 0.5) / (d + 0.5)))
-        score += idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+        f, d = F.col(f"f{i}").cast("double"), total[f"d{i}"]
+        idf = max(1e-6, math.log((n - d + 0.5) / (d + 0.5)))
+        score += idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / mean))
     every: Column = F.lit(True)
     for g in sorted({g for g, _ in terms}):
         every &= F.greatest(*(F.col(f"f{i}") for i, (h, _) in enumerate(terms) if h == g), F.lit(0)) > 0
-    return rows.where(every).select(key, (-score).alias("rank")).orderBy("rank", key).limit(limit)
+    return hits.where(every).withColumn("length", length).select(key, (-score).alias("rank")).orderBy("rank", key).limit(limit)
 
 
-def _matcher(term: str, prefix: bool):
-    return (lambda w: w.startswith(term)) if prefix else (lambda w: w == term)
+def search_features(feature: DataFrame, query: str, pairs: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None, table_name: str | None = None, scale: str | None = None, limit: int = 50) -> DataFrame:
+    """Features of a scope whose name, table and definition hold every word of a query, as the
+    beginning of a word, or a synonym of it; uid and rank. scale: the field type or measurement scale."""
+    rows = in_scope(feature, pairs) if pairs is not None else feature
+    if table_name is not None:
+        rows = rows.where(F.col("table_name") == table_name)
+    if scale is not None:
+        rows = rows.where((F.col("measurement_scale") == scale) | (F.col("field_type") == scale))
+    return search(rows, "uid", F.concat_ws(" ", "name", "table_name", "definition"), query_terms(query, synonyms), limit, prefix=True)
 
 
 def section_windows(lines: DataFrame, by: str, line: str, hit: Column, context: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.stats import running_total
+from terrane.functions.stats import quantiles, running_total
 
 
 def bin_of(x: Column, edges: list[float]) -> Column:
@@ -25,19 +25,20 @@ def band_labels(edges: list[float]) -> list[str]:
 
 def quantile_edges(df: DataFrame, column: str, q: int) -> list[float]:
     """The inner edges of q bins with equal shares, exact; equal edges count once."""
-    probs = F.array(*(F.lit(i / q) for i in range(1, q)))
-    got = df.agg(F.percentile(column, probs).alias("e")).first()["e"]
-    return sorted(set(got or []))
+    return sorted({e for e, _ in quantiles(df, column, [i / q for i in range(1, q)])})
 
 
 def value_counts(df: DataFrame, column: str, step: float | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values and their numbers, on the driver.
 
-    With a step the values are rounded to it, so that range / step bounds what is collected.
+    Values are rounded to the step, 2^-16 of their range unless given, so that range / step bounds
+    what is collected.
     """
     x = F.col(column).cast("double")
-    x = F.round(x / step) * step if step else x
-    rows = df.where(F.col(column).isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").toPandas()
+    if step is None:
+        low, high = df.agg(F.min(x), F.max(x)).first()
+        step = (high - low) / 65536 if low is not None and high > low else 1.0
+    rows = df.where(F.col(column).isNotNull()).groupBy((F.round(x / step) * step).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").toPandas()
     return rows["v"].to_numpy(), rows["n"].to_numpy()
 
 
@@ -45,15 +46,15 @@ def max_equal_edges(df: DataFrame, column: str, floor: int) -> list[float]:
     """Edges of as many equal bins as leave at least `floor` rows in each (two at least)."""
     n = df.where(F.col(column).isNotNull()).count()
     for q in range(max(2, n // floor), 1, -1):
-        edges = quantile_edges(df, column, q)
-        sizes = df.where(F.col(column).isNotNull()).groupBy(bin_of(F.col(column), edges).alias("b")).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("bins")).first()
-        if q == 2 or sizes["least"] >= floor and sizes["bins"] == len(edges) + 1:
-            return edges
+        found = dict(quantiles(df, column, [i / q for i in range(1, q)]))  # equal edges count once
+        sizes = np.diff([0, *(found[e] for e in sorted(found)), n])
+        if q == 2 or sizes.min() >= floor:
+            return sorted(found)
     return []
 
 
 def focal_grid(df: DataFrame, column: str, points: int, span: tuple[float, float] = (0.025, 0.975)) -> list[float]:
-    low, high = df.agg(F.percentile(column, F.array(*map(F.lit, span))).alias("e")).first()["e"]
+    (low, _), (high, _) = quantiles(df, column, list(span))
     return [float(x) for x in np.linspace(low, high, points)]
 
 

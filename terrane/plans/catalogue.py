@@ -78,7 +78,7 @@ def feature_sources_top4(spark, sf):
 
 
 def documents_all_tokens(spark, sf):
-    d = table(spark, sf, "pages").select("page_id", F.substring("html", 1, 600).alias("title"), F.col("url").alias("path"))
+    d = table(spark, sf, "pages").select("page_id", F.col("html").alias("title"), F.col("url").alias("path"))
     return C.find_documents(d, "example the").select("page_id", "path")
 
 
@@ -129,6 +129,45 @@ def search_bm25(spark, sf):
     return C.search(d, "doc_id", F.col("text"), SEARCH, 50).withColumn("rank", F.round("rank", 6))
 
 
+def search_prefix(spark, sf):
+    """Terms as the beginnings of words."""
+    d = table(spark, sf, "documents")
+    return C.search(d, "doc_id", F.col("text"), C.query_terms("lice benefi", {"benefi": ["cont"]}), 50, prefix=True).withColumn("rank", F.round("rank", 6))
+
+
+def search_phrase(spark, sf):
+    """A word with a synonym of two words, found one after the other."""
+    d = table(spark, sf, "documents")
+    return C.search(d, "doc_id", F.col("text"), C.query_terms("licensed", {"licensed": ["rights reserved"]}), 50).withColumn("rank", F.round("rank", 6))
+
+
+def search_features_scoped(spark, sf):
+    f = _features(spark, sf).withColumns({"definition": F.col("qualified_id"), "field_type": F.concat(F.lit("t"), F.col("size") % 3), "measurement_scale": F.lit(None).cast("string")})
+    return C.search_features(f, "economy", C.scope(f), scale="t1", limit=50).withColumn("rank", F.round("rank", 6))
+
+
+def find_feature_any_name(spark, sf):
+    """Features by name, qualified id or table.name, for many keys at once."""
+    f = _features(spark, sf)
+    keys = f.where("uid % 7 = 1").select(F.explode(F.array("name", "qualified_id", F.concat_ws(".", "table_name", "name"))).alias("key"))
+    return C.find_features(f, keys).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("uid").alias("last_uid"))
+
+
+def documents_listed(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("lang").alias("dataset"), F.regexp_replace("source", "^src", "").alias("version"), F.col("source").alias("title"), F.col("doc_id").cast("string").alias("path"))
+    return C.list_documents(d, C.scope(d))
+
+
+def tables_resolved(spark, sf):
+    """Files' stems bound to a dictionary's tables, and features under the stems."""
+    p = table(spark, sf, "part")
+    files = p.select(F.concat(F.lit("/data/Main/"), F.regexp_replace("p_type", " ", "_"), F.lit("-2024.csv")).alias("path")).distinct().withColumns({"n_rows": F.lit(1), "n_cols": F.lit(1)})
+    features = p.select(F.col("p_type").alias("table_name"), F.col("p_name").alias("name"))
+    tables, keyed = C.resolve_tables(files, features, {"core": ["main"]}, "2024")
+    n = keyed.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_features"))
+    return tables.select("stem", "role", "sheet", "table_name").join(n, "table_name", "left").select("stem", "role", "sheet", "n_features")
+
+
 def section_windows(spark, sf):
     c = table(spark, sf, "conversations")
     return C.section_windows(c, "conv_id", "turn", F.lower("text").contains("the"), 1)
@@ -141,14 +180,35 @@ def page_lines(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (scope_latest_version, scope_latest_source, tables_grouped, tables_role_grep, describe_page, find_feature_disjunction, feature_sources_top4, documents_all_tokens, dataset_counts, version_counts_distinct, dictionary_diff, dedup_first_ci, value_levels, synonyms_pairs, bind_stems, search_bm25, section_windows, page_lines)
+    for f in (scope_latest_version, scope_latest_source, tables_grouped, tables_role_grep, describe_page, find_feature_disjunction, feature_sources_top4, documents_all_tokens, dataset_counts, version_counts_distinct, dictionary_diff, dedup_first_ci, value_levels, synonyms_pairs, bind_stems, search_bm25, search_prefix, search_phrase, search_features_scoped, find_feature_any_name, documents_listed, tables_resolved, section_windows, page_lines)
 }
 
 _WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')"
 _F = ", ".join(f"len(list_filter({_WORDS}, lambda x: x = '{t}')) as f{i}" for i, (_, t) in enumerate(SEARCH))
 _SCORE = " + ".join(f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(SEARCH)))
 
+
+
+def _ranked(words: str, key: str, source: str, found: list[tuple[int, str]], limit: int = 50) -> str:
+    """SQL of a search: words of the texts as a list w, and for each term how often it is found."""
+    f = ", ".join(f"({x}) as f{i}" for i, (_, x) in enumerate(found))
+    d = ", ".join(f"count(*) filter (f{i} > 0) as d{i}" for i in range(len(found)))
+    score = " + ".join(f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(len(found)))
+    every = " and ".join("(" + " or ".join(f"f{i} > 0" for i, (h, _) in enumerate(found) if h == g) + ")" for g in sorted({g for g, _ in found}))
+    return f"with t as (select {key}, {words} as w from {source}), h as (select {key}, len(w) as length, {f} from t), s as (select count(*) as n, avg(length) as mean, {d} from h) select {key}, round(-({score}), 6) as rank from h, s where {every} order by -({score}), {key} limit {limit}"
+
+
+def _begin(term: str) -> str:
+    return f"len(list_filter(w, lambda x: starts_with(x, '{term}')))"
+
+
 ORACLES = {
+    "search_prefix": _ranked(_WORDS, "doc_id", "documents", [(0, _begin("lice")), (1, _begin("benefi")), (1, _begin("cont"))]),
+    "search_phrase": _ranked(_WORDS, "doc_id", "documents", [(0, "len(list_filter(w, lambda x: x = 'licensed'))"), (0, "len(list_filter(range(1, len(w)), lambda i: w[i] = 'rights' and w[i + 1] = 'reserved'))")]),
+    "search_features_scoped": _ranked(_WORDS.replace("lower(text)", "lower(name || ' ' || table_name || ' ' || qualified_id)"), "uid", f"(select f.* from {FEATURES} f join {LATEST} l on f.dataset = l.dataset and f.version = l.version where size % 3 = 1)", [(0, _begin("economy"))]),
+    "find_feature_any_name": f"with f as (select *, table_name || '.' || name as full_name from {FEATURES}), k as (select distinct unnest([name, qualified_id, full_name]) as key from f where uid % 7 = 1) select key, count(*) as n, max(uid) as last_uid from f join k on f.name = k.key or f.qualified_id = k.key or f.full_name = k.key group by key",
+    "documents_listed": "with d as (select lang as dataset, replace(source, 'src', '') as version, source as title, doc_id::varchar as path from documents), l as (select dataset, max(version::int)::varchar as version from d group by 1) select d.dataset, d.version, title, path from d join l using (dataset, version)",
+    "tables_resolved": "select replace(p_type, ' ', '_') as stem, 'core' as role, p_type as sheet, count(*) as n_features from part group by p_type",
     "scope_latest_version": f"select f.dataset, f.version, count(*) as n_features from {FEATURES} f join {LATEST} l on f.dataset = l.dataset and f.version = l.version group by 1, 2",
     "scope_latest_source": "with d as (select lang as dataset, replace(source, 'src', '') as version, n_chars from documents), l as (select dataset, max(version::int)::varchar as version from d group by 1) select d.dataset, d.version, count(*) as n_docs, sum(n_chars)::bigint as n_chars from d join l using (dataset, version) group by 1, 2",
     "tables_grouped": _GROUP.format(t=TABLES, where=""),
@@ -156,7 +216,7 @@ ORACLES = {
     "describe_page": f"with f as (select * from {FEATURES} where table_name = 'ECONOMY') select uid, name, dataset, (select count(*) from f) as total from f order by uid limit 50 offset 10",
     "find_feature_disjunction": f"with f as (select * from {FEATURES}), k as (select distinct name as key from f where uid % 97 = 1) select key, count(*) as n, min(qualified_id) as first, max(uid) as last_uid from f join k on f.name = k.key group by key",
     "feature_sources_top4": "select table_name, role, path, rank from (select n_name as table_name, 'r' || (s_suppkey % 3)::varchar as role, s_name as path, row_number() over (partition by n_name order by 'r' || (s_suppkey % 3)::varchar, s_name)::int as rank from supplier join nation on s_nationkey = n_nationkey) where rank <= 4",
-    "documents_all_tokens": "select page_id, url as path from pages where (lower(substr(html, 1, 600)) like '%example%' or lower(url) like '%example%') and (lower(substr(html, 1, 600)) like '%the%' or lower(url) like '%the%')",
+    "documents_all_tokens": "select page_id, url as path from pages where (lower(html) like '%example%' or lower(url) like '%example%') and (lower(html) like '%the%' or lower(url) like '%the%')",
     "dataset_counts": "select n_nationkey as dataset, n_name, (select count(*) from customer where c_nationkey = n_nationkey) as n_versions, (select count(*) from supplier where s_nationkey = n_nationkey) as n_features from nation",
     "version_counts_distinct": f"select dataset, version, count(distinct table_name) as n_tables, count(*) as n_features from {FEATURES} group by 1, 2",
     "dictionary_diff": """

@@ -42,7 +42,7 @@ def cohort_outer(spark, sf):
 
 
 def union_common_drop_dups(spark, sf):
-    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("group"), "c_name").where("id % 3 = 0")
+    a = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("group"), "c_name")
     b = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"), F.lit(0).alias("group"))
     return K.drop_repeated(K.union_common(a, b), "id")
 
@@ -139,7 +139,7 @@ ORACLES = {
         with t as (select o_custkey as id, count(*) as n_orders from orders group by 1 having count(*) > 9), p as (select c_custkey as id, case when c_acctbal > 0 then c_acctbal end as balance, c_nationkey as nation from customer)
         select nation, count(*) as n, count(n_orders) as n_with_orders, count(*) filter (balance is not null and n_orders is not null) as n_complete from p full join t using (id) group by nation""",
     "union_common_drop_dups": """
-        with u as (select c_custkey as id, c_nationkey as "group" from customer where c_custkey % 3 = 0 union all select o_custkey, 0 from orders where o_orderstatus = 'F')
+        with u as (select c_custkey as id, c_nationkey as "group" from customer union all select o_custkey, 0 from orders where o_orderstatus = 'F')
         select id, "group" from u where id in (select id from u group by id having count(*) = 1)""",
     "axis_keep_first": "select c_custkey as id, o_orderkey, year(o_orderdate)::int as year from customer left join (select *, row_number() over (partition by o_custkey order by o_orderkey) as r from orders) o on o_custkey = c_custkey and r = 1",
     "family_coalesce": "select c_custkey as id, coalesce((f % 100)::varchar, c_custkey::varchar) as family from customer left join (select o_custkey, min(o_orderkey) as f from orders where o_orderpriority = '1-URGENT' group by 1) on o_custkey = c_custkey",

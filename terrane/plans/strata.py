@@ -25,8 +25,14 @@ def quantile_bins(spark, sf):
 
 
 def fixed_bands(spark, sf):
-    labels = F.array(*map(F.lit, S.band_labels(BANDS)))
-    return _customers(spark, sf).groupBy(F.element_at(labels, S.bin_of(F.col("c_acctbal"), BANDS) + 1).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile("c_acctbal", F.lit(0.5)), 3).alias("median"))
+    c = _customers(spark, sf).withColumn("bin", S.bin_of(F.col("c_acctbal"), BANDS))
+    sizes = {r["bin"]: r["n"] for r in c.where("bin is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per band
+    starts = {b: sum(n for x, n in sizes.items() if x < b) for b in sizes}
+    middle = {b: (starts[b] + (n - 1) // 2, starts[b] + n // 2) for b, n in sizes.items()}
+    at = stats.at_ranks(c, "c_acctbal", [r for pair in middle.values() for r in pair])
+    labels = S.band_labels(BANDS)
+    rows = [(labels[b], n, round((at[middle[b][0]][0] + at[middle[b][1]][0]) / 2, 3)) for b, n in sizes.items()]
+    return spark.createDataFrame(rows, "band string, n long, median double")
 
 
 def max_equal_bins(spark, sf):

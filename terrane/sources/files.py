@@ -34,6 +34,18 @@ def count_data_rows(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy("path").agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("n_rows"))
 
 
+def csv_columns(spark: SparkSession, path: str) -> list[str]:
+    """A CSV table's header."""
+    return spark.read.option("header", True).csv(path).columns
+
+
+def header_ncols(spark: SparkSession, path: str) -> DataFrame:
+    """path and n_cols: how many columns the first line of each file has, quoted commas aside."""
+    lines = spark.read.option("wholetext", False).text(path).select(F.input_file_name().alias("path"), "value", F.monotonically_increasing_id().alias("_i"))
+    first = lines.groupBy("path").agg(F.min_by("value", "_i").alias("header"))
+    return first.select("path", F.size(F.split(F.regexp_replace("header", r'"(?:[^"]|"")*"', "q"), ",")).alias("n_cols"))
+
+
 def version_folders(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """version and path of the files below path whose folder matches pattern's first group."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")

@@ -1,16 +1,16 @@
-"""A catalogue kept as Parquet tables partitioned by dataset, and the parsing of dictionaries into it."""
+"""A catalogue kept as Parquet tables partitioned by dataset and version, and the parsing of dictionaries into it."""
 
 from __future__ import annotations
 
 import json
 import os
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.functions.text import cleaned, truthy
+from terrane.operators.catalogue import resolve_tables, role_of, strip_version  # noqa: F401
 from terrane.sources.sinks import exists
 
 SCHEMAS = {
@@ -44,53 +44,33 @@ def load_layouts(texts: dict[str, str], own: dict[str, str] | None = None) -> di
     return {k: Layout(**json.loads(v)) for k, v in merged.items()}
 
 
-def _cell(header: list[str], aliases: list[str]):
-    """The cell under the first alias that a header has (leftmost of equals), else null."""
-    names = [h.strip().lower() for h in header]
-    at = next((names.index(a.lower()) for a in aliases if a.lower() in names), None)
-    return F.lit(None).cast("string") if at is None else F.get("cells", F.lit(at))
-
-
 def parse_sheets(rows: DataFrame, layout: Layout, version: str) -> DataFrame:
-    """Feature rows of a workbook's sheets (path, sheet, row_no, cells), without blank or repeated names.
+    """Feature rows of workbooks' sheets (path, sheet, row_no, cells), without blank or repeated names.
 
-    The first row of a sheet is its header; only headers reach the driver. Of names that differ in
-    case alone the first in a table counts.
+    The first row of a sheet is its header; each row is read once, beside its sheet's header, which a
+    map from names to places stands for (of equal names the leftmost). Of names that differ in case
+    alone the first in a table counts.
     """
-    first = rows.groupBy("sheet").agg(F.min("row_no").alias("row_no"))
-    headers = {r["sheet"]: r["cells"] for r in rows.join(first, ["sheet", "row_no"]).select("sheet", "cells").collect()}
-    out = None
-    for sheet, header in sorted(headers.items()):
-        if layout.single_sheet is not None and sheet != layout.single_sheet:
-            continue
-        name = _cell(header, layout.name)
-        own = rows.where(F.col("sheet") == sheet).join(first, ["sheet", "row_no"], "left_anti")
-        roles = [F.when(truthy(cleaned(_cell(header, [r]))), F.lit(r)) for r in layout.roles]
-        part = own.select(
-            F.lit(layout.dataset).alias("dataset"), F.lit(version).alias("version"), (cleaned(_cell(header, layout.table)) if layout.single_sheet else F.lit(sheet)).alias("table_name"), cleaned(F.coalesce(name, F.get("cells", F.lit(0)))).alias("name"),
-            cleaned(_cell(header, layout.definition)).alias("definition"), cleaned(_cell(header, layout.values)).alias("values"), cleaned(_cell(header, layout.field_type)).alias("field_type"), F.concat_ws(",", *roles).alias("roles"), F.col("row_no").cast("long").alias("uid"),
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], SCHEMAS["feature"])
-    w = Window.partitionBy("table_name", F.lower("name")).orderBy("uid")
-    return out.where("name <> '' and table_name <> ''").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
-def role_of(path, folders: dict[str, list[str]]):
-    """The role whose folder is the first part of a path to match, as a column expression."""
-    lookup = {f.lower(): role for role, names in folders.items() for f in names}
-    parts = F.transform(F.split(path, "/"), lambda p: F.lower(p))
-    whole = F.create_map(*(F.lit(x) for kv in lookup.items() for x in kv))
-    return F.get(F.filter(F.transform(parts, lambda p: whole[p]), lambda r: r.isNotNull()), F.lit(0))
-
-
-def strip_version(stem, version: str):
-    return F.regexp_replace(stem, f"[-_]?{re.escape(version)}$", "")
+    own = rows if layout.single_sheet is None else rows.where(F.col("sheet") == layout.single_sheet)
+    top = F.min_by(F.transform("cells", lambda c: F.lower(F.trim(c))), "row_no")
+    headers = own.groupBy("path", "sheet").agg(F.min("row_no").alias("_first"), top.alias("_header"))
+    body = own.join(headers, ["path", "sheet"]).where("row_no > _first")
+
+    def cell(aliases: list[str]):
+        at = F.coalesce(*(F.when(F.array_contains("_header", a.lower()), F.array_position("_header", a.lower())) for a in aliases), F.lit(0))
+        return F.when(at > 0, F.get("cells", (at - 1).cast("int")))
+
+    roles = [F.when(truthy(cleaned(cell([r]))), F.lit(r)) for r in layout.roles]
+    named = body.select(
+        F.lit(layout.dataset).alias("dataset"), F.lit(version).alias("version"), (cleaned(cell(layout.table)) if layout.single_sheet else F.col("sheet")).alias("table_name"), cleaned(F.coalesce(cell(layout.name), F.get("cells", F.lit(0)))).alias("name"),
+        cleaned(cell(layout.definition)).alias("definition"), cleaned(cell(layout.values)).alias("values"), cleaned(cell(layout.field_type)).alias("field_type"), F.concat_ws(",", *roles).alias("roles"), F.col("row_no").cast("long").alias("uid"), "path",
+    )
+    w = Window.partitionBy("table_name", F.lower("name")).orderBy("path", "uid")
+    return named.where("name <> '' and table_name <> ''").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "path")
 
 
 class Store:
-    """Tables below a root. Replacing a dataset rewrites its partitions alone."""
+    """Tables below a root. Replacing a version rewrites its partitions alone."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
@@ -102,13 +82,24 @@ class Store:
         return self.spark.read.schema(SCHEMAS[name]).parquet(path).select([c.split()[0] for c in SCHEMAS[name].split(", ")])
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """rows in place of what the store has of their datasets (of synonyms: of everything)."""
+        """rows in place of what the store has of their datasets and versions (of synonyms: of
+        everything). Other versions of a dataset stay as they are."""
         cols = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+        keys = [c for c in ("dataset", "version") if c in cols]
         w = rows.select(cols).write.mode("overwrite")
-        if cols[0] == "dataset":
-            w = w.option("partitionOverwriteMode", "dynamic").partitionBy("dataset")
+        if keys:
+            w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
         w.parquet(f"{self.root}/{name}")
 
+    def clear(self, dataset: str) -> None:
+        """Takes a dataset with all its versions out of every table."""
+        jvm = self.spark.sparkContext._jvm
+        for name in SCHEMAS:
+            if "dataset string" in SCHEMAS[name]:
+                escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dataset)
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/dataset={escaped}")
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def register(self) -> None:
         """All tables as temporary views, for SQL."""
         for name in SCHEMAS:
@@ -122,9 +113,8 @@ def ingest(store: Store, layout: Layout, version: str, sheets: DataFrame, tables
     """
     spark, name = store.spark, layout.dataset
     store.replace("dataset", spark.range(1).select(F.lit(name).alias("dataset"), F.lit(layout.display_name or name).alias("display_name")))
-    kept = store.table("version").where((F.col("dataset") == name) & (F.col("version") != version)).toArrow()  # a row for each version
     now = spark.range(1).select(F.lit(name).alias("dataset"), F.lit(version).alias("version"), F.lit(os.path.basename(version)).alias("ship_folder"), F.lit("").alias("dictionary_path"), F.current_timestamp().alias("ingested_at"))
-    store.replace("version", now.unionByName(spark.createDataFrame(kept, SCHEMAS["version"])) if kept.num_rows else now)
+    store.replace("version", now)
     store.replace("feature", parse_sheets(sheets, layout, version))
     store.replace("tbl", tables)
     if documents is not None:
@@ -132,3 +122,28 @@ def ingest(store: Store, layout: Layout, version: str, sheets: DataFrame, tables
     if synonyms is not None:
         store.replace("synonym", synonyms)
     return {t: store.table(t).where(F.col("dataset") == name).count() for t in ("feature", "tbl", "document")}
+
+
+def ingest_versions(store: Store, layout: Layout, sheets: dict[str, DataFrame], files: dict[str, DataFrame], folders: dict[str, list[str]] | None = None, clear: bool = False) -> dict[str, int]:
+    """Puts all versions of a dataset into the store: by version, the sheets of its dictionary, and its
+    data files (path, n_rows, n_cols), whose tables the dictionary's sheets are bound to."""
+    if clear:
+        store.clear(layout.dataset)
+    spark, name, counts = store.spark, layout.dataset, {}
+    for version in sheets:
+        tables, _ = resolve_tables(files[version], parse_sheets(sheets[version], layout, version), folders or {}, version)
+        rows = tables.select(F.lit(name).alias("dataset"), F.lit(version).alias("version"), "table_name", "role", "path", F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("int").alias("n_cols"), F.coalesce("sheet", "table_name").alias("title"))
+        counts = ingest(store, layout, version, sheets[version], rows)
+        _, keyed = resolve_tables(files[version], store.table("feature").where((F.col("dataset") == name) & (F.col("version") == version)), folders or {}, version)
+        columns = [c.split()[0] for c in SCHEMAS["feature"].split(", ")]
+        store.replace("feature", spark.createDataFrame(keyed.select(columns).toArrow(), SCHEMAS["feature"]))  # a dictionary's rows
+    return counts
+
+
+def source_csv(tbl: DataFrame, dataset: str, version: str, table_name: str, role: str | None = None) -> str:
+    """The path of a table's file; of several the first. ValueError if there is none."""
+    rows = tbl.where((F.col("dataset") == dataset) & (F.col("version") == version) & (F.col("table_name") == table_name))
+    found = (rows.where(F.col("role") == role) if role is not None else rows).agg(F.min("path")).first()[0]
+    if found is None:
+        raise ValueError(f"no file for {dataset} {version} {table_name} {role or ''}".strip())
+    return found

@@ -377,3 +377,65 @@ def test_schemes(spark):
     got = {(r["place"], r["class"]): r["reject"] for r in schemes.sweep(df, "x", "id", schemes.parse_scheme("hardbins:quantile:5"), 200).collect()}
     assert got[4, 0] and not got[4, 1]
     assert schemes.localise(df, "x", schemes.parse_scheme("kernel:5:3")).select("place").distinct().count() == 3
+
+
+def test_running_totals_and_quantiles_over_many_partitions(spark):
+    """The plan stays flat however many ranges there are."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=3000), 2)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double").union(spark.createDataFrame([(-1, None)], "i int, x double"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2000")
+        got = stats.running_total(df.where("i >= 0"), "i", "x", "t").agg(F.sum("t").alias("s"), F.max_by("t", "i").alias("last")).first()
+        assert got["s"] == pytest.approx(np.cumsum(x).sum()) and got["last"] == pytest.approx(x.sum())
+        found = stats.quantiles(df, "x", [0.0, 0.1, 0.333, 0.5, 1.0])
+        assert [v for v, _ in found] == pytest.approx(np.quantile(x, [0.0, 0.1, 0.333, 0.5, 1.0]).tolist())
+        assert [n for _, n in found] == [int((x < v).sum()) for v, _ in found]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_range_of(spark):
+    edges = [1.0, 2.0, 2.5, 7.0, 9.0]
+    got = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 2.2, 2.6, 8.0, 9.0, 10.0)], "x double").select(stats.range_of(F.col("x"), edges).alias("r")).collect()
+    assert [r["r"] for r in got] == [0, 0, 1, 2, 3, 4, 4, 5]
+
+
+def test_store_keeps_versions_apart(spark, tmp_path):
+    layout = store.Layout("d", single_sheet=None)
+
+    def sheets(*names, path="a.xlsx"):
+        rows = [(path, "Table One", 1, ["Description", "NAME"])] + [(path, "Table One", i + 2, [f"the {n}", n]) for i, n in enumerate(names)]
+        return spark.createDataFrame(rows, "path string, sheet string, row_no long, cells array<string>")
+
+    def files(version):
+        return spark.createDataFrame([(f"/x/Main/table_one-{version}.csv", 5, 2)], "path string, n_rows int, n_cols int")
+
+    s = store.Store(spark, str(tmp_path))
+    store.ingest_versions(s, layout, {"1": sheets("a", "b"), "2": sheets("a", "c", "d")}, {"1": files("1"), "2": files("2")}, {"core": ["main"]})
+    f = s.table("feature")
+    assert {(r["version"], r["table_name"], r["name"]) for r in f.collect()} == {("1", "table_one", "a"), ("1", "table_one", "b"), ("2", "table_one", "a"), ("2", "table_one", "c"), ("2", "table_one", "d")}
+    assert {(r["version"], r["role"], r["title"]) for r in s.table("tbl").collect()} == {("1", "core", "Table One"), ("2", "core", "Table One")}
+    assert sorted(r["version"] for r in s.table("version").collect()) == ["1", "2"]
+    diff = catalogue.diff_versions(f.where("version = '1'"), f.where("version = '2'"))
+    assert {(r["name"], r["kind"]) for r in diff.collect()} == {("b", "removed"), ("c", "added"), ("d", "added")}
+    assert catalogue.in_scope(f, catalogue.scope(f)).count() == 3
+    assert store.source_csv(s.table("tbl"), "d", "2", "table_one", "core").endswith("table_one-2.csv")
+    with pytest.raises(ValueError):
+        store.source_csv(s.table("tbl"), "d", "3", "table_one")
+    s.clear("d")
+    assert s.table("feature").count() == s.table("version").count() == 0
+
+
+def test_sheets_of_one_name_in_two_workbooks(spark):
+    rows = [("a", "S", 1, ["name", "label"]), ("a", "S", 2, ["x", "from a"]), ("b", "S", 1, ["label", "", "Name"]), ("b", "S", 2, ["from b", "", "y"]), ("b", "S", 3, ["again", "", "X"])]
+    df = spark.createDataFrame(rows, "path string, sheet string, row_no long, cells array<string>")
+    got = {(r["name"], r["definition"]) for r in store.parse_sheets(df, store.Layout("d"), "1").collect()}
+    assert got == {("x", "from a"), ("y", "from b")}
+
+
+def test_headers_of_csv_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,"y, z",w\n1,2,3\n')
+    assert [r["n_cols"] for r in files.header_ncols(spark, f"{tmp_path}/a.csv").collect()] == [3]
+    assert files.csv_columns(spark, f"{tmp_path}/a.csv") == ["x", "y, z", "w"]
