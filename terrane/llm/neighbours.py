@@ -163,9 +163,13 @@ def usable(embeddings: DataFrame) -> DataFrame:
 
 
 def _octave() -> Column:
-    """The power of 2 nearest to a vector's norm; no square overflows on the way."""
-    most = F.array_max(F.transform("embedding", F.abs))
-    return F.floor(F.log2(most) + 0.5 * F.log2(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) + 0.5)
+    """The power of 2 nearest to a vector's norm. Where squares overflow or vanish, they are taken of
+    the components over the greatest."""
+    square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    most = F.array(F.array_max(F.transform("embedding", F.abs)))
+    scaled = F.transform(most, lambda m: F.log2(m) + 0.5 * F.log2(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / m) * (x / m))))
+    usual = F.transform(F.array(square), lambda s: F.when(s.between(1e-200, 1e200), 0.5 * F.log2(s)).otherwise(scaled[0]))
+    return F.floor(usual[0] + 0.5)
 
 
 def shards_of(data: DataFrame, shard_rows: int) -> DataFrame:
