@@ -32,6 +32,7 @@ LENGTH = 100
 GRAM = 32
 CHUNK = 1 << 20
 BLOCK = 1 << 27
+TASK_BYTES = 8 << 20  # of text for each bucket's or chunk's task
 FREQUENT = 300
 STRIDE = 8
 INDEX_BYTES = 1 << 18
@@ -530,7 +531,8 @@ def remove_repeats(docs: DataFrame, as_text: bool = False, carry: bool = False)
     compared whole, by one task.
     """
     small_batches(docs.sparkSession)
-    many = 2 * partitions(docs.sparkSession)  # a task holds all that its bucket or chunk has
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    many = max(2 * partitions(docs.sparkSession), size // TASK_BYTES)  # a task holds all that its bucket or chunk has
     bits = max(8, (2 * many - 1).bit_length())
     others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] if carry else []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.struct(*others) if others else F.lit(None).cast("string")).alias("carry"))
