@@ -120,3 +120,45 @@ def infer_type(field_type: Column, levels: Column) -> Column:
 def sample_rows(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows chosen by a seeded hash of their key: the same on every run."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def count(column: Column) -> Column:
+    """A cell as a number; what is none is missing."""
+    return F.trim(column.cast("string")).try_cast("double")
+
+
+def calculated_flag(column: Column) -> Column:
+    """1 where a calculated field is 1, else 0: its blank is a real 0."""
+    return F.coalesce((count(column) == 1).cast("int"), F.lit(0))
+
+
+def collapsed_one_hot(df: DataFrame, key: str, column: str, groups: DataFrame, prefix: str, levels: list[str]) -> DataFrame:
+    """one_hot() of the groups that a column's values are in (groups: value, group; a small table)."""
+    named = df.join(F.broadcast(groups.select(F.col("value").alias("_v"), F.col("group").alias("_g"))), F.col(column) == F.col("_v"), "left")
+    return one_hot(named, key, "_g", prefix, levels)
+
+
+def random_axis(key: Column, seed: int) -> Column:
+    """An axis without meaning: uniform in [0, 1) by a seeded hash of the key, the same on every run."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+
+
+def shared_features(first: list[str], second: list[str]) -> list[str]:
+    """The features of both cohorts, in the first one's order."""
+    there = set(second)
+    return [f for f in first if f in there]
+
+
+def build_matrix(df: DataFrame, key: str, features: list[str], covariates: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The features and the covariates of an integrated cohort, each with its key. KeyError if a column
+    is missing."""
+    missing = [c for c in (key, *features, *covariates) if c not in df.columns]
+    if missing:
+        raise KeyError(", ".join(missing))
+    return df.select(key, *features), df.select(key, *covariates)
+
+
+def last_by_key(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """key and value of a map's rows: of repeated keys the last counts, a blank value is `unmapped`."""
+    blank = F.coalesce(F.trim(value), F.lit("")) == ""
+    return df.groupBy(key).agg(F.max_by(F.when(blank, "unmapped").otherwise(F.trim(value)), order).alias(value))

@@ -107,3 +107,56 @@ def shrinkage(raw: DataFrame, conditioned: DataFrame, by: list[str]) -> DataFram
     """1 - conditioned / raw magnitude of each group."""
     j = raw.select(*by, F.col("full").alias("raw")).join(conditioned.select(*by, F.col("full").alias("conditioned")), by)
     return j.withColumn("shrinkage", F.when(F.col("raw") > 0, 1 - F.col("conditioned") / F.col("raw")))
+
+
+def pooled_pairings(strata: DataFrame) -> DataFrame:
+    """Each stratum (query) against the pooled rows."""
+    return strata.select(F.col("stratum").alias("query"), F.lit("pooled").alias("reference"))
+
+
+def roughness(means: DataFrame, by: list[str], position: str, sizes: DataFrame, within: DataFrame) -> DataFrame:
+    """How far a class steps from stratum to stratum against what sampling alone explains.
+
+    means: by, position, feature and z; sizes: by, position and n; within: by, feature and sd. A step's
+    expected length is the root of the sum over features of sd^2 (1/n + 1/n of the next). Gives the
+    mean step, the mean of those, and the mean of their ratios.
+    """
+    w = Window.partitionBy(*by, "feature").orderBy(position)
+    steps = means.withColumn("_d", F.col("z") - F.lag("z").over(w)).where(F.col("_d").isNotNull()).groupBy(*by, position).agg(F.sqrt(F.sum(F.col("_d") * F.col("_d"))).alias("step"))
+    share = sizes.select(*by, position, (1 / F.col("n") + 1 / F.lag("n").over(Window.partitionBy(*by).orderBy(position))).alias("_share"))
+    noise = within.groupBy(*by).agg(F.sum(F.col("sd") * F.col("sd")).alias("_v"))
+    j = steps.join(share, [*by, position]).join(noise, by).withColumn("expected", F.sqrt(F.col("_v") * F.col("_share")))
+    return j.groupBy(*by).agg(F.avg("step").alias("step"), F.avg("expected").alias("sampling_noise"), F.avg(F.col("step") / F.col("expected")).alias("snr"))
+
+
+def profile_alignment(a: DataFrame, b: DataFrame, by: str, value: str) -> DataFrame:
+    """The correlation over classes of two profiles of magnitudes; a flat or short one gives 0: one row."""
+    j = a.select(by, F.col(value).alias("_a")).join(b.select(by, F.col(value).alias("_b")), by)
+    fit = j.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("_a").alias("sa"), F.stddev_pop("_b").alias("sb"), F.covar_pop("_a", "_b").alias("c"))
+    return fit.select(F.when((F.col("n") >= 3) & (F.col("sa") > 1e-12) & (F.col("sb") > 1e-12), F.col("c") / (F.col("sa") * F.col("sb"))).otherwise(0.0).alias("alignment"))
+
+
+def grain_contrast(z: DataFrame, by: list[str], group: Column, a: str, b: str) -> DataFrame:
+    """The magnitude (RMS over features) in group a less that in group b, and each one's share of the
+    squared displacement."""
+    g = z.withColumn("_g", group).groupBy(*by)
+    sq = F.col("z") * F.col("z")
+
+    def of(name: str, f) -> Column:
+        return f(F.when(F.col("_g") == name, sq))
+
+    out = g.agg(F.sqrt(of(a, F.avg)).alias("rms_a"), F.sqrt(of(b, F.avg)).alias("rms_b"), of(a, F.sum).alias("_a"), of(b, F.sum).alias("_b"), F.sum(sq).alias("_all"))
+    return out.select(*by, "rms_a", "rms_b", (F.col("rms_a") - F.col("rms_b")).alias("contrast"), (F.col("_a") / F.col("_all")).alias("share_a"), (F.col("_b") / F.col("_all")).alias("share_b"))
+
+
+def endpoints(along: DataFrame, by: list[str], position: str) -> DataFrame:
+    """First and last position, where they are along a direction, and how far the last is from the first."""
+    g = along.groupBy(*by).agg(F.min_by("along", position).alias("first"), F.max_by("along", position).alias("last"))
+    return g.withColumn("moved", F.col("last") - F.col("first"))
+
+
+def directional_statistic(z: DataFrame, by: list[str], position: str) -> DataFrame:
+    """The slope of a group's displacement along its net direction, how far it moves, and its break."""
+    along = project(z, net_direction(z, by), by, position)
+    out = slopes(along, by, position, "along").select(*by, "slope", "r2").join(endpoints(along, by, position), by)
+    return out.join(single_break(along, by, position, "along").select(*by, "break"), by, "left")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.functions.stats import chi2_upper, running_total
+
 
 def family_bootstrap(long: DataFrame, family: str, by: list[str], n_boot: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Percentile intervals of means (by, value) when whole families are drawn again.
@@ -153,3 +155,80 @@ def two_sided(draws: DataFrame, by: list[str], draw: str) -> DataFrame:
     """A bootstrap p-value for 0: twice the smaller tail with one added, 1 at most."""
     g = draws.groupBy(*by).agg(F.count_if(F.col(draw) <= 0).alias("lo"), F.count_if(F.col(draw) >= 0).alias("hi"), F.count(draw).alias("n"))
     return g.select(*by, F.least(F.lit(1.0), 2 * (1 + F.least("lo", "hi")) / (1 + F.col("n"))).alias("p_value"))
+
+
+def time_grid(df: DataFrame, axis: str, most: int = 512) -> DataFrame:
+    """axis and grid (from 0): equal values share a point, and points are thinned to `most`."""
+    counts = df.where(F.col(axis).isNotNull()).groupBy(axis).agg(F.count(F.lit(1)).alias("_n"))
+    n = counts.agg(F.sum("_n").alias("_all"))
+    totals = running_total(counts, axis, "_n", "_to").crossJoin(F.broadcast(n))  # one row
+    return totals.select(axis, (F.ceil(F.col("_to") * most / F.col("_all")) - 1).cast("int").alias("grid"))
+
+
+def casewise_scores(mu: Column, variance: Column, r: Column, x: Column) -> Column:
+    """Score of a mean: a row's responsibility times its deviation over the class's variance."""
+    return F.when(variance > 1e-12, r * (x - mu) / variance)
+
+
+def invariance_by_class(long: DataFrame, n_sim: int = 500, seed: int = 0) -> DataFrame:
+    """Whether classes' means drift along an axis, by whitened scores of frozen responsibilities.
+
+    long: id, grid (place on the axis, a few hundred at most), class, r (responsibility), feature, value.
+    Scores are summed by class, grid point and feature, and their products by class and two features:
+    the sizes of these don't grow with the rows. Of each class's process, whitened by the inverse root
+    of its scores' second moments, the greatest and the mean squared norm are held against as many
+    simulated bridges of the same dimension (add-one p).
+    """
+    r, x = F.col("r"), F.col("value")
+    means = long.groupBy("class", "feature").agg((F.sum(r * x) / F.sum(r)).alias("_mu"), (F.sum(r * x * x) / F.sum(r)).alias("_m2"))
+    scored = long.join(F.broadcast(means), ["class", "feature"])  # classes by features
+    scored = scored.withColumn("score", casewise_scores(F.col("_mu"), F.col("_m2") - F.col("_mu") * F.col("_mu"), r, x)).where(F.col("score").isNotNull())
+    sums = scored.groupBy("class", "grid", "feature").agg(F.sum("score").alias("s")).toPandas()  # classes by grid by features
+    wide = scored.groupBy("id", "class").agg(F.sort_array(F.collect_list(F.struct("feature", "score"))).alias("v"))  # a row's features
+    pairs = wide.select("class", F.posexplode("v.score").alias("i", "a"), F.col("v.score").alias("b")).select("class", "i", "a", F.posexplode("b").alias("j", "c"))
+    products = pairs.where("j >= i").groupBy("class", "i", "j").agg(F.sum(F.col("a") * F.col("c")).alias("v")).toPandas()  # classes by features squared
+    sizes = long.select("id", "grid").distinct().groupBy("grid").agg(F.count(F.lit(1)).alias("k")).orderBy("grid").toPandas()
+    steps = (sizes["k"] / sizes["k"].sum()).to_numpy()
+    place = {g: i for i, g in enumerate(sizes["grid"])}
+    rows = []
+    for label, own in sums.groupby("class"):
+        features = sorted(own["feature"].unique())
+        column = {f: i for i, f in enumerate(features)}
+        process = np.zeros((len(place), len(features)))
+        process[own["grid"].map(place), own["feature"].map(column)] = own["s"]
+        opg = np.zeros((len(features), len(features)))
+        p = products[products["class"] == label]
+        opg[p["i"], p["j"]] = opg[p["j"], p["i"]] = p["v"]
+        values, vectors = np.linalg.eigh(opg)
+        keep = values > 1e-8 * values.max()
+        w = np.cumsum(process, 0) @ (vectors[:, keep] / np.sqrt(values[keep]))
+        norms = (w**2).sum(1)[:-1]
+        rng = np.random.default_rng(seed)
+        t, total = np.cumsum(steps)[:-1], np.zeros((n_sim, len(steps) - 1))
+        for _ in range(int(keep.sum())):  # a bridge for each dimension
+            b = np.cumsum(rng.normal(size=(n_sim, len(steps))) * np.sqrt(steps), 1)
+            total += (b[:, :-1] - t * b[:, -1:]) ** 2
+        for name, stat, draws in (("max", norms.max(), total.max(1)), ("integral", (norms * steps[:-1]).sum(), (total * steps[:-1]).sum(1))):
+            rows.append((label.item() if hasattr(label, "item") else label, name, float(stat), int(keep.sum()), (1 + int((draws >= stat).sum())) / (1 + n_sim), int(sizes["grid"].iloc[int(norms.argmax())])))
+    kind = dict(long.dtypes)["class"]
+    return long.sparkSession.createDataFrame(rows, f"class {kind}, functional string, statistic double, rank int, p_value double, at int")
+
+
+def multinomial_loglik(df: DataFrame, design: list[str], targets: str, coef: np.ndarray) -> float:
+    """The sum over rows of their targets times the logs of the classes' probabilities."""
+    eta = [F.lit(0.0), *(F.lit(float(c[0])) + sum(F.lit(float(b)) * F.col(x) for b, x in zip(c[1:], design, strict=True)) for c in coef)]
+    z = df.select(targets, F.array(*eta).alias("z")).withColumn("top", F.array_max("z"))
+    log_sum = F.col("top") + F.log(F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))))
+    terms = F.zip_with(F.col(targets), "z", lambda t, x: t * (x - log_sum))
+    return z.agg(F.sum(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))).first()[0] or 0.0
+
+
+def joint_lrt(df: DataFrame, design: list[str], null: list[str], targets: str, classes: int) -> tuple[float, int, float]:
+    """Likelihood ratio of a multinomial logit with all of design against one with `null` alone:
+    statistic, degrees of freedom, p."""
+    full = multinomial_loglik(df, design, targets, multinomial(df, design, targets, classes, ridge=1e-9))
+    less = multinomial_loglik(df, null, targets, multinomial(df, null, targets, classes, ridge=1e-9))
+    dof = (classes - 1) * (len(design) - len(null))
+    stat = max(0.0, 2 * (full - less))
+    p = df.sparkSession.range(1).select(chi2_upper(F.lit(stat), F.lit(float(dof)))).first()[0]
+    return stat, dof, p

@@ -151,3 +151,27 @@ def null_partition(df: DataFrame, key: str, sizes: list[int], seed: int) -> Data
     for i in range(len(ends) - 1, -1, -1):
         stratum = F.when(F.col("_r") <= ends[i], i).otherwise(stratum)
     return ranked.select(key, stratum.alias("stratum")).where("stratum is not null")
+
+
+def dichotomy(x: Column, edge: float, low_is_impaired: bool, names: tuple[str, str] = ("impaired", "spared")) -> Column:
+    """The two bands around one edge, named by which side is impaired; a missing x has none."""
+    low, high = names if low_is_impaired else names[::-1]
+    return F.when(bin_of(x, [edge]) == 0, low).when(bin_of(x, [edge]) == 1, high)
+
+
+def demographic_table(df: DataFrame, band: str, covariates: list[str]) -> DataFrame:
+    """band, covariate, n, mean and its standardised difference from all other rows.
+
+    One aggregate by band gives the sums; the others' are what is left of the totals.
+    """
+    long = df.where(F.col(band).isNotNull()).select(band, F.inline(F.array(*(F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in covariates))))
+    g = long.groupBy(band, "covariate").agg(F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"))
+    all_rows = g.groupBy("covariate").agg(F.sum("n").alias("an"), F.sum("s").alias("as"), F.sum("ss").alias("ass"))
+    j = g.join(all_rows, "covariate").withColumns({"on": F.col("an") - F.col("n"), "os": F.col("as") - F.col("s"), "oss": F.col("ass") - F.col("ss")})
+
+    def var(n: str, s: str, ss: str) -> Column:
+        return F.when(F.col(n) > 1, (F.col(ss) - F.col(s) * F.col(s) / F.col(n)) / (F.col(n) - 1))
+
+    sd = F.sqrt((var("n", "s", "ss") + var("on", "os", "oss")) / 2)
+    diff = F.col("s") / F.col("n") - F.col("os") / F.col("on")
+    return j.select(band, "covariate", "n", (F.col("s") / F.col("n")).alias("mean"), F.when(sd > 0, diff / sd).alias("smd"))

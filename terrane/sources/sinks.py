@@ -85,3 +85,40 @@ def render(df: DataFrame, fmt: str = "table", width: int = 60) -> str:
         return "\n".join([lines[0], "|" + " --- |" * len(df.columns), *lines[1:]])
     sizes = [max(len(r[i]) for r in [df.columns, *rows]) for i in range(len(df.columns))]
     return "\n".join("  ".join(x.ljust(n) for x, n in zip(r, sizes, strict=True)).rstrip() for r in [df.columns, *rows])
+
+
+def file_digest(spark: SparkSession, path: str) -> DataFrame:
+    """path and sha256 of each file at path."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def write_manifest(spark: SparkSession, run: str, data: dict) -> None:
+    """A run's manifest (stage, status, finished_at, params), one row of Parquet beside its frames."""
+    row = [(data["stage"], data.get("status", "ok"), data["finished_at"], canonical_json(data.get("params", {})), run)]
+    spark.createDataFrame(row, "stage string, status string, finished_at string, params string, run string").write.mode("overwrite").parquet(f"{run}/manifest")
+
+
+def read_manifest(spark: SparkSession, run: str) -> dict | None:
+    if not exists(spark, f"{run}/manifest/_SUCCESS"):
+        return None
+    row = spark.read.parquet(f"{run}/manifest").first().asDict()
+    return row | {"params": json.loads(row["params"])}
+
+
+def resolve_run(spark: SparkSession, root: str, stage: str, require: dict | None = None) -> str:
+    """The folder of a stage's latest run that ended well and has the required parameters. ValueError
+    if there is none."""
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").schema("stage string, status string, finished_at string, params string, run string").parquet(f"{root}/*/*/manifest")
+    good = rows.where((F.col("stage") == stage) & (F.col("status") == "ok"))
+    for k, v in (require or {}).items():
+        good = good.where(F.get_json_object("params", f"$.{k}") == (v if isinstance(v, str) else canonical_json(v)))
+    found = good.agg(F.max_by("run", "finished_at")).first()[0]
+    if found is None:
+        raise ValueError(f"no finished run of {stage} with {require or {}}")
+    return found
+
+
+def clear_log(spark: SparkSession, path: str) -> None:
+    """Takes away a log of units, so that all are to do again."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -439,3 +439,84 @@ def test_headers_of_csv_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('x,"y, z",w\n1,2,3\n')
     assert [r["n_cols"] for r in files.header_ncols(spark, f"{tmp_path}/a.csv").collect()] == [3]
     assert files.csv_columns(spark, f"{tmp_path}/a.csv") == ["x", "y, z", "w"]
+
+
+def test_invariance_by_class_against_numpy(spark):
+    rng = np.random.default_rng(3)
+    n, d = 600, 3
+    x = rng.normal(size=(n, d)) @ np.array([[1.0, 0.4, 0.0], [0.0, 1.0, 0.2], [0.0, 0.0, 1.0]])
+    x[:, 0] += np.linspace(-1.5, 1.5, n)  # drifts along the axis
+    grid = np.arange(n) // 60
+    rows = [(i, int(grid[i]), 0, 1.0, f, float(x[i, f])) for i in range(n) for f in range(d)] + [(i, int(grid[i]), 1, 1.0, f, float(rng.normal())) for i in range(n, n + 0) for f in range(d)]
+    df = spark.createDataFrame(rows, "id long, grid int, class int, r double, feature int, value double")
+    got = {r["functional"]: r for r in inference.invariance_by_class(df, 300, 1).collect()}
+    s = (x - x.mean(0)) / x.var(0)
+    values, vectors = np.linalg.eigh(s.T @ s)
+    w = np.cumsum(np.add.reduceat(s, np.arange(0, n, 60)), 0) @ (vectors / np.sqrt(values))
+    norms = (w**2).sum(1)[:-1]
+    assert got["max"]["statistic"] == pytest.approx(norms.max()) and got["integral"]["statistic"] == pytest.approx(norms.sum() / 10)
+    assert got["max"]["p_value"] == pytest.approx(1 / 301) and got["max"]["rank"] == 3
+    still = df.where("feature > 0")
+    assert min(r["p_value"] for r in inference.invariance_by_class(still, 300, 1).collect()) > 0.02
+
+
+def test_time_grid(spark):
+    df = spark.createDataFrame([(float(v),) for v in [1, 1, 1, 2, 3, 3, 4, 5, 6, 7]] + [(None,)], "x double")
+    got = {r["x"]: r["grid"] for r in inference.time_grid(df, "x", 5).collect()}
+    assert got == {1.0: 1, 2.0: 1, 3.0: 2, 4.0: 3, 5.0: 3, 6.0: 4, 7.0: 4}
+
+
+def test_joint_likelihood_ratio(spark):
+    rng = np.random.default_rng(5)
+    x, z = rng.normal(size=800), rng.normal(size=800)
+    p = np.exp(np.stack([0 * x, 0.3 + 0.9 * x, -0.2 * x], 1))
+    k = np.array([rng.choice(3, p=row / row.sum()) for row in p])
+    df = spark.createDataFrame([(float(a), float(b), [float(c == j) for j in range(3)]) for a, b, c in zip(x, z, k)], "x double, z double, y array<double>")
+    stat, dof, value = inference.joint_lrt(df, ["x", "z"], ["z"], "y", 3)
+    assert dof == 2 and stat > 50 and value < 1e-6
+    stat, dof, value = inference.joint_lrt(df, ["x", "z"], ["x"], "y", 3)
+    assert dof == 2 and value > 0.001
+    coef = np.array([[0.1, 0.2], [-0.3, 0.4]])
+    eta = np.concatenate([np.zeros((800, 1)), coef[:, 0] + x[:, None] * coef[:, 1]], 1)
+    want = (eta[np.arange(800), k] - np.log(np.exp(eta).sum(1))).sum()
+    assert inference.multinomial_loglik(df, ["x"], "y", coef) == pytest.approx(want)
+
+
+def test_logistic_contrast(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 3))
+    moved = (rng.random(600) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(int)
+    rows = [(int(m), *(None if i % 50 == 0 and j == 1 else float(v) for j, v in enumerate(r)), 1.0) for i, (m, r) in enumerate(zip(moved, x))]
+    got = {r["feature"]: r["weight"] for r in enrichment.logistic_contrast(spark.createDataFrame(rows, "moved int, a double, b double, c double, same double"), "moved", ["a", "b", "c", "same"]).collect()}
+    assert set(got) == {"a", "b", "c"} and 1.5 < got["a"] < 2.6 and abs(got["b"]) < 0.4
+
+
+def test_manifests(spark, tmp_path):
+    for i, status in enumerate(["ok", "ok", "failed"]):
+        run = f"{tmp_path}/fit/r{i}"
+        assert sinks.read_manifest(spark, run) is None
+        sinks.write_manifest(spark, run, {"stage": "fit", "status": status, "finished_at": f"2024-01-0{i + 1}", "params": {"k": i, "axis": "age"}})
+    assert sinks.read_manifest(spark, f"{tmp_path}/fit/r1")["params"] == {"k": 1, "axis": "age"}
+    assert sinks.resolve_run(spark, str(tmp_path), "fit").endswith("r1")
+    assert sinks.resolve_run(spark, str(tmp_path), "fit", {"k": 0, "axis": "age"}).endswith("r0")
+    with pytest.raises(ValueError):
+        sinks.resolve_run(spark, str(tmp_path), "fit", {"k": 2})
+    sinks.clear_log(spark, f"{tmp_path}/fit/r1")
+    assert sinks.resolve_run(spark, str(tmp_path), "fit").endswith("r0")
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    import hashlib
+
+    assert sinks.file_digest(spark, f"{tmp_path}/a.bin").first()["sha256"] == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_recodes_of_a_few_rows(spark):
+    df = spark.createDataFrame([(1, " 7 ", "1"), (2, "x", ""), (3, None, None)], "id int, n string, f string")
+    got = [(r["a"], r["b"]) for r in df.select(cohort.count(F.col("n")).alias("a"), cohort.calculated_flag(F.col("f")).alias("b"), "id").orderBy("id").collect()]
+    assert got == [(7.0, 1), (None, 0), (None, 0)]
+    assert cohort.shared_features(["a", "b", "c"], ["c", "a"]) == ["a", "c"]
+    with pytest.raises(KeyError):
+        cohort.build_matrix(df, "id", ["n", "gone"], [])
+    bands = df.select(strata.dichotomy(F.col("id"), 2.0, False).alias("b")).collect()
+    assert [r["b"] for r in bands] == ["spared", "impaired", "impaired"]
+    twice = spark.range(1000).agg(F.count_distinct(cohort.random_axis(F.col("id"), 1))).first()[0]
+    assert twice == 1000
