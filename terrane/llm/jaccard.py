@@ -298,7 +298,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Two documents link if 100 * |intersection| >= 80 * |union| of their sets of 5-word shingles of
     the whole text; without words, a document links with nothing. Null and empty texts have no
     words. Rows that repeat a doc_id are one document with several texts: they share a component.
-    A null doc_id has no links and a null component. An empty table gives no rows.
+    A null doc_id has no links and a null component. An empty table gives no rows; other columns are
+    left out; texts of any length count whole.
     """
     texts = doc_texts(docs)
     nameless = texts.where("doc_id is null").mapInArrow(_sizes, "doc_id long, n_shingles long")

@@ -71,7 +71,9 @@ def describe(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, n_bytes (of the text), payload_bytes, payload_sha256 and tail_crc32 (of the
     last 64 bytes; all of what was read back), media_bytes, media_sha256, feature, and made (size,
-    frames, transforms). A null or empty text is 64 bytes 0. Equal texts give equal values.
+    frames, transforms). A null or empty text is 64 bytes 0. Equal texts give equal values, repeated
+    rows each a row, an empty table none; a long text has as many frames as it needs; other columns are
+    left out.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, made string"
 

@@ -166,7 +166,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE) ->
     """Where each piece of each document goes: pieces() with sequence_id and offset.
 
     Offsets within a sequence are gapless from 0 and no sequence is longer than size. An empty
-    table gives no rows.
+    table gives no rows; repeated rows are packed each; long texts are cut, not shortened; pieces of
+    equal length are dealt to sequences by a hash of their id; extra columns are left out.
     """
     cuts = cut(pieces(docs, tokenizer, size))
     counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # size rows at most

@@ -147,5 +147,8 @@ def quantile(limits: DataFrame, q: float) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """context_limits of a documents table. Null texts count as empty, repeated rows each count."""
+    """context_limits of a documents table. Null texts count as empty, repeated rows each count, long
+    texts are encoded whole, extra columns play no part, an empty table gives no rows. The running sums
+    are over distinct lengths, whose number the longest text bounds, not the number of documents.
+    """
     return context_limits(length_histogram(token_lengths(docs, tokenizer)))

@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 
 import pytest
 
-from terrane.llm import common, html_text, language_id, licenses, neighbours, packing, repeats, sentencepieces
+from terrane.llm import common, html_text, language_id, licenses, neighbours, packing, repeats, sentencepieces, token_counts
 
 
 def test_every_way_of_filling_takes_part():
@@ -347,3 +347,40 @@ def test_neighbours_of_extreme_norms(spark):
         best = [v for v in np.lexsort((np.arange(601), -(x * x[q]).sum(1))).tolist() if v != q][:20]
         hits.append(len(own & set(best)))
     assert sum(hits) >= 0.95 * 20 * len(hits)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The four stages by their definitions, on documents with planted copies and passages."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_documents import brute_components
+
+    import corpus_pipeline
+
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()][:120]
+    base = rows[3][1]
+    rows += [(9001, base, "en", "s", 1), (9002, base + " and more", "en", "s", 1), (9003, None, "en", "s", 1), (9004, "12 34", "en", "s", 1), (9005, rows[5][1] + " xyz " + base, "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    filters = language_id.fit(df.where(~language_id.is_held_out()))
+    known = [r for r in rows if r[1] and language_id.has_letter(r[1]) and filters.rates([r[1]]).max() >= 0.2]
+    kept = {d for d, _, c in brute_components(known) if d == c}
+    seen, want, t = set(), Counter(), Tokenizer.from_file(token_counts.default_tokenizer())
+    for d, text, *_ in sorted(r for r in known if r[0] in kept):
+        raw = text.encode()
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - 99):
+            if raw[i : i + 100] in seen:
+                gone[i : i + 100] = b"\1" * 100
+            seen.add(raw[i : i + 100])
+        left = bytes(x for x, y in zip(raw, gone) if not y).decode("utf-8", "ignore")
+        ids = np.array([*t.encode(left, add_special_tokens=False).ids, 0], "<u4")
+        edges = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
+            want[d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    assert len(known) < len(rows) and len(kept) < len(known)
