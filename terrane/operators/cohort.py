@@ -133,8 +133,8 @@ def calculated_flag(column: Column) -> Column:
 
 
 def collapsed_one_hot(df: DataFrame, key: str, column: str, groups: DataFrame, prefix: str, levels: list[str]) -> DataFrame:
-    """one_hot() of the groups that a column's values are in (groups: value, group; a small table)."""
-    named = df.join(F.broadcast(groups.select(F.col("value").alias("_v"), F.col("group").alias("_g"))), F.col(column) == F.col("_v"), "left")
+    """one_hot() of the groups that a column's values are in (groups: value, group)."""
+    named = df.join(groups.select(F.col("value").alias("_v"), F.col("group").alias("_g")), F.col(column) == F.col("_v"), "left")
     return one_hot(named, key, "_g", prefix, levels)
 
 
