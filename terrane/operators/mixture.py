@@ -50,12 +50,7 @@ class Mixture:
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
         """log(weight * density) of each row and class."""
-        nc, nb = len(self.columns.continuous), len(self.columns.binary)
-        c, b, levels = x[:, :nc], x[:, nc : nc + nb], x[:, nc + nb :]
-        v = self.variances
-        out = np.log(self.weights + 1e-300) - 0.5 * (np.log(2 * np.pi * v).sum(1) + (c**2) @ (1 / v).T - 2 * c @ (self.means[:, :nc] / v).T + (self.means[:, :nc] ** 2 / v).sum(1))
-        p = np.clip(self.means[:, nc:], TINY, 1 - TINY)
-        return out + b @ np.log(p[:, :nb]).T + (1 - b) @ np.log(1 - p[:, :nb]).T + levels @ np.log(p[:, nb:]).T
+        return _joint([self])(x)
 
     def posterior(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Responsibilities and the log-likelihood of each row."""
@@ -74,31 +69,74 @@ def _matrix(batch, columns: Columns) -> np.ndarray:
     return columns.expanded(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns.names], 1))
 
 
-def _pass(df: DataFrame, models: list[Mixture]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """For each model the summed responsibilities, r * x, r * x^2 and the log-likelihood."""
-    columns = models[0].columns
+# Most numbers in a block of rows by all classes of all models, while a task adds up, and most that the
+# driver takes from all tasks together; beyond that the tasks' sums are added on the executors.
+BLOCK, GATHERED = 2_000_000, 2_000_000
+# Products of a pass that are worth a task of their own.
+WORK = 4_000_000
+
+
+def _joint(models: list[Mixture]):
+    """A function of rows that gives log(weight * density) of each row and each class of each model."""
+    m = models[0].columns
+    nc, nb = len(m.continuous), len(m.binary)
+    means, v = np.concatenate([m.means for m in models]), np.concatenate([m.variances for m in models])
+    p = np.clip(means[:, nc:], TINY, 1 - TINY)
+    flat = np.log(np.concatenate([m.weights for m in models]) + 1e-300) - 0.5 * (np.log(2 * np.pi * v) + means[:, :nc] ** 2 / v).sum(1) + np.log(1 - p[:, :nb]).sum(1)
+    linear = np.concatenate([means[:, :nc] / v, np.log(p[:, :nb]) - np.log(1 - p[:, :nb]), np.log(p[:, nb:])], 1).T
+    square = -0.5 / v.T
+    return lambda x: flat + x @ linear + x[:, :nc] ** 2 @ square
+
+
+def _pass(df: DataFrame, models: list[Mixture], tasks: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """For each model the summed responsibilities, r * x, r * x^2 and the log-likelihood.
+
+    A task yields one row per model. Where the rows of all `tasks` are many, those of a model first
+    meet in one task, which adds them one by one.
+    """
+    columns, nc = models[0].columns, len(models[0].columns.continuous)
+    sizes = [len(m.weights) for m in models]
+    at, holds = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.array([m.hold for m in models])
+    step = max(1, BLOCK // sum(sizes))
+    schema = "model int, v array<double>"
+
+    def batch(totals):
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([totals[i] for i in totals], pa.list_(pa.float64()))], ["model", "v"])
 
     def sums(batches):
-        total = None
+        joint, n, s, ss, ll = _joint(models), 0.0, 0.0, 0.0, 0.0
+        for b in batches:
+            whole, weights, folds_ = _matrix(b, columns), b.column("_w").to_numpy(zero_copy_only=False).astype(float), b.column("_fold").to_numpy()
+            for first in range(0, len(whole), step):
+                x, part = whole[first : first + step], slice(first, first + step)
+                r = joint(x)
+                top = np.maximum.reduceat(r, at, 1)
+                r = np.exp(r - np.repeat(top, sizes, 1))
+                total = np.add.reduceat(r, at, 1)
+                w = weights[part, None] * (folds_[part, None] != holds)
+                r *= np.repeat(w / total, sizes, 1)
+                n, s, ss, ll = n + r.sum(0), s + r.T @ x, ss + r.T @ x[:, :nc] ** 2, ll + ((top + np.log(total)) * w).sum(0)
+        if not isinstance(n, float):
+            yield batch({i: np.concatenate([n[a : a + k], s[a : a + k].ravel(), ss[a : a + k].ravel(), [ll[i]]]) for i, (a, k) in enumerate(zip(at, sizes, strict=True))})
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
         for b in batches:
-            x, weight, fold = _matrix(b, columns), b.column("_w").to_numpy(zero_copy_only=False).astype(float), b.column("_fold").to_numpy()
-            parts = []
-            for m in models:
-                r, ll = m.posterior(x)
-                w = weight * (fold != m.hold)
-                r = r * w[:, None]
-                parts.append(np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ x[:, : len(columns.continuous)] ** 2).ravel(), [(ll * w).sum()]]))
-            total = np.concatenate(parts) if total is None else total + np.concatenate(parts)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "v"])
-
-    rows = df.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # models x classes x columns
-    v = np.array([r["v"] for r in sorted(rows, key=lambda r: r["i"])])
-    out, at = [], 0
-    for m in models:
-        k, f, c = len(m.weights), m.means.shape[1], len(columns.continuous)
-        out.append((v[at : at + k], v[at + k : at + k + k * f].reshape(k, f), v[at + k + k * f : at + k + k * f + k * c].reshape(k, c), float(v[at + k + k * f + k * c])))
-        at += k + k * f + k * c + 1
+            for i, v in zip(b.column("model").to_pylist(), b.column("v"), strict=True):
+                v = v.values.to_numpy(zero_copy_only=False)
+                totals[i] = totals[i] + v if i in totals else v
+        if totals:
+            yield batch(totals)
+
+    rows = df.mapInArrow(sums, schema)
+    if tasks * sum(sizes) * models[0].means.shape[1] * 2 > GATHERED:
+        rows = rows.repartition("model").mapInArrow(add, schema)
+    out: list = [None] * len(models)
+    totals = next(add(rows.toArrow().to_batches()))  # models x classes x columns
+    for i, v in zip(totals.column("model").to_pylist(), totals.column("v"), strict=True):
+        v, k = v.values.to_numpy(zero_copy_only=False), sizes[i]
+        f = models[i].means.shape[1]
+        out[i] = v[:k], v[k : k + k * f].reshape(k, f), v[k + k * f : -1].reshape(k, nc), float(v[-1])
     return out
 
 
@@ -110,40 +148,116 @@ def folds(key: str, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(FOLDS)).cast("int")
 
 
-def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, int, int]], seed: int = 0, weight: str | None = None, most: int = MOST, tol: float = TOL) -> list[Mixture]:
+def _vector(m: Mixture) -> np.ndarray:
+    """A model's parameters on scales without bounds."""
+    nc = len(m.columns.continuous)
+    p = np.clip(m.means[:, nc:], TINY, 1 - TINY)
+    return np.concatenate([np.log(m.weights + TINY), m.means[:, :nc].ravel(), np.log(p / (1 - p)).ravel(), np.log(m.variances).ravel()])
+
+
+def _from_vector(m: Mixture, v: np.ndarray, least: np.ndarray) -> Mixture:
+    """A model like m with the parameters in v; weights and levels are made to add up to one."""
+    k, nc, nb = len(m.weights), len(m.columns.continuous), len(m.columns.binary)
+    f = m.means.shape[1]
+    weights = np.exp(v[:k] - v[:k].max())
+    p = 1 / (1 + np.exp(-np.clip(v[k + k * nc : k + k * f].reshape(k, f - nc), -40, 40)))
+    at = nb
+    for n in m.columns.categorical.values():
+        p[:, at : at + n] /= p[:, at : at + n].sum(1, keepdims=True)
+        at += n
+    means = np.concatenate([v[k : k + k * nc].reshape(k, nc), p], 1)
+    return Mixture(m.columns, weights / weights.sum(), means, np.maximum(np.exp(np.clip(v[k + k * f :], -700, 700)).reshape(k, nc), least), hold=m.hold)
+
+
+class _Run:
+    """One EM run, in squared steps: two passes tell a direction, a jump along it is kept if the
+    log-likelihood there is no less than before, and else taken back."""
+
+    def __init__(self, start: Mixture, least: np.ndarray):
+        self.at, self.least, self.from_, self.back = start, least, None, None
+
+    def step(self, image: Mixture, limit: float) -> bool:
+        """Takes the image of self.at under a pass; whether the run has ended."""
+        if self.back is not None:  # self.at is a jump
+            kept, self.back = (self.back, None)
+            if not image.log_likelihood >= kept.log_likelihood:
+                self.at, self.from_ = kept, None
+                return False
+            self.from_ = None
+        before, here = self.from_, self.at
+        if before is not None and abs(image.log_likelihood - here.log_likelihood) <= limit:
+            self.at, self.at.converged = image, True
+            return True
+        if before is None:
+            self.from_, self.at = here, image
+            return False
+        v0, v1, v2 = _vector(before), _vector(here), _vector(image)
+        r, bend = v1 - v0, v2 - 2 * v1 + v0
+        length = np.linalg.norm(r) / max(np.linalg.norm(bend), 1e-300)
+        self.from_ = None
+        if length > 1 and np.isfinite(length):
+            self.back = image
+            self.at = _from_vector(image, v0 + 2 * length * r + length**2 * bend, self.least)
+        else:
+            self.at = image
+        return False
+
+
+def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, int, int]], seed: int = 0, weight: str | None = None, most: int = MOST, tol: float = TOL, starts: dict[int, Mixture] | None = None) -> list[Mixture]:
     """An EM run for each (classes, fold left out or -1, start), all in the same passes over the rows.
 
-    Starts are rows chosen by a seeded hash of their key, so a fit is the same on every run.
-    A run ends when a pass adds tol or less to the log-likelihood of a row (converged), or after
-    most passes. Incomplete rows are left out.
+    Starts are drawn from the rows with the least hashes of their key, so a fit is the same on every
+    run; `starts` gives models to start from instead, by the spec's start. A run ends when a pass of
+    EM adds tol or less to the log-likelihood of a row (converged), or after most passes, those of
+    its jumps among them. Incomplete rows are left out.
     """
     rows = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns.names), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")).dropna().withColumn("_fold", folds(key, seed)).cache()
+    whole = rows.withColumn("_part", F.spark_partition_id()).agg(*(F.var_pop(c).alias(c) for c in columns.continuous), F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_rows"), F.count_distinct("_part").alias("_parts")).first()
+    cached, slots = [rows], df.sparkSession.sparkContext.defaultParallelism
     try:
-        whole = rows.agg(*(F.var_pop(c).alias(c) for c in columns.continuous), F.sum("_w").alias("_n")).first()
         if not whole["_n"]:
             raise ValueError("no complete row to fit")
+        tasks = whole["_parts"]
+        needed = int(whole["_rows"] * len(columns.names) * sum(k for k, _, _ in specs) / WORK) + 1
+        if needed < tasks:
+            rows, tasks = rows.coalesce(needed), needed
+        elif tasks < min(slots, needed):
+            rows, tasks = rows.repartition(slots).cache(), slots
+            cached.append(rows)
         var = np.maximum(np.array([whole[c] for c in columns.continuous], float), TINY)
-        largest, starts, nc = max(k for k, _, _ in specs), {}, len(columns.continuous)
-        for i in {i for _, _, i in specs}:
-            first = rows.orderBy(F.xxhash64(F.col(key), F.lit(seed), F.lit(i)), key).limit(largest).toArrow()
-            x = _matrix(first.combine_chunks().to_batches()[0], columns)
-            starts[i] = np.concatenate([x, x[np.zeros(largest - len(x), int)]])
-            starts[i][:, nc:] = 0.25 + 0.5 * starts[i][:, nc:]
-        models = [Mixture(columns, np.full(k, 1 / k), starts[i][:k], np.tile(var, (k, 1)), hold=hold) for k, hold, i in specs]
+        nc, least = len(columns.continuous), 1e-4 * var
+        wanted = {i for _, _, i in specs} - set(starts or {})
+        models = []
+        if wanted:
+            largest = max(k for k, _, i in specs if i in wanted)
+            pool = rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(largest * len(wanted)).toArrow()
+            x = _matrix(pool.combine_chunks().to_batches()[0], columns)
+            x[:, nc:] = 0.25 + 0.5 * x[:, nc:]
+            drawn = {i: x[np.random.default_rng([seed, i]).choice(len(x), largest, replace=len(x) < largest)] for i in wanted}
+        for k, hold, i in specs:
+            if starts and i in starts:
+                m = starts[i]
+                models.append(Mixture(columns, m.weights, m.means, m.variances, hold=hold))
+            else:
+                models.append(Mixture(columns, np.full(k, 1 / k), drawn[i][:k], np.tile(var, (k, 1)), hold=hold))
+        runs = [_Run(m, least) for m in models]
         open_ = list(range(len(specs)))
         for _ in range(most):
-            for i, (n, s, ss, ll) in zip(list(open_), _pass(rows, [models[i] for i in open_]), strict=True):
-                m, safe = models[i], np.maximum(n, TINY)[:, None]
+            for i, (n, s, ss, ll) in zip(list(open_), _pass(rows, [runs[i].at for i in open_], tasks), strict=True):
+                safe = np.maximum(n, TINY)[:, None]
                 means = s / safe
-                models[i] = Mixture(columns, n / max(n.sum(), TINY), means, np.maximum(ss / safe - means[:, : ss.shape[1]] ** 2, 1e-4 * var), ll, m.hold)
-                if abs(ll - m.log_likelihood) <= tol * whole["_n"]:
-                    models[i].converged = True
+                image = Mixture(columns, n / max(n.sum(), TINY), means, np.maximum(ss / safe - means[:, :nc] ** 2, least), ll, models[i].hold)
+                if not np.isfinite(models[i].log_likelihood) or ll >= models[i].log_likelihood:
+                    models[i] = image  # the likeliest so far
+                if runs[i].step(image, tol * whole["_n"]):
+                    models[i] = runs[i].at
                     open_.remove(i)
             if not open_:
                 break
         return models
     finally:
-        rows.unpersist()
+        for c in cached:
+            c.unpersist()
 
 
 def fit(df: DataFrame, key: str, columns: Columns, k: int, n_init: int = 4, seed: int = 0, weight: str | None = None, most: int = MOST, tol: float = TOL) -> Mixture:
