@@ -46,6 +46,7 @@ class Mixture:
     variances: np.ndarray  # K x continuous
     log_likelihood: float = -np.inf
     hold: int = -1  # a fold of rows that the fit leaves out
+    only: int = -1  # the fold of rows that the fit sees, where not all
     converged: bool = False
 
     def log_joint(self, x: np.ndarray) -> np.ndarray:
@@ -95,29 +96,37 @@ def _pass(df: DataFrame, models: list[Mixture], tasks: int) -> list[tuple[np.nda
     meet in one task, which adds them one by one.
     """
     columns, nc = models[0].columns, len(models[0].columns.continuous)
-    sizes = [len(m.weights) for m in models]
-    at, holds = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.array([m.hold for m in models])
-    step = max(1, BLOCK // sum(sizes))
+    sizes, only = [len(m.weights) for m in models], [m.only for m in models]
     schema = "model int, v array<double>"
 
     def batch(totals):
         return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([totals[i] for i in totals], pa.list_(pa.float64()))], ["model", "v"])
 
     def sums(batches):
-        joint, n, s, ss, ll = _joint(models), 0.0, 0.0, 0.0, 0.0
+        groups = {}  # models that see the same rows: their functions and totals
+        for value in sorted(set(only)):
+            own = [i for i, o in enumerate(only) if o == value]
+            n = np.array([sizes[i] for i in own])
+            groups[value] = [own, n, np.concatenate([[0], np.cumsum(n)[:-1]]), np.array([models[i].hold for i in own]), _joint([models[i] for i in own]), None]
         for b in batches:
             whole, weights, folds_ = _matrix(b, columns), b.column("_w").to_numpy(zero_copy_only=False).astype(float), b.column("_fold").to_numpy()
-            for first in range(0, len(whole), step):
-                x, part = whole[first : first + step], slice(first, first + step)
-                r = joint(x)
-                top = np.maximum.reduceat(r, at, 1)
-                r = np.exp(r - np.repeat(top, sizes, 1))
-                total = np.add.reduceat(r, at, 1)
-                w = weights[part, None] * (folds_[part, None] != holds)
-                r *= np.repeat(w / total, sizes, 1)
-                n, s, ss, ll = n + r.sum(0), s + r.T @ x, ss + r.T @ x[:, :nc] ** 2, ll + ((top + np.log(total)) * w).sum(0)
-        if not isinstance(n, float):
-            yield batch({i: np.concatenate([n[a : a + k], s[a : a + k].ravel(), ss[a : a + k].ravel(), [ll[i]]]) for i, (a, k) in enumerate(zip(at, sizes, strict=True))})
+            for value in groups if only == [-1] * len(only) else np.intersect1d(folds_, list(groups)):
+                own, n, at, holds, joint, _ = groups[value]
+                seen = slice(None) if value < 0 else folds_ == value
+                rows, w_, f_, step = whole[seen], weights[seen], folds_[seen], max(1, BLOCK // n.sum())
+                for first in range(0, len(rows), step):
+                    x, part = rows[first : first + step], slice(first, first + step)
+                    r = joint(x)
+                    top = np.maximum.reduceat(r, at, 1)
+                    r = np.exp(r - np.repeat(top, n, 1))
+                    total = np.add.reduceat(r, at, 1)
+                    w = w_[part, None] * (f_[part, None] != holds)
+                    r *= np.repeat(w / total, n, 1)
+                    new = [r.sum(0), r.T @ x, r.T @ x[:, :nc] ** 2, ((top + np.log(total)) * w).sum(0)]
+                    groups[value][-1] = new if groups[value][-1] is None else [o + v for o, v in zip(groups[value][-1], new, strict=True)]
+        for own, n, at, _, _, sums_ in groups.values():
+            if sums_ is not None:
+                yield batch({i: np.concatenate([*(v[a : a + k].ravel() for v in sums_[:3]), [sums_[3][j]]]) for j, (i, a, k) in enumerate(zip(own, at, n, strict=True))})
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
@@ -166,7 +175,7 @@ def _from_vector(m: Mixture, v: np.ndarray, least: np.ndarray) -> Mixture:
         p[:, at : at + n] /= p[:, at : at + n].sum(1, keepdims=True)
         at += n
     means = np.concatenate([v[k : k + k * nc].reshape(k, nc), p], 1)
-    return Mixture(m.columns, weights / weights.sum(), means, np.maximum(np.exp(np.clip(v[k + k * f :], -700, 700)).reshape(k, nc), least), hold=m.hold)
+    return Mixture(m.columns, weights / weights.sum(), means, np.maximum(np.exp(np.clip(v[k + k * f :], -700, 700)).reshape(k, nc), least), hold=m.hold, only=m.only)
 
 
 class _Run:
@@ -203,15 +212,17 @@ class _Run:
         return False
 
 
-def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, int, int]], seed: int = 0, weight: str | None = None, most: int = MOST, tol: float = TOL, starts: dict[int, Mixture] | None = None) -> list[Mixture]:
+def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, int, int]], seed: int = 0, weight: str | None = None, most: int = MOST, tol: float = TOL, starts: dict[int, Mixture] | None = None, by: str | None = None) -> list[Mixture]:
     """An EM run for each (classes, fold left out or -1, start), all in the same passes over the rows.
 
     Starts are drawn from the rows with the least hashes of their key, so a fit is the same on every
-    run; `starts` gives models to start from instead, by the spec's start. A run ends when a pass of
+    run; `starts` gives models to start from instead, by the spec's start. With `by`, a column of
+    whole numbers from 0, the second of a spec is the value whose rows alone the run sees. A run ends when a pass of
     EM adds tol or less to the log-likelihood of a row (converged), or after most passes, those of
     its jumps among them. Incomplete rows are left out.
     """
-    rows = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns.names), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")).dropna().withColumn("_fold", folds(key, seed)).cache()
+    rows = df.select(key, *([] if by is None else [F.col(by).cast("int").alias(by)]), *(F.col(c).cast("double").alias(c) for c in columns.names), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_w")).dropna()
+    rows = rows.withColumn("_fold", folds(key, seed)).cache() if by is None else rows.withColumnRenamed(by, "_fold").cache()
     whole = rows.withColumn("_part", F.spark_partition_id()).agg(*(F.var_pop(c).alias(c) for c in columns.continuous), F.sum("_w").alias("_n"), F.count(F.lit(1)).alias("_rows"), F.count_distinct("_part").alias("_parts")).first()
     cached, slots = [rows], df.sparkSession.sparkContext.defaultParallelism
     try:
@@ -226,6 +237,7 @@ def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, i
             cached.append(rows)
         var = np.maximum(np.array([whole[c] for c in columns.continuous], float), TINY)
         nc, least = len(columns.continuous), 1e-4 * var
+        limit = tol * whole["_n"] / (1 if by is None else len({value for _, value, _ in specs}))
         wanted = {i for _, _, i in specs} - set(starts or {})
         models = []
         if wanted:
@@ -234,22 +246,23 @@ def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, i
             x = _matrix(pool.combine_chunks().to_batches()[0], columns)
             x[:, nc:] = 0.25 + 0.5 * x[:, nc:]
             drawn = {i: x[np.random.default_rng([seed, i]).choice(len(x), largest, replace=len(x) < largest)] for i in wanted}
-        for k, hold, i in specs:
+        for k, value, i in specs:
+            hold, only = (value, -1) if by is None else (-1, value)
             if starts and i in starts:
                 m = starts[i]
-                models.append(Mixture(columns, m.weights, m.means, m.variances, hold=hold))
+                models.append(Mixture(columns, m.weights, m.means, m.variances, hold=hold, only=only))
             else:
-                models.append(Mixture(columns, np.full(k, 1 / k), drawn[i][:k], np.tile(var, (k, 1)), hold=hold))
+                models.append(Mixture(columns, np.full(k, 1 / k), drawn[i][:k], np.tile(var, (k, 1)), hold=hold, only=only))
         runs = [_Run(m, least) for m in models]
         open_ = list(range(len(specs)))
         for _ in range(most):
             for i, (n, s, ss, ll) in zip(list(open_), _pass(rows, [runs[i].at for i in open_], tasks), strict=True):
                 safe = np.maximum(n, TINY)[:, None]
                 means = s / safe
-                image = Mixture(columns, n / max(n.sum(), TINY), means, np.maximum(ss / safe - means[:, :nc] ** 2, least), ll, models[i].hold)
+                image = Mixture(columns, n / max(n.sum(), TINY), means, np.maximum(ss / safe - means[:, :nc] ** 2, least), ll, models[i].hold, models[i].only)
                 if not np.isfinite(models[i].log_likelihood) or ll >= models[i].log_likelihood:
                     models[i] = image  # the likeliest so far
-                if runs[i].step(image, tol * whole["_n"]):
+                if runs[i].step(image, limit):
                     models[i] = runs[i].at
                     open_.remove(i)
             if not open_:

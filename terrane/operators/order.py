@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.functions import stats
@@ -52,15 +52,89 @@ def likelihood_ratio(df: DataFrame, key: str, columns: Columns, k: int, n_init:
     return 2 * (max(m.log_likelihood for m in fits[n_init:]) - best.log_likelihood), best
 
 
+def null_ratios(null: Mixture, spark: SparkSession, n: int, draws: int, n_init: int, seed: int, most: int = MOST) -> list[float]:
+    """Likelihood ratios for one more class on tables of n rows drawn from a fit; all share their passes."""
+    k = len(null.weights)
+    made = simulate(spark, null, n, draws, seed)
+    specs = [(c, d, i) for d in range(draws) for c in (k, k + 1) for i in range(n_init)]
+    found: dict[tuple[int, int], float] = {}
+    for (c, d, _), m in zip(specs, fit_many(made, "key", null.columns, specs, seed, most=most, by="draw"), strict=True):
+        found[d, c] = max(found.get((d, c), -np.inf), m.log_likelihood)
+    return [2 * (found[d, k + 1] - found[d, k]) for d in range(draws)]
+
+
 def bootstrap_likelihood_ratio(df: DataFrame, key: str, columns: Columns, k: int, draws: int = 19, n_init: int = 3, seed: int = 0, most: int = MOST) -> dict[str, float]:
     """The observed ratio for k against k + 1 classes and its add-one p under the fit with k."""
     observed, null = likelihood_ratio(df, key, columns, k, n_init, seed, most)
-    n = df.dropna(subset=columns.names).count()
-    made = simulate(df.sparkSession, null, n, draws, seed)
-    ratios = [likelihood_ratio(made.where(F.col("draw") == d), "key", columns, k, n_init, seed, most)[0] for d in range(draws)]
+    ratios = null_ratios(null, df.sparkSession, df.dropna(subset=columns.names).count(), draws, n_init, seed, most)
     return {"k_null": k, "k_alt": k + 1, "observed_lr": observed, "p_value": (1 + sum(r >= observed for r in ratios)) / (1 + draws), "b_used": draws}
 
 
+def split(model: Mixture, at: int, rng: np.random.Generator, jitter: float = 0.1) -> Mixture:
+    """A start with one class more: class `at` halved, its two parts moved apart at random."""
+    nc = len(model.columns.continuous)
+    move = jitter * rng.normal(size=model.means.shape[1])
+    move[:nc] *= np.sqrt(model.variances[at])
+    means = np.concatenate([model.means, model.means[at : at + 1] + move])
+    means[at] -= move
+    means[:, nc:] = np.clip(means[:, nc:], 0.01, 0.99)
+    weights = np.concatenate([model.weights, [model.weights[at] / 2]])
+    weights[at] /= 2
+    return Mixture(model.columns, weights, means, np.concatenate([model.variances, model.variances[at : at + 1]]))
+
+
+def one_class_more(df: DataFrame, key: str, model: Mixture, n_random: int = 20, seed: int = 0, jitter: float = 0.1, most: int = MOST) -> Mixture:
+    """The likeliest fit with one class more, started from each class's split and from n_random rows."""
+    k = len(model.weights)
+    rng = np.random.default_rng(seed)
+    starts = {-1 - c: split(model, c, rng, jitter) for c in range(k)}
+    fits = fit_many(df, key, model.columns, [(k + 1, -1, i) for i in [*starts, *range(n_random)]], seed, most=most, starts=starts)
+    return max(fits, key=lambda m: m.log_likelihood)
+
+
+# Draws of a screen, draws after it, the p below which it goes on, and the p that rejects: fixed values.
+SCREEN, CONFIRM, GO_ON, REJECT = 199, 999, 0.10, 0.05
+
+
+def ratio_step(df: DataFrame, key: str, null: Mixture, alt: Mixture, n_init: int = 2, seed: int = 0, screen: int = SCREEN, confirm: int = CONFIRM, most: int = MOST) -> dict:
+    """Tests the classes of null against alt's by bootstrap: a screen, and more draws where it is close."""
+    n = df.dropna(subset=null.columns.names).count()
+    observed = 2 * (alt.log_likelihood - null.log_likelihood)
+    ratios = null_ratios(null, df.sparkSession, n, screen, n_init, seed, most)
+    p = (1 + sum(r >= observed for r in ratios)) / (1 + len(ratios))
+    if p < GO_ON and confirm > screen:
+        ratios += null_ratios(null, df.sparkSession, n, confirm - screen, n_init, seed + 1, most)
+        p = (1 + sum(r >= observed for r in ratios)) / (1 + len(ratios))
+    return {"k_null": len(null.weights), "k_alt": len(alt.weights), "observed_lr": float(observed), "p_value": p, "b_used": len(ratios), "rejected": p <= REJECT, "converged": null.converged and alt.converged}
+
+
+def sequential_search(df: DataFrame, key: str, columns: Columns, anchor: int = 4, cap: int = 7, floor: int = 2, n_init: int = 20, n_random: int = 20, seed: int = 0, most: int = MOST, **step) -> tuple[int, list[dict]]:
+    """The supported number of classes and the tests made: up from the anchor while one class more
+    is better; where the first isn't, down while one class less is as good."""
+    fits = {anchor: max(fit_many(df, key, columns, [(anchor, -1, i) for i in range(n_init)], seed, most=most), key=lambda m: m.log_likelihood)}
+    tests, k = [], anchor
+    while k < cap:
+        fits[k + 1] = one_class_more(df, key, fits[k], n_random, seed, most=most)
+        tests.append(ratio_step(df, key, fits[k], fits[k + 1], seed=seed, most=most, **step) | {"direction": "up"})
+        if not tests[-1]["rejected"]:
+            break
+        k += 1
+    while k == anchor - sum(t["direction"] == "down" for t in tests) and k > floor:
+        fits[k - 1] = max(fit_many(df, key, columns, [(k - 1, -1, i) for i in range(n_init)], seed, most=most), key=lambda m: m.log_likelihood)
+        tests.append(ratio_step(df, key, fits[k - 1], fits[k], seed=seed, most=most, **step) | {"direction": "down"})
+        if tests[-1]["rejected"]:
+            break
+        k -= 1
+    return k, tests
+
+
+def neighbour_tail(scores: DataFrame, k: str, log_likelihood: str) -> DataFrame:
+    """The chi-square tail with one degree of freedom of twice the gain in held-out log-likelihood
+    over the next smaller number of classes; scores has a row for each number of classes."""
+    gain = 2 * (F.col(log_likelihood) - F.lag(log_likelihood).over(Window.orderBy(k)))  # a few rows
+    return scores.withColumn("p_value", F.when(gain.isNotNull(), stats.chi2_upper(F.greatest(gain, F.lit(0.0)), F.lit(1.0))))
+
+
 def adjusted_lr(spark: SparkSession, null: Mixture, alt: Mixture, n: int) -> DataFrame:
     """The adjusted Lo-Mendell-Rubin ratio of two fits and its chi-square tail: one row."""
     p0, p1 = null.free_parameters(), alt.free_parameters()

@@ -33,6 +33,28 @@ def mixture_fit(spark, sf):
     return rows.join(labels, "c_custkey").groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in COLUMNS.names), F.lit(model.converged).alias("converged"))
 
 
+def _wide(spark, sf):
+    """A row per customer: 98 totals and 140 flags of the orders of each year, month, state and priority."""
+    o, price = table(spark, sf, "orders"), F.col("o_totalprice") / 1000
+    states, priorities = ("F", "O", "P"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+    totals, flags = [], []
+    for y in range(1995, 2002):
+        own = F.year("o_orderdate") == y
+        parts = [F.quarter("o_orderdate") == q for q in range(1, 5)] + [F.col("o_orderstatus") == c for c in states] + [F.col("o_orderpriority") == c for c in priorities]
+        totals += [F.sum(F.when(own & p, price).otherwise(0.0)) for p in parts] + [F.max(F.when(own, price).otherwise(0.0)), F.count(F.when(own, 1))]
+        flags += [F.max((own & p).cast("int")) for p in [F.month("o_orderdate") == m for m in range(1, 13)] + parts[4:]]
+    names = [f"t{i}" for i in range(len(totals))], [f"f{i}" for i in range(len(flags))]
+    rows = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(*(e.alias(n) for e, n in zip(totals + flags, names[0] + names[1], strict=True)))
+    return rows, M.Columns(*names)
+
+
+def mixture_wide(spark, sf):
+    """Shares and sureness of four classes on 238 columns, the likeliest of 200 starts."""
+    rows, columns = _wide(spark, sf)
+    model = M.fit(rows, "c_custkey", columns, 4, n_init=200)
+    return M.assign(rows, "c_custkey", model).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("responsibilities")).alias("mean_posterior"), F.lit(model.converged).alias("converged"))
+
+
 def mixture_selection(spark, sf):
     """Criteria and held-out likelihood of fits with one to three classes."""
     return M.select(_matrix(spark, sf), "c_custkey", M.Columns(["c_acctbal", "price"], ["urgent"]), [1, 2, 3], n_init=STARTS)
@@ -92,7 +114,7 @@ def frame_digest(spark, sf):
     return digest(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
-QUERIES = {f.__name__: f for f in (mixture_fit, mixture_selection, class_alignment, family_bootstrap, permutation_null, prevalence_slopes, score_invariance, frame_digest)}
+QUERIES = {f.__name__: f for f in (mixture_fit, mixture_wide, mixture_selection, class_alignment, family_bootstrap, permutation_null, prevalence_slopes, score_invariance, frame_digest)}
 
 ORACLES = {
     "frame_digest": "select count(*) as n_rows, sum(('0x' || substr(md5(concat_ws('|', o_custkey, o_orderkey, o_orderpriority, o_orderstatus)), 1, 12))::bigint)::varchar as digest from orders",

@@ -520,3 +520,50 @@ def test_recodes_of_a_few_rows(spark):
     assert [r["b"] for r in bands] == ["spared", "impaired", "impaired"]
     twice = spark.range(1000).agg(F.count_distinct(cohort.random_axis(F.col("id"), 1))).first()[0]
     assert twice == 1000
+
+
+def plain_em(x, means, var, weights, passes):
+    """EM of Gaussian classes as the textbook has it."""
+    for _ in range(passes):
+        j = np.log(weights) - 0.5 * (np.log(2 * np.pi * var)[None] + (x[:, None] - means[None]) ** 2 / var[None]).sum(2)
+        top = j.max(1, keepdims=True)
+        r = np.exp(j - top)
+        ll = (top[:, 0] + np.log(r.sum(1))).sum()
+        r /= r.sum(1, keepdims=True)
+        n = r.sum(0)
+        weights, means = n / n.sum(), (r.T @ x) / n[:, None]
+        var = np.stack([(r[:, k : k + 1] * (x - means[k]) ** 2).sum(0) / n[k] for k in range(len(n))])
+    return ll, weights, means, var
+
+
+def test_squared_steps_end_where_plain_em_does(spark):
+    df = planted(spark)
+    columns = mixture.Columns(["c1", "c2"])
+    x = df.select("c1", "c2").toPandas().to_numpy()
+    start = mixture.Mixture(columns, np.full(3, 1 / 3), np.array([[0.0, 0.0], [4.0, 0.0], [0.0, 4.0]]), np.ones((3, 2)))
+    (own,) = mixture.fit_many(df, "id", columns, [(3, -1, 0)], starts={0: start}, tol=1e-10)
+    ll, weights, means, var = plain_em(x, start.means, start.variances, start.weights, 400)
+    assert own.converged and own.log_likelihood == pytest.approx(ll, abs=1e-4)
+    assert np.allclose(own.means, means, atol=1e-3) and np.allclose(own.variances, var, atol=1e-3) and np.allclose(own.weights, weights, atol=1e-3)
+
+
+def test_runs_by_a_column_see_its_rows_alone(spark):
+    columns = mixture.Columns(["c1", "c2"])
+    df = planted(spark).withColumn("part", F.col("id") % 2)
+    start = mixture.Mixture(columns, np.full(2, 0.5), np.array([[0.0, 0.0], [4.0, 2.0]]), np.ones((2, 2)))
+    both = mixture.fit_many(df, "id", columns, [(2, d, 0) for d in range(2)], starts={0: start}, by="part", most=4)
+    for d, m in enumerate(both):
+        (own,) = mixture.fit_many(df.where(F.col("part") == d), "id", columns, [(2, -1, 0)], starts={0: start}, most=4)
+        assert m.log_likelihood == pytest.approx(own.log_likelihood)
+
+
+def test_search_finds_planted_classes(spark):
+    df = planted(spark, 300)
+    columns = mixture.Columns(["c1", "c2"])
+    k, tests = order.sequential_search(df, "id", columns, anchor=2, cap=4, n_init=2, n_random=2, most=20, screen=19, confirm=19)
+    assert k == 3 and [t["rejected"] for t in tests] == [True, False]
+    one = mixture.fit(df, "id", columns, 2, n_init=2, most=5)
+    two = order.split(one, 0, np.random.default_rng(0))
+    assert two.weights.sum() == pytest.approx(1) and len(two.means) == 3
+    scores = spark.createDataFrame([(1, -10.0), (2, -8.0), (3, -8.5)], "k int, ll double")
+    assert [r["p_value"] for r in order.neighbour_tail(scores, "k", "ll").orderBy("k").collect()] == [None, pytest.approx(0.0455, abs=1e-4), pytest.approx(1.0)]
