@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrane.llm import html_text, jaccard, language_id, licenses, media, neighbours, packing, repeats, sentencepieces, token_counts
+from terrane.llm import html_text, jaccard, language_id, licenses, media, neighbours, packing, periodic, repeats, sentencepieces, token_counts
 from terrane.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,9 +53,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.summary(periodic.collapse(table(spark, sf_dir, "documents"), tiled=True))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_media_columns, op3_token_counts, op4_jaccard_join, op5_nearest_neighbours, op6_best_fit_packing, op7_language_id, op8_html_text, op9_repeats, op10_sentencepiece)
+    for f in (op1_license_scan, op2_media_columns, op3_token_counts, op4_jaccard_join, op5_nearest_neighbours, op6_best_fit_packing, op7_language_id, op8_html_text, op9_repeats, op10_sentencepiece, op13_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {
