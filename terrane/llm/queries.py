@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrane.llm import html_text, jaccard, language_id, licenses, media, neighbours, packing, periodic, repeats, sentencepieces, token_counts
-from terrane.llm.common import table
+from terrane.llm import html_text, jaccard, language_id, licenses, media, neighbours, packing, periodic, repeats, sentencepieces, token_counts, token_files
+from terrane.llm.common import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,13 +54,18 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = cut(token_files.shards(table(spark, sf_dir, "documents")))
+    return token_files.documents(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.summary(periodic.collapse(table(spark, sf_dir, "documents"), tiled=True))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_media_columns, op3_token_counts, op4_jaccard_join, op5_nearest_neighbours, op6_best_fit_packing, op7_language_id, op8_html_text, op9_repeats, op10_sentencepiece, op13_periodic_runs)
+    for f in (op1_license_scan, op2_media_columns, op3_token_counts, op4_jaccard_join, op5_nearest_neighbours, op6_best_fit_packing, op7_language_id, op8_html_text, op9_repeats, op10_sentencepiece, op12_token_files, op13_periodic_runs)
 }
 
 ORACLES: dict[str, str] = {
