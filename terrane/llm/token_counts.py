@@ -28,6 +28,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(maxsize=4)
+def byte_bpe(path: str):
+    """The vocabulary of a byte-level BPE kept in a tokenizers file, as tiktoken's encoding."""
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path) as f:
+        spec = json.load(f)
+    special = {x["content"] for x in spec.get("added_tokens", [])}
+    # Fixed rule of byte-level BPE: printable bytes stand for themselves, the others for 256 + rank.
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    ranks = {bytes(byte_of[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
+    return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str):
     """A function from a text to its ids (uint32), of a byte-level BPE kept in a tokenizers file.
@@ -36,8 +52,6 @@ def encoder(path: str):
     characters on which the two libraries' splitting patterns may differ goes to tokenizers
     itself. Strings of special tokens are ordinary text.
     """
-    import tiktoken
-    from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
 
     @functools.cache
@@ -46,15 +60,7 @@ def encoder(path: str):
         t.encode_special_tokens = True
         return t
 
-    with open(path) as f:
-        spec = json.load(f)
-    special = {x["content"] for x in spec.get("added_tokens", [])}
-    # Fixed rule of byte-level BPE: printable bytes stand for themselves, the others for 256 + rank.
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-    ranks = {bytes(byte_of[c] for c in k): v for k, v in spec["model"]["vocab"].items() if k not in special}
-    del spec
-    fast = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = byte_bpe(path)
 
     def encode(text: str) -> np.ndarray:
         if PLAIN.fullmatch(text):

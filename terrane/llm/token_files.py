@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.common import binary_column, byte_chunks, doc_texts, freeing, mix64
-from terrane.llm.token_counts import default_tokenizer
+from terrane.llm.token_counts import byte_bpe, default_tokenizer
 
 END = 2
 SHARD = 1 << 20
@@ -112,23 +112,21 @@ def words(data: np.ndarray, kind: np.ndarray, edges: np.ndarray) -> np.ndarray:
 def encoder(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """A function from texts (bytes and offsets) to their ids (uint32) and how many each has.
 
-    The tokenizers library encodes: each different word of the texts once, and texts with characters
-    of other classes whole. Strings of special tokens are ordinary text.
+    Each different word of the texts is encoded once, by tiktoken with the file's vocabulary; texts with
+    characters of other classes go to the tokenizers library whole. Strings of special tokens are
+    ordinary text.
     """
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
+    library, fast = Tokenizer.from_file(path), byte_bpe(path)
     library.encode_special_tokens = True
     known: dict[bytes, bytes] = {}
 
-    def ids_of(texts: list[str]) -> list[bytes]:
-        return [array.array("I", x.ids).tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
-
     def encode(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind = classes(data)
         odd = np.add.reduceat(np.append(kind == _UNKNOWN, False), edges[:-1]) * (np.diff(edges) > 0) > 0 if len(edges) > 1 else np.zeros(0, bool)
         counts = np.zeros(len(odd), np.int64)
-        whole = {int(i): np.frombuffer(ids_of([data[edges[i] : edges[i + 1]].tobytes().decode()])[0], np.uint32) for i in np.flatnonzero(odd)}
+        whole = {int(i): np.array(library.encode(data[edges[i] : edges[i + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for i in np.flatnonzero(odd)}
         if whole:  # take them out, and put their ids in afterwards
             size = np.where(odd, 0, np.diff(edges))
             keep = np.repeat(~odd, np.diff(edges))
@@ -140,8 +138,9 @@ def encoder(path: str) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, n
         unique = [held[a:b] for a, b in zip(off, off[1:], strict=False)]
         if len(known) > KEPT_WORDS:
             known.clear()
-        new = [w for w in unique if w not in known]
-        known.update(zip(new, ids_of([w.decode() for w in new]), strict=True))
+        for w in unique:
+            if w not in known:
+                known[w] = array.array("I", fast._encode_single_piece(w)).tobytes()
         coded = [known[w] for w in unique]
         size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         flat = np.frombuffer(b"".join(coded), np.uint32)
