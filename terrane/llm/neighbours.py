@@ -133,7 +133,7 @@ class Graph:
             self.edges[who] = self._prune(who, np.concatenate([self.edges[who], back], 1))
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int, beam: int) -> list[tuple[int, int, float]]:
-        """(query, id, inner product): k nearest of each query, but itself. Ties: smaller ids."""
+        """(place of the query, id, inner product): k nearest of each query, but its own id. Ties: smaller ids."""
         out: list[tuple[int, int, float]] = []
         if not len(self.x):
             return out
@@ -143,7 +143,7 @@ class Graph:
             scaled = q / np.abs(q).max(1, keepdims=True)
             nodes, _ = self.walk(np.concatenate([scaled, np.zeros((len(q), 1))], 1).astype(np.float32), max(beam, k + 1))
             exact = (self.vectors[nodes] * q[:, None, :]).sum(2)
-            for o, near, score in zip(own[lo : lo + step].tolist(), nodes, exact, strict=True):
+            for at, (o, near, score) in enumerate(zip(own[lo : lo + step].tolist(), nodes, exact, strict=True), lo):
                 good = near >= 0
                 near, score, got = near[good], score[good], []
                 for i in np.argsort(-score, kind="stable").tolist():
@@ -151,7 +151,7 @@ class Graph:
                         break
                     got += [(v, score[i]) for v in self.members[near[i]].tolist() if v != o]
                 got.sort(key=lambda x: (-x[1], x[0]))
-                out += [(o, v, s) for v, s in got[:k]]
+                out += [(at, v, s) for v, s in got[:k]]
         return out
 
 
@@ -189,7 +189,8 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int =
 
     Both have vec_id and embedding; a query's own id is no candidate. Vectors of another length
     than a query's take no part in its search; nulls, zero vectors and those with non-finite components
-    in none. Ties go to the smaller vec_id; rows that repeat an id are candidates each. Empty tables
+    in none. Ties go to the smaller vec_id; rows that repeat an id are candidates each. Queries that repeat
+    an id and its vector are one; those with one id and several vectors have k rows for each. Empty tables
     give no rows; other columns are left out; long vectors are compared whole. Each query goes to
     every shard of its length, so the work grows with queries times rows over shard_rows.
     """
@@ -198,14 +199,15 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int =
     shards = max(1, groups.agg(F.max(F.col("first") + F.col("many"))).first()[0])
     ranges = groups.groupBy("width").agg(F.min("first").alias("lo"), F.max(F.col("first") + F.col("many")).alias("hi"))
     own = data.withColumn("width", F.size("embedding")).withColumn("octave", _octave()).join(F.broadcast(groups), ["width", "octave"])
-    rows = own.select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding")
-    sent = usable(queries).withColumn("width", F.size("embedding")).join(F.broadcast(ranges), "width").where("lo < hi")
-    asked = sent.select(F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int") - 1)).alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding")
+    rows = own.select((F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int").alias("shard"), F.lit(0).alias("kind"), "vec_id", "embedding", F.lit(0).cast("long").alias("mark"))
+    once = usable(queries).dropDuplicates(["vec_id", "embedding"]).withColumn("mark", F.xxhash64("embedding"))
+    sent = once.withColumn("width", F.size("embedding")).join(F.broadcast(ranges), "width").where("lo < hi")
+    asked = sent.select(F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int") - 1)).alias("shard"), F.lit(1).alias("kind"), "vec_id", "embedding", "mark")
 
     def search(batches):
         shard, ids, vectors, graph = None, [], [], None
         for b in batches:
-            key, kind, vec = (b.column(c).to_numpy() for c in ("shard", "kind", "vec_id"))
+            key, kind, vec, mark = (b.column(c).to_numpy() for c in ("shard", "kind", "vec_id", "mark"))
             flat, width = b.column("embedding").flatten().to_numpy(), np.diff(b.column("embedding").offsets.to_numpy())
             starts = np.concatenate([[0], np.cumsum(width)])
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (kind[1:] != kind[:-1])) + 1
@@ -222,8 +224,9 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 20, beam: int =
                     graph = graph or Graph(np.concatenate(ids), np.concatenate(vectors), k + 1)
                     got = graph.search(vec[s:e], part, k, beam)
                     q, v, score = zip(*got, strict=True) if got else ((), (), ())
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+                    q = np.array(q, np.int64) + s
+                    yield pa.RecordBatch.from_arrays([pa.array(vec[q]), pa.array(mark[q]), pa.array(v, pa.int64()), pa.array(score, pa.float64())], ["query_id", "mark", "vec_id", "score"])
 
-    found = rows.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "vec_id").mapInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = rows.unionByName(asked).repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "vec_id").mapInArrow(search, "query_id long, mark long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
