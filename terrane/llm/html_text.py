@@ -40,6 +40,8 @@ ASIDE = frozenset("nav footer aside button dialog menu fieldset label".split())
 STRONG = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist respond reply replies disqus pagination pager popup modal copyright skip notice notices complementary contentinfo".split())
 WEAK = frozenset("header masthead topbar top banner widget widgets search alert legal toolbar tools meta tags form disclaimer message".split())
 CONTENT = frozenset("article content main post entry story body text".split())
+HEADINGS = {f"h{k}": k for k in range(1, 7)}
+COMMENTS = re.compile(r"\W*(?:\d+\W+)?(?:all |our |latest |recent |reader |readers.? |user |visitor )?(?:comments?(?: section)?|kommentare?|commentaires?|comentarios?|commenti|reacties)(?:\W+\d+)?\W*", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -61,6 +63,7 @@ class Page:
     """A page's elements (lists by number, parents first) and blocks (text, element, linked characters)."""
 
     parent: list[int] = field(default_factory=lambda: [-1])
+    tag: list[str] = field(default_factory=lambda: [""])
     path: list[int] = field(default_factory=lambda: [0])
     section: list[int] = field(default_factory=lambda: [0])  # the innermost sectioning element
     article: list[int] = field(default_factory=lambda: [-1])  # the outermost article or main
@@ -197,6 +200,7 @@ def scan(page: str) -> Page:
             factor *= WEAK_WEIGHT
         number = len(out.parent)
         out.parent.append(up)
+        out.tag.append(tag)
         out.path.append(out.paths.setdefault((out.path[up], f"{tag}.{label}"), len(out.paths) + 1) if tag in BLOCKS else out.path[up])
         out.section.append(number if tag in SECTIONS else out.section[up])
         out.article.append(number if tag in ARTICLES and not article else out.article[up])
@@ -250,11 +254,54 @@ def _regions(page: Page, chosen: set[int]) -> dict[int, int]:
     return {e: page.slights[e] for e in found}
 
 
+def _comments(page: Page) -> set[int]:
+    """The blocks of reader comments that only their heading tells, with that heading.
+
+    A section or div, but no article or main, that begins with such a heading holds comments. Elsewhere
+    what follows it in the same element does, up to a heading of its rank, if it comes in elements of
+    its own: paragraphs side by side with the heading are the article's.
+    """
+    out: set[int] = set()
+    for i, (text, e, _) in enumerate(page.blocks):
+        while page.tag[e] not in HEADINGS and page.tag[e] not in BLOCKS and page.parent[e] >= 0:
+            e = page.parent[e]
+        rank = HEADINGS.get(page.tag[e], 0)
+        if rank < 2 or len(text) > 60 or not COMMENTS.fullmatch(text):
+            continue
+        around = page.parent[e]
+        while around > 0 and page.tag[around] in ("header", "hgroup"):
+            around = page.parent[around]
+
+        below: dict[int, int] = {around: -1, -1: -1}  # of an element, the one just below around that it is in
+
+        def inner(e: int, around: int = around, below: dict[int, int] = below) -> int:
+            chain = []
+            while e not in below and page.parent[e] != around:
+                chain.append(e)
+                e = page.parent[e]
+            top = below.setdefault(e, e)
+            below.update(dict.fromkeys(chain, top))
+            return top
+
+        first = i == 0 or page.blocks[i - 1][1] != around and inner(page.blocks[i - 1][1]) < 0
+        to, apart = i + 1, False
+        while to < len(page.blocks) and (top := inner(page.blocks[to][1])) >= 0:
+            if HEADINGS.get(page.tag[top], 7) <= rank:
+                break
+            apart |= page.tag[top] in ("div", "section", "article", "ul", "ol", "dl", "blockquote", "table")
+            to += 1
+        if apart or first and page.tag[around] in ("section", "div") and to > i + 1:
+            out.update(range(i, to))
+    return out
+
+
 def main_text(html_text: str, threshold: float = THRESHOLD) -> str:
     """The blocks of the elements whose paths' fused ratio reaches the threshold times the best,
     joined. A page with nothing but elements that HTML itself sets apart, such as nav, has none."""
     page = scan(html_text)
     page.blocks = [b for b in page.blocks if not page.hidden[b[1]]]
+    apart = _comments(page)
+    page.blocks = [b for i, b in enumerate(page.blocks) if i not in apart]
     if not page.blocks:
         return ""
     fused, linked = ratios(page)
