@@ -333,15 +333,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that reach a smaller doc_id by links, one for each doc_id.
 
-    Rows with a null doc_id have no links and stay.
+    Of rows with one doc_id the one whose columns have the smallest hash stays, so always the same. Rows
+    with a null doc_id have no links and stay. Columns of any name are carried as they are.
     """
     found = jaccard_components(docs)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    kept = docs.join(gone, "doc_id", "left_anti").select(columns)
     again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    several = kept.join(again, "doc_id", "left_semi").select(F.col("doc_id"), F.struct(columns).alias("row"))
+    first = several.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(columns).unionByName(first)
 
 
 def attach(spread: DataFrame, sets: DataFrame) -> DataFrame:
