@@ -9,36 +9,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.stats import chi2_upper, running_total
+from terrane.operators.draws import dealt_sums, drawn_sums
 
 
 def family_bootstrap(long: DataFrame, family: str, by: list[str], n_boot: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Percentile intervals of means (by, value) when whole families are drawn again.
 
     Families' sums are aggregated first. A replicate weighs each family by a Poisson(1) number of a
-    seeded hash of (family, replicate), so replicates need no draw over all families together.
+    seeded hash; tasks add up their families for all replicates. by are columns with few values.
     """
     sums = long.where(F.col("value").isNotNull()).groupBy(*by, family).agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"))
-    reps = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep"))
-    u = (F.pmod(F.xxhash64(F.col(family), F.col("rep"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps = np.cumsum([1.0, *(1 / np.cumprod(np.arange(1, 12)))]) / np.e
-    m = sum(((u > float(c)).cast("int") for c in steps[1:]), (u > float(steps[0])).cast("int"))
-    means = reps.withColumn("m", m).groupBy(*by, "rep").agg((F.sum(F.col("m") * F.col("s")) / F.sum(F.col("m") * F.col("n"))).alias("draw"))
+    means = drawn_sums(sums.withColumn("_hash", F.xxhash64(F.col(family), F.lit(seed))), by, "_hash", ["s", "n"], n_boot).select("rep", *by, (F.col("s") / F.when(F.col("n") > 0, F.col("n"))).alias("draw"))
     lo, hi = (1 - level) / 2, (1 + level) / 2
     bands = means.groupBy(*by).agg(F.percentile("draw", F.lit(lo)).alias("ci_low"), F.percentile("draw", F.lit(hi)).alias("ci_high"), F.count("draw").alias("n_boot"))
     return sums.groupBy(*by).agg((F.sum("s") / F.sum("n")).alias("estimate")).join(bands, by)
 
 
-def permutation_null(long: DataFrame, key: str, share: float, n_perm: int = 50, seed: int = 0) -> DataFrame:
+def permutation_null(long: DataFrame, key: str, share: float, n_perm: int = 999, seed: int = 0) -> DataFrame:
     """Null draws of a stratum's displacement per class: rows in the stratum by a hash of key and draw.
 
     long has key, class, feature and value; a draw is the RMS over features of the stratum's mean
-    less the class's, in the class's sds. Rows are aggregated per draw; no pair of rows is made.
+    less the class's, in the class's sds. Tasks add up their rows by draw; no row is repeated.
     """
-    inside = F.pmod(F.xxhash64(F.col(key), F.col("perm"), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    rows = long.select(key, "class", "feature", "value", F.explode(F.sequence(F.lit(1), F.lit(n_perm))).alias("perm"))
-    g = rows.groupBy("perm", "class", "feature").agg(F.avg(F.when(inside, F.col("value"))).alias("m"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    z = (F.col("m") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd"))
-    return g.groupBy("perm", "class").agg(F.sqrt(F.avg(z * z)).alias("draw"))
+    rows = long.where(F.col("value").isNotNull()).select("class", "feature", F.col("value").cast("double").alias("value"), F.lit(1.0).alias("one"), F.xxhash64(F.col(key), F.lit(seed)).alias("_hash"))
+    inside = dealt_sums(rows, ["class", "feature"], "_hash", "value", "one", np.array([share]), [1, 0], n_perm).where("place = 1")
+    whole = long.groupBy("class", "feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    z = (F.col("s") / F.col("w") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd"))
+    return inside.join(whole, ["class", "feature"]).groupBy(F.col("draw").alias("perm"), "class").agg(F.sqrt(F.avg(z * z)).alias("draw"))
 
 
 def multinomial(df: DataFrame, design: list[str], targets: str, classes: int, ridge: float = 1e-3, most: int = 25, tol: float = 1e-8) -> np.ndarray:

@@ -6,15 +6,13 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from terrane.functions.stats import bh_reject
 from terrane.operators import drift as D
 from terrane.operators import strata as S
+from terrane.operators.draws import dealt_sums
 
 
 @dataclass(frozen=True)
@@ -45,14 +43,6 @@ def localise(df: DataFrame, axis: str, scheme: Scheme) -> DataFrame:
     return df.withColumn("place", S.bin_of(F.col(axis), edges)).where("place is not null").withColumn("weight", F.lit(1.0))
 
 
-def uniform(hashes: np.ndarray, draw: int) -> np.ndarray:
-    """A number in (0, 1) for each 64-bit hash and the draw (the mixing of splitmix64)."""
-    z = hashes.astype(np.int64).view(np.uint64) + np.uint64(draw * 0x9E3779B97F4A7C15 % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
-
-
 def sweep(long: DataFrame, axis: str, key: str, scheme: Scheme, n_perm: int = 999, seed: int = 0) -> DataFrame:
     """Per place and class: drift from the class's mean, its null, p, and whether it is rejected.
 
@@ -68,34 +58,10 @@ def sweep(long: DataFrame, axis: str, key: str, scheme: Scheme, n_perm: int = 99
         run += r["w"] / total
         cuts.append((r["place"], run))
     places, ends = [r["place"] for r in shares], np.array([end for _, end in cuts])
-    kinds = dict(rows.dtypes)
-    schema = f"draw int, place {kinds['place']}, class {kinds['class']}, feature {kinds['feature']}, s double, w double"
-    types = to_arrow_schema(StructType.fromDDL(schema))
-
-    def deal(batches):
-        sums: dict = {}  # (class, feature): draws x places, of weighted values and of weights
-        for b in batches:
-            x, w, at = (b.column(c).to_numpy(zero_copy_only=False) for c in ("x", "weight", "hash"))
-            code: dict = {}
-            own = np.array([code.setdefault(k, len(code)) for k in zip(b.column("class").to_pylist(), b.column("feature").to_pylist(), strict=True)], np.int64)
-            shape = (n_perm, len(places), len(code))
-            got = np.zeros((2, *shape))
-            for draw in range(n_perm):
-                cell = np.searchsorted(ends, uniform(at, draw + 1)) * len(code) + own
-                for part, values in zip(got, (x, w), strict=True):
-                    part[draw] = np.bincount(cell, values, shape[1] * shape[2]).reshape(shape[1:])
-            for k, i in code.items():
-                sums[k] = sums.get(k, 0) + got[:, :, :, i]
-        for (c, f), (s, w) in sums.items():
-            draw, place = np.nonzero(w)
-            n = len(draw)
-            cols = [draw + 1, [places[i] for i in place], [c] * n, [f] * n, s[draw, place], w[draw, place]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(cols, types, strict=True)], schema=types)
-
-    weighed = F.coalesce(F.col("weight") * F.col("value"), F.lit(0.0)).cast("double")
-    dealt = rows.select("class", "feature", weighed.alias("x"), F.col("weight").cast("double").alias("weight"), F.xxhash64(F.col(key), F.lit(seed)).alias("hash")).mapInArrow(deal, schema)
-    seen = rows.groupBy("place", "class", "feature").agg(F.sum(weighed).alias("s"), F.sum("weight").alias("w")).withColumn("draw", F.lit(0))
-    means = dealt.unionByName(seen).groupBy("draw", "place", "class", "feature").agg((F.sum("s") / F.sum("w")).alias("m"))
+    hashed = rows.withColumns({"weight": F.col("weight").cast("double"), "_hash": F.xxhash64(F.col(key), F.lit(seed))})
+    dealt = dealt_sums(hashed, ["class", "feature"], "_hash", "value", "weight", ends, places, n_perm, dict(rows.dtypes)["place"])
+    seen = rows.where(F.col("value").isNotNull()).groupBy("place", "class", "feature").agg(F.sum(F.col("weight") * F.col("value")).alias("s"), F.sum("weight").alias("w")).withColumn("draw", F.lit(0))
+    means = dealt.unionByName(seen).select("draw", "place", "class", "feature", (F.col("s") / F.col("w")).alias("m"))
     whole = long.groupBy("class", "feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     z = means.join(whole, ["class", "feature"]).withColumn("z", (F.col("m") - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")))
     dist = z.groupBy("draw", "place", "class").agg(F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("d"))

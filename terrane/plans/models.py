@@ -87,7 +87,7 @@ def permutation_null(spark, sf):
     g = long.groupBy("class", "feature").agg(F.avg(F.when(F.col("id") % 2 == 1, F.col("value"))).alias("m"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     z = (F.col("m") - F.col("mean")) / F.col("sd")
     seen = g.groupBy("class").agg(F.sqrt(F.avg(z * z)).alias("value"))
-    return D.read_against_null(seen, I.permutation_null(long, "id", 0.5, 40).select("class", "draw"), ["class"])
+    return D.read_against_null(seen, I.permutation_null(long, "id", 0.5).select("class", "draw"), ["class"])
 
 
 def prevalence_slopes(spark, sf):
