@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 # The units' spellings, words for "never" and their code, the greatest age, days.
 YEARS = r"(?:years?|yrs?|y\.?o\.?|y/o|y)"
-MONTHS = r"(?:months?|mos?|ms|m)"
+MONTHS = r"(?:months?|moths?|mn?ths?|mons?|mos?|ms|mm|m)"
 WEEKS = r"(?:weeks?|wks?|w)"
-NEVER = re.compile(r"\b(never|not yet|can'?t|cannot|unable)\b")
+NEVER = re.compile(r"\b(?:never|unable|not\s+(?:yet|able)|can\s*not|can['’]?t|(?:has|does|did)(?:\s*n['’]?t|\s+not))\b")
+ABOUT = re.compile(r"(?:(?:at|about|around|approximately|approx\.?|circa|c\.|almost|nearly|roughly|close\s+to|~)\s*)+(?=[\d½¼¾a])")
+BOUND = re.compile(r"(?:[<>]=?|(?:less|more|greater)\s+than\b|(?:under|over|before|after|by|up\s+to)\b)\s*")
 NEVER_CODE, GREATEST, DAYS_IN_MONTH = 888.0, 85.0, 30.4375
 NUMBER = r"\d+(?:\.\d+)?"
 _UNITS = {"y": 12.0, "m": 1.0, "w": 7 / DAYS_IN_MONTH}
@@ -44,7 +46,8 @@ def _single(text: str) -> tuple[float, str] | None:
 def parse_age_months(value: str | None) -> float | None:
     """Months of an age as people write it; None if it isn't one.
 
-    Ranges give their midpoint, bounds their end, 'never' its code; ages over the greatest are it.
+    Ranges give their midpoint, bounds with a unit their end, words for 'not reached' their code; ages
+    over the greatest are it.
     """
     if value is None:
         return None
@@ -56,11 +59,17 @@ def parse_age_months(value: str | None) -> float | None:
     text = re.sub(r"(\d)\s*([½¼¾])", lambda m: m[1] + _GLYPHS[m[2]], text)
     text = re.sub(r"(?<!\d)([½¼¾])", lambda m: "0" + _GLYPHS[m[1]], text)
     text = re.sub(r"(\d+)\s+(\d)/(\d)(?!\d)", lambda m: f"{int(m[1]) + int(m[2]) / int(m[3]):g}", text)
-    if re.search(r"\d/\d", text) or re.search(r"\b(lost|over|under)\b", text):
+    if re.search(r"\d/\d", text) or re.search(r"\blost\b", text):
         return None
+    text, bound = ABOUT.sub("", text, 1) if ABOUT.match(text) else text, BOUND.match(text)
+    if bound:
+        text = text[bound.end() :]
+        text = ABOUT.sub("", text, 1) if ABOUT.match(text) else text
+        if re.fullmatch(NUMBER, text):
+            return None  # of a bound without a unit the scale is unknown
     text = re.sub(rf"^(?:by )?age ({NUMBER})$", r"\1 years", text)  # an age without a unit is in years
     text = re.sub(r"(\d)\+", r"\1", text)
-    text = re.sub(r"^(?:approximately|approx\.?|about|around|before|by age|by|at|age|~|<|>|=)+\s*", "", text).strip()
+    text = re.sub(r"^(?:age|=)\s*", "", text).strip()
     ends = re.split(r"\s*(?:-|–|\bto\b|\bor\b)\s*", text)
     found = None
     if len(ends) == 2 and all(ends):

@@ -102,12 +102,15 @@ def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame
     return dealt.withColumn("_in", F.sum(value).over(inside)).join(base, "_part").withColumn(name, F.col("_base") + F.col("_in")).drop("_part", "_in", "_base")
 
 
-def at_ranks(df: DataFrame, column: str, ranks: list[int]) -> dict[int, tuple[float, int, int]]:
-    """For ranks from 0 in the order of a column: the value, and how many rows are below it and up to
-    it. Distinct values are counted and their totals run over ranges of value; only the rows of the
-    given ranks reach the driver."""
+def rank_totals(df: DataFrame, column: str) -> DataFrame:
+    """_v, _from and _to: a column's distinct values, and how many rows are below each and up to it.
+    Their totals run over ranges of value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    totals = running_total(counts, "_v", "_n", "_to").withColumn("_from", F.col("_to") - F.col("_n"))
+    return running_total(counts, "_v", "_n", "_to").select("_v", (F.col("_to") - F.col("_n")).alias("_from"), "_to")
+
+
+def looked_up(totals: DataFrame, ranks: list[int]) -> dict[int, tuple[float, int, int]]:
+    """at_ranks of the values in rank_totals; only the rows of the given ranks reach the driver."""
     wanted = sorted(set(ranks))
     if not wanted:
         return {}
@@ -117,21 +120,32 @@ def at_ranks(df: DataFrame, column: str, ranks: list[int]) -> dict[int, tuple[fl
     return {wanted[i]: (r["_v"], r["_from"], r["_to"]) for r in hit for i in range(r["_first"], r["_first"] + r["_many"])}
 
 
-def quantiles(df: DataFrame, column: str, probs: list[float]) -> list[tuple[float, int]]:
-    """Exact quantiles (interpolated between neighbours), and how many rows are below each."""
-    n = df.where(F.col(column).isNotNull()).count()
-    if not n:
-        return []
-    places = [p * (n - 1) for p in probs]
-    found = at_ranks(df, column, [r for x in places for r in (int(x), min(n - 1, int(x) + 1))])
+def at_ranks(df: DataFrame, column: str, ranks: list[int]) -> dict[int, tuple[float, int, int]]:
+    """For ranks from 0 in the order of a column: the value, and how many rows are below it and up to it."""
+    return looked_up(rank_totals(df, column), ranks)
+
+
+def quantile_ranks(n: int, probs: list[float]) -> list[int]:
+    """The ranks that quantiles of n values lie between."""
+    return [r for p in probs for r in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))]
+
+
+def between_ranks(found: dict[int, tuple[float, int, int]], n: int, probs: list[float]) -> list[tuple[float, int]]:
+    """Quantiles (interpolated between neighbours) from values at ranks, and how many rows are below each."""
     out = []
-    for x in places:
+    for x in (p * (n - 1) for p in probs):
         (low, below, through), (high, *_) = found[int(x)], found[min(n - 1, int(x) + 1)]
         value = low + (x - int(x)) * (high - low)
         out.append((value, below if value <= low else through))
     return out
 
 
+def quantiles(df: DataFrame, column: str, probs: list[float]) -> list[tuple[float, int]]:
+    """Exact quantiles, and how many rows are below each; none of a column without values."""
+    n = df.where(F.col(column).isNotNull()).count()
+    return between_ranks(at_ranks(df, column, quantile_ranks(n, probs)), n, probs) if n else []
+
+
 def long_form(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
     """ids, feature and value (double): a row for each cell."""
     return df.select(*ids, *(F.col(f).cast("double").alias(f) for f in features)).unpivot(ids, features, "feature", "value")

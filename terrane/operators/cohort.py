@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.functions.stats import quantiles
+
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -94,13 +96,18 @@ def derive_axes(df: DataFrame) -> DataFrame:
     return df.withColumns({"age": F.when(age.between(0, 18), age), "year": F.when(year.between(1985, 2026), year), "lag": F.when(lag >= -1, lag)})
 
 
+PERCENTILES = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+
+
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
-    """For each column: values present and missing, the share, and five percentiles."""
-    stacked = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("x")) for c in columns))))
-    p = F.percentile("x", F.array(*(F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95))))
-    out = stacked.groupBy("axis").agg(F.count("x").alias("n_present"), F.count_if(F.col("x").isNull()).alias("n_missing"), p.alias("p"))
-    share = F.col("n_present") / (F.col("n_present") + F.col("n_missing"))
-    return out.select("axis", "n_present", "n_missing", share.alias("coverage"), *(F.col("p")[i].alias(n) for i, n in enumerate(("p5", "p25", "p50", "p75", "p95"))))
+    """For each column: values present and missing, the share, and five percentiles (exact, from
+    running totals over ranges of value)."""
+    sizes = df.agg(F.count(F.lit(1)).alias("_n"), *(F.count(c).alias(c) for c in columns)).first()
+    rows = []
+    for c in columns:
+        n, found = sizes[c], [q for q, _ in quantiles(df, c, list(PERCENTILES.values()))] or [None] * len(PERCENTILES)
+        rows.append((c, n, sizes["_n"] - n, n / sizes["_n"] if sizes["_n"] else None, *found))
+    return df.sparkSession.createDataFrame(rows, "axis string, n_present long, n_missing long, coverage double, " + ", ".join(f"{p} double" for p in PERCENTILES))
 
 
 def contemporaneity(df: DataFrame, years: list[str], diagnosis: str) -> DataFrame:
@@ -108,8 +115,10 @@ def contemporaneity(df: DataFrame, years: list[str], diagnosis: str) -> DataFram
     cols = F.filter(F.array(*years), lambda x: x.isNotNull())
     span = F.array_max(cols) - F.array_min(cols)
     mean = F.aggregate(cols, F.lit(0.0), lambda a, x: a + x) / F.size(cols)
-    rows = df.select(F.when(F.size(cols) > 0, span).alias("span"), F.when(F.size(cols) > 0, mean - F.col(diagnosis)).alias("after"))
-    return rows.agg(F.percentile("span", F.lit(0.5)).alias("median_span"), F.percentile("span", F.lit(0.9)).alias("p90_span"), F.avg((F.col("span") > 1).cast("double")).alias("share_over_1"), F.percentile("after", F.lit(0.5)).alias("median_after"))
+    rows = df.select(F.when(F.size(cols) > 0, span).cast("double").alias("span"), F.when(F.size(cols) > 0, mean - F.col(diagnosis)).alias("after"))
+    spans = [q for q, _ in quantiles(rows, "span", [0.5, 0.9])] or [None, None]
+    after = [q for q, _ in quantiles(rows, "after", [0.5])] or [None]
+    return rows.agg(F.lit(spans[0]).cast("double").alias("median_span"), F.lit(spans[1]).cast("double").alias("p90_span"), F.avg((F.col("span") > 1).cast("double")).alias("share_over_1"), F.lit(after[0]).cast("double").alias("median_after"))
 
 
 def infer_type(field_type: Column, levels: Column) -> Column:

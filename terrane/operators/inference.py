@@ -7,6 +7,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from terrane.functions.stats import chi2_upper, running_total
 from terrane.operators.draws import dealt_sums, drawn_sums
@@ -181,21 +183,35 @@ def invariance_by_class(long: DataFrame, n_sim: int = 500, seed: int = 0) -> Dat
     scored = long.join(F.broadcast(means), ["class", "feature"])  # classes by features
     scored = scored.withColumn("score", casewise_scores(F.col("_mu"), F.col("_m2") - F.col("_mu") * F.col("_mu"), r, x)).where(F.col("score").isNotNull())
     sums = scored.groupBy("class", "grid", "feature").agg(F.sum("score").alias("s")).toPandas()  # classes by grid by features
-    wide = scored.groupBy("id", "class").agg(F.sort_array(F.collect_list(F.struct("feature", "score"))).alias("v"))  # a row's features
-    pairs = wide.select("class", F.posexplode("v.score").alias("i", "a"), F.col("v.score").alias("b")).select("class", "i", "a", F.posexplode("b").alias("j", "c"))
-    products = pairs.where("j >= i").groupBy("class", "i", "j").agg(F.sum(F.col("a") * F.col("c")).alias("v")).toPandas()  # classes by features squared
+    names = sorted(sums["feature"].unique().tolist())
+    place_of = {f: i for i, f in enumerate(names)}
+
+    def outer(batches):
+        total: dict = {}
+        for b in batches:
+            own, at = np.array(b.column("class").to_pylist(), dtype=object), b.column("v").combine_chunks() if hasattr(b.column("v"), "combine_chunks") else b.column("v")
+            cells = at.flatten()
+            x = np.zeros((b.num_rows, len(names)))
+            row = np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy()))
+            x[row, [place_of[f] for f in cells.field("feature").to_pylist()]] = cells.field("score").to_numpy(zero_copy_only=False)
+            for k in set(own.tolist()):
+                part = x[own == k]
+                total[k] = total.get(k, 0) + (part.T @ part).ravel()
+        for k, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(v), types[0].type), pa.array(np.arange(len(v))), pa.array(v)], ["class", "i", "v"])
+
+    kind = dict(long.dtypes)["class"]
+    types = to_arrow_schema(StructType.fromDDL(f"class {kind}"))
+    wide = scored.groupBy("id", "class").agg(F.collect_list(F.struct("feature", "score")).alias("v"))  # a row's features
+    products = wide.mapInArrow(outer, f"class {kind}, i long, v double").groupBy("class", "i").agg(F.sum("v").alias("v")).toPandas()  # classes by features squared
     sizes = long.select("id", "grid").distinct().groupBy("grid").agg(F.count(F.lit(1)).alias("k")).orderBy("grid").toPandas()
     steps = (sizes["k"] / sizes["k"].sum()).to_numpy()
     place = {g: i for i, g in enumerate(sizes["grid"])}
     rows = []
     for label, own in sums.groupby("class"):
-        features = sorted(own["feature"].unique())
-        column = {f: i for i, f in enumerate(features)}
-        process = np.zeros((len(place), len(features)))
-        process[own["grid"].map(place), own["feature"].map(column)] = own["s"]
-        opg = np.zeros((len(features), len(features)))
-        p = products[products["class"] == label]
-        opg[p["i"], p["j"]] = opg[p["j"], p["i"]] = p["v"]
+        process = np.zeros((len(place), len(names)))
+        process[own["grid"].map(place), own["feature"].map(place_of)] = own["s"]
+        opg = products[products["class"] == label].sort_values("i")["v"].to_numpy().reshape(len(names), len(names))
         values, vectors = np.linalg.eigh(opg)
         keep = values > 1e-8 * values.max()
         w = np.cumsum(process, 0) @ (vectors[:, keep] / np.sqrt(values[keep]))
@@ -207,7 +223,6 @@ def invariance_by_class(long: DataFrame, n_sim: int = 500, seed: int = 0) -> Dat
             total += (b[:, :-1] - t * b[:, -1:]) ** 2
         for name, stat, draws in (("max", norms.max(), total.max(1)), ("integral", (norms * steps[:-1]).sum(), (total * steps[:-1]).sum(1))):
             rows.append((label.item() if hasattr(label, "item") else label, name, float(stat), int(keep.sum()), (1 + int((draws >= stat).sum())) / (1 + n_sim), int(sizes["grid"].iloc[int(norms.argmax())])))
-    kind = dict(long.dtypes)["class"]
     return long.sparkSession.createDataFrame(rows, f"class {kind}, functional string, statistic double, rank int, p_value double, at int")
 
 

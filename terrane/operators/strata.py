@@ -5,10 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.stats import quantiles, running_total
+from terrane.functions.stats import between_ranks, looked_up, quantile_ranks, quantiles, rank_totals, running_total
+
+# Most ranks that one job looks up, about.
+RANKS = 20_000
 
 
 def bin_of(x: Column, edges: list[float]) -> Column:
@@ -28,29 +32,28 @@ def quantile_edges(df: DataFrame, column: str, q: int) -> list[float]:
     return sorted({e for e, _ in quantiles(df, column, [i / q for i in range(1, q)])})
 
 
-def value_counts(df: DataFrame, column: str, step: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and their numbers, on the driver.
+def max_equal_edges(df: DataFrame, column: str, floor: int) -> list[float]:
+    """Edges of as many equal bins as leave at least `floor` rows in each (two at least).
 
-    Values are rounded to the step, 2^-16 of their range unless given, so that range / step bounds
-    what is collected.
+    Numbers of bins are tried from the greatest down, as ties may make a greater one fail and a smaller
+    one not; each job looks twice as many of them up in the running totals, which are worked out once.
     """
-    x = F.col(column).cast("double")
-    if step is None:
-        low, high = df.agg(F.min(x), F.max(x)).first()
-        step = (high - low) / 65536 if low is not None and high > low else 1.0
-    rows = df.where(F.col(column).isNotNull()).groupBy((F.round(x / step) * step).alias("v")).agg(F.count(F.lit(1)).alias("n")).orderBy("v").toPandas()
-    return rows["v"].to_numpy(), rows["n"].to_numpy()
-
-
-def max_equal_edges(df: DataFrame, column: str, floor: int) -> list[float]:
-    """Edges of as many equal bins as leave at least `floor` rows in each (two at least)."""
-    n = df.where(F.col(column).isNotNull()).count()
-    for q in range(max(2, n // floor), 1, -1):
-        found = dict(quantiles(df, column, [i / q for i in range(1, q)]))  # equal edges count once
-        sizes = np.diff([0, *(found[e] for e in sorted(found)), n])
-        if q == 2 or sizes.min() >= floor:
-            return sorted(found)
-    return []
+    totals = rank_totals(df, column).cache()
+    try:
+        n = totals.agg(F.max("_to")).first()[0] or 0
+        q, tries = max(2, n // floor), 1
+        while n and q > 1:
+            block = list(range(q, max(1, q - tries), -1))
+            probs = {k: [i / k for i in range(1, k)] for k in block}
+            at = looked_up(totals, [r for p in probs.values() for r in quantile_ranks(n, p)])
+            for k in block:
+                found = dict(between_ranks(at, n, probs[k]))  # equal edges count once
+                if k == 2 or np.diff([0, *(found[e] for e in sorted(found)), n]).min() >= floor:
+                    return sorted(found)
+            q, tries = block[-1] - 1, max(1, min(2 * tries, RANKS // q))
+        return []
+    finally:
+        totals.unpersist()
 
 
 def focal_grid(df: DataFrame, column: str, points: int, span: tuple[float, float] = (0.025, 0.975)) -> list[float]:
@@ -76,22 +79,57 @@ def effective_n(df: DataFrame, column: str, focals: list[float], bandwidth: floa
     return rows.groupBy("position", "focal").agg(F.sum(gaussian_weight(F.col("x"), F.col("focal"), bandwidth)).alias("n_eff"))
 
 
-def bandwidth_for(df: DataFrame, column: str, focals: list[float], target: float, step: float | None = None, reduce=np.min, tol: float = 1e-3, most: int = 60) -> float:
-    """The least bandwidth with an effective number of `target` rows, by bisection on value counts."""
-    v, n = value_counts(df, column, step)
+def _effective(df: DataFrame, column: str, focals: list[float], widths: np.ndarray) -> np.ndarray:
+    """effective_n of several bandwidths in one pass: bandwidths by focal points, added up task by task."""
+    f, h = np.array(focals, float), np.array(widths, float)
 
-    def least(h: float) -> float:
-        return float(reduce([(n * np.exp(-0.5 * ((v - f) / h) ** 2)).sum() for f in focals]))
+    def sums(batches):
+        total, step = np.zeros((len(h), len(f))), max(1, 2_000_000 // len(f))
+        for b in batches:
+            x = b.column("_x").to_numpy()
+            for at in range(0, len(x), step):
+                z = -0.5 * (x[at : at + step, None] - f) ** 2
+                for i, w in enumerate(h):
+                    total[i] += np.exp(z / w**2).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["i", "v"])
 
-    low, high = 1e-6, max(1e-3, float(np.ptp(v)) or 1.0)
-    while least(high) < target and high < 1e9:
-        high *= 2
-    for _ in range(most):
-        mid = (low + high) / 2
-        low, high = (low, mid) if least(mid) >= target else (mid, high)
-        if high - low < tol:
-            break
-    return high
+    rows = df.select(F.col(column).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    got = rows.mapInArrow(sums, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    return np.array([r["v"] for r in got]).reshape(len(h), len(f)) if got else np.zeros((len(h), len(f)))
+
+
+def bandwidth_for(df: DataFrame, column: str, focals: list[float], target: float, reduce=np.min, tol: float = 1e-3, tries: int = 16) -> float:
+    """The least bandwidth with an effective number of `target` rows, within tol, from the rows themselves.
+
+    Each pass over the rows tries several bandwidths: by doubling up to one that is wide enough, then
+    evenly between the last two. Without rows, or with fewer than target, it is 1e9.
+    """
+    x = F.col(column).cast("double")
+    rows = df.select(x.alias(column)).cache()
+    try:
+        low_x, high_x = rows.where(~F.isnan(column)).agg(F.min(column), F.max(column)).first()
+        low, high = 1e-6, max(1e-3, (high_x - low_x) if low_x is not None else 0.0)
+
+        def enough(widths: np.ndarray) -> np.ndarray:
+            return np.array([reduce(n) >= target for n in _effective(rows, column, focals, widths)])
+
+        while True:
+            tried = high * 2.0 ** np.arange(-tries + 4, 4)  # most bandwidths are far below the range
+            good = enough(tried)
+            if good.any():
+                first = int(good.argmax())
+                low, high = (tried[first - 1] if first else low), tried[first]
+                break
+            low, high = tried[-1], tried[-1] * 2.0**tries
+            if low >= 1e9:
+                return 1e9
+        while high - low >= tol:
+            tried = np.linspace(low, high, tries + 2)[1:]
+            first = int(np.append(enough(tried[:-1]), True).argmax())
+            low, high = (tried[first - 1] if first else low), tried[first]
+        return float(high)
+    finally:
+        rows.unpersist()
 
 
 def gates(df: DataFrame, column: str, edges: list[float], min_bin: int = 1000, share: float = 0.15, min_class: int = 150, covered: float = 0.9, most: float = 0.65) -> DataFrame:

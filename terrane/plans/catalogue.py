@@ -132,7 +132,7 @@ def search_bm25(spark, sf):
 def search_prefix(spark, sf):
     """Terms as the beginnings of words."""
     d = table(spark, sf, "documents")
-    return C.search(d, "doc_id", F.col("text"), C.query_terms("lice benefi", {"benefi": ["cont"]}), 50, prefix=True).withColumn("rank", F.round("rank", 6))
+    return C.search(d, "doc_id", F.col("text"), C.query_terms("th lice", {"lice": ["an"]}), 50, prefix=True).withColumn("rank", F.round("rank", 6))
 
 
 def search_phrase(spark, sf):
@@ -143,7 +143,7 @@ def search_phrase(spark, sf):
 
 def search_features_scoped(spark, sf):
     f = _features(spark, sf).withColumns({"definition": F.col("qualified_id"), "field_type": F.concat(F.lit("t"), F.col("size") % 3), "measurement_scale": F.lit(None).cast("string")})
-    return C.search_features(f, "economy", C.scope(f), scale="t1", limit=50).withColumn("rank", F.round("rank", 6))
+    return C.search_features(f, "econ", C.scope(f), scale="t2", limit=50).withColumn("rank", F.round("rank", 6))
 
 
 def find_feature_any_name(spark, sf):
@@ -203,9 +203,9 @@ def _begin(term: str) -> str:
 
 
 ORACLES = {
-    "search_prefix": _ranked(_WORDS, "doc_id", "documents", [(0, _begin("lice")), (1, _begin("benefi")), (1, _begin("cont"))]),
+    "search_prefix": _ranked(_WORDS, "doc_id", "documents", [(0, _begin("th")), (1, _begin("lice")), (1, _begin("an"))]),
     "search_phrase": _ranked(_WORDS, "doc_id", "documents", [(0, "len(list_filter(w, lambda x: x = 'licensed'))"), (0, "len(list_filter(range(1, len(w)), lambda i: w[i] = 'rights' and w[i + 1] = 'reserved'))")]),
-    "search_features_scoped": _ranked(_WORDS.replace("lower(text)", "lower(name || ' ' || table_name || ' ' || qualified_id)"), "uid", f"(select f.* from {FEATURES} f join {LATEST} l on f.dataset = l.dataset and f.version = l.version where size % 3 = 1)", [(0, _begin("economy"))]),
+    "search_features_scoped": _ranked(_WORDS.replace("lower(text)", "lower(name || ' ' || table_name || ' ' || qualified_id)"), "uid", f"(select f.* from {FEATURES} f join {LATEST} l on f.dataset = l.dataset and f.version = l.version where size % 3 = 2)", [(0, _begin("econ"))]),
     "find_feature_any_name": f"with f as (select *, table_name || '.' || name as full_name from {FEATURES}), k as (select distinct unnest([name, qualified_id, full_name]) as key from f where uid % 7 = 1) select key, count(*) as n, max(uid) as last_uid from f join k on f.name = k.key or f.qualified_id = k.key or f.full_name = k.key group by key",
     "documents_listed": "with d as (select lang as dataset, replace(source, 'src', '') as version, source as title, doc_id::varchar as path from documents), l as (select dataset, max(version::int)::varchar as version from d group by 1) select d.dataset, d.version, title, path from d join l using (dataset, version)",
     "tables_resolved": "select replace(p_type, ' ', '_') as stem, 'core' as role, p_type as sheet, count(*) as n_features from part group by p_type",

@@ -118,7 +118,12 @@ def contemporaneity(spark, sf):
 def milestone_ages(spark, sf):
     """Ages written as text in several ways, parsed back to months."""
     p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 60 + 1).alias("n"))
-    said = F.when(F.col("p_partkey") % 3 == 0, F.concat("n", F.lit(" months"))).when(F.col("p_partkey") % 3 == 1, F.concat("n", F.lit(" mos - "), F.col("n") + 2, F.lit(" mos"))).otherwise(F.concat(F.lit("approx. "), F.col("n") % 6, F.lit(" years")))
+    k, n = F.col("p_partkey") % 8, F.col("n")
+    ways = [
+        F.concat(n, F.lit(" months")), F.concat(n, F.lit(" mos - "), n + 2, F.lit(" mos")), F.concat(F.lit("approx. "), n % 6, F.lit(" years")), F.concat(F.lit("circa "), n, F.lit(" moths")),
+        F.concat(F.lit("less than "), n, F.lit(" mths")), F.lit("has not walked"), F.concat(F.lit("before "), n), F.concat(F.lit("Almost "), n % 6, F.lit(" yrs 3 mnths old")),
+    ]
+    said = F.element_at(F.array(*ways), (k + 1).cast("int"))
     return p.select("p_partkey", ages.age_months(said).alias("months"))
 
 
@@ -157,5 +162,5 @@ ORACLES = {
         with y as (select o_custkey, min(year(o_orderdate)) filter (o_orderpriority = '1-URGENT') as y0, min(year(o_orderdate)) filter (o_orderpriority = '2-HIGH') as y1, min(year(o_orderdate)) filter (o_orderpriority = '3-MEDIUM') as y2, min(year(o_orderdate)) as d from orders group by 1),
         r as (select greatest(y0, y1, y2) - least(y0, y1, y2) as span, list_avg(list_filter([y0, y1, y2], lambda x: x is not null)) - d as after from y)
         select round(quantile_cont(span, 0.5), 4) as median_span, round(quantile_cont(span, 0.9), 4) as p90_span, round(avg((span > 1)::int), 4) as share_over_1, round(quantile_cont(after, 0.5), 4) as median_after from r""",
-    "milestone_ages": "with p as (select p_partkey, p_size % 60 + 1 as n from part) select p_partkey, case p_partkey % 3 when 0 then n when 1 then n + 1 else (n % 6) * 12 end::double as months from p",
+    "milestone_ages": "with p as (select p_partkey, p_size % 60 + 1 as n from part) select p_partkey, case p_partkey % 8 when 0 then n when 1 then n + 1 when 2 then (n % 6) * 12 when 3 then n when 4 then n when 5 then 888 when 7 then (n % 6) * 12 + 3 end::double as months from p",
 }

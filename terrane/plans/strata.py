@@ -76,7 +76,7 @@ def kernel_bandwidth(spark, sf):
     """The least bandwidth whose windows hold a fifth of the rows each, and what they then hold."""
     c = _customers(spark, sf)
     focals = S.focal_grid(c, "c_acctbal", 5)
-    h = S.bandwidth_for(c, "c_acctbal", focals, c.count() / 5, step=1.0)
+    h = S.bandwidth_for(c, "c_acctbal", focals, c.count() / 5)
     return S.effective_n(c, "c_acctbal", focals, h).withColumn("bandwidth", F.lit(h))
 
 

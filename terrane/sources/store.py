@@ -81,24 +81,31 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(path).select([c.split()[0] for c in SCHEMAS[name].split(", ")])
 
-    def replace(self, name: str, rows: DataFrame) -> None:
+    def replace(self, name: str, rows: DataFrame, of: tuple[str, ...] | None = None) -> None:
         """rows in place of what the store has of their datasets and versions (of synonyms: of
-        everything). Other versions of a dataset stay as they are."""
+        everything). Other versions of a dataset stay as they are. of: a dataset, or dataset and version,
+        whose rows go even if there are none in their place."""
         cols = [c.split()[0] for c in SCHEMAS[name].split(", ")]
         keys = [c for c in ("dataset", "version") if c in cols]
         w = rows.select(cols).write.mode("overwrite")
         if keys:
             w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
         w.parquet(f"{self.root}/{name}")
+        if of and keys and rows.where(" and ".join(f"{k} <=> '{v}'" for k, v in zip(keys, (x.replace("\\", "\\\\").replace("'", "\\'") for x in of), strict=False))).isEmpty():
+            self._delete(name, dict(zip(keys, of, strict=False)))
+
+    def _delete(self, name: str, keys: dict[str, str]) -> None:
+        """Takes a table's partition out."""
+        jvm = self.spark.sparkContext._jvm
+        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+        path = jvm.org.apache.hadoop.fs.Path("/".join([f"{self.root}/{name}", *(f"{k}={escape(v)}" for k, v in keys.items())]))
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def clear(self, dataset: str) -> None:
         """Takes a dataset with all its versions out of every table."""
-        jvm = self.spark.sparkContext._jvm
         for name in SCHEMAS:
             if "dataset string" in SCHEMAS[name]:
-                escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dataset)
-                path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/dataset={escaped}")
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+                self._delete(name, {"dataset": dataset})
 
     def register(self) -> None:
         """All tables as temporary views, for SQL."""
@@ -106,8 +113,9 @@ class Store:
             self.table(name).createOrReplaceTempView(name)
 
 
-def ingest(store: Store, layout: Layout, version: str, sheets: DataFrame, tables: DataFrame, documents: DataFrame | None = None, synonyms: DataFrame | None = None) -> dict[str, int]:
-    """Puts a version's dictionary, tables (with stem and path) and documents into the store.
+def ingest(store: Store, layout: Layout, version: str, sheets: DataFrame, tables: DataFrame, documents: DataFrame | None = None, synonyms: DataFrame | None = None, features: DataFrame | None = None) -> dict[str, int]:
+    """Puts a version's dictionary (or features, if it was read already), tables (with stem and path)
+    and documents into the store, in place of what it has of that version, even where there is nothing.
 
     Returns how many features, tables and documents there now are of the dataset.
     """
@@ -115,10 +123,10 @@ def ingest(store: Store, layout: Layout, version: str, sheets: DataFrame, tables
     store.replace("dataset", spark.range(1).select(F.lit(name).alias("dataset"), F.lit(layout.display_name or name).alias("display_name")))
     now = spark.range(1).select(F.lit(name).alias("dataset"), F.lit(version).alias("version"), F.lit(os.path.basename(version)).alias("ship_folder"), F.lit("").alias("dictionary_path"), F.current_timestamp().alias("ingested_at"))
     store.replace("version", now)
-    store.replace("feature", parse_sheets(sheets, layout, version))
-    store.replace("tbl", tables)
+    store.replace("feature", parse_sheets(sheets, layout, version) if features is None else features, of=(name, version))
+    store.replace("tbl", tables, of=(name, version))
     if documents is not None:
-        store.replace("document", documents)
+        store.replace("document", documents, of=(name, version))
     if synonyms is not None:
         store.replace("synonym", synonyms)
     return {t: store.table(t).where(F.col("dataset") == name).count() for t in ("feature", "tbl", "document")}
@@ -129,14 +137,12 @@ def ingest_versions(store: Store, layout: Layout, sheets: dict[str, DataFrame],
     data files (path, n_rows, n_cols), whose tables the dictionary's sheets are bound to."""
     if clear:
         store.clear(layout.dataset)
-    spark, name, counts = store.spark, layout.dataset, {}
+    name, counts = layout.dataset, {}
+    columns = [c.split()[0] for c in SCHEMAS["feature"].split(", ")]
     for version in sheets:
-        tables, _ = resolve_tables(files[version], parse_sheets(sheets[version], layout, version), folders or {}, version)
+        tables, keyed = resolve_tables(files[version], parse_sheets(sheets[version], layout, version), folders or {}, version)
         rows = tables.select(F.lit(name).alias("dataset"), F.lit(version).alias("version"), "table_name", "role", "path", F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("int").alias("n_cols"), F.coalesce("sheet", "table_name").alias("title"))
-        counts = ingest(store, layout, version, sheets[version], rows)
-        _, keyed = resolve_tables(files[version], store.table("feature").where((F.col("dataset") == name) & (F.col("version") == version)), folders or {}, version)
-        columns = [c.split()[0] for c in SCHEMAS["feature"].split(", ")]
-        store.replace("feature", spark.createDataFrame(keyed.select(columns).toArrow(), SCHEMAS["feature"]))  # a dictionary's rows
+        counts = ingest(store, layout, version, sheets[version], rows, features=keyed.select(columns))
     return counts
 
 

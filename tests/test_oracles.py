@@ -47,7 +47,7 @@ def test_query_equals_sql(spark, sf, duck, name):
     con = duck.execute(plans.ORACLES[name])
     names = [d[0] for d in con.description]
     want = rows_of(names, con.fetchall())
-    assert sorted(names) == sorted(df.columns)
+    assert sorted(names) == sorted(df.columns) and want
     assert len(got) == len(want)
     assert all(close(x, y) for a, b in zip(got, want) for x, y in zip(a, b))
 
