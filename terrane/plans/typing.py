@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrane.operators import mixture as M
+from terrane.operators import refits as R
 from terrane.operators import schemes as H
 from terrane.operators import typing as T
 from terrane.plans.common import table
@@ -44,7 +46,17 @@ def sweep_decision(spark, sf):
     return H.sweep(long, "day", "id", H.parse_scheme("hardbins:quantile:5"), n_perm=999)
 
 
-QUERIES = {f.__name__: f for f in (observed_cardinality, feature_types, sweep_decision)}
+def sweep_refits(spark, sf):
+    """Classes of customers, fitted anew in three equal bins of their first order's day, against 999
+    dealings of the days whose bins are fitted anew as well."""
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("price"), F.count(F.lit(1)).cast("double").alias("n_orders"), F.min(F.unix_date(F.to_date("o_orderdate"))).cast("double").alias("first"))
+    rows = table(spark, sf, "customer").join(o, "c_custkey")
+    columns = M.Columns(["c_acctbal", "price", "n_orders"])
+    pooled = M.fit(rows, "c_custkey", columns, 2, n_init=20)
+    return R.sweep_refits(rows, "c_custkey", "first", columns, H.parse_scheme("hardbins:quantile:3"), pooled)
+
+
+QUERIES = {f.__name__: f for f in (observed_cardinality, feature_types, sweep_decision, sweep_refits)}
 ORACLES = {
     "observed_cardinality": "select 'o_orderstatus' as feature, count(distinct o_orderstatus) as n_distinct from orders union all select 'o_orderpriority', count(distinct o_orderpriority) from orders union all select 'o_custkey', count(distinct o_custkey) from orders",
     "feature_types": """
