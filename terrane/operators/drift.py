@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,33 @@ def residualise(df: DataFrame, y: str, x: str, name: str) -> DataFrame:
     return df.crossJoin(F.broadcast(fit)).withColumn(name, F.col(y) - F.col("_a") - F.col("_b") * F.col(x)).drop("_a", "_b")
 
 
+def residualise_block(df: DataFrame, columns: list[str], covariates: list[str]) -> DataFrame:
+    """df with a residual of each column (name and `_residual`) on an intercept and all covariates together.
+
+    The normal equations of all columns come from one aggregate of the rows that have every covariate
+    and the column, centred first so that far values don't swamp them. A covariate that others explain
+    wholly adds nothing (least norm). A row that lacks a covariate or the column has no residual.
+    """
+    there = reduce(lambda a, c: a & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), covariates, F.lit(True))
+    own = {y: there & F.col(y).isNotNull() for y in columns}
+    x = {c: F.col(c).cast("double") for c in [*columns, *covariates]}
+    means = df.agg(*(F.avg(F.when(own[y], x[c])).alias(f"{i}_{j}") for i, y in enumerate(columns) for j, c in enumerate([y, *covariates]))).first()
+    p = len(covariates)
+    centred = {(i, j): F.when(own[y], x[c] - F.lit(means[f"{i}_{j}"] or 0.0)) for i, y in enumerate(columns) for j, c in enumerate([y, *covariates])}
+    sums = df.agg(*(F.sum(centred[i, j] * centred[i, k]).alias(f"{i}_{j}_{k}") for i in range(len(columns)) for j in range(1, p + 1) for k in [0, *range(j, p + 1)])).first()
+    out = df
+    for i, y in enumerate(columns):
+        a, b = np.zeros((p, p)), np.zeros(p)
+        for j in range(1, p + 1):
+            b[j - 1] = sums[f"{i}_{j}_0"] or 0.0
+            for k in range(j, p + 1):
+                a[j - 1, k - 1] = a[k - 1, j - 1] = sums[f"{i}_{j}_{k}"] or 0.0
+        scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+        coef = np.linalg.pinv(a / scale / scale[:, None], rcond=1e-10) @ (b / scale) / scale
+        out = out.withColumn(f"{y}_residual", reduce(lambda r, jc: r - F.lit(float(jc[1])) * centred[i, jc[0]], enumerate(coef, 1), centred[i, 0]))  # noqa: B023
+    return out
+
+
 def pairings(strata: DataFrame, order: str, adjacent: bool = True) -> DataFrame:
     """Pairs (query, reference) of strata: each with the one before, or with all before."""
     a, b = strata.alias("a"), strata.alias("b")

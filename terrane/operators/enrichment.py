@@ -20,9 +20,21 @@ def class_moments(long: DataFrame) -> DataFrame:
 
     One aggregate of (feature, class, value) rows; the rest of a class is the whole less it.
     """
-    own = long.groupBy("feature", "class").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count_if(F.col("value").isin(0.0, 1.0)).alias("flags"))
-    all_ = own.groupBy("feature").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("ss").alias("all_ss"), ((F.sum("flags") == F.sum("n")) & (F.min("lo") < F.max("hi"))).alias("is_binary"))
-    j = own.join(all_, "feature")
+    own = long.groupBy("feature", "class").agg(F.count("value").cast("double").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("ss"))
+    return moments_of(own, binary_features(long)).withColumns({c: F.col(c).cast("long") for c in ("n", "n_all", "n_rest")})
+
+
+def binary_features(long: DataFrame) -> DataFrame:
+    """feature and is_binary: whether its values are 0 and 1 alone, and both occur."""
+    g = long.groupBy("feature").agg(F.count("value").alias("n"), F.count_if(F.col("value").isin(0.0, 1.0)).alias("flags"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return g.select("feature", ((F.col("flags") == F.col("n")) & (F.col("lo") < F.col("hi"))).alias("is_binary"))
+
+
+def moments_of(own: DataFrame, binary: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """class_moments from sums (by, feature, class, n, s, ss), such as those of draws."""
+    by = by or []
+    all_ = own.groupBy(*by, "feature").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("ss").alias("all_ss"))
+    j = own.join(all_, [*by, "feature"]).join(binary, "feature")
 
     def var(n: Column, s: Column, ss: Column) -> Column:
         return F.when(n > 1, F.greatest(F.lit(0.0), (ss - s * s / n) / (n - 1)))
@@ -30,7 +42,7 @@ def class_moments(long: DataFrame) -> DataFrame:
     n, s, ss = (F.col(c) for c in ("n", "s", "ss"))
     rn, rs, rss = (F.col(f"all_{c}") - F.col(c) for c in ("n", "s", "ss"))
     return j.select(
-        "feature", "class", "is_binary", "n", F.col("all_n").alias("n_all"), (s / n).alias("mean"), var(n, s, ss).alias("var"), F.when(rn > 0, rn).alias("n_rest"), F.when(rn > 0, rs / rn).alias("mean_rest"), var(rn, rs, rss).alias("var_rest"), (F.col("all_s") / F.col("all_n")).alias("mean_all"), var(F.col("all_n"), F.col("all_s"), F.col("all_ss")).alias("var_all"), s.alias("total")
+        *by, "feature", "class", "is_binary", "n", F.col("all_n").alias("n_all"), (s / n).alias("mean"), var(n, s, ss).alias("var"), F.when(rn > 0, rn).alias("n_rest"), F.when(rn > 0, rs / rn).alias("mean_rest"), var(rn, rs, rss).alias("var_rest"), (F.col("all_s") / F.col("all_n")).alias("mean_all"), var(F.col("all_n"), F.col("all_s"), F.col("all_ss")).alias("var_all"), s.alias("total")
     )
 
 
@@ -40,7 +52,12 @@ def enrichment(long: DataFrame, q: float = 0.05) -> DataFrame:
     Binary features are tested one-sided binomially against the whole's rate, others by Welch's t
     against the rest; Benjamini-Hochberg within class and direction. Depleted comes before enriched.
     """
-    m = class_moments(long)
+    return enrichment_of(class_moments(long), q=q)
+
+
+def enrichment_of(m: DataFrame, by: list[str] | None = None, q: float = 0.05) -> DataFrame:
+    """enrichment from moments, for each of by on its own."""
+    by = by or []
     va, vb = F.col("var") / F.col("n"), F.col("var_rest") / F.col("n_rest")
     t = F.when(va + vb > 0, (F.col("mean") - F.col("mean_rest")) / F.sqrt(va + vb))
     df = (va + vb) * (va + vb) / (va * va / (F.col("n") - 1) + vb * vb / (F.col("n_rest") - 1))
@@ -51,10 +68,10 @@ def enrichment(long: DataFrame, q: float = 0.05) -> DataFrame:
     up = F.when(F.col("is_binary"), stats.binomial_at_least(k, n, rate)).otherwise(stats.t_upper(F.col("t"), F.col("df")))
     down = F.when(F.col("is_binary"), stats.binomial_at_most(k, n, rate)).otherwise(1 - stats.t_upper(F.col("t"), F.col("df")))
     sides = m.select("*", F.inline(F.array(F.struct(F.lit("up").alias("side"), up.alias("p")), F.struct(F.lit("down").alias("side"), down.alias("p")))))
-    tested = stats.bh_adjusted(sides, "p", ["class", "side"])
+    tested = stats.bh_adjusted(sides, "p", [*by, "class", "side"])
     hit = F.coalesce(F.col("p_adjusted") < q, F.lit(False))
-    out = tested.groupBy("feature", "class", "is_binary", "effect").agg(F.max(F.when((F.col("side") == "up") & hit, 1).otherwise(0)).alias("up"), F.max(F.when((F.col("side") == "down") & hit, 1).otherwise(0)).alias("down"))
-    return out.select("feature", "class", "is_binary", "effect", F.when(F.col("down") == 1, -1).when(F.col("up") == 1, 1).otherwise(0).alias("direction"))
+    out = tested.groupBy(*by, "feature", "class", "is_binary", "effect").agg(F.max(F.when((F.col("side") == "up") & hit, 1).otherwise(0)).alias("up"), F.max(F.when((F.col("side") == "down") & hit, 1).otherwise(0)).alias("down"))
+    return out.select(*by, "feature", "class", "is_binary", "effect", F.when(F.col("down") == 1, -1).when(F.col("up") == 1, 1).otherwise(0).alias("direction"))
 
 
 def contributory(enriched: DataFrame, fold: float = 1.5, d: float = 0.2) -> DataFrame:
@@ -63,10 +80,10 @@ def contributory(enriched: DataFrame, fold: float = 1.5, d: float = 0.2) -> Data
     return enriched.groupBy("feature").agg(F.bool_or(F.col("direction") != 0).alias("a"), F.bool_or(F.coalesce(strong, F.lit(False))).alias("b")).where("a and b").select("feature")
 
 
-def signature(enriched: DataFrame, categories: DataFrame, reverse: list[str] | None = None) -> DataFrame:
+def signature(enriched: DataFrame, categories: DataFrame, reverse: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """class, category and (enriched - depleted) / features, reverse-coded features turned round."""
     sign = F.when(F.col("feature").isin(*(reverse or [""])), -F.col("direction")).otherwise(F.col("direction"))
-    return enriched.join(categories, "feature").groupBy("class", "category").agg(F.avg(sign).alias("value"))
+    return enriched.join(categories, "feature").groupBy(*(by or []), "class", "category").agg(F.avg(sign).alias("value"))
 
 
 def profile_correlation(a: DataFrame, b: DataFrame) -> DataFrame:
