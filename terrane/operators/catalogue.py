@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrane.functions import stems as stem
 from terrane.functions.text import collapsed, key_of
 from terrane.functions.versions import version_key
 
@@ -191,31 +193,120 @@ def _pattern(term: str, prefix: bool) -> str:
     return "(?<![a-z0-9_])" + "[^a-z0-9_]+".join(words) + end
 
 
-def search(documents: DataFrame, key: str, text: Column, terms: list[tuple[int, str]], limit: int, k1: float = 1.2, b: float = 0.75, prefix: bool = False) -> DataFrame:
+def search(documents: DataFrame, key: str, text: Column, terms: list[tuple[int, str]], limit: int, k1: float = 1.2, b: float = 0.75, prefix: bool = False, stems: bool = False) -> DataFrame:
     """Documents in which every group has a term, by BM25 (negated: the least is best).
 
     terms: (group, term), as query_terms() makes them or as the caller likes. With prefix, a word is
-    found as the beginning of a longer one too; a term of several words is a phrase. Each scan of
-    the documents counts terms and words once; the first gives the statistics, one row.
+    found as the beginning of a longer one too; with stems, words with its stem are; a term of several
+    words is a phrase. Each scan of the documents counts terms and words once; the first gives the
+    statistics, one row.
     """
+
+    def every(found: list[Column]) -> Column:
+        groups = [[c for (h, _), c in zip(terms, found, strict=True) if h == g] for g in sorted({g for g, _ in terms})]
+        return reduce(lambda x, y: x & y, (F.greatest(*g, F.lit(0)) > 0 for g in groups), F.lit(True))
+
+    return _ranked(documents, key, text, [(t, prefix) for _, t in terms], every, limit, k1, b, stems)
+
+
+def _ranked(documents: DataFrame, key: str, text: Column, terms: list[tuple[str, bool]], every, limit: int, k1: float, b: float, stems: bool, counted: list[int] | None = None) -> DataFrame:
+    """key and rank of the documents for which every (of the terms' counts) is true; terms: (words,
+    whether as a prefix); counted: the places of the terms that the rank is of (all)."""
     low = documents.select(key, F.inline(F.array(F.struct(F.lower(text).alias("t")))))  # so that it is worked out once
 
-    def count(term: str) -> Column:  # most documents don't hold a term's first word at all
-        return F.when(F.col("t").contains(re.findall(r"[a-z0-9_]+", term)[0]), F.regexp_count("t", F.lit(_pattern(term, prefix)))).otherwise(0)
+    def count(term: str, prefix: bool) -> Column:  # most documents don't hold a term's first word at all
+        words = re.findall(r"[a-z0-9_]+", term)
+        if stems and not prefix:
+            return stem.count_stems(F.col("t"), words)
+        return F.when(F.col("t").contains(words[0]), F.regexp_count("t", F.lit(_pattern(term, prefix)))).otherwise(0)
 
-    hits = low.select(key, "t", F.inline(F.array(F.struct(*(count(t).alias(f"f{i}") for i, (_, t) in enumerate(terms))))))
+    hits = low.select(key, "t", F.inline(F.array(F.struct(*(count(*t).alias(f"f{i}") for i, t in enumerate(terms))))))
     length = F.regexp_count("t", F.lit("[a-z0-9_]+"))
     total = hits.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("mean"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(terms)))).first()
     n, mean = total["n"], total["mean"] or 1.0
     score: Column = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(len(terms)) if counted is None else counted:
         f, d = F.col(f"f{i}").cast("double"), total[f"d{i}"]
         idf = max(1e-6, math.log((n - d + 0.5) / (d + 0.5)))
         score += idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / mean))
-    every: Column = F.lit(True)
-    for g in sorted({g for g, _ in terms}):
-        every &= F.greatest(*(F.col(f"f{i}") for i, (h, _) in enumerate(terms) if h == g), F.lit(0)) > 0
-    return hits.where(every).withColumn("length", length).select(key, (-score).alias("rank")).orderBy("rank", key).limit(limit)
+    found = hits.where(every([F.col(f"f{i}") for i in range(len(terms))]))
+    return found.withColumn("length", length).select(key, (-score).alias("rank")).orderBy("rank", key).limit(limit)
+
+
+_RAW = re.compile(r'"([^"]*)"|([()])|([A-Za-z0-9_]+)(\*?)')
+
+
+def raw_terms(query: str) -> tuple[list[tuple[str, bool]], list]:
+    """Terms (words, whether as a prefix) of a query string, and its tree: a term's place, or ("AND",
+    "OR" or "NOT", left, right).
+
+    Words side by side must all be found; "..." is a phrase; word* finds longer words; AND, OR and NOT
+    (what is on its left, not on its right) are in capitals, NOT binding closest, then AND; parentheses
+    group. ValueError if it can't be read.
+    """
+    tokens = [(phrase, op, word, star) for phrase, op, word, star in _RAW.findall(query)]
+    if _RAW.sub("", query).strip():
+        raise ValueError(f"can't read: {_RAW.sub('', query).strip()}")
+    terms: list[tuple[str, bool]] = []
+    at = 0
+
+    def peek() -> str:
+        if at >= len(tokens):
+            return ""
+        phrase, op, word, _ = tokens[at]
+        return op or (word if word in ("AND", "OR", "NOT") else "term")
+
+    def one():
+        nonlocal at
+        kind = peek()
+        if kind == "(":
+            at += 1
+            out = level(0)
+            if peek() != ")":
+                raise ValueError("a parenthesis isn't closed")
+            at += 1
+            return out
+        if kind != "term":
+            raise ValueError(f"a term is missing before {kind or 'the end'}")
+        phrase, _, word, star = tokens[at]
+        at += 1
+        words = " ".join(re.findall(r"[a-z0-9_]+", (phrase or word).lower()))
+        if not words:
+            raise ValueError("an empty phrase")
+        terms.append((words, bool(star)))
+        return len(terms) - 1
+
+    def level(n: int):
+        nonlocal at
+        if n == 3:
+            return one()
+        out, name = level(n + 1), ("OR", "AND", "NOT")[n]
+        while peek() == name or name == "AND" and peek() in ("term", "("):
+            at += peek() == name
+            out = (name, out, level(n + 1))
+        return out
+
+    tree = level(0)
+    if at < len(tokens):
+        raise ValueError(f"a term is missing before {peek()}")
+    return terms, tree
+
+
+def search_raw(documents: DataFrame, key: str, text: Column, query: str, limit: int, stems: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Documents that a query string (see raw_terms) is true of, by BM25 of the terms that it asks for."""
+    terms, tree = raw_terms(query)
+
+    def true(node, found: list[Column]) -> Column:
+        if isinstance(node, int):
+            return found[node] > 0
+        name, left, right = node
+        a, c = true(left, found), true(right, found)
+        return a & c if name == "AND" else a | c if name == "OR" else a & ~c
+
+    def asked(node) -> list[int]:
+        return [node] if isinstance(node, int) else asked(node[1]) + ([] if node[0] == "NOT" else asked(node[2]))
+
+    return _ranked(documents, key, text, terms, lambda found: true(tree, found), limit, k1, b, stems, asked(tree))
 
 
 def search_features(feature: DataFrame, query: str, pairs: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None, table_name: str | None = None, scale: str | None = None, limit: int = 50) -> DataFrame:

@@ -141,6 +141,21 @@ def search_phrase(spark, sf):
     return C.search(d, "doc_id", F.col("text"), C.query_terms("licensed", {"licensed": ["rights reserved"]}), 50).withColumn("rank", F.round("rank", 6))
 
 
+RAW = 'th* (licensed OR "rights reserved") NOT token'
+
+
+def search_raw(spark, sf):
+    """A query string with a prefix, an alternative, a phrase and an exclusion."""
+    d = table(spark, sf, "documents")
+    return C.search_raw(d, "doc_id", F.col("text"), RAW, 50, stems=False).withColumn("rank", F.round("rank", 6))
+
+
+def search_stemmed(spark, sf):
+    """Words by their stems."""
+    d = table(spark, sf, "documents")
+    return C.search_raw(d, "doc_id", F.col("text"), "licenses reserving OR conditional permissions", 50).withColumn("rank", F.round("rank", 6))
+
+
 def search_features_scoped(spark, sf):
     f = _features(spark, sf).withColumns({"definition": F.col("qualified_id"), "field_type": F.concat(F.lit("t"), F.col("size") % 3), "measurement_scale": F.lit(None).cast("string")})
     return C.search_features(f, "econ", C.scope(f), scale="t2", limit=50).withColumn("rank", F.round("rank", 6))
@@ -180,7 +195,7 @@ def page_lines(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (scope_latest_version, scope_latest_source, tables_grouped, tables_role_grep, describe_page, find_feature_disjunction, feature_sources_top4, documents_all_tokens, dataset_counts, version_counts_distinct, dictionary_diff, dedup_first_ci, value_levels, synonyms_pairs, bind_stems, search_bm25, search_prefix, search_phrase, search_features_scoped, find_feature_any_name, documents_listed, tables_resolved, section_windows, page_lines)
+    for f in (scope_latest_version, scope_latest_source, tables_grouped, tables_role_grep, describe_page, find_feature_disjunction, feature_sources_top4, documents_all_tokens, dataset_counts, version_counts_distinct, dictionary_diff, dedup_first_ci, value_levels, synonyms_pairs, bind_stems, search_bm25, search_prefix, search_phrase, search_raw, search_stemmed, search_features_scoped, find_feature_any_name, documents_listed, tables_resolved, section_windows, page_lines)
 }
 
 _WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: x <> '')"
@@ -205,6 +220,13 @@ def _begin(term: str) -> str:
 ORACLES = {
     "search_prefix": _ranked(_WORDS, "doc_id", "documents", [(0, _begin("th")), (1, _begin("lice")), (1, _begin("an"))]),
     "search_phrase": _ranked(_WORDS, "doc_id", "documents", [(0, "len(list_filter(w, lambda x: x = 'licensed'))"), (0, "len(list_filter(range(1, len(w)), lambda i: w[i] = 'rights' and w[i + 1] = 'reserved'))")]),
+    "search_raw": f"""
+        with t as (select doc_id, {_WORDS} as w from documents),
+        h as (select doc_id, len(w) as length, len(list_filter(w, lambda x: starts_with(x, 'th'))) as f0, len(list_filter(w, lambda x: x = 'licensed')) as f1,
+            len(list_filter(range(1, len(w)), lambda i: w[i] = 'rights' and w[i + 1] = 'reserved')) as f2, len(list_filter(w, lambda x: x = 'token')) as f3 from t),
+        s as (select count(*) as n, avg(length) as mean, count(*) filter (f0 > 0) as d0, count(*) filter (f1 > 0) as d1, count(*) filter (f2 > 0) as d2 from h)
+        select doc_id, round(-({" + ".join(f"greatest(1e-6, ln((n - d{i} + 0.5) / (d{i} + 0.5))) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * length / mean))" for i in range(3))}), 6) as rank
+        from h, s where f0 > 0 and (f1 > 0 or f2 > 0) and f3 = 0 order by rank, doc_id limit 50""",
     "search_features_scoped": _ranked(_WORDS.replace("lower(text)", "lower(name || ' ' || table_name || ' ' || qualified_id)"), "uid", f"(select f.* from {FEATURES} f join {LATEST} l on f.dataset = l.dataset and f.version = l.version where size % 3 = 2)", [(0, _begin("econ"))]),
     "find_feature_any_name": f"with f as (select *, table_name || '.' || name as full_name from {FEATURES}), k as (select distinct unnest([name, qualified_id, full_name]) as key from f where uid % 7 = 1) select key, count(*) as n, max(uid) as last_uid from f join k on f.name = k.key or f.qualified_id = k.key or f.full_name = k.key group by key",
     "documents_listed": "with d as (select lang as dataset, replace(source, 'src', '') as version, source as title, doc_id::varchar as path from documents), l as (select dataset, max(version::int)::varchar as version from d group by 1) select d.dataset, d.version, title, path from d join l using (dataset, version)",

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terrane.operators import concomitant as C
+from terrane.operators import mixture as M
+from terrane.operators import scores as S
 from terrane.operators import tube as T
 from terrane.plans.common import table
 
@@ -63,7 +66,36 @@ def order_test(spark, sf):
     return T.order_test(_draws(spark, sf, 0), ["class"], "position", "z")
 
 
-QUERIES = {f.__name__: f for f in (observed_path, bootstrap_tube, directional_inference, per_feature_inference, block_co_drift, control_specificity, order_test)}
+def _customers(spark, sf):
+    o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.avg("o_totalprice").alias("price"), F.count(F.lit(1)).cast("double").alias("n_orders"), F.min(F.unix_date(F.to_date("o_orderdate"))).cast("double").alias("first"), F.max((F.col("o_orderpriority") == "1-URGENT").cast("double")).alias("urgent"))
+    return table(spark, sf, "customer").join(o, "c_custkey")
+
+
+COLUMNS = M.Columns(["c_acctbal", "price", "n_orders"], ["urgent"])
+CATEGORIES = {"c_acctbal": "money", "price": "money", "n_orders": "volume", "urgent": "volume"}
+
+
+def invariance_of_fit(spark, sf):
+    """Whether a fitted mixture's parameters hold along the day of a customer's first order."""
+    rows = _customers(spark, sf)
+    return S.run_invariance(rows, "first", M.fit(rows, "c_custkey", COLUMNS, 2, n_init=20), CATEGORIES)
+
+
+def invariance_top_process(spark, sf):
+    rows = _customers(spark, sf)
+    return S.top_process(rows, "first", M.fit(rows, "c_custkey", COLUMNS, 2, n_init=20), CATEGORIES)
+
+
+def mixture_covariates(spark, sf):
+    """Classes whose shares follow the nation and the day of the first order: the logit and the means."""
+    rows = _customers(spark, sf)
+    model = C.fit(rows, "c_custkey", COLUMNS, ["c_nationkey", "first"], 2)
+    means = C.assign(rows, "c_custkey", model).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("responsibilities")).alias("sureness"))
+    coef = [(k, *map(float, c)) for k, c in enumerate([[0.0] * 3, *model.coefficients])]
+    return means.join(spark.createDataFrame(coef, "label int, intercept double, nation double, first double"), "label").withColumn("converged", F.lit(model.converged))
+
+
+QUERIES = {f.__name__: f for f in (observed_path, bootstrap_tube, directional_inference, per_feature_inference, block_co_drift, control_specificity, order_test, invariance_of_fit, invariance_top_process, mixture_covariates)}
 ORACLES = {
     "observed_path": f"""
         with l as (select l_orderkey, count(*) as lines from lineitem group by 1),
