@@ -60,7 +60,7 @@ def enrichment_of(m: DataFrame, by: list[str] | None = None, q: float = 0.05) ->
     by = by or []
     va, vb = F.col("var") / F.col("n"), F.col("var_rest") / F.col("n_rest")
     t = F.when(va + vb > 0, (F.col("mean") - F.col("mean_rest")) / F.sqrt(va + vb))
-    df = (va + vb) * (va + vb) / (va * va / (F.col("n") - 1) + vb * vb / (F.col("n_rest") - 1))
+    df = F.when(va + vb > 0, (va + vb) * (va + vb) / (va * va / (F.col("n") - 1) + vb * vb / (F.col("n_rest") - 1)))
     pooled = F.sqrt((F.col("var") + F.col("var_all")) / 2)
     effect = F.when(F.col("is_binary"), F.when(F.col("mean_all") > 0, F.col("mean") / F.col("mean_all"))).otherwise(F.when(pooled > 0, (F.col("mean") - F.col("mean_all")) / pooled).otherwise(0.0))
     m = m.withColumns({"t": t, "df": df, "effect": effect})

@@ -73,8 +73,8 @@ def _matrix(batch, columns: Columns) -> np.ndarray:
 # Most numbers in a block of rows by all classes of all models, while a task adds up, and most that the
 # driver takes from all tasks together; beyond that the tasks' sums are added on the executors.
 BLOCK, GATHERED = 2_000_000, 2_000_000
-# Products of a pass that are worth a task of their own.
-WORK = 4_000_000
+# Products of a pass that are worth a task of their own; so many of these, all passes are in one task.
+WORK, TASK = 4_000_000, 4
 
 
 def _joint(models: list[Mixture]):
@@ -89,44 +89,58 @@ def _joint(models: list[Mixture]):
     return lambda x: flat + x @ linear + x[:, :nc] ** 2 @ square
 
 
-def _pass(df: DataFrame, models: list[Mixture], tasks: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """For each model the summed responsibilities, r * x, r * x^2 and the log-likelihood.
+def _totals(models: list[Mixture], parts) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float] | None]:
+    """For each model the summed responsibilities, r * x, r * x^2 and the log-likelihood over parts:
+    rows, their weights and folds. None for a model that sees no row."""
+    nc, only = len(models[0].columns.continuous), [m.only for m in models]
+    groups = {}  # models that see the same rows: their functions and totals
+    for value in sorted(set(only)):
+        own = [i for i, o in enumerate(only) if o == value]
+        n = np.array([len(models[i].weights) for i in own])
+        groups[value] = [own, n, np.concatenate([[0], np.cumsum(n)[:-1]]), np.array([models[i].hold for i in own]), _joint([models[i] for i in own]), None]
+    for whole, weights, folds_ in parts:
+        for value in groups if only == [-1] * len(only) else np.intersect1d(folds_, list(groups)):
+            own, n, at, holds, joint, _ = groups[value]
+            seen = slice(None) if value < 0 else folds_ == value
+            rows, w_, f_, step = whole[seen], weights[seen], folds_[seen], max(1, BLOCK // n.sum())
+            for first in range(0, len(rows), step):
+                x, part = rows[first : first + step], slice(first, first + step)
+                r = joint(x)
+                top = np.maximum.reduceat(r, at, 1)
+                r = np.exp(r - np.repeat(top, n, 1))
+                total = np.add.reduceat(r, at, 1)
+                w = w_[part, None] * (f_[part, None] != holds)
+                r *= np.repeat(w / total, n, 1)
+                new = [r.sum(0), r.T @ x, r.T @ x[:, :nc] ** 2, ((top + np.log(total)) * w).sum(0)]
+                groups[value][-1] = new if groups[value][-1] is None else [o + v for o, v in zip(groups[value][-1], new, strict=True)]
+    out: list = [None] * len(models)
+    for own, n, at, _, _, sums in groups.values():
+        if sums is not None:
+            for j, (i, a, k) in enumerate(zip(own, at, n, strict=True)):
+                out[i] = (*(v[a : a + k] for v in sums[:3]), float(sums[3][j]))
+    return out
 
-    A task yields one row per model. Where the rows of all `tasks` are many, those of a model first
-    meet in one task, which adds them one by one.
-    """
+
+def _parts(batches, columns: Columns):
+    for b in batches:
+        yield _matrix(b, columns), b.column("_w").to_numpy(zero_copy_only=False).astype(float), b.column("_fold").to_numpy()
+
+
+def _vectors(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([totals[i] for i in totals], pa.list_(pa.float64()))], ["model", "v"])
+
+
+def _pass(df: DataFrame, models: list[Mixture], tasks: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """_totals of all rows. A task yields one row per model. Where the rows of all `tasks` are many, those
+    of a model first meet in one task, which adds them one by one."""
     columns, nc = models[0].columns, len(models[0].columns.continuous)
-    sizes, only = [len(m.weights) for m in models], [m.only for m in models]
+    sizes = [len(m.weights) for m in models]
     schema = "model int, v array<double>"
 
-    def batch(totals):
-        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([totals[i] for i in totals], pa.list_(pa.float64()))], ["model", "v"])
-
     def sums(batches):
-        groups = {}  # models that see the same rows: their functions and totals
-        for value in sorted(set(only)):
-            own = [i for i, o in enumerate(only) if o == value]
-            n = np.array([sizes[i] for i in own])
-            groups[value] = [own, n, np.concatenate([[0], np.cumsum(n)[:-1]]), np.array([models[i].hold for i in own]), _joint([models[i] for i in own]), None]
-        for b in batches:
-            whole, weights, folds_ = _matrix(b, columns), b.column("_w").to_numpy(zero_copy_only=False).astype(float), b.column("_fold").to_numpy()
-            for value in groups if only == [-1] * len(only) else np.intersect1d(folds_, list(groups)):
-                own, n, at, holds, joint, _ = groups[value]
-                seen = slice(None) if value < 0 else folds_ == value
-                rows, w_, f_, step = whole[seen], weights[seen], folds_[seen], max(1, BLOCK // n.sum())
-                for first in range(0, len(rows), step):
-                    x, part = rows[first : first + step], slice(first, first + step)
-                    r = joint(x)
-                    top = np.maximum.reduceat(r, at, 1)
-                    r = np.exp(r - np.repeat(top, n, 1))
-                    total = np.add.reduceat(r, at, 1)
-                    w = w_[part, None] * (f_[part, None] != holds)
-                    r *= np.repeat(w / total, n, 1)
-                    new = [r.sum(0), r.T @ x, r.T @ x[:, :nc] ** 2, ((top + np.log(total)) * w).sum(0)]
-                    groups[value][-1] = new if groups[value][-1] is None else [o + v for o, v in zip(groups[value][-1], new, strict=True)]
-        for own, n, at, _, _, sums_ in groups.values():
-            if sums_ is not None:
-                yield batch({i: np.concatenate([*(v[a : a + k].ravel() for v in sums_[:3]), [sums_[3][j]]]) for j, (i, a, k) in enumerate(zip(own, at, n, strict=True))})
+        got = {i: np.concatenate([*(v.ravel() for v in t[:3]), [t[3]]]) for i, t in enumerate(_totals(models, _parts(batches, columns))) if t is not None}
+        if got:
+            yield _vectors(got)
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
@@ -135,7 +149,7 @@ def _pass(df: DataFrame, models: list[Mixture], tasks: int) -> list[tuple[np.nda
                 v = v.values.to_numpy(zero_copy_only=False)
                 totals[i] = totals[i] + v if i in totals else v
         if totals:
-            yield batch(totals)
+            yield _vectors(totals)
 
     rows = df.mapInArrow(sums, schema)
     if tasks * sum(sizes) * models[0].means.shape[1] * 2 > GATHERED:
@@ -149,6 +163,47 @@ def _pass(df: DataFrame, models: list[Mixture], tasks: int) -> list[tuple[np.nda
     return out
 
 
+def _climb(models: list[Mixture], least: np.ndarray, limit: float, most: int, totals) -> list[Mixture]:
+    """EM runs from models, until each has ended; totals gives models' sums over the rows."""
+    models, nc = list(models), len(models[0].columns.continuous)
+    runs = [_Run(m, least) for m in models]
+    open_ = list(range(len(models)))
+    for _ in range(most):
+        for i, (n, s, ss, ll) in zip(list(open_), totals([runs[i].at for i in open_]), strict=True):
+            safe = np.maximum(n, TINY)[:, None]
+            means = s / safe
+            image = Mixture(models[i].columns, n / max(n.sum(), TINY), means, np.maximum(ss / safe - means[:, :nc] ** 2, least), ll, models[i].hold, models[i].only)
+            if not np.isfinite(models[i].log_likelihood) or ll >= models[i].log_likelihood:
+                models[i] = image  # the likeliest so far
+            if runs[i].step(image, limit):
+                models[i] = runs[i].at
+                open_.remove(i)
+        if not open_:
+            break
+    return models
+
+
+def _in_one_task(rows: DataFrame, models: list[Mixture], least: np.ndarray, limit: float, most: int) -> list[Mixture]:
+    """_climb in a task of its own, over rows that it holds: few enough for a pass to take less time
+    than a job does."""
+    columns, f, nc = models[0].columns, models[0].means.shape[1], len(models[0].columns.continuous)
+
+    def run(batches):
+        parts = list(_parts(batches, columns))
+        if parts:
+            whole = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+            got = _climb(models, least, limit, most, lambda now: _totals(now, [whole]))
+            yield _vectors({i: np.concatenate([[m.log_likelihood, m.converged], m.weights, m.means.ravel(), m.variances.ravel()]) for i, m in enumerate(got)})
+
+    got = rows.coalesce(1).mapInArrow(run, "model int, v array<double>").toArrow()  # models x classes x columns
+    out = list(models)
+    for i, v in zip(got.column("model").to_pylist(), got.column("v"), strict=True):
+        v, m = v.values.to_numpy(zero_copy_only=False), models[i]
+        k = len(m.weights)
+        out[i] = Mixture(columns, v[2 : 2 + k], v[2 + k : 2 + k + k * f].reshape(k, f), v[2 + k + k * f :].reshape(k, nc), float(v[0]), m.hold, m.only, bool(v[1]))
+    return out
+
+
 FOLDS = 3
 
 
@@ -253,21 +308,9 @@ def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, i
                 models.append(Mixture(columns, m.weights, m.means, m.variances, hold=hold, only=only))
             else:
                 models.append(Mixture(columns, np.full(k, 1 / k), drawn[i][:k], np.tile(var, (k, 1)), hold=hold, only=only))
-        runs = [_Run(m, least) for m in models]
-        open_ = list(range(len(specs)))
-        for _ in range(most):
-            for i, (n, s, ss, ll) in zip(list(open_), _pass(rows, [runs[i].at for i in open_], tasks), strict=True):
-                safe = np.maximum(n, TINY)[:, None]
-                means = s / safe
-                image = Mixture(columns, n / max(n.sum(), TINY), means, np.maximum(ss / safe - means[:, :nc] ** 2, least), ll, models[i].hold, models[i].only)
-                if not np.isfinite(models[i].log_likelihood) or ll >= models[i].log_likelihood:
-                    models[i] = image  # the likeliest so far
-                if runs[i].step(image, limit):
-                    models[i] = runs[i].at
-                    open_.remove(i)
-            if not open_:
-                break
-        return models
+        if needed <= TASK:
+            return _in_one_task(rows, models, least, limit, most)
+        return _climb(models, least, limit, most, lambda now: _pass(rows, now, tasks))
     finally:
         for c in cached:
             c.unpersist()

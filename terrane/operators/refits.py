@@ -22,7 +22,7 @@ from terrane.operators import drift as D
 from terrane.operators import enrichment as E
 from terrane.operators import strata as S
 from terrane.operators.draws import uniform
-from terrane.operators.mixture import BLOCK, GATHERED, MOST, TINY, TOL, WORK, Columns, Mixture, _matrix, _Run
+from terrane.operators.mixture import BLOCK, GATHERED, MOST, TASK, TINY, TOL, WORK, Columns, Mixture, _matrix, _Run
 from terrane.operators.schemes import Scheme
 
 # Weights at or below this count as none; values of the axis that draws of a window are read from.
@@ -93,9 +93,14 @@ def _coefficients(models: list[Mixture]) -> tuple[np.ndarray, np.ndarray, np.nda
     return flat, linear, -0.5 / v
 
 
-def _summed(rows: DataFrame, columns: Columns, places: Places, models: dict[tuple[int, int], Mixture], width: int, statistics) -> dict[tuple[int, int], np.ndarray]:
-    """For each (draw, place) the sum over tasks of width numbers of each of its rows: statistics(x,
-    weights, log(weight * density) by class). A task works out all its rows' draws in blocks."""
+def _parts(batches, columns: Columns):
+    for b in batches:
+        yield _matrix(b, columns), b.column("_axis").to_numpy(), b.column("_hash").to_numpy()
+
+
+def _added(parts, places: Places, models: dict[tuple[int, int], Mixture], width: int, statistics) -> dict[tuple[int, int], np.ndarray]:
+    """For each (draw, place) the sum over parts (rows, axis, hashes) of width numbers of each of its
+    rows: statistics(x, weights, log(weight * density) by class). Rows by draws go in blocks."""
     cells = sorted(models)
     draws = np.array(sorted({d for d, _ in cells}))
     number = np.full((len(draws), places.many), -1)
@@ -103,58 +108,70 @@ def _summed(rows: DataFrame, columns: Columns, places: Places, models: dict[tupl
         number[np.searchsorted(draws, d), p] = i
     flat, linear, square = _coefficients([models[c] for c in cells])
     nc = square.shape[2]
-    schema = "draw int, place int, v array<double>"
+    total, seen = np.zeros((len(cells), width)), np.zeros(len(cells), bool)
+    step = max(1, BLOCK // max(width, linear[0].size))
+    at_once = max(1, BLOCK // max(1, len(draws) * places.many))
+    for whole, axis, hashes in parts:
+        for at in range(0, len(whole), at_once):
+            part = slice(at, at + at_once)
+            row, draw, place, w = places.dealt(axis[part], hashes[part], draws)
+            own = number[draw, place]
+            row, own, w = (v[own >= 0] for v in (row, own, w))
+            order = np.argsort(own, kind="stable")
+            for lo in range(0, len(order), step):
+                block = order[lo : lo + step]
+                x, m = whole[part][row[block]], own[block]
+                joint = flat[m] + np.einsum("nf,nkf->nk", x, linear[m]) + np.einsum("nf,nkf->nk", x[:, :nc] ** 2, square[m])
+                first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+                total[m[first]] += np.add.reduceat(statistics(x, w[block], joint), first)
+                seen[m[first]] = True
+    return {cells[i]: total[i] for i in np.flatnonzero(seen)}
+
+
+SUMS = "draw int, place int, v array<double>"
+
+
+def _vectors(totals: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+    cols = [pa.array([k[i] for k in totals], pa.int32()) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(list(totals.values()), pa.list_(pa.float64()))], ["draw", "place", "v"])
+
+
+def _by_cell(batches) -> dict[tuple[int, int], np.ndarray]:
+    totals: dict = {}
+    for b in batches:
+        for draw, place, v in zip(b.column("draw").to_pylist(), b.column("place").to_pylist(), b.column("v"), strict=True):
+            v = v.values.to_numpy(zero_copy_only=False)
+            totals[draw, place] = totals[draw, place] + v if (draw, place) in totals else v
+    return totals
+
 
-    def batch(totals):
-        cols = [pa.array([k[i] for k in totals], pa.int32()) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(list(totals.values()), pa.list_(pa.float64()))], ["draw", "place", "v"])
+def _summed(rows: DataFrame, columns: Columns, places: Places, models: dict[tuple[int, int], Mixture], width: int, statistics) -> dict[tuple[int, int], np.ndarray]:
+    """_added of all rows, task by task; where the tasks' sums are many, a cell's meet on an executor first."""
 
     def sums(batches):
-        total, seen = np.zeros((len(cells), width)), np.zeros(len(cells), bool)
-        step = max(1, BLOCK // max(width, linear[0].size))  # rows by draws in a block
-        for b in batches:
-            whole, axis, hashes = _matrix(b, columns), b.column("_axis").to_numpy(), b.column("_hash").to_numpy()
-            at_once = max(1, BLOCK // max(1, len(draws) * places.many))
-            for at in range(0, len(whole), at_once):
-                part = slice(at, at + at_once)
-                row, draw, place, w = places.dealt(axis[part], hashes[part], draws)
-                own = number[draw, place]
-                row, own, w = (v[own >= 0] for v in (row, own, w))
-                order = np.argsort(own, kind="stable")
-                for lo in range(0, len(order), step):
-                    block = order[lo : lo + step]
-                    x, m = whole[part][row[block]], own[block]
-                    joint = flat[m] + np.einsum("nf,nkf->nk", x, linear[m]) + np.einsum("nf,nkf->nk", x[:, :nc] ** 2, square[m])
-                    first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-                    total[m[first]] += np.add.reduceat(statistics(x, w[block], joint), first)
-                    seen[m[first]] = True
-        if seen.any():
-            yield batch({cells[i]: total[i] for i in np.flatnonzero(seen)})
-
-    def add(batches):
-        totals: dict = {}
-        for b in batches:
-            for draw, place, v in zip(b.column("draw").to_pylist(), b.column("place").to_pylist(), b.column("v"), strict=True):
-                v = v.values.to_numpy(zero_copy_only=False)
-                totals[draw, place] = totals[draw, place] + v if (draw, place) in totals else v
-        if totals:
-            yield batch(totals)
+        if got := _added(_parts(batches, columns), places, models, width, statistics):
+            yield _vectors(got)
+
+    def meet(batches):
+        if got := _by_cell(batches):
+            yield _vectors(got)
 
-    parts = rows.mapInArrow(sums, schema)
-    if len(cells) * width * rows.sparkSession.sparkContext.defaultParallelism > GATHERED:
-        parts = parts.repartition("draw", "place").mapInArrow(add, schema)
-    got = pa.Table.from_batches(list(add(parts.toArrow().to_batches())), schema=pa.schema([("draw", pa.int32()), ("place", pa.int32()), ("v", pa.list_(pa.float64()))]))  # models by parameters
-    return {(d, p): v.values.to_numpy(zero_copy_only=False) for d, p, v in zip(got.column("draw").to_pylist(), got.column("place").to_pylist(), got.column("v"), strict=True)}
+    parts = rows.mapInArrow(sums, SUMS)
+    if len(models) * width * rows.sparkSession.sparkContext.defaultParallelism > GATHERED:
+        parts = parts.repartition("draw", "place").mapInArrow(meet, SUMS)
+    return _by_cell(parts.toArrow().to_batches())  # models by parameters
 
 
-def refit(rows: DataFrame, columns: Columns, places: Places, pooled: Mixture, draws: list[int], most: int = MOST, tol: float = TOL) -> dict[tuple[int, int], Mixture]:
+def refit(rows: DataFrame, columns: Columns, places: Places, pooled: Mixture, draws: list[int], most: int = MOST, tol: float = TOL, in_one_task: bool = False) -> dict[tuple[int, int], Mixture]:
     """The pooled mixture refitted, from its own parameters, to each place under each draw.
 
     Fits that have ended leave the passes. A fit whose likelihood is no number is left out: degenerate().
+    in_one_task: the rows are few enough for all passes to be in one task, which holds them.
     """
     k, f, nc = len(pooled.weights), pooled.means.shape[1], len(columns.continuous)
     least = 1e-4 * np.maximum(pooled.variances.mean(0), TINY)
     start = Mixture(columns, pooled.weights, pooled.means, pooled.variances)
+    width = k * (1 + f + nc) + 2
 
     def expected(x: np.ndarray, w: np.ndarray, joint: np.ndarray) -> np.ndarray:
         top = joint.max(1)
@@ -164,29 +181,43 @@ def refit(rows: DataFrame, columns: Columns, places: Places, pooled: Mixture, dr
         products = [(r[:, :, None] * y[:, None]).reshape(len(x), -1) for y in (x, x[:, :nc] ** 2)]
         return np.concatenate([r, *products, ((top + np.log(total)) * w)[:, None], w[:, None]], 1)
 
-    runs = {(d, p): _Run(start, least) for d in draws for p in range(places.many)}
-    best = {}
-    open_ = set(runs)
-    for _ in range(most):
-        got = _summed(rows, columns, places, {c: runs[c].at for c in open_}, k * (1 + f + nc) + 2, expected)
-        open_ &= set(got)  # a place without rows has no fit
-        for cell in sorted(open_):
-            v = got[cell]
-            n, s, ss = v[:k], v[k : k + k * f].reshape(k, f), v[k + k * f : -2].reshape(k, nc)
-            safe = np.maximum(n, TINY)[:, None]
-            means = s / safe
-            image = Mixture(columns, n / max(n.sum(), TINY), means, np.maximum(ss / safe - means[:, :nc] ** 2, least), float(v[-2]))
-            if degenerate(image):
-                open_.discard(cell)
-                continue
-            if cell not in best or image.log_likelihood >= best[cell].log_likelihood:
-                best[cell] = image
-            if runs[cell].step(image, tol * v[-1]):
-                best[cell] = runs[cell].at
-                open_.discard(cell)
-        if not open_:
-            break
-    return best
+    def climb(sums) -> dict[tuple[int, int], Mixture]:
+        runs = {(d, p): _Run(start, least) for d in draws for p in range(places.many)}
+        best: dict[tuple[int, int], Mixture] = {}
+        open_ = set(runs)
+        for _ in range(most):
+            got = sums({c: runs[c].at for c in open_})
+            open_ &= set(got)  # a place without rows has no fit
+            for cell in sorted(open_):
+                v = got[cell]
+                n, s, ss = v[:k], v[k : k + k * f].reshape(k, f), v[k + k * f : -2].reshape(k, nc)
+                safe = np.maximum(n, TINY)[:, None]
+                means = s / safe
+                image = Mixture(columns, n / max(n.sum(), TINY), means, np.maximum(ss / safe - means[:, :nc] ** 2, least), float(v[-2]))
+                if degenerate(image):
+                    open_.discard(cell)
+                    continue
+                if cell not in best or image.log_likelihood >= best[cell].log_likelihood:
+                    best[cell] = image
+                if runs[cell].step(image, tol * v[-1]):
+                    best[cell] = runs[cell].at
+                    open_.discard(cell)
+            if not open_:
+                break
+        return best
+
+    if not in_one_task:
+        return climb(lambda models: _summed(rows, columns, places, models, width, expected))
+
+    def run(batches):
+        parts = list(_parts(batches, columns))
+        if parts:
+            whole = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+            got = climb(lambda models: _added([whole], places, models, width, expected))
+            yield _vectors({c: np.concatenate([[m.log_likelihood, m.converged], m.weights, m.means.ravel(), m.variances.ravel()]) for c, m in got.items()})
+
+    found = _by_cell(rows.coalesce(1).mapInArrow(run, SUMS).toArrow().to_batches())  # models by parameters
+    return {c: Mixture(columns, v[2 : 2 + k], v[2 + k : 2 + k + k * f].reshape(k, f), v[2 + k + k * f :].reshape(k, nc), float(v[0]), converged=bool(v[1])) for c, v in found.items()}
 
 
 def degenerate(m: Mixture) -> bool:
@@ -273,7 +304,7 @@ def sweep_refits(df: DataFrame, key: str, axis: str, columns: Columns, scheme: S
     slots = df.sparkSession.sparkContext.defaultParallelism
     rows = (rows.coalesce(work // WORK + 1) if work // WORK < slots else rows).cache()
     try:
-        fits = refit(rows, columns, places, pooled, list(range(n_perm + 1)), most)
+        fits = refit(rows, columns, places, pooled, list(range(n_perm + 1)), most, in_one_task=work <= TASK * WORK)
         found = summaries(rows, columns, places, pooled, fits, df.sparkSession)
         centres, sds = _reference(rows, columns, pooled)
         reference = df.sparkSession.createDataFrame([(centres.tolist(), sds.tolist())], "centres array<array<double>>, sds array<double>")

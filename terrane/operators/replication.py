@@ -28,7 +28,8 @@ FLAT = 0.05  # a named profile with less spread has no correlation
 
 
 def _correlation(x: str, y: str, least: float) -> Column:
-    return F.when((F.stddev_pop(x) >= least) & (F.stddev_pop(y) >= least), F.corr(x, y))
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx >= least) & (sy >= least), F.covar_pop(x, y) / (sx * sy))
 
 
 def correlations(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -79,11 +80,12 @@ def long_of(df: DataFrame, key: str, columns: M.Columns, model: M.Mixture) -> Da
 
 def replicate(first: DataFrame, second: DataFrame, key: str, columns: M.Columns, categories: DataFrame, k: int = 4, n_init: int = 20, n_perm: int = 199, n_boot: int = 199, seed: int = 0, reverse: list[str] | None = None) -> DataFrame:
     """A mixture fitted on the first table, given to the second as it is, and how alike its classes'
-    signatures are there: category (null: all), r, null_p95, p_value, ci_low, ci_median, ci_high, n_valid,
+    signatures are there: category (null: all), r, null_p95, p_value, n_null, ci_low, ci_median, ci_high, n_valid,
     n_first, n_second and converged.
 
     Columns that the second lacks are left out of the fit. The features that tell classes apart are those
-    of the first table. p counts label dealings whose r is no less; it is null where r is.
+    of the first table. p counts label dealings whose r is no less, of the n_null whose signature isn't flat;
+    it is null where r is.
     """
     there = set(second.columns) & set(first.columns)
     shared = M.Columns([c for c in columns.continuous if c in there], [c for c in columns.binary if c in there], {c: n for c, n in columns.categorical.items() if c in there})
@@ -96,7 +98,7 @@ def replicate(first: DataFrame, second: DataFrame, key: str, columns: M.Columns,
     null = label_null(b, categories, keep, target, n_perm, seed, reverse).where("r is not null").select(F.coalesce("category", F.lit("")).alias("_c"), F.col("r").alias("_r"))
     boot = correlation_bootstrap(b, categories, keep, target, n_boot, seed, reverse=reverse)
     at = seen.withColumn("_c", F.coalesce("category", F.lit("")))
-    read = at.join(null, "_c", "left").groupBy("_c", "category", "r").agg(F.percentile("_r", F.lit(0.95)).alias("null_p95"), F.when(F.col("r").isNotNull(), stats.add_one(F.count_if(F.col("_r") >= F.col("r")), F.count("_r"))).alias("p_value"))
+    read = at.join(null, "_c", "left").groupBy("_c", "category", "r").agg(F.percentile("_r", F.lit(0.95)).alias("null_p95"), F.when(F.col("r").isNotNull(), stats.add_one(F.count_if(F.col("_r") >= F.col("r")), F.count("_r"))).alias("p_value"), F.count("_r").alias("n_null"))
     sizes = [df.select("id").distinct().agg(F.count(F.lit(1)).alias(n)) for df, n in ((a, "n_first"), (b, "n_second"))]
     out = read.join(boot.withColumn("_c", F.coalesce("category", F.lit(""))).drop("category"), "_c", "left").drop("_c")
     return out.crossJoin(sizes[0]).crossJoin(sizes[1]).withColumn("converged", F.lit(model.converged))  # one row each

@@ -39,6 +39,8 @@ def test_refits_against_numpy(planted, scheme):
     rows = R._rows(df, "id", "t", columns, 0)
     fits = R.refit(rows, columns, places, pooled, [0, 1])
     assert set(fits) == {(d, p) for d in (0, 1) for p in range(3)} and all(m.converged for m in fits.values())
+    alone = R.refit(rows, columns, places, pooled, [0, 1], in_one_task=True)
+    assert set(alone) == set(fits) and all(np.allclose(alone[c].means, fits[c].means, atol=1e-6) and alone[c].converged for c in fits)
     w = places.weights(t)
     for p in range(3):
         ll, plain = plain_em(pooled, x, w[:, p], 400)
