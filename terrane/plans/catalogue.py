@@ -153,7 +153,7 @@ def search_raw(spark, sf):
 def search_stemmed(spark, sf):
     """Words by their stems."""
     d = table(spark, sf, "documents")
-    return C.search_raw(d, "doc_id", F.col("text"), "licenses reserving OR conditional permissions", 50).withColumn("rank", F.round("rank", 6))
+    return C.search_raw(d, "doc_id", F.col("text"), "licenses OR rights NOT tokens", 50).withColumn("rank", F.round("rank", 6))
 
 
 def search_features_scoped(spark, sf):
