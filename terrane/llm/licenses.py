@@ -2,8 +2,9 @@
 
 A multinomial logistic regression (L1 and L2) is trained on notices of each licence family and
 variants of them, on notices of minor licences as the class `unknown`, on sentences that only sound
-alike, and on a bounded sample of the corpus's paragraphs. Its features are n-grams of 1 to 3 words
-with at least one cue word: a word much more frequent in the notices than in that sample. Lines without a cue
+alike, and on all of the corpus's paragraphs with one cue word at most, equal features being one row with
+their number as its weight. Its features are n-grams of 1 to 3 words
+with at least one cue word: a word much more frequent in the notices than in the corpus's paragraphs. Lines without a cue
 word are surely no licence and are left out before any n-gram is made; adjacent lines with cue
 words are one paragraph, so that a wrapped notice is, until words come that open another notice: at
 the start of a line or sentence, or as a further licence of an SPDX expression.
@@ -155,9 +156,13 @@ _OPENS = r"(?i)(?:^|(?<=[.;!?])\s)[^\p{L}\p{N}©]*(?:" + "|".join(OPENINGS).repl
 _FURTHER = r"(?<=(?i:spdx-license-identifier):[^\x01]{0,200})\s+(?:OR|AND)\s+"
 
 
+def _split(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+
+
 def words(text: Column) -> Column:
     """Lower-case words (letters and digits) of a text; text before the first is not one."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(_split(text), lambda w: w != "")
 
 
 def ngrams(w: Column, longest: int = 3) -> Column:
@@ -204,16 +209,30 @@ def _plain(text: str) -> list[str]:
     return "".join(c.lower() if c.isalnum() else " " for c in text).split()
 
 
-def find_cues(taken: DataFrame, sample: int, lift: float = 5.0) -> list[str]:
-    """Words that are at least `lift` times as frequent in the notices as in the corpus's paragraphs
-    taken (words; `sample` of them at most), and in few of the sentences that only sound alike.
-    Sent to the driver: the notices' words, and their counts."""
+def find_cues(docs: DataFrame, prior: int, lift: float = 5.0) -> tuple[list[str], int]:
+    """Words that are at least `lift` times as frequent in the notices as in all of the corpus's paragraphs
+    (lines with a word; fewer than `prior` count as so many), and in few of the sentences that only sound
+    alike. The number of those paragraphs, too. Sent to the driver: the notices' words, and their counts."""
     notices = [set(_plain(t)) for t in [*OTHERS, *(t for texts in NOTICES.values() for t in texts)]]
     own = Counter(w for ws in notices for w in ws if not w.isdigit() and (len(w) > 2 or w in ("cc", "nc")))
-    rows = taken.select(F.explode(F.array_distinct(F.array_intersect("words", _array(sorted(own))))).alias("w"))
+    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line")).where(F.col("line").rlike(r"[\p{L}\p{N}]"))
+    held = F.array_distinct(F.filter(_split(F.col("line")), lambda w: w.isin(sorted(own))))
+    rows = lines.select(F.explode(F.concat(F.array(F.lit("")), held)).alias("w"))  # "" is in each
     common = {r["w"]: r["n"] for r in rows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = common.get("", 0)
     alike = Counter(w for t in LIKE for w in set(_plain(t)))
-    return sorted(w for w, n in own.items() if n / len(notices) >= lift * (common.get(w, 0) + 1) / sample and alike[w] <= len(LIKE) // 8)
+    return sorted(w for w, k in own.items() if k / len(notices) >= lift * (common.get(w, 0) + 1) / max(n, prior) and alike[w] <= len(LIKE) // 8), n
+
+
+def plain_paragraphs(docs: DataFrame, cues: list[str], vocabulary: list[str], n: int) -> DataFrame:
+    """grams (those of the vocabulary, sorted) and how many of the corpus's n paragraphs have them, of those
+    with one cue word at most. Without a cue word there are none: these are n less the others."""
+    lines = _with_cues(docs, cues).select(F.explode("kept.line").alias("line")).select(words(F.col("line")).alias("words"))
+    one = F.size(F.array_intersect("words", _array(cues))) == 1
+    grams = F.when(one, F.array_sort(F.array_intersect(ngrams(F.col("words")), _array(vocabulary))))
+    counts = cut(lines.groupBy(grams.alias("grams")).agg(F.count(F.lit(1)).alias("number")))
+    rest = counts.agg((F.lit(n) - F.coalesce(F.sum("number"), F.lit(0))).alias("number")).select(F.array().cast("array<string>").alias("grams"), "number")
+    return counts.where("grams is not null").unionByName(rest.where("number > 0"))
 
 
 def _pairs(text: str) -> set[str]:
@@ -221,27 +240,28 @@ def _pairs(text: str) -> set[str]:
     return {" ".join(p) for p in zip(w, w[1:], strict=False)}
 
 
-def train(spark: SparkSession, docs: DataFrame, sample: int = 2000) -> Classifier:
-    """A classifier from the notices and at most `sample` paragraphs of the corpus.
+def train(spark: SparkSession, docs: DataFrame, prior: int = 2000) -> Classifier:
+    """A classifier from the notices and all paragraphs of the corpus, which weigh as much as `prior`
+    examples together (each as one, if they are fewer).
 
     Of those, paragraphs with at most one cue word are examples of NONE. Three models, each without
     a third of the families and a quarter of the other families' notices, calibrate it.
     """
-    taken = cut(paragraphs(docs).where("size(words) between 3 and 200").select("words").limit(sample))
-    cues = find_cues(taken, sample)
+    cues, n = find_cues(docs, prior)
     families = [*NOTICES, UNKNOWN, NONE]
     notices = [(k, i, t) for k, texts in enumerate({**NOTICES, UNKNOWN: OTHERS, NONE: LIKE}.values()) for i, t in enumerate(texts)]
     variants = [(k, i, v) for k, i, t in notices for v in _variants(t)]
     own = [{"label": float(k), "place": i, "n": n, "text": v} for n, (k, i, v) in enumerate(variants)]
     named = _rows(spark, own, "label double, place int, n int, text string").select("label", "place", "n", words(F.col("text")).alias("words"))
-    noise = taken.where(F.size(F.array_intersect("words", _array(cues))) <= 1).select(F.lit(float(len(NOTICES) + 1)).alias("label"), F.lit(-1).alias("place"), F.lit(-1).alias("n"), "words")
-    rows = named.unionByName(noise).select("label", "place", "n", ngrams(F.col("words")).alias("grams")).coalesce(1).cache()
+    named = named.select("label", "place", "n", ngrams(F.col("words")).alias("grams"), F.lit(1.0).alias("weight")).coalesce(1).cache()
     is_cue = F.exists(F.split("g", " "), lambda w: F.array_contains(_array(cues), w))
-    vocabulary = [r["g"] for r in rows.where((F.col("n") >= 0) & (F.col("label") <= len(NOTICES))).select(F.explode("grams").alias("g")).distinct().where(is_cue).orderBy("g").collect()]  # of the notices alone
+    vocabulary = [r["g"] for r in named.where(F.col("label") <= len(NOTICES)).select(F.explode("grams").alias("g")).distinct().where(is_cue).orderBy("g").collect()]
+    plain = plain_paragraphs(docs, cues, vocabulary, n).withColumn("weight", F.col("number") * min(1.0, prior / max(n, 1))).sortWithinPartitions("grams")
+    rows = named.unionByName(plain.select(F.lit(float(len(NOTICES) + 1)).alias("label"), F.lit(-1).alias("place"), F.lit(-1).alias("n"), "grams", "weight"))
     counted = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features", minTF=0.0)
     counted.setBinary(True)
-    data = counted.transform(rows).select("label", "place", "n", "features").cache()
-    learner = LogisticRegression(family="multinomial", regParam=0.001, elasticNetParam=0.2, standardization=False)
+    data = counted.transform(rows).select("label", "place", "n", "features", "weight").cache()
+    learner = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.001, elasticNetParam=0.2, standardization=False)
 
     tried: list[tuple[int, int, float, float, list[float]]] = []  # true and predicted label, margin, similarity, evidence
     for fold in range(3):
@@ -266,7 +286,7 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = 2000) -> Classifie
     known = LogisticRegression(regParam=0.01, maxIter=30).fit(_rows(spark, truth, "label double, margin double, similarity double").select("label", array_to_vector(F.array("margin", "similarity")).alias("features")).cache())
     model = learner.copy({learner.maxIter: 45}).fit(data)
     data.unpersist()
-    rows.unpersist()
+    named.unpersist()
     weights = model.coefficientMatrix.toArray()
     used = [j for j in range(len(vocabulary)) if abs(weights[:, j]).max() > 1e-6]
     return Classifier(
@@ -281,23 +301,27 @@ def train(spark: SparkSession, docs: DataFrame, sample: int = 2000) -> Classifie
     )
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (from 0: the lines of the text), words. Null and empty texts have none."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("paragraph", "line"))
-    return lines.select("doc_id", "paragraph", words(F.col("line")).alias("words"))
-
-
 def pieces(line: Column) -> Column:
     """A line, cut where notices begin: an array of opens (whether one begins there) and words."""
     marked = F.regexp_replace(F.regexp_replace(line, _FURTHER, _MARK + "SPDX-License-Identifier: "), _OPENS, _MARK + "$0")
     return F.transform(F.filter(F.split(marked, _MARK), lambda p: p != ""), lambda p, k: F.struct(((k > 0) | F.startswith(marked, F.lit(_MARK))).alias("opens"), words(p).alias("words")))
 
 
+def _with_cues(docs: DataFrame, cues: list[str]) -> DataFrame:
+    """doc_id and kept: number (from 0) and text of the lines with cue words, of the texts that have any."""
+
+    def holds(text: Column) -> Column:
+        return F.arrays_overlap(_split(text), _array(cues))
+
+    text = F.col("text").cast("string")
+    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
+    return docs.where(holds(text)).select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.array(F.struct(F.filter(lines, lambda x: holds(x["line"])).alias("kept")))))
+
+
 def candidates(docs: DataFrame, cues: list[str]) -> DataFrame:
     """doc_id, paragraph (its first line's number) and words of each run of lines with cue words, cut
     where another notice begins."""
-    lines = F.transform(F.split(F.col("text").cast("string"), "\n"), lambda line, i: F.struct(i.alias("i"), line.alias("line")))
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.inline(F.array(F.struct(F.filter(lines, lambda x: F.arrays_overlap(words(x["line"]), _array(cues))).alias("kept")))))
+    some = _with_cues(docs, cues)
     cut_up = F.flatten(F.transform("kept", lambda x: F.transform(pieces(x["line"]), lambda p: F.struct(x["i"].alias("i"), p["opens"].alias("opens"), p["words"].alias("words")))))
     some = some.where(F.size("kept") > 0).select("doc_id", F.inline(F.array(F.struct(cut_up.alias("lines")))))
     places = F.sequence(F.lit(1), F.size("lines"))
@@ -357,5 +381,5 @@ def scan(docs: DataFrame, classifier: Classifier, confirm: float = 0.6) -> DataF
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """Trains on the notices and a sample of docs, then scans all of docs."""
+    """Trains on the notices and all of docs, then scans all of docs."""
     return scan(docs, train(docs.sparkSession, docs))
