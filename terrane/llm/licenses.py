@@ -153,7 +153,8 @@ OPENINGS = [
 _MARK = "\x01"
 # In one line, where a notice begins: after white space and signs, at the line's start or a sentence's.
 _OPENS = r"(?i)(?:^|(?<=[.;!?])\s)[^\p{L}\p{N}©]*(?:" + "|".join(OPENINGS).replace("all rights", "(?<![.;!?]\\s)all rights") + ")"
-_FURTHER = r"(?<=(?i:spdx-license-identifier):[^\x01]{0,200})\s+(?:OR|AND)\s+"
+# The look ahead changes no match, but spares the look back wherever no OR or AND follows.
+_FURTHER = r"(?=\s+(?:OR|AND)\s)(?<=(?i:spdx-license-identifier):[^\x01]{0,200})\s+(?:OR|AND)\s+"
 
 
 def _split(text: Column) -> Column:

@@ -1,9 +1,11 @@
 """What a licence classifier takes from a corpus comes from all of it."""
 
 import re
+import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from terrane.llm import licenses
 
@@ -49,3 +51,13 @@ def test_training_on_no_paragraph(spark, docs):
     classifier = licenses.train(spark, docs.where("text is null or text = ''"))
     notice = spark.createDataFrame([(1, "Released under the MIT License.")], "doc_id long, text string")
     assert [(r["family"], r["confirmed"]) for r in licenses.scan(notice, classifier).collect()] == [("mit", True)]
+
+
+def test_lines_are_cut_in_time_that_grows_with_them_alone(spark):
+    """12 MB of prose before an SPDX expression: no look back of 200 characters from each one."""
+    line = "All of this is prose. " * 50
+    docs = spark.range(10800).select("id", F.concat(F.lit(line), F.col("id").cast("string"), F.lit(" SPDX-License-Identifier: MIT OR GPL-2.0 AND MPL-2.0")).alias("line"))
+    start = time.monotonic()
+    got = docs.coalesce(1).select(licenses.pieces(F.col("line")).alias("p")).agg(F.min(F.size("p")), F.max(F.size("p")), F.sum(F.size(F.element_at("p", -1)["words"]))).first()
+    assert tuple(got) == (3, 3, 10800 * 6)
+    assert time.monotonic() - start < 25
