@@ -209,10 +209,13 @@ def search(documents: DataFrame, key: str, text: Column, terms: list[tuple[int,
     return _ranked(documents, key, text, [(t, prefix) for _, t in terms], every, limit, k1, b, stems)
 
 
-def _ranked(documents: DataFrame, key: str, text: Column, terms: list[tuple[str, bool]], every, limit: int, k1: float, b: float, stems: bool, counted: list[int] | None = None) -> DataFrame:
+def _ranked(documents: DataFrame, key: str, text: Column, terms: list[tuple[str, bool]], every, limit: int, k1: float, b: float, stems: bool, counted: list[int] | None = None, digits: int | None = None) -> DataFrame:
     """key and rank of the documents for which every (of the terms' counts) is true; terms: (words,
-    whether as a prefix); counted: the places of the terms that the rank is of (all)."""
-    low = documents.select(key, F.inline(F.array(F.struct(F.lower(text).alias("t")))))  # so that it is worked out once
+    whether as a prefix); counted: the places of the terms that the rank is of (all); digits: as in
+    search_raw."""
+    # A dotted capital i is an i, as in SQL; Java makes it two characters, of which the dot would end a word.
+    small = F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+    low = documents.select(key, F.inline(F.array(F.struct(small.alias("t")))))  # so that it is worked out once
 
     def count(term: str, prefix: bool) -> Column:  # most documents don't hold a term's first word at all
         words = re.findall(r"[a-z0-9_]+", term)
@@ -230,7 +233,8 @@ def _ranked(documents: DataFrame, key: str, text: Column, terms: list[tuple[str,
         idf = max(1e-6, math.log((n - d + 0.5) / (d + 0.5)))
         score += idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("length") / mean))
     found = hits.where(every([F.col(f"f{i}") for i in range(len(terms))]))
-    return found.withColumn("length", length).select(key, (-score).alias("rank")).orderBy("rank", key).limit(limit)
+    rank = -score if digits is None else F.round(-score, digits)
+    return found.withColumn("length", length).select(key, rank.alias("rank")).orderBy("rank", key).limit(limit)
 
 
 _RAW = re.compile(r'"([^"]*)"|([()])|([A-Za-z0-9_]+)(\*?)')
@@ -292,8 +296,9 @@ def raw_terms(query: str) -> tuple[list[tuple[str, bool]], list]:
     return terms, tree
 
 
-def search_raw(documents: DataFrame, key: str, text: Column, query: str, limit: int, stems: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Documents that a query string (see raw_terms) is true of, by BM25 of the terms that it asks for."""
+def search_raw(documents: DataFrame, key: str, text: Column, query: str, limit: int, stems: bool = True, k1: float = 1.2, b: float = 0.75, digits: int | None = None) -> DataFrame:
+    """Documents that a query string (see raw_terms) is true of, by BM25 of the terms that it asks for.
+    With digits, ranks are rounded first, so that documents whose rounded ranks are equal go by key."""
     terms, tree = raw_terms(query)
 
     def true(node, found: list[Column]) -> Column:
@@ -306,7 +311,7 @@ def search_raw(documents: DataFrame, key: str, text: Column, query: str, limit:
     def asked(node) -> list[int]:
         return [node] if isinstance(node, int) else asked(node[1]) + ([] if node[0] == "NOT" else asked(node[2]))
 
-    return _ranked(documents, key, text, terms, lambda found: true(tree, found), limit, k1, b, stems, asked(tree))
+    return _ranked(documents, key, text, terms, lambda found: true(tree, found), limit, k1, b, stems, asked(tree), digits)
 
 
 def search_features(feature: DataFrame, query: str, pairs: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None, table_name: str | None = None, scale: str | None = None, limit: int = 50) -> DataFrame:

@@ -147,7 +147,7 @@ RAW = 'th* (licensed OR "rights reserved") NOT token'
 def search_raw(spark, sf):
     """A query string with a prefix, an alternative, a phrase and an exclusion."""
     d = table(spark, sf, "documents")
-    return C.search_raw(d, "doc_id", F.col("text"), RAW, 50, stems=False).withColumn("rank", F.round("rank", 6))
+    return C.search_raw(d, "doc_id", F.col("text"), RAW, 50, stems=False, digits=6)
 
 
 def search_stemmed(spark, sf):

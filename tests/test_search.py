@@ -2,9 +2,11 @@
 
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from terrane import plans
 from terrane.functions import stems
 from terrane.operators import catalogue as C
 
@@ -49,3 +51,13 @@ def test_query_strings(spark):
     for bad in ("", "AND a", "a OR", "(a", "a)", 'a "', "NOT a", '""', "a + b"):
         with pytest.raises(ValueError):
             C.raw_terms(bad)
+
+
+def test_ranks_that_are_equal_when_rounded_go_by_key(spark, tmp_path):
+    texts = ["the licensed " * (2000 + i) for i in range(60)] + [None, "", "the \u0130stanbul L\u0130CENSED", "th rights\n reserved"] + ["other words"] * 90
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(plans.ORACLES["search_raw"]).fetchall()
+    assert len({rank for _, rank in want}) < 50 == len(want)
+    assert [(r["doc_id"], r["rank"]) for r in plans.QUERIES["search_raw"](spark, str(tmp_path)).collect()] == want
