@@ -30,6 +30,11 @@ class Columns:
     def names(self) -> list[str]:
         return [*self.continuous, *self.binary, *self.categorical]
 
+    @property
+    def others(self) -> int:
+        """How many columns come after the continuous ones when rows are expanded."""
+        return len(self.binary) + sum(self.categorical.values())
+
     def expanded(self, x: np.ndarray) -> np.ndarray:
         """Rows with categorical columns as indicators of their levels."""
         parts = [x[:, : len(self.continuous) + len(self.binary)]]
@@ -73,51 +78,71 @@ def _matrix(batch, columns: Columns) -> np.ndarray:
 # Most numbers in a block of rows by all classes of all models, while a task adds up, and most that the
 # driver takes from all tasks together; beyond that the tasks' sums are added on the executors.
 BLOCK, GATHERED = 2_000_000, 2_000_000
+# The same of EM's blocks, which stay in a processor's cache; bytes of rows that are kept as one.
+STEP, PACKED = 400_000, 1_000_000
 # Products of a pass that are worth a task of their own; so many of these, all passes are in one task.
 WORK, TASK = 4_000_000, 4
 
 
-def _joint(models: list[Mixture]):
-    """A function of rows that gives log(weight * density) of each row and each class of each model."""
+def _factors(models: list[Mixture]) -> tuple[np.ndarray, np.ndarray]:
+    """Of log(weight * density), by class of all models: the constant, and the factors of a row's columns
+    and of its continuous columns' squares."""
     m = models[0].columns
     nc, nb = len(m.continuous), len(m.binary)
     means, v = np.concatenate([m.means for m in models]), np.concatenate([m.variances for m in models])
     p = np.clip(means[:, nc:], TINY, 1 - TINY)
     flat = np.log(np.concatenate([m.weights for m in models]) + 1e-300) - 0.5 * (np.log(2 * np.pi * v) + means[:, :nc] ** 2 / v).sum(1) + np.log(1 - p[:, :nb]).sum(1)
-    linear = np.concatenate([means[:, :nc] / v, np.log(p[:, :nb]) - np.log(1 - p[:, :nb]), np.log(p[:, nb:])], 1).T
-    square = -0.5 / v.T
-    return lambda x: flat + x @ linear + x[:, :nc] ** 2 @ square
+    return flat, np.concatenate([means[:, :nc] / v, np.log(p[:, :nb]) - np.log(1 - p[:, :nb]), np.log(p[:, nb:]), -0.5 / v], 1)
+
+
+def _joint(models: list[Mixture]):
+    """A function of rows that gives log(weight * density) of each row and each class of each model."""
+    flat, factors = _factors(models)
+    f = models[0].means.shape[1]
+    return lambda x: flat + x @ factors[:, :f].T + x[:, : factors.shape[1] - f] ** 2 @ factors[:, f:].T
 
 
 def _totals(models: list[Mixture], parts) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float] | None]:
     """For each model the summed responsibilities, r * x, r * x^2 and the log-likelihood over parts:
-    rows, their weights and folds. None for a model that sees no row."""
+    rows, their weights and folds. None for a model that sees no row.
+
+    Models with as many classes that see the same rows go together, all their first classes before all
+    their second ones: what is done over a model's classes runs along neighbouring numbers.
+    """
     nc, only = len(models[0].columns.continuous), [m.only for m in models]
-    groups = {}  # models that see the same rows: their functions and totals
-    for value in sorted(set(only)):
-        own = [i for i, o in enumerate(only) if o == value]
-        n = np.array([len(models[i].weights) for i in own])
-        groups[value] = [own, n, np.concatenate([[0], np.cumsum(n)[:-1]]), np.array([models[i].hold for i in own]), _joint([models[i] for i in own]), None]
+    groups = {}  # the models' places, classes, folds left out and factors, and what is added up
+    for value, k in sorted({(m.only, len(m.weights)) for m in models}):
+        own = [i for i, m in enumerate(models) if (m.only, len(m.weights)) == (value, k)]
+        flat, factors = (np.concatenate([v[c::k] for c in range(k)]) for v in _factors([models[i] for i in own]))
+        groups[value, k] = [own, np.array([models[i].hold for i in own]), flat, factors.T, None]
     for whole, weights, folds_ in parts:
-        for value in groups if only == [-1] * len(only) else np.intersect1d(folds_, list(groups)):
-            own, n, at, holds, joint, _ = groups[value]
+        there = {-1, *np.unique(folds_).tolist()} if only != [-1] * len(only) else {-1}
+        for (value, k), (own, holds, flat, factors, _) in groups.items():
+            if value not in there:
+                continue
             seen = slice(None) if value < 0 else folds_ == value
-            rows, w_, f_, step = whole[seen], weights[seen], folds_[seen], max(1, BLOCK // n.sum())
+            rows, w_, f_, step = whole[seen], weights[seen], folds_[seen], max(1, STEP // len(flat))
             for first in range(0, len(rows), step):
-                x, part = rows[first : first + step], slice(first, first + step)
-                r = joint(x)
-                top = np.maximum.reduceat(r, at, 1)
-                r = np.exp(r - np.repeat(top, n, 1))
-                total = np.add.reduceat(r, at, 1)
+                part = slice(first, first + step)
+                x = np.concatenate([rows[part], rows[part, :nc] ** 2], 1)
+                r = x @ factors
+                r += flat
+                by_class = r.reshape(len(x), k, len(own))
+                top = by_class.max(1)
+                by_class -= top[:, None]
+                np.exp(r, out=r)
+                total = by_class.sum(1)
                 w = w_[part, None] * (f_[part, None] != holds)
-                r *= np.repeat(w / total, n, 1)
-                new = [r.sum(0), r.T @ x, r.T @ x[:, :nc] ** 2, ((top + np.log(total)) * w).sum(0)]
-                groups[value][-1] = new if groups[value][-1] is None else [o + v for o, v in zip(groups[value][-1], new, strict=True)]
+                by_class *= (w / total)[:, None]
+                new = [r.sum(0), r.T @ x, ((top + np.log(total)) * w).sum(0)]
+                held = groups[value, k]
+                held[-1] = new if held[-1] is None else [o + v for o, v in zip(held[-1], new, strict=True)]
     out: list = [None] * len(models)
-    for own, n, at, _, _, sums in groups.values():
+    for (_, k), (own, _, _, factors, sums) in groups.items():
         if sums is not None:
-            for j, (i, a, k) in enumerate(zip(own, at, n, strict=True)):
-                out[i] = (*(v[a : a + k] for v in sums[:3]), float(sums[3][j]))
+            n, both = sums[0].reshape(k, len(own)), sums[1].reshape(k, len(own), len(factors))
+            for j, i in enumerate(own):
+                out[i] = n[:, j], both[:, j, :-nc or None], both[:, j, len(factors) - nc :], float(sums[2][j])
     return out
 
 
@@ -126,19 +151,47 @@ def _parts(batches, columns: Columns):
         yield _matrix(b, columns), b.column("_w").to_numpy(zero_copy_only=False).astype(float), b.column("_fold").to_numpy()
 
 
+def _packed(rows: DataFrame, columns: Columns) -> DataFrame:
+    """Rows in blocks of about PACKED bytes, for passes that read them often: x (continuous columns as
+    doubles), y (the others, in a byte each where those hold them all), w and fold."""
+    nc = len(columns.continuous)
+
+    def pack(batches):
+        for whole, w, fold in _parts(batches, columns):
+            step = max(1, PACKED // (8 * whole.shape[1]))
+            for first in range(0, len(whole), step):
+                part = slice(first, first + step)
+                y = whole[part, nc:]
+                with np.errstate(invalid="ignore"):
+                    small = y.astype(np.uint8)
+                own = [whole[part, :nc], small if np.array_equal(small, y) else y, w[part], fold[part].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in own], ["x", "y", "w", "fold"])
+
+    return rows.mapInArrow(pack, "x binary, y binary, w binary, fold binary")
+
+
+def _unpacked(batches, columns: Columns):
+    for b in batches:
+        for x, y, w, fold in zip(*(b.column(c) for c in ("x", "y", "w", "fold")), strict=True):
+            w = np.frombuffer(w.as_buffer())
+            y = np.frombuffer(y.as_buffer(), np.uint8)
+            y = (y.view(float) if len(y) == 8 * len(w) * columns.others else y).reshape(len(w), columns.others)
+            yield np.concatenate([np.frombuffer(x.as_buffer()).reshape(len(w), -1), y], 1), w, np.frombuffer(fold.as_buffer(), np.int64)
+
+
 def _vectors(totals: dict[int, np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([totals[i] for i in totals], pa.list_(pa.float64()))], ["model", "v"])
 
 
-def _pass(df: DataFrame, models: list[Mixture], tasks: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """_totals of all rows. A task yields one row per model. Where the rows of all `tasks` are many, those
+def _pass(blocks: DataFrame, models: list[Mixture], tasks: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """_totals of all rows, which are _packed. A task yields one row per model. Where the rows of all `tasks` are many, those
     of a model first meet in one task, which adds them one by one."""
     columns, nc = models[0].columns, len(models[0].columns.continuous)
     sizes = [len(m.weights) for m in models]
     schema = "model int, v array<double>"
 
     def sums(batches):
-        got = {i: np.concatenate([*(v.ravel() for v in t[:3]), [t[3]]]) for i, t in enumerate(_totals(models, _parts(batches, columns))) if t is not None}
+        got = {i: np.concatenate([*(v.ravel() for v in t[:3]), [t[3]]]) for i, t in enumerate(_totals(models, _unpacked(batches, columns))) if t is not None}
         if got:
             yield _vectors(got)
 
@@ -151,8 +204,8 @@ def _pass(df: DataFrame, models: list[Mixture], tasks: int) -> list[tuple[np.nda
         if totals:
             yield _vectors(totals)
 
-    rows = df.mapInArrow(sums, schema)
-    if tasks * sum(sizes) * models[0].means.shape[1] * 2 > GATHERED:
+    rows = blocks.mapInArrow(sums, schema)
+    if tasks * sum(sizes) * (1 + models[0].means.shape[1] + nc) > GATHERED:
         rows = rows.repartition("model").mapInArrow(add, schema)
     out: list = [None] * len(models)
     totals = next(add(rows.toArrow().to_batches()))  # models x classes x columns
@@ -285,11 +338,6 @@ def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, i
             raise ValueError("no complete row to fit")
         tasks = whole["_parts"]
         needed = int(whole["_rows"] * len(columns.names) * sum(k for k, _, _ in specs) / WORK) + 1
-        if needed < tasks:
-            rows, tasks = rows.coalesce(needed), needed
-        elif tasks < min(slots, needed):
-            rows, tasks = rows.repartition(slots).cache(), slots
-            cached.append(rows)
         var = np.maximum(np.array([whole[c] for c in columns.continuous], float), TINY)
         nc, least = len(columns.continuous), 1e-4 * var
         limit = tol * whole["_n"] / (1 if by is None else len({value for _, value, _ in specs}))
@@ -310,7 +358,14 @@ def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, i
                 models.append(Mixture(columns, np.full(k, 1 / k), drawn[i][:k], np.tile(var, (k, 1)), hold=hold, only=only))
         if needed <= TASK:
             return _in_one_task(rows, models, least, limit, most)
-        return _climb(models, least, limit, most, lambda now: _pass(rows, now, tasks))
+        if needed < tasks:
+            rows, tasks = rows.coalesce(needed), needed
+        elif tasks < min(slots, needed):
+            rows, tasks = rows.repartition(slots), slots
+        cached.append(_packed(rows, columns).cache())
+        cached[1].count()
+        cached[0].unpersist()
+        return _climb(models, least, limit, most, lambda now: _pass(cached[1], now, tasks))
     finally:
         for c in cached:
             c.unpersist()

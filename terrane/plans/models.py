@@ -51,8 +51,13 @@ def _wide(spark, sf):
 def mixture_wide(spark, sf):
     """Shares and sureness of four classes on 238 columns, the likeliest of 200 starts."""
     rows, columns = _wide(spark, sf)
-    model = M.fit(rows, "c_custkey", columns, 4, n_init=200)
-    return M.assign(rows, "c_custkey", model).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("responsibilities")).alias("mean_posterior"), F.lit(model.converged).alias("converged"))
+    rows = rows.cache()  # its 238 aggregates are worked out once, for the fit and for the labels
+    try:
+        model = M.fit(rows, "c_custkey", columns, 4, n_init=200)
+        out = M.assign(rows, "c_custkey", model).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.array_max("responsibilities")).alias("mean_posterior"), F.lit(model.converged).alias("converged"))
+        return spark.createDataFrame(out.collect(), out.schema)  # a row for each class
+    finally:
+        rows.unpersist()
 
 
 def mixture_selection(spark, sf):
