@@ -22,11 +22,13 @@ from terrane.operators import drift as D
 from terrane.operators import enrichment as E
 from terrane.operators import strata as S
 from terrane.operators.draws import uniform
-from terrane.operators.mixture import BLOCK, GATHERED, MOST, TASK, TINY, TOL, WORK, Columns, Mixture, _matrix, _Run
+from terrane.operators.mixture import BLOCK, GATHERED, MOST, TASK, TINY, TOL, WORK, Columns, Mixture, _factors, _matrix, _Run
 from terrane.operators.schemes import Scheme
 
 # Weights at or below this count as none; values of the axis that draws of a window are read from.
 FLOOR, VALUES = 1e-4, 1001
+# Most rows in a block, whose places under a draw stay in a processor's cache.
+ROWS = 16384
 SUMMARY = "draw int, place int, n double, classes array<int>, features array<string>, means array<array<double>>, sds array<array<double>>, overlap array<array<double>>"
 
 
@@ -66,6 +68,28 @@ class Places:
         row, draw = np.nonzero(~np.isnan(own))
         return row, draw, place[row, draw], np.ones(len(row))
 
+    def cells(self, x: np.ndarray, hashes: np.ndarray, draw: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """What dealt() gives for one draw, by place: the place, its rows and their weights."""
+        if self.focals:
+            row, _, place, w = self.dealt(x, hashes, np.array([draw]))
+            own = [np.flatnonzero(place == p) for p in range(self.many)]
+            return [(p, row[o], w[o]) for p, o in enumerate(own) if len(o)]
+        place = np.searchsorted(self.edges, x, "right") if draw == 0 else _above(uniform(hashes, draw), self.ends)
+        place[np.isnan(x)] = self.many
+        order = np.argsort(place.astype(np.uint8 if self.many < 256 else np.uint16), kind="stable")  # by digits
+        at, one = np.cumsum([0, *np.bincount(place, minlength=self.many)]), np.ones(len(x))
+        return [(p, order[at[p] : at[p + 1]], one[at[p] : at[p + 1]]) for p in range(self.many) if at[p + 1] > at[p]]
+
+
+def _above(u: np.ndarray, ends: list[float]) -> np.ndarray:
+    """How many of the ends, which ascend, each number is above."""
+    if len(ends) > 8:
+        return np.searchsorted(ends, u)
+    out = np.zeros(len(u), np.intp)
+    for e in ends:
+        out += u > e
+    return out
+
 
 def places_of(df: DataFrame, axis: str, scheme: Scheme) -> Places:
     if scheme.kind == "kernel":
@@ -82,15 +106,11 @@ def _rows(df: DataFrame, key: str, axis: str, columns: Columns, seed: int) -> Da
     return own.dropna(subset=[*columns.names, "_axis"])
 
 
-def _coefficients(models: list[Mixture]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of log(weight * density), by model and class: the constant, and the factors of each column (by
-    the last axis) and of each continuous column's square."""
-    nc, nb = len(models[0].columns.continuous), len(models[0].columns.binary)
-    means, v = np.stack([m.means for m in models]), np.stack([m.variances for m in models])
-    p = np.clip(means[..., nc:], TINY, 1 - TINY)
-    flat = np.log(np.stack([m.weights for m in models]) + 1e-300) - 0.5 * (np.log(2 * np.pi * v) + means[..., :nc] ** 2 / v).sum(-1) + np.log(1 - p[..., :nb]).sum(-1)
-    linear = np.concatenate([means[..., :nc] / v, np.log(p[..., :nb]) - np.log(1 - p[..., :nb]), np.log(p[..., nb:])], -1)
-    return flat, linear, -0.5 / v
+def _coefficients(models: list[Mixture]) -> np.ndarray:
+    """Of log(weight * density), by model and class: the constant, and the factors of each column and of
+    each continuous column's square."""
+    flat, factors = _factors(models)
+    return np.concatenate([flat[:, None], factors], 1).reshape(len(models), -1, 1 + factors.shape[1])
 
 
 def _parts(batches, columns: Columns):
@@ -98,33 +118,32 @@ def _parts(batches, columns: Columns):
         yield _matrix(b, columns), b.column("_axis").to_numpy(), b.column("_hash").to_numpy()
 
 
-def _added(parts, places: Places, models: dict[tuple[int, int], Mixture], width: int, statistics) -> dict[tuple[int, int], np.ndarray]:
-    """For each (draw, place) the sum over parts (rows, axis, hashes) of width numbers of each of its
-    rows: statistics(x, weights, log(weight * density) by class). Rows by draws go in blocks."""
-    cells = sorted(models)
-    draws = np.array(sorted({d for d, _ in cells}))
-    number = np.full((len(draws), places.many), -1)
-    for i, (d, p) in enumerate(cells):
-        number[np.searchsorted(draws, d), p] = i
-    flat, linear, square = _coefficients([models[c] for c in cells])
-    nc = square.shape[2]
+def _added(parts, places: Places, cells: list[tuple[int, int]], factors: np.ndarray, nc: int, width: int, statistics, memo: dict | None = None) -> dict[tuple[int, int], np.ndarray]:
+    """For each (draw, place) the sum over parts (rows, axis, hashes) of width numbers of its rows:
+    statistics(rows by one, columns and continuous columns' squares; weights; log(weight * density) of
+    classes by rows). Rows go in blocks. memo: what keeps the blocks' rows by place, for parts that are
+    the same in every call."""
+    by_draw: dict[int, dict[int, int]] = {}
+    for i, (draw, place) in enumerate(cells):
+        by_draw.setdefault(draw, {})[place] = i
     total, seen = np.zeros((len(cells), width)), np.zeros(len(cells), bool)
-    step = max(1, BLOCK // max(width, linear[0].size))
-    at_once = max(1, BLOCK // max(1, len(draws) * places.many))
-    for whole, axis, hashes in parts:
-        for at in range(0, len(whole), at_once):
-            part = slice(at, at + at_once)
-            row, draw, place, w = places.dealt(axis[part], hashes[part], draws)
-            own = number[draw, place]
-            row, own, w = (v[own >= 0] for v in (row, own, w))
-            order = np.argsort(own, kind="stable")
-            for lo in range(0, len(order), step):
-                block = order[lo : lo + step]
-                x, m = whole[part][row[block]], own[block]
-                joint = flat[m] + np.einsum("nf,nkf->nk", x, linear[m]) + np.einsum("nf,nkf->nk", x[:, :nc] ** 2, square[m])
-                first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-                total[m[first]] += np.add.reduceat(statistics(x, w[block], joint), first)
-                seen[m[first]] = True
+    step = min(ROWS, max(1, BLOCK // max(width, factors.shape[2])))
+    for n, (whole, axis, hashes) in enumerate(parts):
+        for at in range(0, len(whole), step):
+            part = slice(at, at + step)
+            x = whole[part]
+            z = np.concatenate([np.ones((len(x), 1)), x, x[:, :nc] ** 2], 1)
+            for draw, numbers in by_draw.items():
+                dealt = memo.get((n, at, draw)) if memo is not None else None
+                if dealt is None:
+                    dealt = places.cells(axis[part], hashes[part], draw)
+                    if memo is not None:
+                        memo[n, at, draw] = dealt
+                for place, rows, w in dealt:
+                    if (i := numbers.get(place)) is not None:
+                        own = z.take(rows, 0)
+                        total[i] += statistics(own, w, factors[i] @ own.T)
+                        seen[i] = True
     return {cells[i]: total[i] for i in np.flatnonzero(seen)}
 
 
@@ -147,9 +166,11 @@ def _by_cell(batches) -> dict[tuple[int, int], np.ndarray]:
 
 def _summed(rows: DataFrame, columns: Columns, places: Places, models: dict[tuple[int, int], Mixture], width: int, statistics) -> dict[tuple[int, int], np.ndarray]:
     """_added of all rows, task by task; where the tasks' sums are many, a cell's meet on an executor first."""
+    cells, nc = sorted(models), len(columns.continuous)
+    factors = _coefficients([models[c] for c in cells])
 
     def sums(batches):
-        if got := _added(_parts(batches, columns), places, models, width, statistics):
+        if got := _added(_parts(batches, columns), places, cells, factors, nc, width, statistics):
             yield _vectors(got)
 
     def meet(batches):
@@ -166,26 +187,28 @@ def refit(rows: DataFrame, columns: Columns, places: Places, pooled: Mixture, dr
     """The pooled mixture refitted, from its own parameters, to each place under each draw.
 
     Fits that have ended leave the passes. A fit whose likelihood is no number is left out: degenerate().
-    in_one_task: the rows are few enough for all passes to be in one task, which holds them.
+    in_one_task: the rows are few enough for all passes to be in one task, which holds them; else the
+    passes that are left are, once few draws are open.
     """
     k, f, nc = len(pooled.weights), pooled.means.shape[1], len(columns.continuous)
     least = 1e-4 * np.maximum(pooled.variances.mean(0), TINY)
     start = Mixture(columns, pooled.weights, pooled.means, pooled.variances)
     width = k * (1 + f + nc) + 2
+    each = 0 if in_one_task else rows.count() * k * len(columns.names)  # products of a draw
 
     def expected(x: np.ndarray, w: np.ndarray, joint: np.ndarray) -> np.ndarray:
-        top = joint.max(1)
-        r = np.exp(joint - top[:, None])
-        total = r.sum(1)
-        r *= (w / total)[:, None]
-        products = [(r[:, :, None] * y[:, None]).reshape(len(x), -1) for y in (x, x[:, :nc] ** 2)]
-        return np.concatenate([r, *products, ((top + np.log(total)) * w)[:, None], w[:, None]], 1)
-
-    def climb(sums) -> dict[tuple[int, int], Mixture]:
-        runs = {(d, p): _Run(start, least) for d in draws for p in range(places.many)}
-        best: dict[tuple[int, int], Mixture] = {}
+        top = joint.max(0)
+        r = np.exp(joint - top)
+        total = r.sum(0)
+        r *= w / total
+        sums = r @ x
+        return np.concatenate([sums[:, 0], sums[:, 1 : 1 + f].ravel(), sums[:, 1 + f :].ravel(), [(top + np.log(total)) @ w, w.sum()]])
+
+    def climb(sums, runs: dict[tuple[int, int], _Run], best: dict[tuple[int, int], Mixture], most: int, enough=lambda open_: False) -> tuple[set[tuple[int, int]], int]:
+        """Passes until all runs have ended, most are done or few enough are open; those, and passes left."""
         open_ = set(runs)
-        for _ in range(most):
+        while open_ and most and not enough(open_):
+            most -= 1
             got = sums({c: runs[c].at for c in open_})
             open_ &= set(got)  # a place without rows has no fit
             for cell in sorted(open_):
@@ -202,22 +225,31 @@ def refit(rows: DataFrame, columns: Columns, places: Places, pooled: Mixture, dr
                 if runs[cell].step(image, tol * v[-1]):
                     best[cell] = runs[cell].at
                     open_.discard(cell)
-            if not open_:
-                break
-        return best
+        return open_, most
 
+    runs = {(d, p): _Run(start, least) for d in draws for p in range(places.many)}
+    best: dict[tuple[int, int], Mixture] = {}
     if not in_one_task:
-        return climb(lambda models: _summed(rows, columns, places, models, width, expected))
+        open_, most = climb(lambda models: _summed(rows, columns, places, models, width, expected), runs, best, most, lambda open_: each * len({d for d, _ in open_}) <= TASK * WORK)
+        runs = {c: runs[c] for c in open_}
+    if not (runs and most):
+        return best
+    likeliest = {c: best[c] for c in runs if c in best}
 
     def run(batches):
         parts = list(_parts(batches, columns))
         if parts:
-            whole = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
-            got = climb(lambda models: _added([whole], places, models, width, expected))
-            yield _vectors({c: np.concatenate([[m.log_likelihood, m.converged], m.weights, m.means.ravel(), m.variances.ravel()]) for c, m in got.items()})
+            whole, memo, found = tuple(np.concatenate(p) for p in zip(*parts, strict=True)), {}, dict(likeliest)
+
+            def sums(models):
+                cells = sorted(models)
+                return _added([whole], places, cells, _coefficients([models[c] for c in cells]), nc, width, expected, memo)
+
+            climb(sums, runs, found, most)
+            yield _vectors({c: np.concatenate([[m.log_likelihood, m.converged], m.weights, m.means.ravel(), m.variances.ravel()]) for c, m in found.items()})
 
     found = _by_cell(rows.coalesce(1).mapInArrow(run, SUMS).toArrow().to_batches())  # models by parameters
-    return {c: Mixture(columns, v[2 : 2 + k], v[2 + k : 2 + k + k * f].reshape(k, f), v[2 + k + k * f :].reshape(k, nc), float(v[0]), converged=bool(v[1])) for c, v in found.items()}
+    return best | {c: Mixture(columns, v[2 : 2 + k], v[2 + k : 2 + k + k * f].reshape(k, f), v[2 + k + k * f :].reshape(k, nc), float(v[0]), converged=bool(v[1])) for c, v in found.items()}
 
 
 def degenerate(m: Mixture) -> bool:
@@ -232,8 +264,8 @@ def summaries(rows: DataFrame, columns: Columns, places: Places, pooled: Mixture
     names = [*columns.continuous, *columns.binary, *(f"{c}={i}" for c, n in columns.categorical.items() for i in range(n))]
 
     def labelled(x: np.ndarray, w: np.ndarray, joint: np.ndarray) -> np.ndarray:
-        own = np.eye(k)[joint.argmax(1)] * w[:, None]
-        return np.concatenate([own, *((own[:, :, None] * y[:, None]).reshape(len(x), -1) for y in (x, x**2, np.eye(k)[pooled.log_joint(x).argmax(1)]))], 1)
+        own, x = np.eye(k)[joint.argmax(0)].T * w, x[:, 1 : 1 + f]
+        return np.concatenate([own.sum(1), *((own @ y).ravel() for y in (x, x**2, np.eye(k)[pooled.log_joint(x).argmax(1)]))])
 
     out = []
     for (draw, place), v in _summed(rows, columns, places, fits, k * (1 + 2 * f + k), labelled).items():
@@ -302,7 +334,7 @@ def sweep_refits(df: DataFrame, key: str, axis: str, columns: Columns, scheme: S
     rows = _rows(df, key, axis, columns, seed)
     work = rows.count() * (n_perm + 1) * len(pooled.weights) * len(columns.names)
     slots = df.sparkSession.sparkContext.defaultParallelism
-    rows = (rows.coalesce(work // WORK + 1) if work // WORK < slots else rows).cache()
+    rows = (rows.coalesce(work // WORK + 1) if work // WORK < slots else rows.repartition(slots) if work and rows.select(F.spark_partition_id()).distinct().count() < slots else rows).cache()
     try:
         fits = refit(rows, columns, places, pooled, list(range(n_perm + 1)), most, in_one_task=work <= TASK * WORK)
         found = summaries(rows, columns, places, pooled, fits, df.sparkSession)
@@ -327,8 +359,8 @@ def _reference(rows: DataFrame, columns: Columns, pooled: Mixture) -> tuple[np.n
     k, f = len(pooled.weights), pooled.means.shape[1]
 
     def labelled(x: np.ndarray, w: np.ndarray, joint: np.ndarray) -> np.ndarray:
-        own = np.eye(k)[joint.argmax(1)]
-        return np.concatenate([own, (own[:, :, None] * x[:, None]).reshape(len(x), -1), x, x**2, np.ones((len(x), 1))], 1)
+        own, x = np.eye(k)[joint.argmax(0)].T, x[:, 1 : 1 + f]
+        return np.concatenate([own.sum(1), (own @ x).ravel(), x.sum(0), (x**2).sum(0), [len(x)]])
 
     v = _summed(rows, columns, whole, {(0, 0): pooled}, k + k * f + 2 * f + 1, labelled)[0, 0]
     n, s, t, tt, m = v[:k], v[k : k + k * f].reshape(k, f), v[k + k * f : k + k * f + f], v[k + k * f + f : -1], v[-1]
