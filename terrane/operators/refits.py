@@ -332,10 +332,16 @@ def sweep_refits(df: DataFrame, key: str, axis: str, columns: Columns, scheme: S
     """
     places = places_of(df, axis, scheme)
     rows = _rows(df, key, axis, columns, seed)
-    work = rows.count() * (n_perm + 1) * len(pooled.weights) * len(columns.names)
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    rows = (rows.coalesce(work // WORK + 1) if work // WORK < slots else rows.repartition(slots) if work and rows.select(F.spark_partition_id()).distinct().count() < slots else rows).cache()
+    rows = rows.cache()
+    cached, slots = [rows], df.sparkSession.sparkContext.defaultParallelism
     try:
+        whole = rows.select(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("parts")).first()
+        work = whole["n"] * (n_perm + 1) * len(pooled.weights) * len(columns.names)
+        if work // WORK < whole["parts"]:
+            rows = rows.coalesce(work // WORK + 1)
+        elif whole["parts"] < slots:
+            rows = rows.repartition(slots).cache()
+            cached.append(rows)
         fits = refit(rows, columns, places, pooled, list(range(n_perm + 1)), most, in_one_task=work <= TASK * WORK)
         found = summaries(rows, columns, places, pooled, fits, df.sparkSession)
         centres, sds = _reference(rows, columns, pooled)
@@ -349,7 +355,8 @@ def sweep_refits(df: DataFrame, key: str, axis: str, columns: Columns, scheme: S
         out = out.withColumns({"drift_vs_separation": F.col("value") / F.lit(separation), "reorganised": F.col("jaccard") < 0.5})
         return bh_reject(out, "p_value", q=q)
     finally:
-        rows.unpersist()
+        for c in cached:
+            c.unpersist()
 
 
 def _reference(rows: DataFrame, columns: Columns, pooled: Mixture) -> tuple[np.ndarray, np.ndarray]:
