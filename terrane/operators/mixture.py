@@ -358,6 +358,7 @@ def fit_many(df: DataFrame, key: str, columns: Columns, specs: list[tuple[int, i
                 models.append(Mixture(columns, np.full(k, 1 / k), drawn[i][:k], np.tile(var, (k, 1)), hold=hold, only=only))
         if needed <= TASK:
             return _in_one_task(rows, models, least, limit, most)
+        needed = min(needed, max(slots, whole["_rows"] * len(columns.names) * 8 // PACKED + 1))  # a task has a block at least
         if needed < tasks:
             rows, tasks = rows.coalesce(needed), needed
         elif tasks < min(slots, needed):
